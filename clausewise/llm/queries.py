@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.llm import media, quality, secrets
+from clausewise.llm import media, neardup, quality, secrets
 from clausewise.llm.common import documents, table
 
 
@@ -18,6 +18,10 @@ def op5_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.encode(documents(spark, sf_dir)))
 
 
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=3, threshold=0.85)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
@@ -26,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op5_media_webp": op5_media_webp,
+        "op7_minhash_near_dup": op7_minhash_near_dup,
         "op8_secret_scan": op8_secret_scan,
     }
 
