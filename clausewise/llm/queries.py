@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.llm import media, neardup, quality, secrets
+from clausewise.llm import media, neardup, packing, quality, secrets
 from clausewise.llm.common import documents, table
 
 
@@ -14,6 +14,17 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of op2 and of the pipeline's packing, as the installed library names its place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op5_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.encode(documents(spark, sf_dir)))
 
@@ -29,6 +40,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_packing": op2_packing,
         "op5_media_webp": op5_media_webp,
         "op7_minhash_near_dup": op7_minhash_near_dup,
         "op8_secret_scan": op8_secret_scan,
