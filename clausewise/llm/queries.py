@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.llm import media, neardup, packing, quality, secrets
+from clausewise.llm import decontam, lines, media, neardup, packing, quality, secrets
 from clausewise.llm.common import documents, table
 
 
@@ -25,10 +25,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op5_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.encode(documents(spark, sf_dir)))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=3, threshold=0.85)
 
@@ -41,7 +49,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_packing": op2_packing,
+        "op4_decontamination": op4_decontamination,
         "op5_media_webp": op5_media_webp,
+        "op6_line_dedup": op6_line_dedup,
         "op7_minhash_near_dup": op7_minhash_near_dup,
         "op8_secret_scan": op8_secret_scan,
     }
