@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,8 +183,6 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    import pandas as pd
-
     logit, bias = fit(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast((logit, bias))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewise.llm import decontam, lines, media, neardup, packing, quality, secrets
+from clausewise.llm import chat, decontam, lines, lm, media, neardup, packing, quality, secrets, urls
 from clausewise.llm.common import documents, table
 
 
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.stupid_backoff(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -45,15 +49,36 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
+#: The rules of op10.
+URL_RULES = """
+allow com/
+block example.com/en/
+allow www.example.com/en/
+block net/es/
+block net/fr/
+"""
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.parse_rules(URL_RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_packing": op2_packing,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_decontamination": op4_decontamination,
         "op5_media_webp": op5_media_webp,
         "op6_line_dedup": op6_line_dedup,
         "op7_minhash_near_dup": op7_minhash_near_dup,
         "op8_secret_scan": op8_secret_scan,
+        "op9_chat_formatting": op9_chat_formatting,
+        "op10_url_filter": op10_url_filter,
     }
 
 
