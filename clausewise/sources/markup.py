@@ -1,0 +1,163 @@
+"""XML, RSS and HTML sources.  A payload is one row; what it holds is exploded inside the batch that reads it."""
+
+from __future__ import annotations
+
+import xml.etree.ElementTree as ET
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from clausewise.constants import STANDARD_STATUSES
+
+ARTIFACT = "doc_id long, kind string, label string, empty boolean, n_chars int"
+CLAUSE = "doc_id long, ordinal int, path string, kind string, text string"
+
+
+def _parsed(xml: str | None) -> ET.Element | None:
+    try:
+        return ET.fromstring(xml) if xml else None
+    except ET.ParseError:
+        return None
+
+
+def _text(node: ET.Element | None, tag: str) -> str:
+    return (node.findtext(tag) or "").strip() if node is not None else ""
+
+
+def _rows(frame: DataFrame, schema: str, fn, column: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame([(doc, *r) for doc, x in zip(rows["doc_id"], rows[column]) for r in fn(x)], columns=names)
+
+    return frame.select("doc_id", column).mapInPandas(run, schema)
+
+
+def statute_artifacts(payloads: DataFrame) -> DataFrame:
+    """The body and each annex of a statute; a number that occurs twice fails the payload, empty annexes are flagged."""
+
+    def read(xml):
+        root = _parsed(xml)
+        if root is None:
+            return [("drift", "missing_root", True, 0)]
+        out = [("body", _text(root.find("기본정보"), "법령ID"), False, len(xml))]
+        seen = set()
+        for unit in root.iter("별표단위"):
+            kind, number, branch = _text(unit, "별표구분") or "별표", _text(unit, "별표번호").lstrip("0"), _text(unit, "별표가지번호").lstrip("0")
+            label = f"{kind}{number}" + (f"의{branch}" if branch else "")
+            if label in seen:
+                return [("drift", "duplicate_annex", True, 0)]
+            seen.add(label)
+            body = _text(unit, "별표내용")
+            out.append(("annex", label, not body, len(body)))
+        return out
+
+    return _rows(payloads, ARTIFACT, read, "xml")
+
+
+def statute_clauses(payloads: DataFrame) -> DataFrame:
+    """Articles and their paragraphs; a paragraph without a number adds no segment."""
+    from clausewise.operators.texts import CIRCLED
+
+    def read(xml):
+        root = _parsed(xml)
+        out = []
+        for unit in root.iter("조문단위") if root is not None else ():
+            article = f"제{_text(unit, '조문번호')}조"
+            out.append((len(out), article, "prose", _text(unit, "조문내용")))
+            for para in unit.iter("항"):
+                mark = _text(para, "항번호")
+                if mark and mark in CIRCLED:
+                    out.append((len(out), f"{article}/제{CIRCLED.index(mark) + 1}항", "prose", _text(para, "항내용")))
+        return out
+
+    return _rows(payloads, CLAUSE, read, "xml")
+
+
+def canonical_xml(payloads: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``path<tab>text`` of every element with text, in document order, without dropped tags."""
+
+    def walk(node, path):
+        if node.tag in drop:
+            return
+        here = f"{path}/{node.tag}"
+        if (node.text or "").strip():
+            yield f"{here}\t{node.text.strip()}"
+        for child in node:
+            yield from walk(child, here)
+
+    def read(xml):
+        root = _parsed(xml)
+        return [("\n".join(walk(root, "")) if root is not None else None,)]
+
+    return _rows(payloads, "doc_id long, canonical string", read, "xml")
+
+
+def rss_date(raw: Column) -> Column:
+    """RFC 822 dates as UTC timestamps, null where unreadable; the weekday says nothing and is not read."""
+    bare = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3},\s*", "")
+    return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace(bare, r"\s+(GMT|UT|UTC)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z")))
+
+
+def rss_items(payloads: DataFrame) -> DataFrame:
+    items = payloads.select("doc_id", F.posexplode(F.expr("xpath(xml, '//item/title/text()')")).alias("item", "title"), F.expr("xpath(xml, '//item/pubDate/text()')").alias("dates"))
+    return items.select("doc_id", F.col("item").cast("long").alias("item"), "title", F.date_format(rss_date(F.get("dates", F.col("item"))), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+class _Tables(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.rows, self.row, self.cell, self.heads = [], None, None, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "tr":
+            self.row, self.heads = [], False
+        elif tag in ("td", "th") and self.row is not None:
+            self.cell, self.heads = "", self.heads or tag == "th"
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell += data
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th") and self.cell is not None:
+            self.row.append(" ".join(self.cell.split()))
+            self.cell = None
+        elif tag == "tr" and self.row:
+            self.rows.append((self.heads, self.row))
+            self.row = None
+
+
+def html_rows(pages: DataFrame) -> DataFrame:
+    """doc_id, row, cells: rows of a page's tables; the first row of header cells names the columns, else ``colN``."""
+
+    def read(html):
+        reader, head, out = _Tables(), [], []
+        reader.feed(html or "")
+        for heads, row in reader.rows:
+            if heads:
+                head = head or row
+            else:
+                out.append((len(out), [{"key": head[k] if k < len(head) else f"col{k + 1}", "value": v} for k, v in enumerate(row)]))
+        return out
+
+    return _rows(pages, "doc_id long, row int, cells array<struct<key:string,value:string>>", read, "html").withColumn("cells", F.map_from_entries("cells"))
+
+
+# Labels of the columns of recognition lists, and words of a status in the order they are tried.
+LABELS = {"number": ("표준번호", "standard", "standard number", "번호"), "edition": ("판", "edition", "version", "발행연도")}
+STATUS_WORDS = (("인정", "recognized"), ("recognized", "recognized"), ("harmonised", "harmonized"), ("harmonized", "harmonized"), ("철회", "withdrawn"), ("withdrawn", "withdrawn"), ("대체", "superseded"), ("superseded", "superseded"))
+
+
+def recognitions(rows: DataFrame) -> DataFrame:
+    """number, edition, status of list rows; a row that names no standard is none."""
+    folded = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(F.lower(F.trim(e["key"])), e["value"])))
+    named = lambda field: F.coalesce(*(F.nullif(F.trim(F.try_element_at(folded, F.lit(label))), F.lit("")) for label in LABELS[field]))
+    blob = F.lower(F.array_join(F.map_values("cells"), " "))
+    status = None
+    for word, value in STATUS_WORDS:
+        status = F.when(blob.contains(word), value) if status is None else status.when(blob.contains(word), value)
+    return rows.select("doc_id", named("number").alias("number"), named("edition").alias("edition"), status.otherwise(STANDARD_STATUSES[-1]).alias("status")).where("number IS NOT NULL")

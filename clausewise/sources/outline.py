@@ -1,0 +1,185 @@
+"""Stateful readers of legal text: outlines, box-drawing tables, and phrases found by a walk over tokens.
+
+Each document is read on its own inside Arrow batches: no shuffle, and memory for one document.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from clausewise.operators.texts import CIRCLED, CONDITIONAL, MARKERS
+
+RANKS = {"chapter": 0, "article": 1, "roman_dot": 1, "circled": 2, "dotted": 3, "digit_dot": 3, "digit_paren": 4, "hangul_dot": 5, "hangul_paren": 6, "bullet": 7}
+CHAPTER_DEPTH = {"편": 1, "장": 2, "절": 3, "관": 4}
+_COMPILED = [(style, re.compile(p), needs) for style, p, needs in MARKERS]
+_INLINE = re.compile(rf"(?<=\S)\s+(?=[{CIRCLED}])")
+CLAUSE = "doc_id long, ordinal int, path string, level int, kind string, parent int, n_chars int"
+
+
+def marker(line: str) -> tuple[str, str, int] | None:
+    """(style, segment, depth) of the marker a line opens with."""
+    s = line.strip()
+    for style, pattern, needs in _COMPILED:
+        m = pattern.match(s)
+        if not m or needs and not m.groups()[-1].strip():
+            continue
+        g = m.groups()
+        branch = lambda x: f"의{x}" if x else ""
+        segment, depth = {
+            "chapter": lambda: (f"제{g[0]}{g[1]}{branch(g[2])}", CHAPTER_DEPTH[g[1]]), "article": lambda: (f"제{g[0]}조{branch((g[1] or '').lstrip('0'))}", 1),
+            "roman_dot": lambda: (g[0], 1), "circled": lambda: (f"제{CIRCLED.index(g[0]) + 1}항", 1), "dotted": lambda: (g[0], g[0].count(".") + 1),
+            "digit_dot": lambda: (f"제{g[0]}호{branch(g[1])}", 1), "digit_paren": lambda: (f"{g[0]}{branch(g[1])})", 1), "hangul_dot": lambda: (f"{g[0]}목", 1),
+            "hangul_paren": lambda: (f"{g[0]})", 1), "bullet": lambda: ("", 1)}[style]()
+        return style, segment, depth
+    return None
+
+
+def _level_found(stack: list, style: str, depth: int, ladder: str) -> int:
+    """How much of the stack stays open below an incoming marker."""
+    if ladder == "legal":
+        keep = len(stack)
+        while keep and (RANKS[stack[keep - 1]["style"]], stack[keep - 1]["depth"]) >= (RANKS[style], depth if style == "chapter" or RANKS[stack[keep - 1]["style"]] != RANKS[style] else stack[keep - 1]["depth"]):
+            keep -= 1
+        return keep
+    same = [k for k, n in enumerate(stack) if n["style"] == style and (style != "dotted" or n["depth"] >= depth)]
+    return same[0] if same else len(stack)
+
+
+def outline(text: str, ladder: str) -> list[dict]:
+    clauses: list[dict] = []
+    stack: list[dict] = []
+    for line in (piece for raw in text.split("\n") for piece in _INLINE.split(raw)):
+        found = marker(line) if line.strip() else None
+        if found is None:
+            if stack:
+                stack[-1]["lines"].append(line)
+            continue
+        style, segment, depth = found
+        del stack[_level_found(stack, style, depth, ladder):]
+        above = tuple(n["segment"] for n in stack)
+        if not segment:
+            segment = f"-{sum(c['segments'][:-1] == above for c in clauses) + 1}"
+        node = {"style": style, "depth": depth, "segment": segment, "segments": (*above, segment), "lines": [line.strip()], "parent": stack[-1]["index"] if stack else None, "index": len(clauses)}
+        clauses.append(node)
+        stack.append(node)
+    return clauses
+
+
+def segmented(texts: DataFrame, ladder: str) -> DataFrame:
+    """Clauses of each text in reading order; ``ladder`` is legal (fixed ranks) or discovered (order of first appearance)."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for doc, text in zip(rows["doc_id"], rows["text"]):
+                for k, c in enumerate(outline(text or "", ladder)):
+                    body = "\n".join(c["lines"]).strip()
+                    out.append((doc, k, "/".join(c["segments"]), len(c["segments"]), "heading" if c["style"] == "chapter" else "prose", c["parent"], len(body)))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in CLAUSE.split(", ")])
+            frame["parent"] = frame["parent"].astype("Int32")
+            yield frame
+
+    return texts.select("doc_id", "text").mapInPandas(run, CLAUSE)
+
+
+_RULE = re.compile(r"^[\s┌┬┐├┼┤└┴┘─━┏┳┓┣╋┫┗┻┛│┃]+$")
+TABLE = "doc_id long, table int, row int, cells map<string,string>"
+
+
+def box_tables(text: str) -> list[list[dict[str, str]]]:
+    """Tables drawn with box characters: the first row names the columns, rows inside one box join their lines."""
+    tables, rows, now = [], None, None
+    for line in text.split("\n"):
+        s = line.strip()
+        if not s or not re.match(r"[┌├└│┏┣┗┃]", s):
+            continue
+        if s[0] in "┌┏":
+            rows, now = [], []
+        elif rows is not None and _RULE.match(s) and s[0] in "├└┣┗":
+            if now:
+                rows.append([" ".join(filter(None, (c.strip() for c in col))) for col in zip(*now)])
+            now = []
+            if s[0] in "└┗":
+                if rows:
+                    head, *body = rows
+                    tables.append([{(head[k] if k < len(head) else f"col{k + 1}"): (r[k] if k < len(r) else "") for k in range(max(len(head), len(r)))} for r in body])
+                rows = None
+        elif rows is not None:
+            cells = re.split("[│┃]", s.strip("│┃"))
+            if now and len(cells) != len(now[0]):
+                cells = (cells + [""] * len(now[0]))[: len(now[0])]
+            now.append(cells)
+    return tables
+
+
+def tables(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for rows in batches:
+            out = [(doc, k, j, list(cells.items())) for doc, text in zip(rows["doc_id"], rows["text"]) for k, table in enumerate(box_tables(text or "")) for j, cells in enumerate(table)]
+            yield pd.DataFrame(out, columns=["doc_id", "table", "row", "cells"])
+
+    return texts.select("doc_id", "text").mapInPandas(run, TABLE.replace("map<string,string>", "array<struct<key:string,value:string>>")).withColumn("cells", F.map_from_entries("cells"))
+
+
+def width(text: str) -> int:
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in text)
+
+
+def _series(fn, kind: str):
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else fn(v))
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
+def display_width(column: str | Column) -> Column:
+    return _series(width, "int")(column)
+
+
+def nfc(column: str | Column) -> Column:
+    return _series(lambda v: unicodedata.normalize("NFC", v), "string")(column)
+
+
+_BOUNDARY = tuple("를 을 여 아 고 서 며 은 는 이 가 도 만 로 와 과 및 에 서는".split())  # fixed values: endings that close a phrase
+_JOINS = ("또는", "및", "이나", "나")
+_ANCHOR = re.compile(r"에게\s*(?:제출|신청|보고|통보)")
+
+
+def recipient_of(text: str) -> str | None:
+    """The title before ``에게`` of a filing verb: at most six tokens back, past connectors, up to a phrase's end."""
+    m = _ANCHOR.search(text)
+    if not m:
+        return None
+    taken: list[str] = []
+    for token in reversed(text[: m.start()].split()[-6:]):
+        if taken and token not in _JOINS and token.endswith(_BOUNDARY):
+            break
+        taken.append(token)
+    while taken and taken[-1] in _JOINS:
+        taken.pop()
+    return " ".join(reversed(taken)) or None
+
+
+def condition_of(text: str) -> str | None:
+    """The sentence that holds the first condition; null where it is the whole text."""
+    m = re.search(CONDITIONAL, text)
+    if not m:
+        return None
+    start = text.rfind(". ", 0, m.start()) + 1
+    end = text.find(".", m.end())
+    found = text[start : end + 1 if end >= 0 else len(text)].strip()
+    return None if found == text.strip() else found
+
+
+def recipient(column: Column) -> Column:
+    return _series(recipient_of, "string")(column)
+
+
+def condition(column: Column) -> Column:
+    return _series(condition_of, "string")(column)
