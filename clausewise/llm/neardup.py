@@ -131,7 +131,9 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
     rest: pa.Table | None = None
 
     def arrays(t: pa.Table) -> dict[str, np.ndarray]:
-        out = {c: t.column(c).to_numpy() for c in t.column_names if c != "codes"}
+        out = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("codes", "members")}
+        if "members" in t.column_names:
+            out["members"] = np.array([*t.column("members").to_pylist(), None], dtype=object)[:-1]
         out["codes"] = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(-1, CODES)
         out["group"] = np.cumsum(np.r_[0, np.any([out[c][1:] != out[c][:-1] for c in names], axis=0)]) if t.num_rows else np.zeros(0, int)
         return out
@@ -171,15 +173,10 @@ def _near_in_keys(threshold: float):
                 est.append(estimate(same[ok]))
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             for s in starts[size[starts] > SMALL]:
-                e = s + size[s]
-                for i in range(s + 1, e):
-                    same = (c[s:i] == c[i]).sum(axis=1)
-                    ok = np.flatnonzero(_passing(same, n[s:i], n[i], threshold))
-                    if ok.size:
-                        k = ok[np.argmax(same[ok])]
-                        left.append(np.array([s + k]))
-                        right.append(np.array([i]))
-                        est.append(estimate(same[[k]]))
+                a, b, e = _forest(n[s : s + size[s]], c[s : s + size[s]], threshold)
+                left.append(a + s)
+                right.append(b + s)
+                est.append(e)
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(np.concatenate(est))], names=["a", "b", "est"])
@@ -187,40 +184,91 @@ def _near_in_keys(threshold: float):
     return run
 
 
-def _near_across(threshold: float):
-    """Of chunk pairs of large keys: every passing pair whose two sides lie in different components."""
+def _forest(n: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strongest spanning forest of the passing pairs: (member of the tree, new member, estimate), in order of growth."""
+    size = len(n)
+    best, by, open_ = np.full(size, -1.0), np.zeros(size, np.int64), np.ones(size, bool)
+    a, b, e = [], [], []
+    for _ in range(size):
+        now = int(np.argmax(np.where(open_, best, -2.0)))
+        if best[now] >= 0:
+            a.append(by[now])
+            b.append(now)
+            e.append(best[now])
+        open_[now] = False
+        same = (c == c[now]).sum(axis=1)
+        got = np.where(_passing(same, n, n[now], threshold), estimate(same), -1.0)
+        better = open_ & (got > best)
+        best[better], by[better] = got[better], now
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(e, np.float64)
+
+
+def _across(threshold: float):
+    """Of two chunks of a cluster: confirmed links that join components which nothing has joined yet.
+
+    Sketches pick the pairs to look at, full sets decide, and a pair whose sides are joined by then is passed
+    over, so a block returns fewer links than it has components.
+    """
+    percent = round(threshold * 100)
+
+    def links(part: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+        label = {x: x for x in part["component"].tolist()}
+
+        def top(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        left, right = [], []
+        mine, other = np.flatnonzero(part["chunk"] == part["one"]), np.flatnonzero(part["chunk"] == part["two"])
+        sets = [None] * len(part["cls"])
+
+        def full(i: int) -> np.ndarray:
+            if sets[i] is None:
+                sets[i] = _unpack(part["members"][i])
+            return sets[i]
+
+        for i in mine:
+            k = other[(part["component"][other] != part["component"][i]) & ((part["chunk"][other] != part["chunk"][i]) | (other > i))]
+            same = (part["codes"][k] == part["codes"][i]).sum(axis=1)
+            ok = _passing(same, part["n"][k], part["n"][i], threshold)
+            k = k[ok][np.argsort(-same[ok], kind="stable")]
+            for j in k.tolist():
+                x, y = top(int(part["component"][i])), top(int(part["component"][j]))
+                if x != y and _reaches(full(i), full(j), percent):
+                    label[x] = y
+                    left.append(int(part["cls"][i]))
+                    right.append(int(part["cls"][j]))
+        return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["key", "one", "two"]):
+        for rows in _groups(batches, ["cluster", "one", "two"]):
             starts = np.flatnonzero(np.r_[True, rows["group"][1:] != rows["group"][:-1]])
             for s, e in zip(starts, np.r_[starts[1:], len(rows["group"])]):
-                part = {k: v[s:e] for k, v in rows.items()}
-                mine = np.flatnonzero(part["chunk"] == part["one"])
-                other = np.flatnonzero(part["chunk"] == part["two"])
-                for i in mine:
-                    k = other[(part["component"][other] != part["component"][i]) & ((part["chunk"][other] != part["chunk"][i]) | (part["cls"][other] > part["cls"][i]))]
-                    same = (part["codes"][k] == part["codes"][i]).sum(axis=1)
-                    k = k[_passing(same, part["n"][k], part["n"][i], threshold)]
-                    if k.size:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k.size, part["cls"][i])), pa.array(part["cls"][k])], names=["a", "b"])
+                a, b = links({k: v[s:e] for k, v in rows.items()})
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, both sets sorted."""
+    if one.size > two.size:
+        one, two = two, one
+    at = np.searchsorted(two, one)
+    both = int((two[np.minimum(at, two.size - 1)] == one).sum())
+    return 100 * both >= percent * (one.size + two.size - both)
+
+
 def _confirm(threshold: float):
     """Pairs whose full sets reach the threshold (whole percents are compared as integers)."""
     percent = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = (_unpack(v.as_buffer()) for v in (x, y))
-                if one.size > two.size:
-                    one, two = two, one
-                at = np.searchsorted(two, one)
-                both = int((two[np.minimum(at, two.size - 1)] == one).sum())
-                keep.append(100 * both >= percent * (one.size + two.size - both))
+            keep = [_reaches(_unpack(x.as_buffer()), _unpack(y.as_buffer()), percent) for x, y in zip(batch.column(2), batch.column(3))]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -277,27 +325,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     dealt = members.join(facts, "cls").select("key", "chunk", "cls", "n", "codes").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "cls")
     pairs = materialize(dealt.mapInArrow(_near_in_keys(threshold), "a long, b long, est double").dropDuplicates(["a", "b"]), "nd-pairs")
     best = pairs.groupBy(F.col("b").alias("x")).agg(F.max_by("a", F.struct("est", "a")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(members.where(f"size > {SMALL}").select("cls")).distinct()
-    sets = materialize(_full_sets(docs, classes.join(involved, "cls").select("doc_id", "cls"), words), "nd-sets")
+    # clusters: what passing pairs hold together, and all chunks of a large key
+    bridges = members.where(f"size > {CHUNK}").groupBy("key", "chunk").agg(F.min("cls").alias("b"))
+    bridges = bridges.join(bridges.groupBy("key").agg(F.min("b").alias("a")), "key").select("a", "b")
+    clusters = materialize(connected_components(pairs.select("a", "b").unionByName(bridges)).select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "nd-clusters")
+    sets = materialize(_full_sets(docs, classes.join(clusters, "cls").select("doc_id", "cls"), words), "nd-sets")
     sure = _links(best, sets, threshold, "nd-links")
-    parts = materialize(connected_components(sure), "nd-parts")
-
-    # what is left: pairs between components
-    of = lambda rows, column, name: rows.join(parts.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-    open_pairs = of(of(pairs.select("a", "b"), "a", "p"), "b", "q").where("p <> q").select("a", "b")
-    large = of(members.where(f"size > {SMALL}"), "cls", "component")
-    mixed = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    still = large.join(mixed, "key").join(facts, "cls")
-    # each chunk meets itself and every later one of its key
+    parts = connected_components(sure)
+
+    # clusters of several components: chunk against chunk, on sketches and then on full sets
+    placed = materialize(clusters.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "cluster", F.coalesce("component", "cls").alias("component")), "nd-placed")
+    mixed = placed.groupBy("cluster").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     chunks = F.ceil(F.col("size") / CHUNK).cast("long")
+    still = placed.join(mixed.select("cluster", chunks.alias("chunks")), "cluster").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
     across = (
-        still.withColumn("chunks", chunks).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("key", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "cls", "n", "component", "codes")
-        .repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+        still.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select("cluster", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "cls", "component")
+        .join(facts, "cls").join(sets, "cls").select("cluster", "one", "two", "chunk", "cls", "n", "component", "codes", "members")
+        .repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
     )
-    rest = across.mapInArrow(_near_across(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _links(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(rest).distinct(), sets, threshold, "nd-links")
-    parts = materialize(connected_components(sure.unionByName(more)), "nd-parts")
+    more = materialize(across.mapInArrow(_across(threshold), "a long, b long"), "nd-links")
+    parts = connected_components(sure.unionByName(more))
 
     named = marked.select("doc_id", "n", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("label"))
