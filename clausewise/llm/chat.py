@@ -59,7 +59,7 @@ def passages(messages: DataFrame) -> DataFrame:
 
 def unquoted(text: Column) -> Column:
     own = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: level(x) == 0), "\n")
-    return F.coalesce(F.when(text.contains(">"), F.trim(F.regexp_replace(own, r"\n{3,}", "\n\n"))).otherwise(text), F.lit(""))
+    return F.coalesce(F.when(text.contains(">"), F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).otherwise(text), F.lit(""))
 
 
 def reply_links(messages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Every line of at least ``MIN_TOKENS`` blank-separated tokens goes down the tree
 its two leading tokens, tokens with digits standing as one placeholder.  At the leaf it belongs to templates:
 the line as it reads with placeholders, and, for lines of at least ``WIDE_TOKENS`` tokens, four generalised
 ones, in each of which one quarter of the tokens is a free field (the leading tokens never are).  So lines that
-differ in numbers, or in one contiguous field, meet in a template, and a template is a 64-bit key.
+differ in numbers, or inside one quarter, meet in a template, and a template is a 64-bit key.
 
 A template that occurs in at least ``MIN_DOCS`` documents recurs; its lines are dropped from every document
 but the first (the smallest doc_id), so no content disappears altogether.  Template counts are partial sums of

@@ -145,7 +145,7 @@ def _score(order: int, backoff: float, words: int, bits: int):
                 base = np.maximum(history[hit - 1], seen[hit]).astype(np.float64)
             score[hit] = backoff ** (order - k) * seen[hit] / base
             done[hit] = True
-        sums = np.bincount(doc, np.log(score), n.size)
+        sums = np.bincount(doc, np.log(score), n.size).astype(np.float64)
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(sums)})
 
     return run

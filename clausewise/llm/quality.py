@@ -88,7 +88,7 @@ _POWERS = np.cumprod(np.full(256, 2246822519, dtype=np.uint32), dtype=np.uint32)
 def _train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, rate: float = 3.0) -> tuple[np.ndarray, float]:
     """The logit each bucket adds to a document of one feature, and the bias."""
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0.0 < share < 1.0:
+    if not len(labels) or not 0.0 < share < 1.0:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share)))
     docs = []
