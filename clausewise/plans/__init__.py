@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("diffs", "texts", "catalog", "search", "answers", "monitoring", "evaluation", "parsing")
+MODULES = ("diffs", "texts", "catalog", "search", "answers", "monitoring", "evaluation", "parsing", "extras")
 
 
 def registry() -> dict:
