@@ -30,7 +30,7 @@ def identifiers(query: Column) -> Column:
 
 def annex_terms(query: Column) -> Column:
     """CAS numbers, then long tokens, each also without its last one or two syllables if it ends in Hangul."""
-    tokens = F.filter(F.split(query, r"[^\w가-힣ㄱ-ㆎ.\-]+"), lambda t: (F.length(t) >= MIN_TERM) & ~t.rlike(r"^\d+$"))
+    tokens = F.filter(F.split(query, r"[^\p{L}\p{N}_.\-]+"), lambda t: (F.length(t) >= MIN_TERM) & ~t.rlike(r"^\d+$"))
     each = F.flatten(F.transform(tokens, lambda t: F.array(
         t, F.when(t.rlike("[가-힣]$"), F.substring(t, F.lit(1), F.length(t) - 1)), F.when(t.rlike("[가-힣]$") & (F.length(t) > MIN_TERM + 1), F.substring(t, F.lit(1), F.length(t) - 2)))))
     return F.filter(F.array_distinct(F.concat(F.regexp_extract_all(query, F.lit(CAS), F.lit(0)), F.array_compact(each))), lambda t: F.length(t) >= MIN_TERM)
@@ -38,7 +38,7 @@ def annex_terms(query: Column) -> Column:
 
 def query_prefixes(query: Column) -> Column:
     """Lower-case tokens to be matched as prefixes, each also without a final Hangul syllable."""
-    tokens = F.filter(F.split(F.lower(query), r"[^\w가-힣ㄱ-ㆎ.\-/§]+"), lambda t: t != "")
+    tokens = F.filter(F.split(F.lower(query), r"[^\p{L}\p{N}_.\-/§]+"), lambda t: t != "")
     return F.array_distinct(F.array_compact(F.flatten(F.transform(tokens, lambda t: F.array(t, F.when(t.rlike("[가-힣]$") & (F.length(t) > MIN_STEM), F.substring(t, F.lit(1), F.length(t) - 1)))))))
 
 

@@ -13,13 +13,12 @@ def _queries(t):
     return t.raw("conversations").where("conv_id % 100 = 0 AND role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.substring("text", 1, 60).alias("query"))
 
 
-_Q = "qs AS (SELECT conv_id * 1000 + turn AS query_id, substr(text, 1, 60) AS query FROM conversations WHERE conv_id % 100 = 0 AND role = 'user'), prefixes AS (SELECT DISTINCT query_id, p FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9_.\\-/§\\x{00C0}-\\x{024F}]+')) AS p FROM qs) WHERE p <> '')"
+_Q = "qs AS (SELECT conv_id * 1000 + turn AS query_id, substr(text, 1, 60) AS query FROM conversations WHERE conv_id % 100 = 0 AND role = 'user'), prefixes AS (SELECT DISTINCT query_id, p FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_.\\-/§]+')) AS p FROM qs) WHERE p <> '')"
 
 
 def _lexical(t):
     texts = t.clauses().where("v = 1").withColumn("text", F.substring("text", 1, 200))
-    ascii_only = _queries(t).where(~F.col("query").rlike(r"[^\x00-\x7f]"))
-    return s.lexical_arm(texts, ascii_only).select("query_id", "version_id", "path", "score", "rank")
+    return s.lexical_arm(texts, _queries(t)).select("query_id", "version_id", "path", "score", "rank")
 
 
 def _vectors(t):
@@ -70,7 +69,7 @@ QUERIES = {
         sql("""SELECT query_id, version_id, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, version_id, path) - 1 AS rank FROM (
           SELECT query_id, version_id, path, ordinal, count(DISTINCT pos) AS score FROM (SELECT version_id, path, ordinal, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
             SELECT version_id, path, ordinal, list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^\\p{L}\\p{N}_.\\-/§]+'), lambda x: x <> '') AS w FROM clauses WHERE v = 1)) t
-          JOIN prefixes p ON starts_with(t.token, p.p) WHERE p.query_id IN (SELECT query_id FROM qs WHERE NOT regexp_matches(query, '[^\\x00-\\x7f]')) GROUP BY ALL)) WHERE rank < 40""", _Q)),
+          JOIN prefixes p ON starts_with(t.token, p.p) GROUP BY ALL)) WHERE rank < 40""", _Q)),
     "R7_vector_arm": (lambda t: _vectors(t).select("query_id", "vec_id", F.round("score", 6).alias("score")), f"WITH {_VEC} SELECT query_id, vec_id, round(score, 6) AS score FROM vec"),
     "R8_identifier_arm": (
         lambda t: s.identifier_arm(t.clauses(), t.documents().where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array(F.lit("A2"), F.lit("A3/I1")).alias("names"))).select("query_id", "version_id", "path"),
