@@ -113,37 +113,28 @@ def _answer(table: pa.Table) -> pa.Table:
 def _score(order: int, backoff: float, words: int, bits: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         grams, n = ngrams(_bytes(table.column("text")), order)
-        hashes, _ = _distinct(grams, bits)
-        low = np.uint64(64 - bits)
         replies = replies.sort_by("part")
         totals = np.concatenate([np.zeros(0, np.int64), *(_expand(x).astype(np.int64) for x in replies.column("totals").to_pylist())])
         doc = np.repeat(np.arange(n.size), n)
         place = np.arange(doc.size) - np.repeat(np.cumsum(n) - n, n)
-
-        def others(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
-            """Occurrences in other documents of each n-gram."""
-            at = np.searchsorted(hashes, h >> low)
-            return totals[at] - _own_counts(owner, at)
-
+        # one sort finds the place of each n-gram among the block's distinct ones, which the replies follow
+        every = np.concatenate(grams)
+        real = every != 0
+        at = np.zeros(every.size, np.int64)
+        at[real] = np.unique(every[real] >> np.uint64(64 - bits), return_inverse=True)[1]
+        others = []
+        for k, part in enumerate(np.split(at, order)):
+            seen = np.zeros(doc.size, np.int64)
+            whole = np.flatnonzero(place >= k)
+            seen[whole] = totals[part[whole]] - _own_counts(doc[whole], part[whole])
+            others.append(seen)
         score = np.full(doc.size, backoff ** (order - 1) / (words + 1))
         done = np.zeros(doc.size, bool)
         for k in range(order, 0, -1):
-            at = np.flatnonzero((place >= k - 1) & ~done)
-            if not at.size:
-                continue
-            # own counts need all of a document's n-grams of this order, not only those still open
-            full = np.flatnonzero(place >= k - 1)
-            seen = np.zeros(doc.size, np.int64)
-            seen[full] = others(grams[k - 1][full], doc[full])
-            hit = at[seen[at] > 0]
-            if k == 1:
-                base = np.maximum(words - n[doc[hit]], 1).astype(np.float64)
-            else:
-                history = np.zeros(doc.size, np.int64)
-                whole = np.flatnonzero(place >= k - 2)
-                history[whole] = others(grams[k - 2][whole], doc[whole])
-                base = np.maximum(history[hit - 1], seen[hit]).astype(np.float64)
-            score[hit] = backoff ** (order - k) * seen[hit] / base
+            hit = np.flatnonzero((place >= k - 1) & ~done & (others[k - 1] > 0))
+            seen = others[k - 1][hit]
+            base = np.maximum(words - n[doc[hit]], 1) if k == 1 else np.maximum(others[k - 2][hit - 1], seen)
+            score[hit] = backoff ** (order - k) * seen / base
             done[hit] = True
         sums = np.bincount(doc, np.log(score), n.size).astype(np.float64)
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(sums)})
