@@ -33,14 +33,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``materialize`` that no later plan reads."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if folder.getParent().getName() in shared_dir(spark).rsplit("/", 1)[-1]:
-            folder.getFileSystem(hadoop).delete(folder, True)
+#: Rows of ids or short lists that are sent to every executor at most.
+BROADCAST_ROWS = 250_000
+
+
+def small_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a written table, marked for broadcast if it has ``rows`` rows at most; beyond it the join shuffles."""
+    table = materialize(df, label)
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def text_or_empty(name: str = "text") -> Column:

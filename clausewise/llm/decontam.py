@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewise.llm.common import small_side
+
 WINDOW = 8
 LITERALS = 5
 SHORTEST = 5
@@ -118,5 +120,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    gone = matches(docs, benchmark, **settings).select(F.col("doc_id").alias("__doc")).distinct()
+    gone = small_side(matches(docs, benchmark, **settings).select(F.col("doc_id").alias("__doc")).distinct(), "decontam-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left_anti")

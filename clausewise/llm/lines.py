@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize
+from clausewise.llm.common import materialize, small_side
 
 MIN_TOKENS = 6
 WIDE_TOKENS = 12
@@ -99,7 +99,7 @@ def dropped_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int =
 
 def drop_recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``docs``, with all their columns, without recurring lines; rows left without text are dropped."""
-    gone = materialize(dropped_lines(docs, min_tokens, min_docs).select(F.col("doc_id").alias("__doc"), "lines"), "lines-dropped")
+    gone = small_side(dropped_lines(docs, min_tokens, min_docs).select(F.col("doc_id").alias("__doc"), "lines"), "lines-dropped")
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", i)), "\n")
     # positions are sorted and few; only documents that lose lines are split at all

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize
+from clausewise.llm.common import materialize, small_side
 from clausewise.llm.components import connected_components
 from clausewise.llm.shingles import mix, shingle_sets
 
@@ -357,5 +357,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
 
 def keep_first(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component; repeated rows stay repeated."""
-    gone = near_duplicates(docs, words, threshold).where("NOT kept").select("doc_id").distinct()
+    gone = small_side(near_duplicates(docs, words, threshold).where("NOT kept").select("doc_id").distinct(), "nd-gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -133,13 +133,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     # as many of each class as half the sample holds; three times that, since some texts are missing or too long
     half = known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs // 2).unionByName(
         known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs - max_train_docs // 2))
-    rows = (
+    sample = (
         docs.select("doc_id", "text").where(F.length("text") <= max_train_chars)
         .join(F.broadcast(half), "doc_id")  # at most max_train_docs ids
         .groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
-        .orderBy("doc_id").limit(max_train_docs).collect()
+        .orderBy("doc_id").limit(max_train_docs)
     )
-    return _train([r["text"] for r in rows], np.array([r["quality"] for r in rows], dtype=np.int64))
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"quality": [], "text": []}), *batches])
+        logit, bias = _train(rows["text"].tolist(), rows["quality"].to_numpy(np.int64))
+        yield pd.DataFrame({"logit": [logit.tobytes()], "bias": [bias]})
+
+    # the bounded sample is one partition of one task; the driver gets the model alone
+    model = sample.select("quality", "text").mapInPandas(train, "logit binary, bias double").first()
+    return (np.frombuffer(bytes(model["logit"]), np.float32), float(model["bias"])) if model else _train([], np.zeros(0, np.int64))
 
 
 def _sums(texts: list[str], logit: np.ndarray) -> np.ndarray:
