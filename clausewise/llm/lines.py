@@ -1,16 +1,19 @@
 """Line dedup by a fixed-depth tree of log templates.
 
-Every line of at least ``MIN_TOKENS`` blank-separated tokens goes down the tree by its number of tokens and
-its two leading tokens, tokens with digits standing as one placeholder.  At the leaf it belongs to templates:
+Every line that is not blank goes down the tree by its number of tokens and its two leading tokens, tokens with
+digits standing as one placeholder.  Tokens are separated by blanks; in scripts that write without blanks each
+character is one.  At the leaf it belongs to templates:
 the line as it reads with placeholders, and, for lines of at least ``WIDE_TOKENS`` tokens, four generalised
 ones, in each of which one quarter of the tokens is a free field (the leading tokens never are).  So lines that
 differ in numbers, or inside one quarter, meet in a template, and a template is a 64-bit key.
+A line of nothing but placeholders is short on words to tell it by: under ``MIN_TOKENS`` tokens it stands as it reads.
 
-A template that occurs in at least ``MIN_DOCS`` documents recurs; its lines are dropped from every document
+A template that occurs in at least ``MIN_DOCS`` documents recurs, one of a line under ``MIN_TOKENS`` tokens in at
+least ``SHORT_MIN_DOCS``, since two documents share a short line by chance; its lines are dropped from every document
 but the first (the smallest doc_id), so no content disappears altogether.  Template counts are partial sums of
 fixed-size rows, a line of a third of all documents is one row per task, and lines join the recurring keys only.
 
-Edge cases: null texts stay null; empty texts, and lines under ``MIN_TOKENS`` tokens, are left alone; a line
+Edge cases: null texts stay null; empty texts and blank lines are left alone; a line
 repeated inside one document only is left alone; a document of which nothing but blank lines remains is
 dropped; rows of one doc_id count as one document.
 """
@@ -31,61 +34,82 @@ from clausewise.llm.common import materialize, small_side
 MIN_TOKENS = 6
 WIDE_TOKENS = 12
 MIN_DOCS = 2
+SHORT_MIN_DOCS = 3
 FIELDS = 4
 _DIGIT = re.compile(r"\d")
 _VARIABLE = re.compile(r"\S*\d\S*")
 FIELD = "<*>"
+# Thai to Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_DENSE = re.compile(f"[{_UNSPACED}]")
+_PIECE = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+
+
+def tokens_of(line: str) -> list[str]:
+    """The line's tokens as they read."""
+    return _PIECE.findall(line) if _DENSE.search(line) else line.split()
 
 
 def template_keys(line: str, min_tokens: int = MIN_TOKENS, wide: int = WIDE_TOKENS) -> list[int]:
-    """Keys of the templates a line belongs to, the exact one first; none for short lines."""
-    if _DIGIT.search(line):
-        line = _VARIABLE.sub(FIELD, line)
-    tokens = line.split()
-    n = len(tokens)
-    if n < min_tokens:
-        return []
-    leaf = f"{n} {tokens[0]} {tokens[1]}\n"
+    """Keys of the templates a line belongs to, the exact one first; none for blank lines."""
+    return _placed(line, min_tokens, wide)[1]
+
+
+def _placed(line: str, min_tokens: int, wide: int) -> tuple[bool, list[int]]:
+    """Whether the line is short, and keys of the templates it belongs to, the exact one first; none for blank lines."""
+    read = tokens_of(line)
+    n = len(read)
+    if not n:
+        return True, []
+    tokens = [FIELD if _DIGIT.search(t) else t for t in read] if _DIGIT.search(line) else read
+    if n < min_tokens and tokens.count(FIELD) == n:
+        tokens = read
+    leaf = f"{n} {' '.join(tokens[:2])}\n"
     digest = xxhash.xxh3_64_intdigest
     out = [digest(leaf + " ".join(tokens))]
-    if n >= wide:
+    if n >= max(wide, min_tokens):
         # the tokens behind the lead, in four fields; each template leaves one out
         cuts = [2 + (n - 2) * k // FIELDS for k in range(FIELDS + 1)]
         parts = [" ".join(tokens[cuts[k] : cuts[k + 1]]) for k in range(FIELDS)]
         for k in range(FIELDS):
             kept = parts[:k] + [FIELD] + parts[k + 1 :]
             out.append(digest(f"{leaf}{k}\n" + "\n".join(kept)))
-    return out
+    return n < min_tokens, out
 
 
 def parse(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, line (position), keys: the parsed lines of each text, each key once per row of ``docs``."""
+    """doc_id, line (position), short, keys: the parsed lines of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, place, sizes, keys = [], [], [0], []
+            owner, place, brief, sizes, keys = [], [], [], [0], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
-                    found = template_keys(line, min_tokens)
+                    short, found = _placed(line, min_tokens, WIDE_TOKENS)
                     if found:
                         owner.append(doc)
                         place.append(k)
+                        brief.append(short)
                         keys += found
                         sizes.append(len(keys))
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32()), lists], names=["doc_id", "line", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(brief, pa.bool_()), lists], names=["doc_id", "line", "short", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, short boolean, keys array<long>")
 
 
 def templates(parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """key, docs, first: the templates that recur, their number of documents and the first of them."""
-    each = parsed.select("doc_id", F.explode("keys").alias("key"))
-    if min_docs <= 2:
-        # at least two documents: the smallest and the largest id differ
-        spread = each.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        return spread.where("first < last").select("key", "first")
-    return each.distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("key", "first")
+    """key, first: the templates that recur and the first of their documents; short lines need more documents."""
+    each = parsed.select("doc_id", "short", F.explode("keys").alias("key"))
+
+    def counted(rows: DataFrame, least: int) -> DataFrame:
+        if least <= 2:
+            # at least two documents: the smallest and the largest id differ
+            spread = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+            return spread.where("first < last").select("key", "first")
+        return rows.select("doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least).select("key", "first")
+
+    return counted(each.where("NOT short"), min_docs).unionByName(counted(each.where("short"), max(min_docs, SHORT_MIN_DOCS)))
 
 
 def dropped_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -217,6 +217,15 @@ def test_line_templates(spark, edges):
     assert lines.drop_recurring_lines(edges).columns == edges.columns
 
 
+def test_short_and_unspaced_lines_recur(spark):
+    license, notice = "Released under the MIT License.", "版权所有未经许可不得转载"
+    rows = [(i, f"own{i}\n{license}\nPage {i} of 9\n{i}{i}") for i in range(1, 5)] + [(5, f"甲\n{notice}"), (6, f"乙\n  {notice}"), (7, "Twice only"), (8, "Twice only")]
+    got = {r.doc_id: r.text for r in lines.drop_recurring_lines(docs(spark, rows)).collect()}
+    # numbers alone stand as they read; two documents may share a short line by chance
+    assert got == {1: rows[0][1], 2: "own2\n22", 3: "own3\n33", 4: "own4\n44", 5: rows[4][1], 6: "乙", 7: "Twice only", 8: "Twice only"}
+    assert {r.doc_id: r.n_dropped for r in lines.report(docs(spark, rows)).collect()} == {1: 0, 2: 2, 3: 2, 4: 2, 5: 0, 6: 1, 7: 0, 8: 0}
+
+
 # ---------------------------------------------------------------- 7
 
 
