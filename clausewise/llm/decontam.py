@@ -2,13 +2,17 @@
 
 A text becomes tokens (lower-cased runs of letters and digits) and typed placeholders:
 a number is ``<n>``, a unit behind a number ``<u>``, a capitalised word inside a sentence ``<p>`` (a name).
+A line break or colon ends a sentence.
 Windows of ``WINDOW`` placeholder tokens of the benchmark (a shorter item is one window) are hashed;
 windows of documents join them by hash.  A window counts if it has at least ``LITERALS`` plain words.  Each
 document and item then have a list of matching windows, and slots are checked across all of them: a filler of
-the item must always meet the same filler in the document and the other way round, at one alignment of the
-two texts.  So a question asked again with other numbers and names is caught, while texts that share a
+the item must always meet the same filler in the document and the other way round, at one alignment of the two
+texts.  So a question asked again with other numbers and names is caught, while texts that share a
 phrase by chance, with fillers in conflict, are not.
 
+A second set of windows, of lower-cased words without placeholders, all of which count, stands beside it, so a
+verbatim copy depends on no capitals and no number of plain words.
+
 The benchmark's windows do not grow with the corpus; they are counted, and broadcast up to
 ``BROADCAST_WINDOWS``, else the join shuffles.  A hot passage is a hot key of the second way only, where
 adaptive execution splits it; the counting behind is per document and item.
@@ -31,6 +35,7 @@ SHORTEST = 5
 #: Share of an item's windows that must match at one alignment (and one window at least).
 SHARE = 0.3
 BROADCAST_WINDOWS = 500_000
+SLOT, UNIT = "\x01", "\x02"
 
 # Words that are units when they follow a number.
 UNITS = (
@@ -40,73 +45,86 @@ UNITS = (
 ).split()
 
 
+def words(text: Column) -> Column:
+    """The text's words with one blank between them; marks that end a sentence stay on their word, and a line break or colon is one."""
+    spaced = F.regexp_replace(text, r" *[^\p{L}\p{N}.!?\n: ][^\p{L}\p{N}.!?\n:]*|  +", " ")
+    ended = F.regexp_replace(spaced, r"[.!? ]*[\n:][.!?\n: ]*", ". ")
+    return F.trim(F.regexp_replace(ended, r"(^| )[.!? ]*[.!?] ?", "$1"))
 
 
-def words(text: Column) -> Column:
-    """The text's words with one blank between them; marks that end a sentence stay on their word."""
-    spaced = F.regexp_replace(text, r"[^\p{L}\p{N}.!?]+", " ")
-    return F.trim(F.regexp_replace(spaced, r"(?<![\p{L}\p{N}.!?])[.!?]+ ?", ""))
+def marked(spaced: Column) -> Column:
+    """``words`` with a mark before names and numbers, and without the marks that end sentences."""
+    slots = F.regexp_replace(F.concat(F.lit(" "), spaced), r" (?:(?<=[\p{L}\p{N}] )(?=\p{Lu})|(?=\p{N}[\p{N}.]*(?: |$)))", f" {SLOT}")
+    return F.trim(F.regexp_replace(slots, r"[.!?]+(?= |$)", ""))
+
+
+def fillers(marks: Column) -> Column:
+    """``marked`` with a mark before units."""
+    return F.regexp_replace(marks, rf"({SLOT}\p{{N}}[^ ]* )(?=(?i:{'|'.join(UNITS)})(?![^ ]))", f"$1{UNIT}")
 
 
-def template(spaced: Column) -> Column:
-    """``words`` with placeholders: as many tokens as before, since each replacement stays inside its word."""
-    names = F.regexp_replace(spaced, r"(?<=[\p{L}\p{N}] )\p{Lu}[\p{L}\p{N}.!?]*", "<p>")
-    numbers = F.regexp_replace(names, r"(?<![^ ])\p{N}[\p{N}.]*(?![^ ])", "<n>")
-    units = F.regexp_replace(numbers, rf"(?i)(?<=<n> )(?:{'|'.join(UNITS)})(?![^ .!?])", "<u>")
-    return F.lower(F.regexp_replace(units, r"[.!?]+(?= |$)", ""))
+def template(filled: Column) -> Column:
+    """``fillers`` with placeholders: as many tokens as before, since each replacement stays inside its word."""
+    names = F.regexp_replace(filled, rf"{SLOT}\p{{Lu}}[^ ]*", "<p>")
+    return F.lower(F.regexp_replace(F.regexp_replace(names, f"{SLOT}[^ ]*", "<n>"), f"{UNIT}[^ ]*", "<u>"))
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` tokens, by place."""
-    n = F.size(tokens)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(tokens, k, width)))).otherwise(
-        F.array().cast("array<bigint>"))
+def _windows(tokens: Column, width: int, n: Column) -> Column:
+    """Hashes of the windows of ``width`` tokens at the places 1 to n (shorter ones at the end match nothing)."""
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.slice(tokens, k, width)))
 
 
 def _tokens(rows: DataFrame, key: str) -> DataFrame:
-    """key, raw (words), tokens (template): both split at the same blanks."""
-    spaced = rows.select(F.col(key).cast("long").alias(key), words(F.col("text")).alias("spaced")).where("spaced <> ''")
-    return spaced.select(key, F.split("spaced", " ").alias("raw"), F.split(template(F.col("spaced")), " ").alias("tokens"))
+    """key, filled (marked words), tokens (its template, split at the same blanks), plain (lower-case words)."""
+    marks = rows.select(F.col(key).cast("long").alias(key), marked(words(F.col("text"))).alias("marks"))
+    filled = marks.select(key, fillers(F.col("marks")).alias("filled"), F.split(F.lower(F.replace("marks", F.lit(SLOT), F.lit(""))), " ").alias("plain"))
+    return filled.select(key, "filled", F.split(template(F.col("filled")), " ").alias("tokens"), "plain")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """hash, item_id, item_at, width, fill (raw words of the window, null where a token is literal), total."""
-    t = _tokens(benchmark, "item_id").where(F.size("tokens") >= SHORTEST).withColumn("width", F.least(F.size("tokens"), F.lit(window)))
-    each = t.select("item_id", "width", "raw", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1)).alias("item_at"))
-    part = each.select("item_id", "item_at", "width", F.slice("tokens", F.col("item_at"), F.col("width")).alias("t"), F.slice("raw", F.col("item_at"), F.col("width")).alias("r"))
+    """hash, code (kind and width), item_id, item_at, plain, width, fill (raw words of the window, null where a token is literal), total."""
+    t = _tokens(benchmark, "item_id").where(F.size("plain") >= SHORTEST)
+    kinds = t.select("item_id", F.lit(False).alias("is_plain"), "tokens", F.split("filled", " ").alias("raw")).unionByName(
+        t.select("item_id", F.lit(True).alias("is_plain"), F.col("plain").alias("tokens"), F.col("plain").alias("raw"))).withColumn("width", F.least(F.size("tokens"), F.lit(window)))
+    each = kinds.select("item_id", "is_plain", "width", "raw", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1)).alias("item_at"))
+    part = each.select("item_id", "is_plain", "item_at", "width", F.slice("tokens", F.col("item_at"), F.col("width")).alias("t"), F.slice("raw", F.col("item_at"), F.col("width")).alias("r"))
     is_slot = lambda x: x.isin("<n>", "<u>", "<p>")
-    kept = part.where(F.size(F.filter("t", lambda x: ~is_slot(x))) >= F.least(F.lit(literals), F.col("width")))
-    out = kept.select(F.xxhash64("t").alias("hash"), "item_id", "item_at", "width", F.zip_with("t", "r", lambda t, r: F.when(is_slot(t), r)).alias("fill")).dropDuplicates(["item_id", "item_at", "hash"])
-    totals = out.groupBy("item_id").agg(F.countDistinct("item_at").alias("total"))
-    return out.join(totals, "item_id")
+    kept = part.where(F.col("is_plain") | (F.size(F.filter("t", lambda x: ~is_slot(x))) >= F.least(F.lit(literals), F.col("width"))))
+    out = kept.select(
+        F.xxhash64("t").alias("hash"), (F.col("width") * 2 + F.col("is_plain").cast("int")).alias("code"), "item_id", "item_at", "is_plain", "width",
+        F.zip_with("t", "r", lambda t, r: F.when(is_slot(t), r)).alias("fill")).dropDuplicates(["item_id", "item_at", "hash", "is_plain"])
+    totals = out.groupBy("item_id", "is_plain").agg(F.countDistinct("item_at").alias("total"))
+    return out.join(totals, ["item_id", "is_plain"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_windows, share, reworded (some slot has another filler): pairs that match at one alignment."""
     known = benchmark_windows(benchmark, window, literals)
-    widths = {r["width"]: r["n"] for r in known.groupBy("width").agg(F.count("*").alias("n")).collect()}  # a row for each of at most WINDOW widths
-    side = F.broadcast(known) if sum(widths.values()) <= BROADCAST_WINDOWS else known
-    t = _tokens(docs, "doc_id")
-    places = [t.select("doc_id", "raw", F.posexplode(_windows(F.col("tokens"), w)).alias("at", "hash")).withColumn("w", F.lit(w)) for w in sorted(widths)]
-    if not places:
-        places = [t.select("doc_id", "raw", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("w"))]
-    found = None
-    for each in places:
-        got = each.join(side, "hash").where("w = width").select(
-            "doc_id", "item_id", "item_at", "total", (F.col("at") + 1 - F.col("item_at")).alias("shift"),
-            F.filter(F.zip_with("fill", F.slice("raw", F.col("at") + 1, F.col("width")), lambda i, d: F.struct(i.alias("i"), F.when(i.isNotNull(), d).alias("d"))),
-                     lambda s: s["i"].isNotNull()).alias("slots"))
-        found = got if found is None else found.unionByName(got)
-    aligned = found.groupBy("doc_id", "item_id", "shift").agg(
-        F.countDistinct("item_at").alias("n_windows"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    names = lambda side: F.transform("slots", lambda s: F.lower(F.regexp_replace(s[side], "[.!?]+$", "")))
-    pairs = F.array_distinct(F.zip_with(names("i"), names("d"), lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
-    checked = aligned.withColumn("pairs", pairs)
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs"))
-    good = checked.where(one_to_one & (F.col("n_windows") >= F.greatest(F.lit(1), F.ceil(F.col("total") * share))))
+    counts = {r["code"]: r["n"] for r in known.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row for each of at most 2 * WINDOW codes
+    codes = sorted(counts)
+    side = F.broadcast(known) if sum(counts.values()) <= BROADCAST_WINDOWS else known
+    t = _tokens(docs, "doc_id").withColumn("n", F.size("plain"))
+    hashes = F.concat(*(_windows(F.col("plain" if c % 2 else "tokens"), c // 2, F.col("n")) for c in codes)) if codes else F.array().cast("array<bigint>")
+    places = t.select("doc_id", "filled", "n", F.posexplode(hashes).alias("place", "hash"))
+    at = places.select("doc_id", "filled", "hash", (F.col("place") % F.col("n")).alias("at"), F.element_at(F.array(*map(F.lit, codes or [0])), (F.col("place") / F.col("n")).cast("int") + 1).alias("code"))
+    found = at.join(side, ["hash", "code"]).select(
+        "doc_id", "item_id", "is_plain", "item_at", "total", (F.col("at") + 1 - F.col("item_at")).alias("shift"),
+        F.when(F.col("is_plain"), F.array().cast("array<struct<i:string,d:string>>")).otherwise(
+            F.filter(F.zip_with("fill", F.slice(F.split("filled", " "), F.col("at") + 1, F.col("width")), lambda i, d: F.struct(i.alias("i"), F.when(i.isNotNull(), d).alias("d"))),
+                     lambda s: s["i"].isNotNull())).alias("slots"))
+    key = ["doc_id", "item_id", "is_plain"]
+    aligned = found.groupBy(*key, "shift").agg(
+        F.collect_set("item_at").alias("items"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    tried = aligned.select(*key, "total", F.size("items").alias("n_windows"), "slots")
+    pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(F.lower(s["i"]).alias("i"), F.lower(s["d"]).alias("d"))))
+    checked = tried.withColumn("pairs", pairs)
+    consistent = F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")
+    consistent &= F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs")
+    good = checked.where(consistent & (F.col("n_windows") >= F.greatest(F.lit(1), F.ceil(F.col("total") * share))))
+    reworded = F.when(~F.col("is_plain") | (F.col("n_windows") == F.col("total")), F.exists("pairs", lambda p: p["i"] != p["d"]))
     return good.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max(F.round(F.col("n_windows") / F.col("total"), 4)).alias("share"),
-        F.min(F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reworded"))
+        F.coalesce(F.min(reworded), F.lit(False)).alias("reworded"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

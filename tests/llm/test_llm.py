@@ -171,6 +171,14 @@ def test_conflicting_slots_are_no_match(spark):
     assert got == {1: False, 2: True}
 
 
+def test_verbatim_copies_depend_on_no_capitals(spark):
+    items = ["How many legs does a spider have", "Then Ann Bob Carl met Dora", "Then 5 6 7 8 and 9 10 11 12 make 13", ITEM]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(1, "Question: How many legs does a spider have?"), (2, "no mark\nHow many legs does a spider have"), (3, "HOW MANY LEGS DOES A SPIDER HAVE"), (4, "as told. " + items[1] + "."), (5, items[2]), (6, ITEM.title()), (7, ITEM.upper()), (8, "How many legs does a table have")]
+    got = {r.doc_id: (r.item_ids, r.reworded) for r in decontam.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == {1: ("0", False), 2: ("0", False), 3: ("0", False), 4: ("1", False), 5: ("2", False), 6: ("3", False), 7: ("3", False), 8: ("", False)}
+
+
 # ---------------------------------------------------------------- 5
 
 
