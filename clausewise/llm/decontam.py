@@ -2,12 +2,12 @@
 
 A text becomes tokens (lower-cased runs of letters and digits) and typed placeholders:
 a number is ``<n>``, a unit behind a number ``<u>``, a capitalised word inside a sentence ``<p>`` (a name).
-A line break or colon ends a sentence.
+Adjacent names, and adjacent numbers (digit groups), are one placeholder.  A line break or colon ends a sentence.
 Windows of ``WINDOW`` placeholder tokens of the benchmark (a shorter item is one window) are hashed;
 windows of documents join them by hash.  A window counts if it has at least ``LITERALS`` plain words.  Each
 document and item then have a list of matching windows, and slots are checked across all of them: a filler of
-the item must always meet the same filler in the document and the other way round, at one alignment of the two
-texts.  So a question asked again with other numbers and names is caught, while texts that share a
+the item must always meet the same filler in the document, at one alignment of the two texts or at neighbouring
+ones together.  So a question asked again with other numbers and names is caught, while texts that share a
 phrase by chance, with fillers in conflict, are not.
 
 A second set of windows, of lower-cased words without placeholders, all of which count, stands beside it, so a
@@ -24,7 +24,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import small_side
@@ -34,6 +34,8 @@ LITERALS = 5
 SHORTEST = 5
 #: Share of an item's windows that must match at one alignment (and one window at least).
 SHARE = 0.3
+#: Alignments this many tokens apart at most are counted together too.
+NEAR = WINDOW - 1
 BROADCAST_WINDOWS = 500_000
 SLOT, UNIT = "\x01", "\x02"
 
@@ -59,8 +61,9 @@ def marked(spaced: Column) -> Column:
 
 
 def fillers(marks: Column) -> Column:
-    """``marked`` with a mark before units."""
-    return F.regexp_replace(marks, rf"({SLOT}\p{{N}}[^ ]* )(?=(?i:{'|'.join(UNITS)})(?![^ ]))", f"$1{UNIT}")
+    """``marked`` with adjacent names, and adjacent numbers, as one word each, and a mark before units."""
+    merged = F.regexp_replace(marks, rf"({SLOT}(?:\p{{Lu}}[^ ]*(?= {SLOT}\p{{Lu}})|\p{{N}}[^ ]*(?= {SLOT}\p{{N}}))) ", "$1_")
+    return F.regexp_replace(merged, rf"({SLOT}\p{{N}}[^ ]* )(?=(?i:{'|'.join(UNITS)})(?![^ ]))", f"$1{UNIT}")
 
 
 def template(filled: Column) -> Column:
@@ -98,7 +101,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows, share, reworded (some slot has another filler): pairs that match at one alignment."""
+    """doc_id, item_id, n_windows, share, reworded (some slot has another filler): pairs that match at one alignment or at neighbouring ones."""
     known = benchmark_windows(benchmark, window, literals)
     counts = {r["code"]: r["n"] for r in known.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row for each of at most 2 * WINDOW codes
     codes = sorted(counts)
@@ -115,11 +118,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     key = ["doc_id", "item_id", "is_plain"]
     aligned = found.groupBy(*key, "shift").agg(
         F.collect_set("item_at").alias("items"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    tried = aligned.select(*key, "total", F.size("items").alias("n_windows"), "slots")
+    # alignments a few tokens apart belong together: a filler may have more words, or a word is put in
+    order = Window.partitionBy(*key).orderBy("shift")
+    far = (F.col("shift") - F.lag("shift").over(order) > NEAR).cast("int")
+    near = aligned.withColumn("far", F.coalesce(far, F.lit(0))).withColumn("near", F.sum("far").over(order)).groupBy(*key, "near").agg(
+        F.first("total").alias("total"), F.collect_list(F.struct("items", "slots")).alias("each"))
+    union = F.struct(F.array_distinct(F.flatten("each.items")).alias("items"), F.array_distinct(F.flatten("each.slots")).alias("slots"))
+    tried = near.select(*key, "total", F.explode(F.concat("each", F.array(union))).alias("a")).select(*key, "total", F.size("a.items").alias("n_windows"), F.col("a.slots").alias("slots"))
     pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(F.lower(s["i"]).alias("i"), F.lower(s["d"]).alias("d"))))
     checked = tried.withColumn("pairs", pairs)
     consistent = F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")
-    consistent &= F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs")
     good = checked.where(consistent & (F.col("n_windows") >= F.greatest(F.lit(1), F.ceil(F.col("total") * share))))
     reworded = F.when(~F.col("is_plain") | (F.col("n_windows") == F.col("total")), F.exists("pairs", lambda p: p["i"] != p["d"]))
     return good.groupBy("doc_id", "item_id").agg(

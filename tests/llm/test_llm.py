@@ -171,6 +171,16 @@ def test_conflicting_slots_are_no_match(spark):
     assert got == {1: False, 2: True}
 
 
+def test_new_fillers_may_coincide_and_have_other_lengths(spark):
+    long = [f"{a}{b}" for a in "abc" for b in "bcdfghjklmn"]
+    items = ["we bought 12 apples and 15 pears at the market and ate them all", "we met Ann and paid 500 coins so that old Bob could leave the town", " ".join(long)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(1, items[0].replace("12", "20").replace("15", "20")), (2, items[1].replace("Ann", "Mary Ann Smith").replace("500", "1,000").replace("Bob", "Tim Lee")),
+            (3, " ".join([*long[:11], "zz", *long[11:22], "yy", *long[22:]])), (4, " ".join(long[:11] + ["zz"] * 20 + long[22:]))]
+    got = {r.doc_id: (r.item_ids, r.reworded) for r in decontam.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == {1: ("0", True), 2: ("1", True), 3: ("2", False), 4: ("", False)}
+
+
 def test_verbatim_copies_depend_on_no_capitals(spark):
     items = ["How many legs does a spider have", "Then Ann Bob Carl met Dora", "Then 5 6 7 8 and 9 10 11 12 make 13", ITEM]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
