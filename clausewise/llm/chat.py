@@ -1,12 +1,13 @@
 """Chat formatting: quoted passages are linked to the messages they come from.
 
 A message's lines carry a quote level (the number of leading ``>`` marks, blanks between them allowed).  Runs of
-lines of one level are passages; each is normalised (lower case, single blanks) and hashed.  Quoted passages join
-the unquoted passages of other messages by hash, inside their conversation first and anywhere else otherwise; the
+lines of one level are passages, and so are the paragraphs and the lines of a run; each is normalised (lower case,
+single blanks) and hashed.  Quoted passages join the unquoted passages of other messages by hash, inside their conversation first and anywhere else otherwise; the
 earliest message with the passage is its origin.  Origins are reduced to one row per hash before the join, so a
 passage that a third of all messages quote is joined to one row, and the hot side is only dealt out.
 
-A message replies to the latest origin among its shallowest quotes.  Threads are followed by pointer doubling,
+A quoted run comes from the origin of its longest linked passage, so a quote of some lines or paragraphs of a message
+is linked as well.  A message replies to the latest origin among its shallowest quotes.  Threads are followed by pointer doubling,
 in rounds over written tables; a conversation of any length is never in one task.  The result has a row for each
 message: its text without quotes, the message it replies to, its thread's first message and its depth, ordered by
 (conv_id, thread_turn, depth, turn).
@@ -37,7 +38,7 @@ def normal(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, hash, place: the non-blank passages of every message, in one narrow pass."""
+    """conv_id, turn, level, place (of the run), hash, size: the non-blank passages of every message, in one narrow pass."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     marked = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _QUOTE, "").alias("line")))
     # fold lines into runs of one level
@@ -49,12 +50,12 @@ def passages(messages: DataFrame) -> DataFrame:
             F.array(F.struct(x["level"].alias("level"), F.concat(F.try_element_at(acc, F.lit(-1))["text"], F.lit("\n"), x["line"]).alias("text"))))).otherwise(
             F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("text"))))))
     quick = F.when(F.col("text").contains(">"), folded).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text", F.lit("")).alias("text"))))
-    # an unquoted passage also counts paragraph by paragraph, since replies quote paragraphs
+    # a run also counts paragraph by paragraph and line by line, since replies quote parts
     each = messages.select("conv_id", "turn", F.posexplode(quick).alias("place", "run"))
     parts = each.select("conv_id", "turn", F.col("run.level").alias("level"), "place", F.explode(F.array_distinct(F.concat(
-        F.array(F.col("run.text")), F.when(F.col("run.level") == 0, F.split("run.text", r"\n[ \t]*\n|\n")).otherwise(F.array().cast("array<string>"))))).alias("passage"))
+        F.array(F.col("run.text")), F.split("run.text", r"\n\s*\n"), F.split("run.text", r"\n")))).alias("passage"))
     return parts.select("conv_id", "turn", "level", "place", normal(F.col("passage")).alias("p")).where("p <> ''").select(
-        "conv_id", "turn", "level", "place", F.xxhash64("p").alias("hash"))
+        "conv_id", "turn", "level", "place", F.xxhash64("p").alias("hash"), F.length("p").alias("size"))
 
 
 def unquoted(text: Column) -> Column:
@@ -71,9 +72,11 @@ def reply_links(messages: DataFrame) -> DataFrame:
     inside = origin.groupBy("hash", "conv_id").agg(F.min("turn").alias("in_turn"))
     anywhere = origin.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     joined = quotes.join(inside, ["hash", "conv_id"], "left").join(anywhere, "hash", "left").select(
-        "conv_id", "turn", "level",
+        "conv_id", "turn", "level", "place", "size",
         F.when(F.col("in_turn") < F.col("turn"), F.struct("conv_id", F.col("in_turn").alias("turn"))).when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).alias("to"))
-    best = joined.where("to IS NOT NULL").groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), (F.col("to.conv_id") == F.col("conv_id")).alias("same"), F.col("to.turn"), F.col("to.conv_id"))).alias("m"))
+    rank = [(F.col("to.conv_id") == F.col("conv_id")).alias("same"), F.col("to.turn").alias("turn"), F.col("to.conv_id").alias("conv_id")]
+    runs = joined.where("to IS NOT NULL").groupBy("conv_id", "turn", "level", "place").agg(F.max(F.struct("size", F.struct(*rank).alias("to"))).alias("longest"))
+    best = runs.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "longest.to.same", "longest.to.turn", "longest.to.conv_id")).alias("m"))
     return best.select("conv_id", "turn", F.col("m.conv_id").alias("to_conv"), F.col("m.turn").alias("to_turn"))
 
 

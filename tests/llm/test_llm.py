@@ -349,6 +349,17 @@ def test_quotes_become_threads(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_of_parts_find_their_message(spark):
+    whole = "a one\na two\n\nb three\n\nc four\nc five\nc six"
+    rows = [
+        (1, 0, whole), (1, 1, "> a one\n> a two\nparagraph"), (1, 2, "> b three\n>\n> c four\n> c five\n> c six\n\ntwo paragraphs"), (1, 3, "> c four\n> c five\nlines"), (1, 4, "> c six\n> not said\npart"),
+        (2, 0, "yes"), (2, 1, "yes\na longer line\nend"), (2, 2, "> yes\n> a longer line\nthe longest counts"), (2, 3, "> never said\n> nor this\nnone"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply_turn for r in chat.conversations(df).collect()}
+    assert got == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 4): 0, (2, 0): None, (2, 1): None, (2, 2): 1, (2, 3): None}
+
+
 # ---------------------------------------------------------------- 10
 
 RULES = urls.parse_rules("allow com/\nblock example.com/en/\nallow www.example.com/en/\nblock net/es/")
