@@ -42,6 +42,8 @@ SMALL = 16
 CHUNK = 1024
 #: An estimate may be this many standard deviations low; small sets fill fewer buckets and deviate more.
 DEVIATIONS = 5.5
+#: Independent codes per shingle of a small set: half of its values lie in the CODES registers, and borrowed codes count some of them often.
+FILLED = 0.25
 #: Ids sent to every executor at most; beyond it the join shuffles.
 BROADCAST_IDS = 250_000
 _BLOCK = 1 << 20
@@ -122,7 +124,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def _passing(same: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     low, high = np.minimum(n, m), np.maximum(n, m)
-    margin = DEVIATIONS * np.sqrt(threshold * (1 - threshold) / np.minimum(CODES, 0.6 * low))
+    margin = DEVIATIONS * np.sqrt(threshold * (1 - threshold) / np.minimum(CODES, FILLED * low))
     return (low >= threshold * high - 1e-6) & (estimate(same) >= threshold - margin)
 
 

@@ -286,6 +286,16 @@ def test_near_duplicates_match_brute_force(spark, words, threshold, monkeypatch)
     assert got == brute(rows, words, round(threshold * 100))
 
 
+@pytest.mark.parametrize("common,union", [(34, 40), (68, 80)])
+def test_sketches_let_threshold_pairs_of_small_sets_pass(common, union):
+    rng, more = np.random.default_rng(7), (union - common) // 2
+    drawn = rng.integers(0, 2**64, (20_000, union), np.uint64)
+    codes = [neardup.codes(neardup.sketch(list(x))) for x in (drawn[:, : common + more], drawn[:, more:])]
+    # the rows share the middle, common values
+    n = np.full(len(drawn), common + more)
+    assert neardup._passing((codes[0] == codes[1]).sum(axis=1), n, n, common / union).all()
+
+
 def test_near_duplicates_edges(spark, edges):
     got = neardup.near_duplicates(edges, 3, 0.85).collect()
     assert len(got) == len(EDGES) and {r.component_id for r in got if r.doc_id in (5, 6)} == {5}
