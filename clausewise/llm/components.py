@@ -3,7 +3,7 @@
 Each round renames all nodes by a bijection that differs from round to round, merges every node into the
 smallest of itself and its neighbours, and carries the edges over to the merged nodes; edges inside a
 merged node vanish.  A round keeps a constant share of the nodes at most (in expectation), a star of any
-size is done in one or two, and the smallest neighbour is an aggregate with map-side combining, so a node
+size is done in one or two, and the smallest neighbour is an aggregate with map-side combining and a hub's new name is sent to its edges, so a node
 with a third of all edges costs no task more than its share.  Nothing is gathered on the driver.
 """
 
@@ -14,9 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize
+from clausewise.llm.common import join_facts, materialize
 
 MAX_ROUNDS = 60
+#: A node with more edges than this, and than its share of all, is joined without gathering them.
+HOT_EDGES = 50_000
 
 
 def _renamed(x: Column, k: int) -> Column:
@@ -46,10 +48,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             both.groupBy("a").agg(F.min(_renamed(F.col("b"), k)).alias("low"))
             .select(F.col("a").alias("node"), F.least(_renamed(F.col("a"), k), "low").alias("into")), "cc-step")
         steps.append(best)
+        one = join_facts(now, best.select(F.col("node").alias("a"), F.col("into").alias("x")), "a", hot_rows=HOT_EDGES)
+        two = join_facts(one, best.select(F.col("node").alias("b"), F.col("into").alias("y")), "b", hot_rows=HOT_EDGES, counted=now)
         now = materialize(
-            now.join(best.select(F.col("node").alias("a"), F.col("into").alias("x")), "a")
-            .join(best.select(F.col("node").alias("b"), F.col("into").alias("y")), "b")
-            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+            two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
     if not steps:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     first = steps[0].withColumnRenamed("into", "label")

@@ -10,8 +10,10 @@ first with the longest that still fits.
 Pieces find their place without a sort of the whole: within a length they are ranked inside hash salts,
 salt totals are summed up, and a rank maps to a sequence and offset by the plan's table of runs.
 
-Edge cases: null and empty texts hold the end token alone; special strings in a text are ordinary text;
-repeated rows are packed as often as they occur; no document, no piece.
+Edge cases: null and empty texts hold the end token alone; added tokens of the vocabulary that a text spells out
+are one id, as the tokenizer has it; repeated rows are packed as often as they occur, ties by id, start and checksum; a
+text of any length is cut into windows as it is read, one document in memory at a time; no document, no piece;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -53,28 +55,29 @@ def _byte_alphabet() -> dict[str, int]:
 def encoder(path: str) -> Encoder:
     """Text -> ids as little-endian 32-bit values.
 
-    Where the file's merges come in the order of their ids (checked on loading), merging by rank gives the
-    tokenizer's own ids several times faster, and its table is built from the same file.
+    The file's added tokens (``<|endoftext|>``) are read as the tokenizer reads them, as one id each.  Where the
+    file's merges come in the order of their ids (checked on loading), merging by rank gives the tokenizer's own ids
+    several times faster, and its table is built from the same file.
     """
     if path in _loaded:
         return _loaded[path]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     own: Encoder = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
     _loaded[path] = own
     try:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, whole = file["model"], [t["content"] for t in file.get("added_tokens") or []]
         vocab, alphabet = model["vocab"], _byte_alphabet()
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         if [vocab.get(a + b) for a, b in merges] == list(range(256, 256 + len(merges))):
             ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
             fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            _loaded[path] = lambda text: own(text) if _OTHER.search(text) else array("I", fast(text)).tobytes()
+            _loaded[path] = lambda text: own(text) if _OTHER.search(text) or any(t in text for t in whole) else array("I", fast(text)).tobytes()
     except (ImportError, KeyError):
         pass
     return _loaded[path]

@@ -9,8 +9,12 @@ their intervals, widened by ``reach`` characters, overlap within it.  Rules of t
 * an identifier is a ``link_id`` if a secret (bare or assigned) is joined to it;
 * an endpoint is a ``link_endpoint`` if an identifier and a secret are both joined to it.
 
-The join runs inside each document over parts sorted by place (a sweep; never all pairs), so a text of
-any length costs its parts and its own memory only.  Null and empty texts have no findings.
+A part never counts as its own complement: intervals that overlap a candidate's are no partners of it.
+The join runs inside each document over the ends of all parts, sorted (two searches for each candidate, never all
+pairs), so a text of any length costs its parts and its own memory only, and every pattern is linear in it.
+
+Edge cases: null and empty texts have no findings; repeated rows are each scanned; parts of one kind at one place
+are one; no row, no result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,10 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.I | re.A)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"\b(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:\d{2,5}\b", re.A)
+ENDPOINT = re.compile(r"\b(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", re.A)
+#: A run of name characters, tried at its first one only, and a port; what stands before the port must be a dotted name.
+PORT = re.compile(r"(?<![\w.-])[a-z0-9.-]++:\d{2,5}\b", re.A)
+_NAME = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}:\d+", re.A)
 SCOPE_END = re.compile(r"\n[ \t]*\n")
 _MIXED = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
@@ -57,12 +64,33 @@ def base_spans(text: str) -> list[Span]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _overlaps(span: Span, others: list[tuple[int, int]], reach: int) -> bool:
-    """Does one of ``others`` (sorted, none inside another) come within ``reach`` of the span?"""
-    k = bisect.bisect_left(others, (span[0] - reach, -1))
-    near = others[max(0, k - 1) : k + 1]
-    return any(b >= span[0] - reach and a <= span[2] + reach and not (a < span[2] and b > span[0]) for a, b in near) or any(
-        a <= span[2] + reach and not (a < span[2] and b > span[0]) for a, b in others[k : k + 2])
+class Parts:
+    """Intervals of one side of the join, by their starts and by their ends."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = sorted(a for a, _ in spans), sorted(b for _, b in spans)
+
+    def near(self, start: int, end: int, reach: int) -> bool:
+        """Does one end at most ``reach`` before ``start``, or begin at most ``reach`` behind ``end``?"""
+        before = bisect.bisect_right(self.ends, start) > bisect.bisect_left(self.ends, start - reach)
+        return before or bisect.bisect_right(self.starts, end + reach) > bisect.bisect_left(self.starts, end)
+
+
+def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, as intervals that do not touch."""
+    starts, ends = [], []
+    for a, _, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _outside(union: tuple[list[int], list[int]], m: re.Match) -> bool:
+    k = bisect.bisect_left(union[0], m.end()) - 1  # the last interval that begins before the match ends
+    return k < 0 or union[1][k] <= m.start()
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
@@ -72,26 +100,29 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     assigned = [s for s in base if s[1] == 0]
     if not ids and not strong_ids:
         return []  # without an identifier no rule can hold
-    taken = sorted((a, b) for a, _, b in base)
-    free = lambda m: not any(a < m.end() and b > m.start() for a, b in taken[max(0, bisect.bisect_left(taken, (m.start(), -1)) - 1) : bisect.bisect_left(taken, (m.end(), -1)) + 1])
-    bare = [(m.start(), 4, m.end()) for m in BARE.finditer(text) if all(c.search(m[0]) for c in _MIXED) and free(m)]
-    ends = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    taken = _covered(base)
+    bare = [(m.start(), 4, m.end()) for m in BARE.finditer(text) if all(c.search(m[0]) for c in _MIXED) and _outside(taken, m)]
+    hosts = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    covered = _covered(hosts)
+    hosts += [(m.start(), 5, m.end()) for m in PORT.finditer(text) if _NAME.fullmatch(m[0]) and _outside(covered, m)]
     breaks = [m.start() for m in SCOPE_END.finditer(text)]
-    scope = lambda s: bisect.bisect_right(breaks, s[0])
 
-    def by_scope(spans: list[Span]) -> dict[int, list[tuple[int, int]]]:
+    def by_scope(spans: list[Span]) -> dict[int, Parts]:
         out: dict[int, list[tuple[int, int]]] = {}
-        for s in sorted(spans):
-            out.setdefault(scope(s), []).append((s[0], s[2]))
-        return out
+        for a, _, b in spans:
+            out.setdefault(bisect.bisect_right(breaks, a), []).append((a, b))
+        return {k: Parts(v) for k, v in out.items()}
 
     identities, secrets = by_scope([*ids, *strong_ids]), by_scope([*bare, *assigned])
-    met = lambda s, parts: _overlaps(s, parts.get(scope(s), []), reach)
+
+    def met(s: Span, parts: dict[int, Parts]) -> bool:
+        found = parts.get(bisect.bisect_right(breaks, s[0]))
+        return found is not None and found.near(s[0], s[2], reach)
+
     out = [s for s in ids if met(s, secrets)]
     out += [s for s in bare if met(s, identities)]
-    out += [s for s in ends if met(s, identities) and met(s, secrets)]
-    return out
-
+    out += [s for s in hosts if met(s, identities) and met(s, secrets)]
+    return sorted(set(out))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:

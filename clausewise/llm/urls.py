@@ -4,14 +4,21 @@ Rules.  A rule names a host and the start of a path; it fits the host and all it
 fitting rule (host and path characters) decides, allow before block among equals.  Rules are a list in the
 caller's hands; they become one literal map, so judging a page is a projection without join or shuffle.
 
-Equivalence.  Pages that stand for each other share a component: edges lead from a page's url to the targets of
+Equivalence.  Addresses that stand for each other share a component: edges lead from a page's url to the targets of
 its canonical link and its refresh redirect, from both ends of given redirect records, and from a url to its plain
-form (no fragment, no tracking parameters, no closing slash), so spellings of one address meet.  Distributed
-connected components carry decisions to pages without a rule of their own: an explicit allow anywhere in the
-component precedes, then a block, else the default (allow).
+form (no fragment, no tracking parameters, no closing slash), so spellings of one address meet.  Every address of the
+graph is judged by the rules, whether it was crawled or only named by a link.  Distributed connected components
+carry decisions to pages without a rule of their own: an explicit allow anywhere in the component precedes, then a
+block, else the default (allow).
+
+Links are read as browsers do: character references are decoded, ``//host/`` takes the page's scheme, ``/path`` its
+host, ``?query`` its path, and others its folder, with ``.`` and ``..`` resolved.  A link of another scheme without
+``://`` (``mailto:``) names no address.
 
 Edge cases: a null url and one without ``://`` have empty host and path and no rule and keep the default; repeated
-pages and urls give repeated rows; relative links are resolved against the page's host; null html has no links.
+pages and urls give repeated rows, and a url that a third of all pages share is dealt out; null html has no links; no
+page, no row; other columns of ``pages`` are not read; a page of any length is read in linear time (a tag
+ends at the next angle bracket).
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize
+from clausewise.llm.common import join_facts, materialize
 from clausewise.llm.components import connected_components
 
 ALLOW, BLOCK = "allow", "block"
@@ -38,7 +45,7 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def parse_rules(text: str) -> list[Rule]:
@@ -79,40 +86,81 @@ def plain_form(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_replace(F.regexp_replace(tidy, r"[?&]+$", ""), r"/+$", ""))
 
 
+# Character references in attribute values.
+REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def _decoded(value: Column) -> Column:
+    for name, char in REFERENCES:
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return F.trim(value)
+
+
 def _links(html: Column) -> Column:
     """Targets of canonical links and of refresh redirects."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
-    targets = F.transform(tags, lambda t: F.coalesce(
-        F.nullif(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))))
-    return F.when(F.lower(html).rlike("canonical|refresh"), F.filter(targets, lambda t: t.isNotNull()))
-
-
-def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """a, b: hashes of addresses that stand for each other.  ``redirects`` has columns source and target."""
-    node = lambda c: F.xxhash64(c)
-    named = pages.select("url", "html").where(F.col("url").contains("://"))
-    plain = named.select(node(F.col("url")).alias("a"), node(F.concat(F.lit("plain "), plain_form(F.col("url")))).alias("b"))
-    linked = named.select("url", F.explode(_links(F.col("html"))).alias("t")).select(
-        node(F.col("url")).alias("a"),
-        F.when(F.col("t").contains("://"), F.col("t")).otherwise(F.concat(F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), F.when(F.startswith("t", F.lit("/")), F.col("t")).otherwise(F.concat(F.lit("/"), "t")))).alias("t"))
-    ends = lambda rows, a, b: rows.select(node(F.concat(F.lit("plain "), plain_form(F.col(b)))).alias("b"), a)
-    edges = plain.unionByName(ends(linked, F.col("a"), "t"))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*>|<meta\b[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*>)"), F.lit(1))
+    value = r"(?is)\b{}\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\"'\s<>]+))"
+    found = lambda t, name: F.concat(*(F.regexp_extract(t, value.format(name), k) for k in (1, 2, 3)))
+    redirect = lambda t: F.regexp_extract(found(t, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    targets = F.transform(tags, lambda t: _decoded(F.when(F.lower(F.substring(t, 1, 5)) == "<link", found(t, "href")).otherwise(redirect(t))))
+    return F.when(F.lower(html).rlike("canonical|refresh"), F.filter(targets, lambda t: t != ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose segments . and .. are resolved."""
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    closing = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), closing)).otherwise(path)
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The address that ``link`` names on the page ``base``; null where it names none."""
+    origin, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), path_of(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    link_path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), link)
+        .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, _without_dots(link_path), rest))
+        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), link))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, link_path)), rest)))
+
+
+def _node(address: Column) -> Column:
+    return F.xxhash64(address)
+
+
+def _plain_node(url: Column) -> Column:
+    return F.xxhash64(F.concat(F.lit("plain "), plain_form(url)))
+
+
+def named_links(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """a, b (nodes), source, target: what each page's links and each redirect record (source, target) name."""
+    linked = pages.select("url", F.explode(_links(F.col("html"))).alias("link")).where(F.col("url").contains("://")).select(
+        _node(F.col("url")).alias("a"), F.col("url").alias("source"), resolved(F.col("url"), F.col("link")).alias("target")).where("target IS NOT NULL")
+    out = linked.select("a", _plain_node(F.col("target")).alias("b"), "source", "target")
     if redirects is not None:
         both = redirects.where(F.col("source").contains("://") & F.col("target").contains("://"))
-        edges = edges.unionByName(ends(both, node(F.concat(F.lit("plain "), plain_form(F.col("source")))).alias("a"), "target"))
-    return edges.distinct()
+        out = out.unionByName(both.select(_plain_node(F.col("source")).alias("a"), _plain_node(F.col("target")).alias("b"), "source", "target"))
+    return out
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, default: str = ALLOW) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages``."""
+    url = F.col("url")
     own = materialize(pages.select(
-        F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-        F.when(F.col("url").contains("://"), F.xxhash64("url")).alias("node")).withColumn("hit", matched(F.col("host"), F.col("path"), rules)), "urls-own")
-    parts = materialize(connected_components(alias_edges(pages, redirects)), "urls-parts")
-    joined = own.where("node IS NOT NULL").select("node", "hit.verdict").distinct().join(parts, "node")
-    # one row for each component that any rule decides
-    decided = joined.where("verdict IS NOT NULL").groupBy("component").agg(F.min("verdict").alias("spread"))  # 'allow' sorts before 'block'
-    carried = parts.join(decided, "component").select("node", "spread")
-    return own.join(carried, "node", "left").select(
+        F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
+        F.when(url.contains("://"), _node(url)).alias("node"), F.when(url.contains("://"), _plain_node(url)).alias("plain")).withColumn("hit", matched(F.col("host"), F.col("path"), rules)), "urls-own")
+    verdict = lambda c: matched(host_of(F.col(c)), path_of(F.col(c)), rules)["verdict"]
+    links = materialize(named_links(pages, redirects).select("a", "b", verdict("source").alias("va"), verdict("target").alias("vb")), "urls-links")
+    edges = own.where("node IS NOT NULL").select(F.col("node").alias("a"), F.col("plain").alias("b")).unionByName(links.select("a", "b")).distinct()
+    parts = materialize(connected_components(edges), "urls-parts")
+    # every address that a rule decides, crawled or named; 'allow' sorts before 'block'
+    known = own.select("node", F.col("hit.verdict").alias("verdict")).unionByName(links.select(F.col("a").alias("node"), F.col("va").alias("verdict"))).unionByName(
+        links.select(F.col("b").alias("node"), F.col("vb").alias("verdict"))).where("node IS NOT NULL AND verdict IS NOT NULL").groupBy("node").agg(F.min("verdict").alias("verdict"))
+    decided = materialize(known.join(parts, "node").groupBy("component").agg(F.min("verdict").alias("spread")), "urls-decided")
+    carried = materialize(join_facts(parts, decided, "component").select("node", "spread"), "urls-carried")
+    return join_facts(own, carried, "node", "left").select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "spread", F.lit(default)).alias("verdict"))

@@ -76,7 +76,6 @@ def test_tokens_equal_the_tokenizers_own(tokenizer):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer)
-    own.encode_special_tokens = True
     rng, letters = random.Random(1), "ab Z9'sdlmt!?.\n\t\x0b\x85\xa0\x1cé²½ª×ÿ “€日ſ<|endoftext|>"
     for _ in range(2000):
         s = "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
