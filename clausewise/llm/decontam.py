@@ -11,15 +11,15 @@ ones together.  So a question asked again with other numbers and names is caught
 phrase by chance, with fillers in conflict, are not.
 
 A second set of windows, of lower-cased words without placeholders, all of which count, stands beside it, so a
-verbatim copy depends on no capitals and no number of plain words.
+verbatim copy depends on no capitals and no number of plain words.  Items of fewer than ``SHORTEST`` words would occur
+in running text by chance; a document holds one if a line of it, or all of it, reads the same.
 
-The benchmark's windows do not grow with the corpus; they are counted, and broadcast up to
-``BROADCAST_WINDOWS``, else the join shuffles.  A hot passage is a hot key of the second way only, where
-adaptive execution splits it; the counting behind is per document and item.
+The benchmark's windows do not grow with the corpus; they are measured, and broadcast up to ``BROADCAST_WINDOWS``
+rows and ``BROADCAST_BYTES``.  Beyond that hashes alone are shuffled, hot ones dealt out, and texts join what matched.
 
-Edge cases: null and empty texts and items have no windows; items of fewer than ``SHORTEST`` words are not
-searched for; repeated items and rows change nothing; clashing column names are of no concern, since only
-doc_id and text are read.
+Edge cases: null and empty texts and items have no windows; repeated items and rows change nothing; ties do not
+arise, since every item that matches is named; a text of any length is tokenised in a fixed number of linear passes;
+no document, no row, and no item, no match; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,16 +27,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import small_side
+from clausewise.llm.common import join_facts, materialize, small_side
 
 WINDOW = 8
-LITERALS = 5
+LITERALS = 3
 SHORTEST = 5
 #: Share of an item's windows that must match at one alignment (and one window at least).
 SHARE = 0.3
 #: Alignments this many tokens apart at most are counted together too.
 NEAR = WINDOW - 1
 BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SLOT, UNIT = "\x01", "\x02"
 
 # Words that are units when they follow a number.
@@ -102,15 +103,24 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_windows, share, reworded (some slot has another filler): pairs that match at one alignment or at neighbouring ones."""
-    known = benchmark_windows(benchmark, window, literals)
-    counts = {r["code"]: r["n"] for r in known.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row for each of at most 2 * WINDOW codes
+    known = materialize(benchmark_windows(benchmark, window, literals), "decontam-windows")
+    # a row for each of at most 2 * WINDOW codes
+    counts = {r["code"]: (r["n"], r["size"]) for r in known.groupBy("code").agg(F.count("*").alias("n"), F.sum(F.lit(64) + 16 * F.size("fill") + F.length(F.array_join("fill", ""))).alias("size")).collect()}
     codes = sorted(counts)
-    side = F.broadcast(known) if sum(counts.values()) <= BROADCAST_WINDOWS else known
+    small = sum(n for n, _ in counts.values()) <= BROADCAST_WINDOWS and sum(size for _, size in counts.values()) <= BROADCAST_BYTES
     t = _tokens(docs, "doc_id").withColumn("n", F.size("plain"))
     hashes = F.concat(*(_windows(F.col("plain" if c % 2 else "tokens"), c // 2, F.col("n")) for c in codes)) if codes else F.array().cast("array<bigint>")
-    places = t.select("doc_id", "filled", "n", F.posexplode(hashes).alias("place", "hash"))
-    at = places.select("doc_id", "filled", "hash", (F.col("place") % F.col("n")).alias("at"), F.element_at(F.array(*map(F.lit, codes or [0])), (F.col("place") / F.col("n")).cast("int") + 1).alias("code"))
-    found = at.join(side, ["hash", "code"]).select(
+    place = [(F.col("place") % F.col("n")).alias("at"), F.element_at(F.array(*map(F.lit, codes or [0])), (F.col("place") / F.col("n")).cast("int") + 1).alias("code")]
+    if small:
+        at = t.select("doc_id", "filled", "n", F.posexplode(hashes).alias("place", "hash")).select("doc_id", "filled", "hash", *place)
+        hits = at.join(F.broadcast(known), ["hash", "code"])
+    else:
+        at = materialize(t.select("doc_id", F.xxhash64("filled").alias("row"), "n", F.posexplode(hashes).alias("place", "hash")).select("doc_id", "row", "hash", *place), "decontam-hashes")
+        wanted = materialize(known.select("hash", "code").distinct().groupBy("hash").agg(F.collect_set("code").alias("codes")), "decontam-wanted")
+        met = materialize(join_facts(at, wanted, "hash").where(F.array_contains("codes", F.col("code"))).drop("codes"), "decontam-met")
+        texts = t.select("doc_id", "filled", F.xxhash64("filled").alias("row")).dropDuplicates(["doc_id", "row"])
+        hits = met.join(known, ["hash", "code"]).join(texts, ["doc_id", "row"])
+    found = hits.select(
         "doc_id", "item_id", "is_plain", "item_at", "total", (F.col("at") + 1 - F.col("item_at")).alias("shift"),
         F.when(F.col("is_plain"), F.array().cast("array<struct<i:string,d:string>>")).otherwise(
             F.filter(F.zip_with("fill", F.slice(F.split("filled", " "), F.col("at") + 1, F.col("width")), lambda i, d: F.struct(i.alias("i"), F.when(i.isNotNull(), d).alias("d"))),
@@ -130,15 +140,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     consistent = F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")
     good = checked.where(consistent & (F.col("n_windows") >= F.greatest(F.lit(1), F.ceil(F.col("total") * share))))
     reworded = F.when(~F.col("is_plain") | (F.col("n_windows") == F.col("total")), F.exists("pairs", lambda p: p["i"] != p["d"]))
-    return good.groupBy("doc_id", "item_id").agg(
+    out = good.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max(F.round(F.col("n_windows") / F.col("total"), 4)).alias("share"),
         F.coalesce(F.min(reworded), F.lit(False)).alias("reworded"))
+    short = small_side(short_items(benchmark), "decontam-short")
+    return out if short.isEmpty() else out.unionByName(_whole_lines(docs, short))
+
+
+def _bare(text: Column) -> Column:
+    """Letters and digits in lower case, with single blanks between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """line, item_id: the items of one to ``SHORTEST`` - 1 words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _bare(F.col("text")).alias("line"))
+    return items.where((F.col("line") != "") & (F.size(F.split("line", " ")) < SHORTEST)).distinct()
+
+
+def _whole_lines(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Matches of short items with whole lines, or the whole text, of a document."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: _bare(x))
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.concat(lines, F.array(_bare(F.coalesce("text", F.lit(""))))))).alias("line"))
+    return each.where("line <> ''").join(short, "line").select("doc_id", "item_id").distinct().select(
+        "doc_id", "item_id", F.lit(1).alias("n_windows"), F.lit(1.0).cast("double").alias("share"), F.lit(False).alias("reworded"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (sorted, comma-joined), reworded, for every row of ``docs``."""
     by_doc = matches(docs, benchmark, **settings).groupBy("doc_id").agg(
-        F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("item_ids"), F.max("reworded").alias("reworded"))
+        F.countDistinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("item_ids"), F.max("reworded").alias("reworded"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(by_doc, "doc_id", "left").select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("reworded", F.lit(False)).alias("reworded"))
@@ -147,4 +178,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     gone = small_side(matches(docs, benchmark, **settings).select(F.col("doc_id").alias("__doc")).distinct(), "decontam-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left_anti")

@@ -3,7 +3,7 @@
 1. One pass over the texts makes each document's set of word shingles (64-bit hashes) and its sketch:
    the hashes fall into ``REGISTERS`` buckets, and a bucket stores the leading-zero count of its smallest
    value and ten bits behind the leading one.  Empty buckets borrow from the next filled one.  Documents
-   with the same set are one class from here on (a group of copies of any size is one row).
+   with the same set (by 128 bits and its size) are one class from here on (a group of copies of any size is one row).
 2. Banding: ``BANDS`` runs of ``ROWS`` compressed registers are keys.  Keys held by one class are dropped.
    Inside a key, pairs are judged by their sketches within the task: sizes that cannot reach the threshold
    and estimates (corrected for chance collisions of the stored codes) well under it fall out.  Keys of up
@@ -11,15 +11,18 @@
    best partner only.
 3. Each class's best pair is confirmed on the full sets; confirmed pairs are contracted to components.
 4. What remains is exact: pairs of small keys, and of large keys whose members still lie in different
-   components (chunk against chunk), if their sketches pass, are confirmed too, and components found anew.
+   components (chunk against chunk), are judged by their sketches; full sets are fetched for those that have a
+   passing partner in another component, are confirmed too, and components found anew.
 
 So no key's pairs are all emitted, no link between different texts is skipped for the size of its group,
 and a threshold pair is missed only if no band agrees (1e-6 at 0.8, 3e-9 at 0.85) or its estimate is 5.5
-deviations low.  Sets are compared as 48-bit hashes.
+deviations low.  Sets are compared as 48-bit hashes.  Keys, classes and components that many rows share are joined
+without gathering these rows.
 
 Edge cases: null, empty and blank texts have the empty set and stand alone; texts of fewer words than a
 shingle have one shingle, the whole sequence; repeated rows give repeated result rows; two rows of one
-doc_id and different texts are two documents with one name.
+doc_id and different texts are two documents with one name; ties of partners go to the larger class; a text of any
+length is hashed in one piece, in linear time; no document, no row; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize, small_side
+from clausewise.llm.common import join_facts, materialize, small_side
 from clausewise.llm.components import connected_components
 from clausewise.llm.shingles import mix, shingle_sets
 
@@ -40,6 +43,8 @@ ROWS, BANDS = 6, 42
 CODES = 128
 SMALL = 16
 CHUNK = 1024
+#: Rows of keys or blocks in a task, on average.
+PART_ROWS = 20_000
 #: An estimate may be this many standard deviations low; small sets fill fewer buckets and deviate more.
 DEVIATIONS = 5.5
 #: Independent codes per shingle of a small set: half of its values lie in the CODES registers, and borrowed codes count some of them often.
@@ -101,8 +106,15 @@ def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
+def _set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit hashes of each set."""
+    one = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A5)))) ^ int(s.sum(dtype=np.uint64)) if s.size else 0 for s in sets]
+    two = [int(mix(s + np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)) if s.size else 0 for s in sets]
+    return [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), cls (a hash of the set), bands, codes."""
+    """doc_id, n (set size), h1, h2 (hashes of the set), bands, codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,15 +123,14 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(block, words)
                 regs = sketch(sets)
                 n = np.array([s.size for s in sets], np.int64)
-                cls = np.array([int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A5)))) ^ int(s.sum(dtype=np.uint64)) if s.size else 0 for s in sets], np.uint64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band_keys(regs).reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(block)), pa.array(n), pa.array(cls.view(np.int64)), keys, pa.array([c.tobytes() for c in codes(regs)], pa.binary())],
-                    names=["doc_id", "n", "cls", "bands", "codes"])
+                    [batch.column(0).slice(at, len(block)), pa.array(n), *_set_hashes(sets), keys, pa.array([c.tobytes() for c in codes(regs)], pa.binary())],
+                    names=["doc_id", "n", "h1", "h2", "bands", "codes"])
                 at += len(block)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, n long, cls long, bands array<long>, codes binary")
+        run, "doc_id long, n long, h1 long, h2 long, bands array<long>, codes binary")
 
 
 def _passing(same: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -205,6 +216,33 @@ def _forest(n: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64), np.array(e, np.float64)
 
 
+def _with_partners(threshold: float):
+    """The rows of a block that have a partner of passing sketch in the other chunk and in another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["cluster", "one", "two"]):
+            keep = np.zeros(len(rows["group"]), bool)
+            starts = np.flatnonzero(np.r_[True, rows["group"][1:] != rows["group"][:-1]])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keep)]):
+                part = {k: v[s:e] for k, v in rows.items()}
+                if (part["component"] == part["component"][0]).all():
+                    continue
+                mine, other = np.flatnonzero(part["chunk"] == part["one"]), np.flatnonzero(part["chunk"] == part["two"])
+                for i in mine.tolist():
+                    k = other[part["component"][other] != part["component"][i]]
+                    k = k[_passing((part["codes"][k] == part["codes"][i]).sum(axis=1), part["n"][k], part["n"][i], threshold)]
+                    if k.size:
+                        keep[s + i] = True
+                        keep[s + k] = True
+            at = np.flatnonzero(keep)
+            if at.size:
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(rows[c][at]) for c in ("cluster", "one", "two", "chunk", "cls", "n", "component")), pa.array([c.tobytes() for c in rows["codes"][at]], pa.binary())],
+                    names=["cluster", "one", "two", "chunk", "cls", "n", "component", "codes"])
+
+    return run
+
+
 def _across(threshold: float):
     """Of two chunks of a cluster: confirmed links that join components which nothing has joined yet.
 
@@ -290,7 +328,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cls, members: the packed full sets of the classes in ``wanted`` (doc_id, cls)."""
+    """cls, members: the packed full sets of the classes in ``wanted`` (cls, doc_id, h1, h2, n)."""
     names = wanted.select("doc_id").distinct()
     if names.count() <= BROADCAST_IDS:
         names = F.broadcast(names)
@@ -300,10 +338,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for block in _blocks(_texts(batch.column(0))):
                 sets = shingle_sets(block, words)
-                cls = np.array([int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A5)))) ^ int(s.sum(dtype=np.uint64)) if s.size else 0 for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array([_pack(s) for s in sets], pa.binary())], names=["cls", "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s.size for s in sets], pa.int64()), *_set_hashes(sets), pa.array([_pack(s) for s in sets], pa.binary())], names=["n", "h1", "h2", "members"])
 
-    return texts.select("text").mapInArrow(run, "cls long, members binary").join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    packed = texts.select("text").mapInArrow(run, "n long, h1 long, h2 long, members binary")
+    return packed.join(wanted.select("cls", "n", "h1", "h2"), ["n", "h1", "h2"]).select("cls", "members").dropDuplicates(["cls"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -> DataFrame:
@@ -313,51 +352,65 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, label: str) -> D
     return materialize(joined.mapInArrow(_confirm(threshold), "a long, b long"), label)
 
 
+def _dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """``rows`` partitioned by ``keys``, into as many parts as the session shuffles into or more where rows are many, sorted inside."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_ROWS)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
+def _classes(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(marked, classes) with cls, a long for each set: its first hash, or both where sets meet in the first."""
+    same = ["h1", "h2", "n"]
+    sets = materialize(marked.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("codes").alias("codes")), "nd-classes")
+    clashes = small_side(sets.groupBy("h1").agg(F.count("*").alias("sets")).where("sets > 1"), "nd-clashes")
+    if clashes.isEmpty():
+        return marked.withColumn("cls", F.col("h1")), sets.withColumn("cls", F.col("h1"))
+    cls = F.when(F.col("sets").isNull(), F.col("h1")).otherwise(F.xxhash64(*same)).alias("cls")
+    return tuple(x.join(clashes, "h1", "left").select(*x.columns, cls) for x in (marked, sets))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    marked = materialize(sketches(docs, words), "nd-sketches")
-    classes = materialize(
-        marked.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("codes").alias("codes")), "nd-classes")
+    marked, classes = _classes(materialize(sketches(docs, words), "nd-sketches"))
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("rows", F.col("size")), "nd-keys")
     members = materialize(
-        keyed.join(shared, "key").select("key", "cls", "size", F.when(F.col("size") <= CHUNK, 0).otherwise(
+        join_facts(keyed, shared, "key", size="rows").select("key", "cls", "size", F.when(F.col("size") <= CHUNK, 0).otherwise(
             F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("size") / CHUNK))).cast("long").alias("chunk")), "nd-members")
     facts = classes.select("cls", "n", "codes")
-    dealt = members.join(facts, "cls").select("key", "chunk", "cls", "n", "codes").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "cls")
+    dealt = _dealt(members.join(facts, "cls").select("key", "chunk", "cls", "n", "codes"), members.count(), "key", "chunk")
     pairs = materialize(dealt.mapInArrow(_near_in_keys(threshold), "a long, b long, est double").dropDuplicates(["a", "b"]), "nd-pairs")
     best = pairs.groupBy(F.col("b").alias("x")).agg(F.max_by("a", F.struct("est", "a")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     # clusters: what passing pairs hold together, and all chunks of a large key
     bridges = members.where(f"size > {CHUNK}").groupBy("key", "chunk").agg(F.min("cls").alias("b"))
     bridges = bridges.join(bridges.groupBy("key").agg(F.min("b").alias("a")), "key").select("a", "b")
     clusters = materialize(connected_components(pairs.select("a", "b").unionByName(bridges)).select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "nd-clusters")
-    sets = materialize(_full_sets(docs, classes.join(clusters, "cls").select("doc_id", "cls"), words), "nd-sets")
+    sets = materialize(_full_sets(docs, classes.join(clusters, "cls").select("cls", "doc_id", "h1", "h2", "n"), words), "nd-sets")
     sure = _links(best, sets, threshold, "nd-links")
     parts = connected_components(sure)
 
     # clusters of several components: chunk against chunk, on sketches and then on full sets
     placed = materialize(clusters.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "cluster", F.coalesce("component", "cls").alias("component")), "nd-placed")
-    mixed = placed.groupBy("cluster").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("long")
-    still = placed.join(mixed.select("cluster", chunks.alias("chunks")), "cluster").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
-    across = (
-        still.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("cluster", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "cls", "component")
-        .join(facts, "cls").join(sets, "cls").select("cluster", "one", "two", "chunk", "cls", "n", "component", "codes", "members")
-        .repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
-    )
+    mixed = materialize(placed.groupBy("cluster").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(
+        "cluster", F.ceil(F.col("size") / CHUNK).cast("long").alias("chunks"), "size"), "nd-mixed")
+    still = join_facts(placed, mixed, "cluster", size="size").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    blocks = materialize(
+        still.join(facts, "cls").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select("cluster", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "cls", "n", "component", "codes"), "nd-blocks")
+    block = ("cluster", "one", "two")
+    found = materialize(_dealt(blocks, blocks.count(), *block).mapInArrow(_with_partners(threshold), blocks.schema), "nd-partners")
+    across = _dealt(found.join(sets, "cls").select(*found.columns, "members"), found.count(), *block)
     more = materialize(across.mapInArrow(_across(threshold), "a long, b long"), "nd-links")
-    parts = connected_components(sure.unionByName(more))
+    parts = materialize(connected_components(sure.unionByName(more)).select(F.col("node").alias("cls"), "component"), "nd-components")
 
-    named = marked.select("doc_id", "n", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("label"))
-    named = materialize(named, "nd-named")
-    first = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(first, "label", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    ours = marked.select("doc_id", "n", "cls")
+    named = materialize(join_facts(ours, parts, "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("label")), "nd-named")
+    first = materialize(named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1"), "nd-first")
+    out = join_facts(named, first, "label", "left", size="rows").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component; repeated rows stay repeated."""
-    gone = small_side(near_duplicates(docs, words, threshold).where("NOT kept").select("doc_id").distinct(), "nd-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = small_side(near_duplicates(docs, words, threshold).where("NOT kept").select(F.col("doc_id").alias("__doc")).distinct(), "nd-gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left_anti").select(docs.columns)

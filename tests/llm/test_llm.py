@@ -188,6 +188,20 @@ def test_verbatim_copies_depend_on_no_capitals(spark):
     assert got == {1: ("0", False), 2: ("0", False), 3: ("0", False), 4: ("1", False), 5: ("2", False), 6: ("3", False), 7: ("3", False), 8: ("", False)}
 
 
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_decontamination_broadcast_and_shuffled(spark, edges, monkeypatch, bound):
+    """Few plain words, short items as whole lines, columns of clashing names, and both ways of the join."""
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", bound)
+    sums = "Ann has 12 apples and 7 pears while Bob has 30 plums and 4 figs in total"
+    benchmark = spark.createDataFrame([(1, sums), (2, "Two words"), (3, ITEM)], "item_id long, text string").withColumn("doc_id", F.lit(9)).withColumn("hash", F.lit("x"))
+    rows = [(1, sums.replace("12", "9").replace("7", "9").replace("Bob", "Al Ray").replace("30", "1,000")), (2, "one line\n- Two words!\nmore"), (3, "only two words in a longer line"), (4, "two WORDS"), (5, ITEM), (5, ITEM), (6, None)]
+    texts = docs(spark, rows).withColumn("item_id", F.lit(1)).withColumn("place", F.lit(1)).withColumn("n", F.lit(1))
+    got = sorted((r.doc_id, r.item_ids, r.reworded) for r in decontam.contaminated(texts, benchmark).collect())
+    assert got == [(1, "1", True), (2, "2", False), (3, "", False), (4, "2", False), (5, "3", False), (5, "3", False), (6, "", False)]
+    assert decontam.drop_contaminated(texts, benchmark).columns == texts.columns
+    assert not any(r.contaminated for r in decontam.contaminated(edges, benchmark).collect())
+
+
 # ---------------------------------------------------------------- 5
 
 
