@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's documents.  All but the last return the columns of documents.
+
+Edge cases: a null or empty text has the classifier's bias for a score and passes if that does; it has no lines,
+shingles or windows, so the next stages leave it alone, and packing gives it the end token.  Rows that repeat a doc_id are
+one document to the stages that compare documents, and stay or go together.  Without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clausewise.llm import decontam, lines, neardup, packing, quality
-from clausewise.llm.common import documents, materialize, table
+from clausewise.llm.common import documents, materialize, table, work_tables
 from clausewise.llm.queries import tokenizer_path
 
 
@@ -50,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between two stages lies a written table in the shared folder."""
+    """All stages over documents; between two stages lies a written table in the shared folder, and a stage's own work tables go with it."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with work_tables(spark, keep=1):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
