@@ -49,10 +49,13 @@ class Tables:
             retrieved.alias("retrieved_at"), F.when(F.col("doc_id") % 5 != 0, retrieved - F.col("doc_id") % 72 * 3600).alias("published_at"),
             (F.col("doc_id") % 13 != 0).alias("parsed"))
 
+    def line_arrays(self) -> DataFrame:
+        """doc_id, l: the non-blank trimmed lines of each document."""
+        return self.raw("documents").select("doc_id", F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: x != "").alias("l"))
+
     def lines(self) -> DataFrame:
         """doc_id, ordinal, text: non-blank trimmed lines."""
-        kept = F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: x != "")
-        return self.raw("documents").select("doc_id", F.posexplode(kept).alias("ordinal", "text"))
+        return self.line_arrays().select("doc_id", F.posexplode("l").alias("ordinal", "text"))
 
     def clauses(self) -> DataFrame:
         """Both versions' clauses: doc_id, v, version_id, ordinal, path, kind, heading, text, content_hash, source_ref, moved_to_ref."""
@@ -79,6 +82,27 @@ class Tables:
             F.when(~F.col("path").contains("/"), F.substring("text", 1, 40)).alias("heading"), "text",
             F.sha2("text", 256).alias("content_hash"), "source_ref", "moved_to_ref")
 
+    def tree(self) -> DataFrame:
+        """First versions as clause trees of all kinds: doc_id, version_id, ordinal, path, parent_ordinal, level, kind, heading, text, labels, columns, effective_date.
+
+        Of twelve lines each, a chapter heads an article with two paragraphs and an item, and a second article; then come a table with two
+        rows, a form, and a block of annex prose with an item.
+        """
+        o = F.col("ordinal")
+        c, n, first = (F.floor(o / 12) + 1).cast("string"), o.cast("string"), F.split("text", " ")[0]
+        at = lambda *values: F.element_at(F.array(*values), (o % 12 + 1).cast("int"))
+        p = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+        chapter, article = p("제", c, "장"), p("제", c, "장/제", (F.floor(o / 12) * 12 + 1).cast("string"), "조")
+        path = at(chapter, article, p(article, "/제1항"), p(article, "/제1항/제1호"), p(article, "/제2항"), p(chapter, "/제", n, "조의2"), p("별표", c, "/표1"), p("별표", c, "/표1/행1"), p("별표", c, "/표1/행2"), p("서식", c), p("별표", c, "/문단1"), p("별표", c, "/문단1/제1호"))
+        up = at(*(F.lit(x).cast("int") for x in (None, 1, 1, 1, 3, 5, None, 1, 2, None, None, 1)))
+        level = at(*map(F.lit, (1, 2, 3, 4, 3, 2, 1, 2, 2, 1, 1, 2)))
+        kind = at(*map(F.lit, ("heading", "prose", "prose", "prose", "prose", "prose", "table", "table_row", "table_row", "form", "prose", "prose")))
+        heading = F.when((o % 12).isin(0, 1, 6, 9), F.substring("text", 1, 40))
+        return self.lines().select(
+            "doc_id", (F.col("doc_id") * 10 + 1).alias("version_id"), "ordinal", path.alias("path"), (o - up).alias("parent_ordinal"), level.alias("level"), kind.alias("kind"), heading.alias("heading"), "text",
+            F.when(kind == "table", F.array(F.lit("연번"), F.lit("원료명"))).alias("labels"), F.when(kind == "table_row", F.create_map(F.lit("연번"), n, F.lit("원료명"), first)).alias("columns"),
+            F.when(o % 24 == 1, F.lit("2025-06-01").cast("date")).alias("effective_date"))
+
     def legal_lines(self) -> DataFrame:
         """doc_id, ordinal, line: the lines dressed with statute markers and duties, by ordinal modulo 12."""
         n, t = (F.col("ordinal") + 1).cast("string"), F.col("text")
@@ -120,6 +144,11 @@ bare AS (
   UNION ALL SELECT doc_id, 2, 100000, 'A0/NEW', 'Inserted ' || doc_id, NULL, NULL FROM documents WHERE doc_id % 3 <> 0),
 clauses AS (SELECT doc_id, v, doc_id * 10 + v AS version_id, ordinal, path, CASE WHEN contains(path, '/') THEN 'item' ELSE 'article' END AS kind,
   CASE WHEN NOT contains(path, '/') THEN substr(text, 1, 40) END AS heading, text, sha256(text) AS content_hash, source_ref, moved_to_ref FROM bare),
+tree AS (SELECT doc_id, doc_id * 10 + 1 AS version_id, ordinal, CASE ordinal % 12 WHEN 0 THEN ch WHEN 1 THEN ar WHEN 2 THEN ar || '/제1항' WHEN 3 THEN ar || '/제1항/제1호' WHEN 4 THEN ar || '/제2항' WHEN 5 THEN ch || '/제' || ordinal || '조의2' WHEN 6 THEN '별표' || c || '/표1' WHEN 7 THEN '별표' || c || '/표1/행1'
+    WHEN 8 THEN '별표' || c || '/표1/행2' WHEN 9 THEN '서식' || c WHEN 10 THEN '별표' || c || '/문단1' ELSE '별표' || c || '/문단1/제1호' END AS path,
+  ordinal - [NULL, 1, 1, 1, 3, 5, NULL, 1, 2, NULL, NULL, 1][ordinal % 12 + 1] AS parent_ordinal, ['heading', 'prose', 'prose', 'prose', 'prose', 'prose', 'table', 'table_row', 'table_row', 'form', 'prose', 'prose'][ordinal % 12 + 1] AS kind,
+  CASE WHEN ordinal % 12 IN (0, 1, 6, 9) THEN substr(text, 1, 40) END AS heading, text, string_split(text, ' ')[1] AS first, CASE WHEN ordinal % 24 = 1 THEN DATE '2025-06-01' END AS effective_date
+  FROM (SELECT *, ordinal // 12 + 1 AS c, '제' || (ordinal // 12 + 1) || '장' AS ch, '제' || (ordinal // 12 + 1) || '장/제' || (ordinal // 12 * 12 + 1) || '조' AS ar FROM lines)),
 legal AS (SELECT doc_id, ordinal, CASE ordinal % 12 WHEN 0 THEN '제' || (ordinal + 1) || '장 ' || text WHEN 1 THEN '제' || (ordinal + 1) || '조(정의) ' || text
   WHEN 2 THEN '① ' || text || ' 하여야 한다' WHEN 3 THEN '1. ' || text WHEN 4 THEN '가. ' || text || ' 할 수 있다' WHEN 5 THEN '4.1.' || (ordinal + 1) || ' ' || text
   WHEN 6 THEN '2의3) ' || text WHEN 7 THEN 'IV. ' || text WHEN 8 THEN '- ' || text WHEN 9 THEN '제3조의2 ' || text || ' 총리령으로 정한다'

@@ -1,0 +1,5 @@
+"""Functions that Spark has no expression for, as Arrow-batched columns."""
+
+from clausewise.functions.text import condition, display_width, joined_cell, nfc, recipient
+
+__all__ = ["condition", "display_width", "joined_cell", "nfc", "recipient"]

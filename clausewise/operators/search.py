@@ -1,19 +1,23 @@
-"""Passages and retrieval arms.
+"""Retrieval arms, their fusion, and retrieval as a whole.
 
 Arms produce ranked rows per query; a rank limit per query is a window on the query key, which Spark pushes
-down as a group limit before the shuffle.  Token and term tables are explodes with equi-joins; query sides are a
-stated set and are broadcast only as such by the optimiser.
+down as a group limit before the shuffle.  Tokens, names, cells and terms meet by equality of a key, and columns named
+in ``by`` (a cell, say) must be equal too, so a query sees its own scope only.  Which side is sent to the executors is the
+optimiser's business, by its own size limits.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.constants import CANDIDATES, EXACT_WEIGHT, IDENTIFIER_BOOST, LEXICAL_WEIGHT, MAX_PASSAGE_CHARS, ROW_WEIGHT, RRF_K, TOP_K, VECTOR_WEIGHT
+from clausewise.constants import CANDIDATES, EXACT_WEIGHT, IDENTIFIER_BOOST, LEXICAL_WEIGHT, ROW_WEIGHT, RRF_K, TOP_K, VECTOR_WEIGHT
 
-# How queries name clauses and annex rows.
+# How queries name clauses and annex rows, and lengths that keep words apart from endings.
 IDENTIFIER = r"제\s*(\d+)\s*(조|항|호|목|장|절|편|관)\s*(의\s*\d+)?"
 ANNEX = r"(별표|별지|서식)\s*(\d+(?:의\s*\d+)?)"
 SECTION = r"§\s*(\d+(?:\.\d+)*)"
@@ -42,16 +46,23 @@ def query_prefixes(query: Column) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(F.transform(tokens, lambda t: F.array(t, F.when(t.rlike("[가-힣]$") & (F.length(t) > MIN_STEM), F.substring(t, F.lit(1), F.length(t) - 1)))))))
 
 
-def lexical_arm(clauses: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """query_id, version_id, path, score, rank: clauses by the number of token positions that a query prefix starts.
+PREFIX_KEY = 3
+#: Weight of a position in cover density; a query of alternatives is covered by each single match.
+POSITION_WEIGHT = 0.1
+
+
+def lexical_arm(clauses: DataFrame, queries: DataFrame, limit: int = CANDIDATES, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, version_id, path, score, rank: cover density of clauses (heading and text, rows of tables apart) for any prefix of a query.
 
-    Tokens and prefixes meet on their first letter, then by prefix, so no pair of clause and query is made
-    that shares nothing.
+    Since one match covers a query of alternatives, the density is a tenth for each position that a prefix starts.  Tokens
+    meet prefixes by equality of their first one, two or three letters, the rest of longer prefixes is compared then.
     """
-    tokens = clauses.select("version_id", "path", "ordinal", F.posexplode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_.\-/§]+"), lambda t: t != "")).alias("pos", "token")).withColumn("letter", F.substring("token", 1, 1))
-    wanted = queries.select("query_id", F.explode(query_prefixes(F.col("query"))).alias("prefix")).withColumn("letter", F.substring("prefix", 1, 1))
-    hits = tokens.join(F.broadcast(wanted), "letter").where(F.startswith("token", "prefix"))
-    scored = hits.groupBy("query_id", "version_id", "path", "ordinal").agg(F.countDistinct("pos").alias("score"))
+    text = F.lower(F.concat_ws(" ", "heading", "text"))
+    tokens = clauses.where("kind <> 'table_row'").select("version_id", "path", "ordinal", *by, F.posexplode(F.filter(F.split(text, r"[^\p{L}\p{N}_.\-/§]+"), lambda t: t != "")).alias("pos", "token"))
+    keyed = tokens.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(PREFIX_KEY))))).withColumn("key", F.expr("substring(token, 1, size)"))
+    wanted = queries.select("query_id", *by, F.explode(query_prefixes(F.col("query"))).alias("prefix")).withColumn("size", F.least(F.length("prefix"), F.lit(PREFIX_KEY))).withColumn("key", F.substring("prefix", 1, PREFIX_KEY))
+    hits = keyed.join(wanted, ["size", "key", *by]).where(F.startswith("token", "prefix"))
+    scored = hits.groupBy("query_id", "version_id", "path", "ordinal").agg(F.round(F.countDistinct("pos") * POSITION_WEIGHT, 6).alias("score"))
     return top(scored, [F.col("score").desc(), F.col("ordinal"), F.col("version_id"), F.col("path")], limit)
 
 
@@ -59,87 +70,131 @@ def top(scored: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).where(F.col("rank") < limit)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+BLOCK_ROWS = 2048
 
 
-def vector_arm(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine similarity.  A stated query set against all rows: the queries go to the rows."""
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    return top(scored, [F.col("score").desc(), F.col("vec_id")], limit)
-
+def _blocks(rows: DataFrame, key: str, column: str, blocks: int, name: str) -> DataFrame:
+    """Rows in blocks: keys and unit vectors of a block side by side."""
+    return rows.select(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias(name)).groupBy(name).agg(F.collect_list(F.struct("k", "v")).alias(f"{name}_rows"))
 
-def identifier_arm(clauses: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """Clauses whose path, or a segment of it, is named by the query."""
-    keys = clauses.select("version_id", "path", "ordinal", F.explode(F.array_distinct(F.concat(F.array("path"), F.split("path", "/")))).alias("name"))
-    hits = keys.join(queries.select("query_id", F.explode("names").alias("name")), "name").select("query_id", "version_id", "path", "ordinal").distinct()
-    return top(hits.withColumn("score", F.lit(1.0)), [F.col("ordinal"), F.col("version_id"), F.col("path")], limit)
 
+def _unit(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    flat = rows.values
+    m = np.array(flat.field("v").to_pylist(), np.float64)
+    return flat.field("k").to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-def row_arm(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, row_id, score: 1.0 where a cell is a term, 0.6 where one starts with the other; best cell counts."""
-    cells = rows.select("row_id", F.explode(F.map_values("cells")).alias("cell")).select("row_id", F.lower("cell").alias("cell")).where("cell <> ''")
-    said = terms.select("query_id", F.lower("term").alias("term"))
-    near = F.broadcast(said)
-    lead = F.substring("cell", 1, MIN_PREFIX) == F.substring("term", 1, MIN_PREFIX)
-    hit = F.startswith("cell", "term") | ((F.length("cell") >= MIN_PREFIX) & F.startswith("term", "cell"))
-    return cells.join(near, lead & hit).groupBy("query_id", "row_id").agg(F.max(F.when(F.col("cell") == F.col("term"), 1.0).otherwise(0.6)).alias("score"))
 
+def _scored(limit: int):
+    """Pairs of blocks in, each query's best vectors of the pair out; a query's own vector is none."""
 
-WEIGHTS = {"lexical": LEXICAL_WEIGHT, "vector": VECTOR_WEIGHT, "rows": ROW_WEIGHT, "exact": EXACT_WEIGHT}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1)):
+                (ids, a), (asked, b) = _unit(one), _unit(two)
+                near = np.round(b @ a.T, 9)
+                near[asked[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :limit]
+                best = np.take_along_axis(near, order, 1)
+                keep = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(best[keep])], names=["query_id", "vec_id", "score"])
 
+    return run
 
-def fuse(arms: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, arm, key, rank, score): exact hits and full row matches are lifted above all."""
-    weight = F.create_map(*(x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))))[F.col("arm")]
-    boost = F.when((F.col("arm") == "exact") | ((F.col("arm") == "rows") & (F.col("score") >= 1)), IDENTIFIER_BOOST).otherwise(0.0)
-    fused = arms.groupBy("query_id", "key").agg(F.round(F.sum(weight / (RRF_K + F.col("rank") + 1)) + F.max(boost), 9).alias("score"))
-    return top(fused, [F.col("score").desc(), F.col("key")], top_k)
 
+def vector_arm(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine similarity, exactly: every query against every vector but its own, in blocks.
 
-# ---------------------------------------------------------------- passages
+    A block of vectors meets a block of queries in one matrix product, which keeps each query's best ``limit``; what is
+    ranked at last is a few rows for each query and block.
+    """
+    ours, theirs = (max(1, -(-rows.count() // BLOCK_ROWS)) for rows in (vectors, queries))
+    left = _blocks(vectors, "vec_id", "embedding", ours, "one").withColumn("two", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(theirs - 1).cast("long"))))
+    pairs = left.join(_blocks(queries, "query_id", "q", theirs, "two"), "two").select("one_rows", "two_rows")
+    return top(pairs.mapInArrow(_scored(limit), "query_id long, vec_id long, score double"), [F.col("score").desc(), F.col("vec_id")], limit)
 
 
-def passage_roots(clauses: DataFrame) -> DataFrame:
-    """Articles and other clauses without a parent of prose are roots; every clause belongs to the nearest one at or above it."""
-    return clauses.withColumn("root", F.when(F.col("kind") == "article", F.col("path")).otherwise(F.split("path", "/")[0]))
+def identifier_arm(clauses: DataFrame, queries: DataFrame, limit: int = CANDIDATES, by: tuple[str, ...] = ()) -> DataFrame:
+    """Clauses whose path, or a segment of it, is one of the query's ``names``."""
+    keys = clauses.select("version_id", "path", "ordinal", *by, F.explode(F.array_distinct(F.concat(F.array("path"), F.split("path", "/")))).alias("name"))
+    hits = keys.join(queries.select("query_id", *by, F.explode("names").alias("name")), ["name", *by]).select("query_id", "version_id", "path", "ordinal").distinct()
+    return top(hits.withColumn("score", F.lit(1.0)), [F.col("ordinal"), F.col("version_id"), F.col("path")], limit)
 
 
-def assembled(clauses: DataFrame, titles: DataFrame) -> DataFrame:
-    """One passage per root: header (title, heading, path), then the children's lines in order."""
-    rooted = passage_roots(clauses)
-    line = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(" "), F.col("text"))
-    body = rooted.groupBy("doc_id", "version_id", "root").agg(
-        F.max(F.when(F.col("path") == F.col("root"), F.col("heading"))).alias("heading"), F.transform(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda s: s["line"]).alias("blocks"))
-    header = F.concat(F.concat_ws(" > ", "title", "heading"), F.lit("\n"), F.col("root"))
-    return body.join(titles, "doc_id").select("doc_id", "version_id", "root", header.alias("header"), "blocks")
+def row_arm(rows: DataFrame, terms: DataFrame, limit: int = CANDIDATES, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, version_id, path, score, rank of table rows (columns): 1.0 where a cell is a term, 0.6 where one starts with the other; the best cell counts.
 
+    A cell shorter than four characters counts only as the longer side.
+    """
+    cells = rows.select("version_id", "path", "ordinal", *by, F.explode(F.map_values("columns")).alias("value")).withColumn("cell", F.lower("value")).where("cell <> ''").withColumn("lead", F.substring("cell", 1, MIN_PREFIX))
+    said = terms.select("query_id", *by, "term").withColumn("low", F.lower("term")).withColumn("lead", F.substring("low", 1, MIN_PREFIX))
+    hit = F.startswith("cell", "low") | ((F.length("cell") >= MIN_PREFIX) & F.startswith("low", "cell"))
+    scored = cells.join(said, ["lead", *by]).where(hit).groupBy("query_id", "version_id", "path", "ordinal").agg(F.max(F.when(F.col("value") == F.col("term"), 1.0).otherwise(0.6)).alias("score"))
+    return top(scored, [F.col("score").desc(), F.col("ordinal"), F.col("version_id"), F.col("path")], limit)
 
-FRAGMENT = "version_id long, root string, fragment_index int, n_chars int, text string"
 
+WEIGHTS = {"lexical": LEXICAL_WEIGHT, "vector": VECTOR_WEIGHT, "rows": ROW_WEIGHT, "exact": EXACT_WEIGHT}
 
-def fragments(passages: DataFrame, cap: int = MAX_PASSAGE_CHARS) -> DataFrame:
-    """Cut at child blocks, the header again before each piece; a block over the cap is cut by characters."""
 
-    def run(batches):
-        for rows in batches:
-            out = []
-            for version, root, header, blocks in zip(rows["version_id"], rows["root"], rows["header"], rows["blocks"]):
-                room = max(1, cap - len(header) - 1)
-                pieces, held = [], ""
-                for block in blocks:
-                    parts = [block[k : k + room] for k in range(0, len(block), room)] or [""]
-                    for part in parts:
-                        if held and len(held) + 1 + len(part) > room:
-                            pieces.append(held)
-                            held = part
-                        else:
-                            held = f"{held}\n{part}" if held else part
-                if held:
-                    pieces.append(held)
-                out += [(version, root, k, len(header) + 1 + len(p), f"{header}\n{p}") for k, p in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FRAGMENT.split(", ")])
+def fuse(arms: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """Reciprocal rank fusion of (query_id, arm, version_id, path, rank, score): exact hits and full row matches are lifted above all.
 
-    return passages.select("version_id", "root", "header", "blocks").mapInPandas(run, FRAGMENT)
+    A clause that is both is lifted twice.
+    """
+    weight = F.create_map(*(x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))))[F.col("arm")]
+    boost = F.when((F.col("arm") == "exact") | ((F.col("arm") == "rows") & (F.col("score") >= 1)), IDENTIFIER_BOOST).otherwise(0.0)
+    fused = arms.groupBy("query_id", "version_id", "path").agg(F.round(F.sum(weight / (RRF_K + F.col("rank") + 1)) + F.sum(boost), 9).alias("score"))
+    return top(fused, [F.col("score").desc(), F.col("path"), F.col("version_id")], top_k)
+
+
+def arms_of(queries: DataFrame, clauses: DataFrame, index: DataFrame, by: tuple[str, ...] = ("cell_id",), limit: int = CANDIDATES) -> DataFrame:
+    """Hits of the four arms for queries (query_id, query, q, by) over clauses in scope and an index (vec_id, embedding, version_id, path, by)."""
+    asked = queries.select("query_id", "query", *by)
+    exact = identifier_arm(clauses, asked.withColumn("names", identifiers(F.col("query"))), limit, by)
+    rows = row_arm(clauses.where("kind = 'table_row'"), asked.select("query_id", *by, F.explode(annex_terms(F.col("query"))).alias("term")), limit, by)
+    lexical = lexical_arm(clauses, asked, limit, by)
+    # the vectors of other cells are no candidates: scored apart for each cell's own block of the index
+    near = vector_hits(index, queries, limit, by)
+    named = {"exact": exact, "rows": rows, "lexical": lexical, "vector": near}
+    columns = ("query_id", "version_id", "path", "rank", "score")
+    out = None
+    for arm, hits in named.items():
+        one = hits.select(*columns[:4], F.col("score").cast("double").alias("score"), F.lit(arm).alias("arm"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def vector_hits(index: DataFrame, queries: DataFrame, limit: int, by: tuple[str, ...]) -> DataFrame:
+    """The vector arm in each query's own scope: vectors and queries in blocks of one scope, and the clauses of the best."""
+    scope = F.concat_ws("\x01", *by)
+    ours, theirs = (max(1, -(-rows.count() // BLOCK_ROWS)) for rows in (index, queries))
+    pack = lambda rows, key, column, n, name: rows.select(scope.alias("scope"), F.pmod(F.xxhash64(key), F.lit(n)).alias(name), F.struct(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("v")).alias("r")).groupBy("scope", name).agg(F.collect_list("r").alias(f"{name}_rows"))
+    pairs = pack(index, "vec_id", "embedding", ours, "one").join(pack(queries, "query_id", "q", theirs, "two"), "scope").select("one_rows", "two_rows")
+    best = top(pairs.mapInArrow(_scored(limit), "query_id long, vec_id long, score double"), [F.col("score").desc(), F.col("vec_id")], limit)
+    return best.join(index.select(F.col("vec_id").cast("long").alias("vec_id"), "version_id", "path").distinct(), "vec_id")
+
+
+def retrieved(queries: DataFrame, clauses: DataFrame, index: DataFrame, by: tuple[str, ...] = ("cell_id",), top_k: int = TOP_K) -> DataFrame:
+    """query_id, rank, version_id, path, score, kind, effective_date: the fused hits, with what they are."""
+    facts = clauses.select("version_id", "path", "kind", "effective_date").dropDuplicates(["version_id", "path"])
+    return fuse(arms_of(queries, clauses, index, by), top_k).join(facts, ["version_id", "path"])
+
+
+def date_scope(hits: DataFrame, today: Column) -> DataFrame:
+    """query_id, scope (the latest date in force among the hits, else the next to come), straddles (both kinds occur)."""
+    arrived = F.max(F.when(F.col("effective_date") <= today, F.col("effective_date")))
+    coming = F.min(F.when(F.col("effective_date") > today, F.col("effective_date")))
+    return hits.groupBy("query_id").agg(F.coalesce(arrived, coming).alias("scope"), (arrived.isNotNull() & coming.isNotNull()).alias("straddles"))
+
+
+def citable(hits: DataFrame, clauses: DataFrame) -> DataFrame:
+    """query_id, version_id, path: every hit, and what its passage covers (clauses with their root)."""
+    own = hits.select("query_id", "version_id", "path")
+    covered = own.withColumnRenamed("path", "root").join(clauses.where("root IS NOT NULL").select("version_id", "root", "path"), ["version_id", "root"]).select("query_id", "version_id", "path")
+    return own.unionByName(covered).distinct()
+
+
+def resolved_clauses(wanted: DataFrame, clauses: DataFrame, versions: DataFrame) -> DataFrame:
+    """Cited (version_id, path) with the clause's text and its date, else its version's; what is not found is not returned."""
+    dates = versions.select("version_id", F.col("effective_date").alias("version_date"))
+    found = wanted.select("version_id", "path").distinct().join(clauses, ["version_id", "path"]).join(dates, "version_id")
+    return found.withColumn("effective_date", F.coalesce("effective_date", "version_date")).drop("version_date")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from clausewise.constants import CREDENTIAL_PARAMS, CREDENTIAL_PLACEHOLDER, MODALS, PERMISSIVE, TAXONOMY, VOLATILE_FIELDS
 
-# Numbering alphabets of statutes.
-CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
-MOK = "가나다라마바사아자차카타파하"
-ROMAN = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"
+# Numbering alphabets of statutes (circled digits to 35, sub-item letters, Roman numerals to 12).
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳㉑㉒㉓㉔㉕㉖㉗㉘㉙㉚㉛㉜㉝㉞㉟"
+MOK = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허"
+ROMAN = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ"
 
-#: (style, pattern, text must follow): tried in this order, since the later ones are looser.
+# Fixed values: (style, pattern, text must follow), tried in this order, since the later ones are looser.
 MARKERS = (
     ("chapter", r"^제(\d+)(편|장|절|관)(?:의(\d+))?\s*(.*)$", False),
     ("article", r"^제(\d+)조(?:의(\d+))?\s*(?:\(([^)]*)\))?\s*(.*)$", False),
@@ -25,6 +25,9 @@ MARKERS = (
     ("hangul_paren", rf"^([{MOK}])\)\s*(.*)$", True),
     ("bullet", r"^[-–—·ㆍ*○●□■]\s+(.*)$", True),
 )
+# How loosely a style binds on the legal ladder, and how deep a chapter's kind nests.
+RANKS = {"chapter": 1, "article": 2, "roman_dot": 2, "circled": 3, "dotted": 4, "digit_dot": 4, "hangul_dot": 5, "digit_paren": 6, "hangul_paren": 7, "bullet": 8}
+CHAPTER_DEPTH = {"편": 1, "장": 2, "절": 3, "관": 4}
 _LAST_GROUP = {"chapter": 4, "article": 4, "roman_dot": 2, "circled": 2, "dotted": 2, "digit_dot": 3, "digit_paren": 3, "hangul_dot": 2, "hangul_paren": 2, "bullet": 1}
 
 
@@ -39,34 +42,71 @@ def marker_style(line: Column) -> Column:
     return out
 
 
+def _part(s: Column, style: str, group: int) -> Column:
+    return F.regexp_extract(s, {a: b for a, b, _ in MARKERS}[style], group)
+
+
+def article_segment(number: Column, branch: Column) -> Column:
+    bare = F.regexp_replace(F.trim(F.coalesce(branch, F.lit(""))), "^0+", "")
+    return F.concat(F.lit("제"), F.trim(number), F.lit("조"), F.when(bare != "", F.concat(F.lit("의"), bare)).otherwise(""))
+
+
+def paragraph_segment(mark: Column) -> Column:
+    """``제N항`` of a circled digit; null without one, since an unnumbered paragraph is no part of an address."""
+    number = F.try_element_at(F.create_map(*(x for k, c in enumerate(CIRCLED, 1) for x in (F.lit(c), F.lit(k)))), F.trim(mark)).cast("string")
+    return F.concat(F.lit("제"), number, F.lit("항"))
+
+
+def item_segment(raw: Column) -> Column:
+    """``2의2.`` is ``제2호의2``."""
+    s = F.trim(raw)
+    branch = _part(s, "digit_dot", 2)
+    numbered = F.concat(F.lit("제"), _part(s, "digit_dot", 1), F.lit("호"), F.when(branch != "", F.concat(F.lit("의"), branch)).otherwise(""))
+    return F.when(s.rlike(r"^\d+(의\d+)?\."), numbered).otherwise(F.concat(F.lit("제"), F.regexp_replace(s, r"\.+$", ""), F.lit("호")))
+
+
+def subitem_segment(raw: Column) -> Column:
+    return F.concat(F.regexp_replace(F.trim(raw), r"\.+$", ""), F.lit("목"))
+
+
 def marker_segment(line: Column) -> Column:
     """How a marker is cited: the unit after the number, its branch after the unit; bullets have no number."""
     s = F.trim(line)
-    part = lambda style, k: F.regexp_extract(s, dict((a, b) for a, b, _ in MARKERS)[style], k)
-    branch = lambda x, lead="의": F.when(x != "", F.concat(F.lit(lead), x)).otherwise("")
+    branch = lambda x: F.when(x != "", F.concat(F.lit("의"), x)).otherwise("")
     style = marker_style(line)
-    number = F.try_element_at(F.create_map(*(x for k, c in enumerate(CIRCLED, 1) for x in (F.lit(c), F.lit(k)))), part("circled", 1)).cast("string")
     return (
-        F.when(style == "chapter", F.concat(F.lit("제"), part("chapter", 1), part("chapter", 2), branch(part("chapter", 3))))
-        .when(style == "article", F.concat(F.lit("제"), part("article", 1), F.lit("조"), branch(F.regexp_replace(part("article", 2), "^0+", ""))))
-        .when(style == "roman_dot", part("roman_dot", 1))
-        .when(style == "circled", F.concat(F.lit("제"), number, F.lit("항")))
-        .when(style == "dotted", part("dotted", 1))
-        .when(style == "digit_dot", F.concat(F.lit("제"), part("digit_dot", 1), F.lit("호"), branch(part("digit_dot", 2))))
-        .when(style == "digit_paren", F.concat(part("digit_paren", 1), branch(part("digit_paren", 2)), F.lit(")")))
-        .when(style == "hangul_dot", F.concat(part("hangul_dot", 1), F.lit("목")))
-        .when(style == "hangul_paren", F.concat(part("hangul_paren", 1), F.lit(")")))
+        F.when(style == "chapter", F.concat(F.lit("제"), _part(s, "chapter", 1), _part(s, "chapter", 2), branch(_part(s, "chapter", 3))))
+        .when(style == "article", article_segment(_part(s, "article", 1), _part(s, "article", 2)))
+        .when(style == "roman_dot", _part(s, "roman_dot", 1))
+        .when(style == "circled", paragraph_segment(_part(s, "circled", 1)))
+        .when(style == "dotted", _part(s, "dotted", 1))
+        .when(style == "digit_dot", item_segment(s))
+        .when(style == "digit_paren", F.concat(_part(s, "digit_paren", 1), branch(_part(s, "digit_paren", 2)), F.lit(")")))
+        .when(style == "hangul_dot", subitem_segment(_part(s, "hangul_dot", 1)))
+        .when(style == "hangul_paren", F.concat(_part(s, "hangul_paren", 1), F.lit(")")))
         .when(style == "bullet", "")
     )
 
 
+def marker_depth(line: Column) -> Column:
+    """Nesting inside one rank: the kind of a chapter, the parts of a dotted number, else 1."""
+    s, style = F.trim(line), marker_style(line)
+    depth = F.create_map(*(x for k, v in CHAPTER_DEPTH.items() for x in (F.lit(k), F.lit(v))))
+    return F.when(style == "chapter", F.try_element_at(depth, _part(s, "chapter", 2))).when(style == "dotted", F.size(F.split(_part(s, "dotted", 1), r"\."))).otherwise(1)
+
+
+def marker_heading(line: Column) -> Column:
+    s, style = F.trim(line), marker_style(line)
+    return F.when(style == "chapter", F.nullif(F.trim(_part(s, "chapter", 4)), F.lit(""))).when(style == "article", F.nullif(_part(s, "article", 3), F.lit("")))
+
+
 def logical_lines(text: Column) -> Column:
     """Lines, broken also before a paragraph mark inside a line."""
     return F.filter(F.split(F.regexp_replace(text, rf"(?<=\S)\s+(?=[{CIRCLED}])", "\n"), "\n", -1), lambda x: F.trim(x) != "")
 
 
 def normalize_text(text: Column) -> Column:
-    """Line ends as \\n, no blanks at line ends, two newlines at most, stripped (Unicode form: see ``functions.nfc``)."""
+    """Line ends as \\n, no blanks at line ends, two newlines at most, stripped; give it ``functions.nfc`` of a text for the canonical form."""
     x = F.regexp_replace(text, "\r\n?", "\n")
     x = F.regexp_replace(x, r"[ \t\x0B\f]+(?=\n|$)", "")
     return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
@@ -81,18 +121,24 @@ def canonical_record(record: Column) -> Column:
 
 
 def authority_date(raw: Column) -> Column:
-    """A date written with or without ``-`` or ``.`` between its parts; null where it is none."""
-    plain = F.concat_ws("-", *(F.regexp_extract(raw, r"^\s*(\d{4})[-.]?\s*(\d{1,2})[-.]?\s*(\d{1,2})", k) for k in (1, 2, 3)))
-    return F.when(raw.rlike(r"^\s*\d{4}[-.]?\s*\d{1,2}[-.]?\s*\d{1,2}"), F.try_to_date(plain, "yyyy-M-d"))
+    """A date written as eight digits, with or without ``-`` or ``.`` between its parts; null where it is none."""
+    form = r"^\s*(\d{4})[-.]?(\d{2})[-.]?(\d{2})\s*$"
+    plain = F.concat_ws("-", *(F.regexp_extract(raw, form, k) for k in (1, 2, 3)))
+    return F.when(raw.rlike(form), F.try_to_date(plain, "yyyy-MM-dd"))
 
 
 def redacted(url: Column) -> Column:
     return F.regexp_replace(url, rf"(?<=[?&])({'|'.join(CREDENTIAL_PARAMS)})=[^&#]*", f"$1={CREDENTIAL_PLACEHOLDER.replace('{', chr(92) + '{')}")
 
 
+def annex_number(raw: Column) -> Column:
+    """Numbers without the zeros before them; other numbering as it stands."""
+    bare = F.trim(F.coalesce(raw, F.lit("")))
+    return F.when(bare.rlike(r"^\d+$"), F.coalesce(F.nullif(F.regexp_replace(bare, "^0+", ""), F.lit("")), F.lit("0"))).otherwise(bare)
+
+
 def annex_label(kind: Column, number: Column, branch: Column) -> Column:
-    bare = lambda x: F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), "^0+", "")
-    return F.concat(kind, bare(number), F.when(bare(branch) != "", F.concat(F.lit("의"), bare(branch))).otherwise(""))
+    return F.concat(kind, annex_number(number), F.when(annex_number(branch).isin("", "0"), "").otherwise(F.concat(F.lit("의"), annex_number(branch))))
 
 
 def filler_to_null(ref: Column) -> Column:

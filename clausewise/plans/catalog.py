@@ -12,7 +12,7 @@ from clausewise.operators import texts as x
 _T = f"DATE '{TODAY}'"
 _STATUS = f"status AS (SELECT *, CASE WHEN effective_date IS NULL THEN 'unknown' WHEN effective_date > {_T} THEN 'pending' WHEN effective_date = in_force THEN 'in_force' ELSE 'superseded' END AS st FROM (SELECT *, max(CASE WHEN effective_date <= {_T} THEN effective_date END) OVER (PARTITION BY doc_id) AS in_force FROM versions))"
 _CATEGORY = "cats AS (SELECT d.*, CASE WHEN d.doc_type IN ('law','decree','enforcement_rule') THEN 'statute' WHEN d.doc_type = 'notice' THEN 'admin_rule' WHEN d.doc_type = 'annex' THEN CASE WHEN p.doc_type = 'notice' THEN 'admin_rule_annex' ELSE 'statute_annex' END WHEN d.doc_type = 'feed' THEN 'feed' ELSE 'other' END AS category FROM docs d LEFT JOIN docs p ON p.doc_id = d.parent_id)"
-_SCOPE = f"scope AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(effective_date <= {_T}, false) DESC, CASE WHEN effective_date <= {_T} THEN effective_date END DESC NULLS LAST, effective_date ASC NULLS LAST, retrieved_at DESC, version_id) AS rn FROM versions WHERE parsed) WHERE rn = 1)"
+SCOPE = f"scope AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(effective_date <= {_T}, false) DESC, CASE WHEN effective_date <= {_T} THEN effective_date END DESC NULLS LAST, effective_date ASC NULLS LAST, retrieved_at DESC, version_id) AS rn FROM versions WHERE parsed) WHERE rn = 1)"
 
 
 def _observations(t):
@@ -63,12 +63,6 @@ QUERIES = {
         lambda t: c.one_open_alert(_observations(t).where("outcome = 'error'").select("source_id", F.lit("zero_records").alias("signal"), (F.col("observation_id") % 2).alias("expected"), F.col("fetched_at").alias("raised_at"), F.col("observation_id").alias("alert_id"), F.when(F.col("observation_id") % 5 == 0, 1).alias("resolved_at"))).select("source_id", "expected", "alert_id"),
         f"WITH {_OBS} SELECT source_id, expected, alert_id FROM (SELECT source_id, observation_id % 2 AS expected, observation_id AS alert_id, row_number() OVER (PARTITION BY source_id, observation_id % 2 ORDER BY fetched_at, observation_id) AS k FROM obs WHERE outcome = 'error' AND observation_id % 5 <> 0) WHERE k = 1"),
     "S3_ingestible_guard": (lambda t: _sources(t).select("source_id", F.when(F.col("tier") == "d", "skipped").otherwise("fetch").alias("action")), f"WITH {_SRC} SELECT source_id, CASE WHEN tier = 'd' THEN 'skipped' ELSE 'fetch' END AS action FROM src"),
-    "S6_pending_versions": (
-        lambda t: t.raw("orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("mst")).agg(F.min(F.col("o_orderdate").cast("date")).cast("string").alias("day")),
-        "SELECT o_custkey AS mst, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS day FROM orders WHERE o_orderstatus = 'P' GROUP BY 1"),
-    "S13_error_markers": (
-        lambda t: t.raw("pages").select("page_id", (F.col("html").contains("ad 0") | F.col("html").contains("&amp;&amp;")).alias("is_error")),
-        "SELECT page_id, contains(html, 'ad 0') OR contains(html, '&amp;&amp;') AS is_error FROM pages"),
     "S18_seed_upsert": (
         lambda t: _sources(t).where("source_id % 3 > 0").select("source_id").withColumn("seeded", F.lit(True)).join(_sources(t).select("source_id", "enabled"), "source_id", "full_outer").select("source_id", F.when(F.col("seeded").isNull(), False).otherwise(F.coalesce("enabled", F.lit(True))).alias("enabled")),
         f"WITH {_SRC} SELECT source_id, source_id % 3 > 0 AND enabled AS enabled FROM src"),
@@ -107,13 +101,10 @@ QUERIES = {
     "H7_triage_buckets": (
         lambda t: t.documents().select("doc_id", F.when(F.col("doc_id") % 5 == 0, "excluded").when(F.col("doc_id") % 3 == 0, "covered").when(F.col("doc_type") == "notice", "candidate").otherwise("near_miss").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")),
         sql("SELECT CASE WHEN doc_id % 5 = 0 THEN 'excluded' WHEN doc_id % 3 = 0 THEN 'covered' WHEN doc_type = 'notice' THEN 'candidate' ELSE 'near_miss' END AS bucket, count(*) AS n FROM docs GROUP BY 1")),
-    "R1_version_scope": (lambda t: c.version_scope(t.versions(), ref_date()).select("doc_id", "version_id"), sql("SELECT doc_id, version_id FROM scope", _SCOPE)),
+    "R1_version_scope": (lambda t: c.version_scope(t.versions(), ref_date()).select("doc_id", "version_id"), sql("SELECT doc_id, version_id FROM scope", SCOPE)),
     "R2_cell_scope": (
         lambda t: c.version_scope(t.versions(), ref_date()).join(t.document_cells().where("cell_id = 'en-samd'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "version_id"),
-        sql("SELECT doc_id, version_id FROM scope WHERE doc_id IN (SELECT doc_id FROM doc_cells WHERE cell_id = 'en-samd')", _SCOPE)),
-    "R11_effective_scope": (
-        lambda t: t.versions().groupBy("doc_id").agg(F.coalesce(F.max(F.when(F.col("effective_date") <= ref_date(), F.col("effective_date"))), F.min("effective_date")).cast("string").alias("scope"), F.coalesce(F.bool_or(F.col("effective_date") > ref_date()) & F.bool_or(F.col("effective_date") <= ref_date()), F.lit(False)).alias("straddles")),
-        sql(f"SELECT doc_id, CAST(coalesce(max(effective_date) FILTER (WHERE effective_date <= {_T}), min(effective_date)) AS VARCHAR) AS scope, coalesce(bool_or(effective_date > {_T}) AND bool_or(effective_date <= {_T}), false) AS straddles FROM versions GROUP BY 1")),
+        sql("SELECT doc_id, version_id FROM scope WHERE doc_id IN (SELECT doc_id FROM doc_cells WHERE cell_id = 'en-samd')", SCOPE)),
     "A2_audit_chain": (lambda t: c.audit_chain(_audit(t), AUDIT_GENESIS).select("chain", "seq", "entry_hash"), None),
     "A3_audit_verify": (
         lambda t: c.verify_chain(c.audit_chain(_audit(t), AUDIT_GENESIS).withColumn("body", F.when((F.col("chain") % 5 == 0) & (F.col("seq") == 1), "tampered").otherwise(F.col("body"))), AUDIT_GENESIS),

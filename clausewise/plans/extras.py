@@ -24,13 +24,6 @@ QUERIES = {
         lambda t: archive.archived(_payloads(t), _payloads(t).where("page_id % 3 = 0").select(F.sha2(F.col("body").cast("binary"), 256).alias("object_key"))).select("object_key"),
         "SELECT DISTINCT sha256(html) AS object_key FROM pages WHERE page_id % 5 <> 0 AND sha256(html) NOT IN (SELECT sha256(CASE WHEN page_id % 5 = 0 THEN html || '?key=abc' ELSE html END) FROM pages WHERE page_id % 3 = 0)"),
     "S19_paged_index": (_paged, "SELECT CAST(i + 1 AS INTEGER) AS page, true AS truncated, 100 AS n FROM range(20) AS r(i)"),
-    "P20_annex_date_groups": (
-        lambda t: t.lines().where("ordinal < 9").select("doc_id", F.explode(F.regexp_extract_all(F.concat(F.lit("[별표 1, 별표 2: 2024-01-0"), (F.col("ordinal") + 1).cast("string"), F.lit("]")), F.lit(r"(별표 \d+)"), F.lit(1))).alias("label"), "ordinal")
-        .groupBy("doc_id", "label").agg(F.max_by(F.concat(F.lit("2024-01-0"), (F.col("ordinal") + 1).cast("string")), "ordinal").alias("day")),
-        sql("SELECT doc_id, '별표 ' || k AS label, '2024-01-0' || (max(ordinal) + 1) AS day FROM lines, (VALUES (1), (2)) AS n(k) WHERE ordinal < 9 GROUP BY 1, 2")),
-    "P21_enforcement_phrase": (
-        lambda t: t.lines().groupBy("doc_id").agg(F.max_by("text", "ordinal").alias("t")).select("doc_id", F.substring(F.regexp_extract(F.concat(F.lit("이 고시는 "), F.col("t"), F.lit(" 날부터 시행한다.")), r"(?s)(이 고시는.*시행한다)", 1), 1, 2000).alias("phrase")),
-        sql("SELECT doc_id, substr('이 고시는 ' || arg_max(text, ordinal) || ' 날부터 시행한다', 1, 2000) AS phrase FROM lines GROUP BY 1")),
     "P26_quarantine": (
         lambda t: t.versions().join(t.clauses().groupBy("version_id").agg(F.count("*").alias("n")), "version_id", "left").select("version_id", F.when(F.coalesce("n", F.lit(0)) < 3, "quarantined").otherwise("kept").alias("fate")),
         sql("SELECT version_id, CASE WHEN coalesce(n, 0) < 3 THEN 'quarantined' ELSE 'kept' END AS fate FROM versions LEFT JOIN (SELECT version_id, count(*) AS n FROM clauses GROUP BY 1) USING (version_id)")),

@@ -4,114 +4,185 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausewise.adapt import sql
+from clausewise.adapt import ref_date, sql
+from clausewise.operators import catalog as c
+from clausewise.operators import passages as p
 from clausewise.operators import search as s
+from clausewise.plans.catalog import SCOPE
+
+MODEL, RULES = "m2", 3
+
+# ---------------------------------------------------------------- passages
+
+_ROOTED = """kinds AS (SELECT t.*, q.kind AS parent_kind, q.ordinal AS q1, q.parent_ordinal AS q2 FROM tree t LEFT JOIN tree q ON q.doc_id = t.doc_id AND q.ordinal = t.parent_ordinal),
+rooted AS (SELECT k.*, CASE WHEN kind IN ('table_row', 'heading') THEN NULL WHEN kind IN ('table', 'form') OR parent_kind IS NULL OR parent_kind <> 'prose' THEN ordinal WHEN ordinal % 12 = 3 THEN ordinal - 2 ELSE parent_ordinal END AS root_ordinal FROM kinds k),
+heads AS (SELECT r.doc_id, r.version_id, r.ordinal, r.path AS root, r.kind, d.title || CASE WHEN q.ordinal IS NULL THEN '' ELSE ' > ' || substr(trim(q.heading), 1, 120) END || chr(10) || r.path AS header, trim(coalesce(r.heading, '')) AS heading, r.text
+  FROM rooted r JOIN docs d USING (doc_id) LEFT JOIN tree q ON q.doc_id = r.doc_id AND q.ordinal = r.parent_ordinal WHERE r.root_ordinal = r.ordinal),
+owns AS (SELECT *, header || CASE WHEN heading = '' THEN '' ELSE chr(10) || heading END || chr(10) || text || CASE kind WHEN 'table' THEN chr(10) || '연번 | 원료명' ELSE '' END AS own FROM heads),
+parts AS (SELECT doc_id, root_ordinal, CASE WHEN ordinal % 12 = 3 THEN ordinal - 1 ELSE ordinal END AS block, string_agg(string_split(path, '/')[-1] || ' ' || text, chr(10) ORDER BY ordinal) AS text FROM rooted WHERE root_ordinal < ordinal GROUP BY 1, 2, 3)"""
+
+
+def _clauses(t):
+    return t.tree()
+
+
+def _assembled(t):
+    return p.assembled(_clauses(t), t.documents().select("doc_id", "title"))
+
+
+def _heads(t):
+    """Passages by the hash of their headers, as what an index would hold."""
+    return _assembled(t).select("version_id", "root", F.lit(0).alias("fragment_index"), F.sha2("header", 256).alias("content_hash"))
+
+
+def _index(t):
+    """An older index: some hashes, models and rules differ, some passages are missing and one more a version is not produced any more."""
+    v = F.col("version_id")
+    rows = _heads(t).where(v % 9 != 1).select(*p.KEY, F.when(F.col("root").contains("제1장"), "old").otherwise(F.col("content_hash")).alias("content_hash"), F.when(v % 4 == 1, "m1").otherwise(MODEL).alias("model"), F.when(v % 5 == 1, RULES - 1).otherwise(RULES).alias("passage_version"))
+    gone = t.versions().where("v = 1").select(v.alias("version_id"), F.lit("gone").alias("root"), F.lit(0).alias("fragment_index"), F.lit("x").alias("content_hash"), F.lit(MODEL).alias("model"), F.lit(RULES).alias("passage_version")).where(v % 9 == 2)
+    return rows.unionByName(gone)
+
+
+_INDEX = f"""now AS (SELECT version_id, root, sha256(header) AS content_hash FROM heads),
+held AS (SELECT version_id, root, CASE WHEN contains(root, '제1장') THEN 'old' ELSE content_hash END AS content_hash, CASE WHEN version_id % 4 = 1 THEN 'm1' ELSE '{MODEL}' END AS model, CASE WHEN version_id % 5 = 1 THEN {RULES - 1} ELSE {RULES} END AS rules FROM now WHERE version_id % 9 <> 1
+  UNION ALL SELECT version_id, 'gone', 'x', '{MODEL}', {RULES} FROM versions WHERE v = 1 AND version_id % 9 = 2)"""
+
+# ---------------------------------------------------------------- retrieval
 
 
 def _queries(t):
-    """The stated query set: user turns of every hundredth conversation."""
-    return t.raw("conversations").where("conv_id % 100 = 0 AND role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    """The stated query set: user turns of every hundredth conversation, which name an article, an annex row and a cell; their vectors are those of their conversations' numbers."""
+    k = F.col("conv_id") % 40
+    cell = F.when(k % 2 == 0, "en-samd").otherwise("en-cosmetic")
+    turns = t.raw("conversations").where("conv_id % 100 = 0 AND role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat("text", F.lit(" 제 1 조 "), (F.col("turn") + 1000).cast("string"), F.lit("x 50-00-0 갈라민트리에는")).alias("query"), cell.alias("cell_id"), F.col("conv_id").alias("n"))
+    vectors = t.raw("embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("q"))
+    return turns.join(vectors, "n").drop("n")
 
 
-_Q = "qs AS (SELECT conv_id * 1000 + turn AS query_id, substr(text, 1, 60) AS query FROM conversations WHERE conv_id % 100 = 0 AND role = 'user'), prefixes AS (SELECT DISTINCT query_id, p FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_.\\-/§]+')) AS p FROM qs) WHERE p <> '')"
+_QUERIES = """qs AS (SELECT conv_id * 1000 + turn AS query_id, text || ' 제 1 조 ' || (turn + 1000) || 'x 50-00-0 갈라민트리에는' AS query, CASE WHEN conv_id % 2 = 0 THEN 'en-samd' ELSE 'en-cosmetic' END AS cell_id, embedding AS q FROM conversations JOIN embeddings ON vec_id = conv_id WHERE conv_id % 100 = 0 AND role = 'user'),
+prefixes AS (SELECT DISTINCT query_id, cell_id, p FROM (SELECT query_id, cell_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_.\\-/§]+')) AS p FROM qs UNION ALL SELECT query_id, cell_id, '갈라민트리에' FROM qs) WHERE p <> '')"""
 
 
-def _lexical(t):
-    texts = t.clauses().where("v = 1").withColumn("text", F.substring("text", 1, 200))
-    return s.lexical_arm(texts, _queries(t)).select("query_id", "version_id", "path", "score", "rank")
+def _scoped(t):
+    """Clauses of the versions in scope, once for each cell that claims their document."""
+    scope = c.version_scope(t.versions(), ref_date()).select("doc_id", "version_id")
+    return _clauses(t).join(scope.where("version_id % 10 = 1"), ["doc_id", "version_id"], "left_semi").join(t.document_cells(), "doc_id")
 
 
-def _vectors(t):
-    e = t.raw("embeddings")
-    return s.vector_arm(e.select("vec_id", "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+def _vector_index(t):
+    """One vector for the first article of each document in scope."""
+    first = _scoped(t).where("ordinal = 1").select("doc_id", "version_id", "path", "cell_id")
+    return t.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "vec_id", "embedding").join(first, "doc_id").select("vec_id", "embedding", "version_id", "path", "cell_id")
 
 
-_VEC = "vec AS (SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)) WHERE rank < 40)"
+_COSINE = "round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])) / sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_inner_product(CAST(q.q AS DOUBLE[]), CAST(q.q AS DOUBLE[]))), 9)"
+_RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, version_id, path) - 1 AS rank"
+_ARMS = f"""{SCOPE}, {_QUERIES}, scoped AS (SELECT t.*, dc.cell_id FROM tree t JOIN scope s ON s.doc_id = t.doc_id AND s.version_id = t.version_id JOIN doc_cells dc ON dc.doc_id = t.doc_id),
+lex AS (SELECT *, {_RANKED} FROM (SELECT query_id, version_id, path, ordinal, round(count(DISTINCT pos) * 0.1, 6) AS score FROM (SELECT version_id, path, ordinal, cell_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
+  SELECT version_id, path, ordinal, cell_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', heading, text)), '[^\\p{{L}}\\p{{N}}_.\\-/§]+'), lambda x: x <> '') AS w FROM scoped WHERE kind <> 'table_row')) k JOIN prefixes x ON x.cell_id = k.cell_id AND starts_with(k.token, x.p) GROUP BY ALL)),
+ids AS (SELECT *, {_RANKED} FROM (SELECT DISTINCT query_id, version_id, path, ordinal, 1.0 AS score FROM scoped JOIN qs USING (cell_id) WHERE list_contains(string_split(path, '/'), '제1조'))),
+vectors AS (SELECT vec_id, embedding, version_id, path, cell_id FROM embeddings JOIN (SELECT * FROM scoped WHERE ordinal = 1) f ON f.doc_id = vec_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT q.query_id, e.vec_id, e.version_id, e.path, {_COSINE} AS score FROM vectors e JOIN qs q USING (cell_id) WHERE e.vec_id <> q.query_id)),
+arms AS (SELECT query_id, version_id, path, rank, 1.2 AS w, 0.0 AS boost FROM lex WHERE rank < 40 UNION ALL SELECT query_id, version_id, path, rank, 1.2, 100.0 FROM ids WHERE rank < 40 UNION ALL SELECT query_id, version_id, path, rank, 1.0, 0.0 FROM near WHERE rank < 40),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, version_id) - 1 AS rank FROM (SELECT query_id, version_id, path, round(sum(w / (60 + rank + 1)) + sum(boost), 9) AS score FROM arms GROUP BY 1, 2, 3)),
+hits AS (SELECT f.*, t.kind, t.effective_date FROM fused f JOIN tree t ON t.version_id = f.version_id AND t.path = f.path WHERE f.rank < 8)"""
 
 
-def _arms(t):
-    vec = _vectors(t).select("query_id", F.lit("vector").alias("arm"), F.col("vec_id").alias("key"), "rank", "score")
-    exact = t.raw("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("exact").alias("arm"), (F.col("vec_id") + 1).alias("key"), F.lit(0).alias("rank"), F.lit(1.0).alias("score"))
-    rows = t.raw("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("rows").alias("arm"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n")).select("query_id", "arm", (F.col("query_id") + F.col("n") * 7 + 2).alias("key"), F.col("n").alias("rank"), F.when(F.col("n") == 0, 1.0).otherwise(0.6).alias("score"))
-    return vec.unionByName(exact).unionByName(rows)
+def _retrieved(t):
+    return s.retrieved(_queries(t), _scoped(t), _vector_index(t))
 
 
-_ARMS = _VEC + ", arms AS (SELECT query_id, 'vector' AS arm, vec_id AS key, rank, 0.0 AS boost, 1.0 AS w FROM vec UNION ALL SELECT vec_id, 'exact', vec_id + 1, 0, 100.0, 1.2 FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT vec_id, 'rows', vec_id + n * 7 + 2, n, CASE WHEN n = 0 THEN 100.0 ELSE 0.0 END, 1.2 FROM embeddings, range(10) AS r(n) WHERE vec_id % 100 = 0), fused AS (SELECT query_id, key, round(sum(w / (60 + rank + 1)) + max(boost), 9) AS score FROM arms GROUP BY 1, 2)"
+def _vectors(t):
+    e = t.raw("embeddings")
+    return s.vector_arm(e.select("vec_id", "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
 def _rows(t):
-    return t.raw("part").select(F.col("p_partkey").alias("row_id"), F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")).alias("cells"))
+    return t.raw("part").select(F.col("p_partkey").alias("version_id"), F.lit("row").alias("path"), F.lit(0).alias("ordinal"), F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")).alias("columns"))
 
 
 def _terms(t):
-    p = t.raw("part").where("p_partkey % 100 = 0")
-    return p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("term")).unionByName(p.select(F.col("p_partkey").alias("query_id"), F.substring("p_type", 1, 6).alias("term")))
+    k = t.raw("part").where("p_partkey % 100 = 0")
+    return k.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("term")).unionByName(k.select(F.col("p_partkey").alias("query_id"), F.upper(F.substring("p_type", 1, 6)).alias("term")))
 
 
-def _assembled(t):
-    return s.assembled(t.clauses(), t.documents().select("doc_id", "title"))
-
+def _asked(t):
+    """Questions that name an article by their line's number, with and without branch, an annex and a section."""
+    k = F.col("ordinal")
+    return t.lines().select("doc_id", "ordinal", F.concat(F.lit("제 "), k.cast("string"), F.lit(" 조"), F.when(k % 3 == 0, "의 2").otherwise(""), F.lit(" 및 별표 "), (k % 7).cast("string"), F.when(k % 2 == 0, " § 892.2050").otherwise(""), F.lit(" 제"), k.cast("string"), F.lit("조")).alias("query"))
 
-_PASS = "rooted AS (SELECT *, string_split(path, '/')[1] AS root FROM clauses), passages AS (SELECT r.doc_id, version_id, root, title || coalesce(' > ' || max(CASE WHEN path = root THEN heading END), '') || chr(10) || root AS header, string_agg(string_split(path, '/')[-1] || ' ' || text, chr(10) ORDER BY ordinal) AS body FROM rooted r JOIN docs USING (doc_id) GROUP BY r.doc_id, version_id, root, title)"
 
 QUERIES = {
     "R3_identifiers": (
-        lambda t: t.legal_lines().select("doc_id", "ordinal", F.array_join(s.identifiers(F.concat(F.substring("line", 1, 8), F.lit(" 제 8 조의 2 별표 1의2 § 892.2050"))), ",").alias("names")).where("ordinal % 12 = 9"),
-        sql("SELECT doc_id, ordinal, '제3조의2,제8조의2,별표1의2,§ 892.2050' AS names FROM legal WHERE ordinal % 12 = 9")),
+        lambda t: _asked(t).select("doc_id", "ordinal", F.array_join(s.identifiers(F.col("query")), ",").alias("names")),
+        sql("SELECT doc_id, ordinal, '제' || ordinal || '조' || CASE WHEN ordinal % 3 = 0 THEN '의2,제' || ordinal || '조' ELSE '' END || ',별표' || ordinal % 7 || CASE WHEN ordinal % 2 = 0 THEN ',§ 892.2050' ELSE '' END AS names FROM lines")),
     "R4_annex_terms": (
-        lambda t: t.raw("part").select("p_partkey", F.array_join(s.annex_terms(F.concat(F.lit("50-00-0 갈라민트리에는 "), F.translate("p_brand", "#", "x"))), ",").alias("terms")),
-        "SELECT p_partkey, '50-00-0,갈라민트리에는,갈라민트리에,갈라민트리' || CASE WHEN length(b) >= 5 THEN ',' || b ELSE '' END AS terms FROM (SELECT p_partkey, replace(p_brand, '#', 'x') AS b FROM part)"),
+        lambda t: t.raw("part").select("p_partkey", F.array_join(s.annex_terms(F.concat(F.col("p_partkey").cast("string"), F.lit("-00-0 갈라민트"), F.when(F.col("p_partkey") % 2 == 0, "리에는 ").otherwise(" "), F.translate("p_brand", "#", "x"))), ",").alias("terms")),
+        """SELECT p_partkey, concat_ws(',', CASE WHEN length(CAST(p_partkey AS VARCHAR)) BETWEEN 2 AND 7 THEN p_partkey || '-00-0' END, CASE WHEN length(CAST(p_partkey AS VARCHAR)) = 1 THEN p_partkey || '-00-0' END,
+          CASE WHEN p_partkey % 2 = 0 THEN '갈라민트리에는,갈라민트리에,갈라민트리' END, CASE WHEN length(b) >= 5 THEN b END) AS terms FROM (SELECT p_partkey, replace(p_brand, '#', 'x') AS b FROM part)"""),
     "R5_query_prefixes": (
-        lambda t: t.raw("part").select("p_partkey", F.array_join(s.query_prefixes(F.concat(F.lit("화장품의 & | 화장품의 "), F.translate("p_brand", "#", "x"))), " | ").alias("q")),
-        "SELECT p_partkey, '화장품의 | 화장품 | ' || lower(replace(p_brand, '#', 'x')) AS q FROM part"),
+        lambda t: t.raw("part").select("p_partkey", F.array_join(s.query_prefixes(F.concat(F.lit("화장품의 & | "), F.when(F.col("p_partkey") % 2 == 0, "고시는 ").otherwise("화장품의 "), F.translate("p_brand", "#", "x"), F.lit(" 가나다"))), " | ").alias("q")),
+        "SELECT p_partkey, '화장품의 | 화장품 | ' || CASE WHEN p_partkey % 2 = 0 THEN '고시는 | ' ELSE '' END || lower(replace(p_brand, '#', 'x')) || ' | 가나다' AS q FROM part"),
     "R6_lexical_arm": (
-        _lexical,
-        sql("""SELECT query_id, version_id, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, version_id, path) - 1 AS rank FROM (
-          SELECT query_id, version_id, path, ordinal, count(DISTINCT pos) AS score FROM (SELECT version_id, path, ordinal, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
-            SELECT version_id, path, ordinal, list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^\\p{L}\\p{N}_.\\-/§]+'), lambda x: x <> '') AS w FROM clauses WHERE v = 1)) t
-          JOIN prefixes p ON starts_with(t.token, p.p) GROUP BY ALL)) WHERE rank < 40""", _Q)),
-    "R7_vector_arm": (lambda t: _vectors(t).select("query_id", "vec_id", F.round("score", 6).alias("score")), f"WITH {_VEC} SELECT query_id, vec_id, round(score, 6) AS score FROM vec"),
+        lambda t: s.lexical_arm(_scoped(t), _queries(t).select("query_id", "query", "cell_id"), by=("cell_id",)).select("query_id", "version_id", "path", "score", "rank"),
+        sql("SELECT query_id, version_id, path, score, rank FROM lex WHERE rank < 40", _ARMS)),
+    "R7_vector_arm": (
+        lambda t: _vectors(t).select("query_id", "vec_id", F.round("score", 6).alias("score")),
+        f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.replace('q.q', 'q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.replace('q.q', 'q.embedding')} DESC, e.vec_id) - 1 AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE rank < 40"),
     "R8_identifier_arm": (
         lambda t: s.identifier_arm(t.clauses(), t.documents().where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array(F.lit("A2"), F.lit("A3/I1")).alias("names"))).select("query_id", "version_id", "path"),
         sql("SELECT query_id, version_id, path FROM (SELECT d.doc_id AS query_id, c.*, row_number() OVER (PARTITION BY d.doc_id ORDER BY ordinal, version_id, path) AS rn FROM docs d, clauses c WHERE d.doc_id % 100 = 0 AND (c.path IN ('A2', 'A3/I1') OR string_split(c.path, '/')[1] = 'A2')) WHERE rn <= 40")),
     "R9_row_arm": (
-        lambda t: s.row_arm(_rows(t), _terms(t)),
-        """WITH cells AS (SELECT p_partkey AS row_id, lower(unnest([p_name, p_brand, p_type])) AS cell FROM part), terms AS (SELECT p_partkey AS query_id, lower(unnest([p_name, substr(p_type, 1, 6)])) AS term FROM part WHERE p_partkey % 100 = 0)
-        SELECT query_id, row_id, max(CASE WHEN cell = term THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS score FROM cells JOIN terms ON starts_with(cell, term) OR (length(cell) >= 4 AND starts_with(term, cell)) GROUP BY 1, 2"""),
+        lambda t: s.row_arm(_rows(t), _terms(t)).select("query_id", F.col("version_id").alias("row_id"), "score"),
+        """WITH cells AS (SELECT p_partkey AS row_id, unnest([p_name, p_brand, p_type]) AS cell FROM part), terms AS (SELECT p_partkey AS query_id, unnest([p_name, upper(substr(p_type, 1, 6))]) AS term FROM part WHERE p_partkey % 100 = 0)
+        SELECT query_id, row_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rn FROM (SELECT query_id, row_id, max(CASE WHEN cell = term THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS score FROM cells
+          JOIN terms ON starts_with(lower(cell), lower(term)) OR (length(cell) >= 4 AND starts_with(lower(term), lower(cell))) GROUP BY 1, 2)) WHERE rn <= 40"""),
     "R10_rank_fusion": (
-        lambda t: s.fuse(_arms(t)).select("query_id", "key", "rank"),
-        f"WITH {_ARMS} SELECT query_id, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS rank FROM fused) WHERE rank < 8"),
+        lambda t: s.fuse(s.arms_of(_queries(t), _scoped(t), _vector_index(t))).select("query_id", "version_id", "path", "rank", F.round("score", 6).alias("score")),
+        sql("SELECT query_id, version_id, path, rank, round(score, 6) AS score FROM fused WHERE rank < 8", _ARMS)),
+    "R11_date_scope": (
+        lambda t: s.date_scope(s.resolved_clauses(_retrieved(t), _clauses(t), t.versions()).join(_retrieved(t).select("query_id", "version_id", "path"), ["version_id", "path"]), ref_date()).select("query_id", F.col("scope").cast("string").alias("scope"), "straddles"),
+        sql("""SELECT query_id, CAST(coalesce(max(d) FILTER (WHERE d <= DATE '2024-12-01'), min(d) FILTER (WHERE d > DATE '2024-12-01')) AS VARCHAR) AS scope, coalesce(bool_or(d <= DATE '2024-12-01'), false) AND coalesce(bool_or(d > DATE '2024-12-01'), false) AS straddles
+          FROM (SELECT query_id, coalesce(h.effective_date, v.effective_date) AS d FROM hits h JOIN versions v USING (version_id)) GROUP BY 1""", _ARMS)),
     "R12_citable_paths": (
-        lambda t: s.passage_roots(t.clauses()).select("version_id", F.explode(F.array("root", "path")).alias("path")).distinct(),
-        sql("SELECT DISTINCT version_id, unnest([string_split(path, '/')[1], path]) AS path FROM clauses")),
+        lambda t: s.citable(_retrieved(t), p.rooted(_clauses(t))),
+        sql("SELECT query_id, version_id, path FROM hits UNION SELECT query_id, h.version_id, r.path FROM hits h JOIN heads USING (version_id) JOIN rooted r ON r.version_id = h.version_id AND r.root_ordinal = heads.ordinal WHERE heads.root = h.path", f"{_ROOTED}, {_ARMS}")),
     "R13_clause_resolution": (
-        lambda t: t.clauses().select("version_id", "path", "content_hash").join(t.versions().where("v = 2").select("version_id"), "version_id").where("path LIKE 'A1%'"),
-        sql("SELECT version_id, path, content_hash FROM clauses WHERE v = 2 AND path LIKE 'A1%'")),
+        lambda t: s.resolved_clauses(t.versions().where("v = 1").select("version_id", F.explode(F.array(F.lit("제1장"), F.lit("별표1/표1/행2"), F.lit("제9장"))).alias("path")), _clauses(t), t.versions()).select("version_id", "path", F.sha2("text", 256).alias("digest")),
+        sql("SELECT version_id, path, sha256(text) AS digest FROM tree WHERE path IN ('제1장', '별표1/표1/행2', '제9장')")),
     "R14_effective_dates": (
-        lambda t: t.clauses().join(t.versions().select("version_id", "effective_date"), "version_id").select("version_id", "path", F.coalesce(F.when(F.col("ordinal") % 6 == 0, F.lit("2025-01-01").cast("date")), "effective_date").cast("string").alias("day")),
-        sql("SELECT version_id, path, CAST(coalesce(CASE WHEN ordinal % 6 = 0 THEN DATE '2025-01-01' END, effective_date) AS VARCHAR) AS day FROM clauses JOIN versions USING (version_id)")),
+        lambda t: s.resolved_clauses(_clauses(t).select("version_id", "path"), _clauses(t), t.versions()).select("version_id", "path", F.col("effective_date").cast("string").alias("day")),
+        sql("SELECT version_id, path, CAST(coalesce(t.effective_date, v.effective_date) AS VARCHAR) AS day FROM tree t JOIN versions v USING (version_id)")),
     "R15_retrieve": (
-        lambda t: s.fuse(_arms(t)).join(t.raw("embeddings").select(F.col("vec_id").alias("key"), "label"), "key").select("query_id", "rank", "key", "label"),
-        f"WITH {_ARMS} SELECT query_id, rank, key, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS rank FROM fused) f JOIN embeddings e ON e.vec_id = f.key WHERE rank < 8"),
-    "G1_passage_roots": (lambda t: s.passage_roots(t.clauses()).where("path = root").select("version_id", "path"), sql("SELECT version_id, path FROM clauses WHERE NOT contains(path, '/')")),
-    "G2_tree_partition": (lambda t: s.passage_roots(t.clauses()).select("version_id", "path", "root"), sql("SELECT version_id, path, string_split(path, '/')[1] AS root FROM clauses")),
-    "G3_headers": (lambda t: _assembled(t).select("version_id", "root", "header"), sql("SELECT version_id, root, header FROM passages", _PASS)),
-    "G4_rendered_passages": (lambda t: _assembled(t).select("version_id", "root", F.sha2(F.array_join("blocks", "\n"), 256).alias("digest")), sql("SELECT version_id, root, sha256(body) AS digest FROM passages", _PASS)),
-    "G5_table_headers": (lambda t: _rows(t).select("row_id", F.array_join(F.map_keys("cells"), " | ").alias("header")), "SELECT p_partkey AS row_id, 'name | brand | type' AS header FROM part"),
-    "G6_fragments": (lambda t: s.fragments(_assembled(t)).select("version_id", "root", "fragment_index", "n_chars"), None),
+        lambda t: _retrieved(t).select("query_id", "rank", "version_id", "path", "kind", F.round("score", 6).alias("score")),
+        sql("SELECT query_id, rank, version_id, path, kind, round(score, 6) AS score FROM hits", _ARMS)),
+    "G1_passage_roots": (
+        lambda t: p.rooted(_clauses(t)).where("ordinal = root_ordinal").select("version_id", "path"), sql("SELECT version_id, root AS path FROM heads", _ROOTED)),
+    "G2_tree_partition": (
+        lambda t: p.rooted(_clauses(t)).select("version_id", "path", F.col("root_ordinal").cast("long").alias("root_ordinal")), sql("SELECT version_id, path, root_ordinal FROM rooted", _ROOTED)),
+    "G3_headers": (lambda t: _assembled(t).select("version_id", "root", "header"), sql("SELECT version_id, root, header FROM heads", _ROOTED)),
+    "G4_rendered_blocks": (
+        lambda t: _assembled(t).select("version_id", "root", F.explode("blocks").alias("b")).select("version_id", "root", F.sha2("b.text", 256).alias("digest")),
+        sql("SELECT h.version_id, h.root, sha256(parts.text) AS digest FROM parts JOIN heads h ON h.doc_id = parts.doc_id AND h.ordinal = parts.root_ordinal", _ROOTED)),
+    "G5_table_passages": (
+        lambda t: _assembled(t).where("scope = 'table_header'").select("version_id", "root", F.sha2("own", 256).alias("digest")),
+        sql("SELECT version_id, root, sha256(own) AS digest FROM owns WHERE kind = 'table'", _ROOTED)),
+    "G6_fragments": (lambda t: p.fragments(_assembled(t)).select("version_id", "root", "scope", "fragment_index", F.size("paths").alias("n_paths"), F.sha2("text", 256).alias("digest")), None),
+    "G7_capped_texts": (
+        lambda t: p.fragments(_assembled(t)).groupBy("version_id").agg(F.max(F.length("text") - F.length("root")).alias("longest"), F.count("*").alias("n")).select("version_id", (F.col("longest") <= 1200).alias("capped")),
+        sql("SELECT DISTINCT version_id, true AS capped FROM heads", _ROOTED)),
     "G8_incremental_index": (
-        lambda t: t.clauses().where("v = 2").select("doc_id", "path", "content_hash").join(t.clauses().where("v = 1").select("doc_id", "content_hash").distinct().withColumn("known", F.lit(True)), ["doc_id", "content_hash"], "left").groupBy(F.when(F.col("known"), "reuse").otherwise("embed").alias("action")).agg(F.count("*").alias("n")),
-        sql("SELECT CASE WHEN (doc_id, content_hash) IN (SELECT (doc_id, content_hash) FROM clauses WHERE v = 1) THEN 'reuse' ELSE 'embed' END AS action, count(*) AS n FROM clauses WHERE v = 2 GROUP BY 1")),
-    "G9_prune_fragments": (
-        lambda t: t.clauses().where("v = 1").join(t.clauses().where("v = 2").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "path").join(t.clauses().where("v = 2").select("doc_id", "path"), ["doc_id", "path"], "left_anti"),
-        sql("SELECT doc_id, path FROM clauses WHERE v = 1 AND doc_id % 3 <> 0 AND (doc_id, path) NOT IN (SELECT (doc_id, path) FROM clauses WHERE v = 2)")),
+        lambda t: p.index_actions(_heads(t), _index(t), MODEL, RULES).select("version_id", "root", "action"),
+        sql(f"SELECT n.version_id, n.root, CASE WHEN h.content_hash = n.content_hash AND model = '{MODEL}' AND rules = {RULES} THEN 'reuse' ELSE 'embed' END AS action FROM now n LEFT JOIN held h USING (version_id, root)", f"{_ROOTED}, {_INDEX}")),
+    "G9_prune_fragments": (lambda t: p.pruned(_index(t), _heads(t)).select("version_id", "root"), sql("SELECT version_id, root FROM held WHERE root = 'gone' AND version_id IN (SELECT version_id FROM now)", f"{_ROOTED}, {_INDEX}")),
     "G10_stale_versions": (
-        lambda t: t.versions().where("parsed AND version_id % 4 <> 0").unionByName(t.versions().where("parsed AND version_id % 8 = 0")).orderBy(F.desc("retrieved_at"), "version_id").limit(50).select("version_id"),
-        sql("SELECT version_id FROM versions WHERE parsed AND (version_id % 4 <> 0 OR version_id % 8 = 0) ORDER BY retrieved_at DESC, version_id LIMIT 50")),
+        lambda t: p.stale_versions(t.versions(), t.documents(), _index(t), MODEL, RULES, 50).select("version_id"),
+        sql(f"SELECT version_id FROM versions LEFT JOIN (SELECT version_id, bool_or(model <> '{MODEL}' OR rules <> {RULES}) AS other FROM held GROUP BY 1) USING (version_id) JOIN docs USING (doc_id) WHERE parsed AND doc_type <> 'feed' AND coalesce(other, true) ORDER BY retrieved_at DESC, version_id LIMIT 50", f"{_ROOTED}, {_INDEX}")),
     "G11_scope_histogram": (
-        lambda t: _assembled(t).select(F.when(F.size("blocks") > 3, "article_fragment").otherwise("article").alias("scope")).groupBy("scope").agg(F.count("*").alias("n")),
-        sql("SELECT CASE WHEN n > 3 THEN 'article_fragment' ELSE 'article' END AS scope, count(*) AS n FROM (SELECT count(*) AS n FROM rooted GROUP BY version_id, root) GROUP BY 1", _PASS)),
+        lambda t: _assembled(t).groupBy("scope").agg(F.count("*").alias("n")),
+        sql("SELECT CASE kind WHEN 'table' THEN 'table_header' WHEN 'form' THEN 'form' ELSE 'article' END AS scope, count(*) AS n FROM heads GROUP BY 1", _ROOTED)),
     "G12_index_coverage": (
-        lambda t: t.versions().where("parsed").join(t.document_cells(), "doc_id").groupBy("cell_id").agg(F.countDistinct("version_id").alias("versions"), F.count_if(F.col("version_id") % 4 != 0).alias("indexed")),
-        sql("SELECT cell_id, count(DISTINCT version_id) AS versions, count(*) FILTER (WHERE version_id % 4 <> 0) AS indexed FROM versions JOIN doc_cells USING (doc_id) WHERE parsed GROUP BY 1")),
+        lambda t: p.index_coverage(t.versions(), t.document_cells(), _index(t)),
+        sql("SELECT cell_id, count(DISTINCT version_id) AS versions, count(DISTINCT CASE WHEN version_id IN (SELECT version_id FROM held) THEN version_id END) AS indexed FROM versions JOIN doc_cells USING (doc_id) WHERE parsed GROUP BY 1", f"{_ROOTED}, {_INDEX}")),
 }

@@ -1,163 +1,266 @@
-"""XML, RSS and HTML sources.  A payload is one row; what it holds is exploded inside the batch that reads it."""
+"""XML, RSS and HTML sources.
+
+A payload is one row.  Reading it gives one row for each element (or table row), inside the batch that holds it; what
+those rows mean is joins, windows and groups over them.
+"""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.constants import STANDARD_STATUSES
+from clausewise.operators import texts as x
 
-ARTIFACT = "doc_id long, kind string, label string, empty boolean, n_chars int"
-CLAUSE = "doc_id long, ordinal int, path string, kind string, text string"
-
-
-def _parsed(xml: str | None) -> ET.Element | None:
-    try:
-        return ET.fromstring(xml) if xml else None
-    except ET.ParseError:
-        return None
-
-
-def _text(node: ET.Element | None, tag: str) -> str:
-    return (node.findtext(tag) or "").strip() if node is not None else ""
+ELEMENT = "doc_id long, place int, parent int, path array<string>, tag string, key string, text string"
 
 
 def _rows(frame: DataFrame, schema: str, fn, column: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame([(doc, *r) for doc, x in zip(rows["doc_id"], rows[column]) for r in fn(x)], columns=names)
+            yield pd.DataFrame([(doc, *r) for doc, body in zip(rows["doc_id"], rows[column]) for r in fn(body)], columns=names).astype(
+                {c.split()[0]: "Int32" for c in schema.split(", ") if c.endswith(" int")})
 
     return frame.select("doc_id", column).mapInPandas(run, schema)
 
 
-def statute_artifacts(payloads: DataFrame) -> DataFrame:
-    """The body and each annex of a statute; a number that occurs twice fails the payload, empty annexes are flagged."""
-
-    def read(xml):
-        root = _parsed(xml)
-        if root is None:
-            return [("drift", "missing_root", True, 0)]
-        out = [("body", _text(root.find("기본정보"), "법령ID"), False, len(xml))]
-        seen = set()
-        for unit in root.iter("별표단위"):
-            kind, number, branch = _text(unit, "별표구분") or "별표", _text(unit, "별표번호").lstrip("0"), _text(unit, "별표가지번호").lstrip("0")
-            label = f"{kind}{number}" + (f"의{branch}" if branch else "")
-            if label in seen:
-                return [("drift", "duplicate_annex", True, 0)]
-            seen.add(label)
-            body = _text(unit, "별표내용")
-            out.append(("annex", label, not body, len(body)))
-        return out
-
-    return _rows(payloads, ARTIFACT, read, "xml")
-
-
-def statute_clauses(payloads: DataFrame) -> DataFrame:
-    """Articles and their paragraphs; a paragraph without a number adds no segment."""
-    from clausewise.operators.texts import CIRCLED
-
-    def read(xml):
-        root = _parsed(xml)
-        out = []
-        for unit in root.iter("조문단위") if root is not None else ():
-            article = f"제{_text(unit, '조문번호')}조"
-            out.append((len(out), article, "prose", _text(unit, "조문내용")))
-            for para in unit.iter("항"):
-                mark = _text(para, "항번호")
-                if mark and mark in CIRCLED:
-                    out.append((len(out), f"{article}/제{CIRCLED.index(mark) + 1}항", "prose", _text(para, "항내용")))
-        return out
-
-    return _rows(payloads, CLAUSE, read, "xml")
-
-
-def canonical_xml(payloads: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``path<tab>text`` of every element with text, in document order, without dropped tags."""
-
-    def walk(node, path):
-        if node.tag in drop:
+def xml_elements(payloads: DataFrame) -> DataFrame:
+    """Elements of each payload (doc_id, xml) in document order: place, parent's place, tags from the root, own tag, the key attribute, own text.
+
+    A body that is not well-formed XML has one row without a tag.
+    """
+
+    def read(xml: str | None) -> Iterator[tuple]:
+        try:
+            root = ET.fromstring(xml or "")
+        except ET.ParseError:
+            yield 0, None, [], None, None, None
             return
-        here = f"{path}/{node.tag}"
-        if (node.text or "").strip():
-            yield f"{here}\t{node.text.strip()}"
-        for child in node:
-            yield from walk(child, here)
+        todo, place = [(root, None, ())], 0
+        while todo:
+            node, parent, above = todo.pop()
+            path = (*above, node.tag)
+            yield place, parent, list(path), node.tag, next((v for k, v in node.attrib.items() if k.endswith("키")), None), node.text
+            todo += [(child, place, path) for child in reversed(node)]
+            place += 1
+
+    return _rows(payloads, ELEMENT, read, "xml")
+
+
+def first_text(elements: DataFrame, *tags: str) -> DataFrame:
+    """doc_id, text: the first non-empty text of the first of ``tags`` that has any, wherever it stands."""
+    order = F.create_map(*(v for k, t in enumerate(tags) for v in (F.lit(t), F.lit(k))))
+    text = x.normalize_text(F.coalesce("text", F.lit("")))
+    found = elements.where(F.col("tag").isin(*tags)).select("doc_id", F.struct(order[F.col("tag")].alias("rank"), "place").alias("at"), text.alias("text")).where("text <> ''")
+    return found.groupBy("doc_id").agg(F.min_by("text", "at").alias("text"))
+
+
+def canonical_xml(elements: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, canonical: ``path<tab>text`` of every element with text, in document order, without dropped tags and what they hold."""
+    text = x.normalize_text(F.coalesce("text", F.lit("")))
+    kept = elements.where(F.col("tag").isNotNull())
+    if drop:
+        kept = kept.where(~F.arrays_overlap("path", F.array(*map(F.lit, drop))))
+    lines = kept.select("doc_id", "place", F.concat(F.lit("/"), F.array_join("path", "/"), F.lit("\t"), text).alias("line"), text.alias("text")).where("text <> ''")
+    return lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "line")))["line"], "\n").alias("canonical"))
+
+
+def annex_units(elements: DataFrame) -> DataFrame:
+    """doc_id, place, kind, label, title, content of annex units; a unit without a number is called by its rank."""
+    fields = ("별표구분", "별표번호", "별표가지번호", "별표제목", "별표내용")
+    # the first text of each field below its unit
+    units = elements.where("tag = '별표단위'").select("doc_id", F.col("place").alias("unit"))
+    values = elements.where(F.col("tag").isin(*fields)).select("doc_id", F.col("parent").alias("unit"), "tag", "place", x.normalize_text(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    by = values.groupBy("doc_id", "unit").agg(*(F.min_by(F.when(F.col("tag") == f, F.col("text")), F.when(F.col("tag") == f, F.col("place"))).alias(f) for f in fields))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
+    kind, number = F.coalesce("별표구분", F.lit("별표")), F.coalesce("별표번호", rank.cast("string"))
+    return units.join(by, ["doc_id", "unit"], "left").select(
+        "doc_id", F.col("unit").alias("place"), kind.alias("kind"), x.annex_label(kind, number, F.col("별표가지번호")).alias("label"), F.col("별표제목").alias("title"), F.coalesce("별표내용", F.lit("")).alias("content"))
+
+
+def artifacts(elements: DataFrame, id_tags: tuple[str, ...], content_tags: tuple[str, ...]) -> DataFrame:
+    """doc_id, kind (body, annex, empty_annex or drift), label, n_chars of each payload.
+
+    Two annexes of one label, a body without text and a payload that is no XML fail closed: the payload gives one
+    row of drift that names the signal.  Empty annexes are reported, not skipped.
+    """
+    broken = elements.where("tag IS NULL").select("doc_id", F.lit("missing_root").alias("signal"))
+    content = elements.where(F.col("tag").isin(*content_tags) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("doc_id").distinct()
+    empty = elements.where("tag IS NOT NULL").select("doc_id").distinct().join(content, "doc_id", "left_anti").select("doc_id", F.lit("zero_records").alias("signal"))
+    units = annex_units(elements)
+    twice = units.where("content <> ''").groupBy("doc_id", "label").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit("record_count_delta").alias("signal")).distinct()
+    drift = broken.unionByName(empty).unionByName(twice).groupBy("doc_id").agg(F.min("signal").alias("label"))
+    body = first_text(elements, *id_tags).select("doc_id", F.lit("body").alias("kind"), F.col("text").alias("label"), F.lit(None).cast("int").alias("n_chars"))
+    annexes = units.select("doc_id", F.when(F.col("content") == "", "empty_annex").otherwise("annex").alias("kind"), "label", F.length("content").alias("n_chars"))
+    sound = body.unionByName(annexes).join(drift, "doc_id", "left_anti")
+    return sound.unionByName(drift.select("doc_id", F.lit("drift").alias("kind"), "label", F.lit(None).cast("int").alias("n_chars")))
+
+
+# Tags of the two envelopes.
+LAW_TAGS = {"id_tags": ("법령ID",), "content_tags": ("조문내용",)}
+RULE_TAGS = {"id_tags": ("행정규칙ID", "행정규칙일련번호"), "content_tags": ("조문내용",)}
+
+
+def statute_artifacts(elements: DataFrame) -> DataFrame:
+    return artifacts(elements, **LAW_TAGS)
+
+
+def rule_artifacts(elements: DataFrame) -> DataFrame:
+    return artifacts(elements, **RULE_TAGS)
 
-    def read(xml):
-        root = _parsed(xml)
-        return [("\n".join(walk(root, "")) if root is not None else None,)]
 
-    return _rows(payloads, "doc_id long, canonical string", read, "xml")
+def pending_versions(elements: DataFrame, name: str, code: str = "시행예정") -> DataFrame:
+    """doc_id, number, day, rank: serial numbers of versions to come in a list, each with its first date, oldest first; names match exactly."""
+    fields = {"법령명한글": "name", "현행연혁코드": "code", "법령일련번호": "number", "시행일자": "day"}
+    values = elements.where(F.col("tag").isin(*fields)).groupBy("doc_id", F.col("parent").alias("row")).agg(
+        *(F.max(F.when(F.col("tag") == k, x.normalize_text(F.coalesce("text", F.lit(""))))).alias(v) for k, v in fields.items()))
+    kept = values.where((F.col("name") == name) & (F.col("code") == code) & (F.col("number") != "")).groupBy("doc_id", "number").agg(F.min("day").alias("day"))
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("day", "number")))
+
+
+# ---------------------------------------------------------------- dates of envelopes
+
+
+def envelope_date(elements: DataFrame) -> DataFrame:
+    """doc_id, day: the first date of entry into force that is one."""
+    days = elements.where("tag = '시행일자'").select("doc_id", "place", x.authority_date(F.col("text")).alias("day")).where("day IS NOT NULL")
+    return days.groupBy("doc_id").agg(F.min_by("day", "place").alias("day"))
+
+
+def annex_dates(elements: DataFrame) -> DataFrame:
+    """doc_id, label, day of ``date:label,label`` groups; a later group overwrites."""
+    groups = elements.where("tag = '별표시행일자문자열'").select("doc_id", "place", F.posexplode(F.split(x.normalize_text(F.coalesce("text", F.lit(""))), r"(?=\d{8}\s*:)")).alias("k", "g"))
+    dated = groups.select("doc_id", "place", "k", x.authority_date(F.regexp_extract("g", r"^\s*(\d{8})\s*:", 1)).alias("day"), F.posexplode(F.split(F.regexp_extract("g", r"(?s)^\s*\d{8}\s*:(.*)$", 1), ",")).alias("j", "raw")).where("day IS NOT NULL")
+    label = F.regexp_replace(F.trim("raw"), r"^[,;/|·ㆍ\s]+|[,;/|·ㆍ\s]+$", "")
+    return dated.withColumn("label", label).where("label <> ''").groupBy("doc_id", "label").agg(F.max_by("day", F.struct("place", "k", "j")).alias("day"))
+
+
+PHRASE_CHARS = 2000
+
+
+def enforcement_phrase(elements: DataFrame) -> DataFrame:
+    """doc_id, phrase: what the last addendum says of entry into force: the body of its first article, else the sentence itself."""
+    units = elements.where("tag = '부칙단위'").groupBy("doc_id").agg(F.max("place").alias("parent"))
+    body = elements.where("tag = '부칙내용'").join(units, ["doc_id", "parent"]).groupBy("doc_id").agg(F.min_by("text", "place").alias("text")).withColumn("text", x.normalize_text(F.coalesce("text", F.lit(""))))
+    article = x.normalize_text(F.regexp_extract("text", r"(?s)제\s*1\s*조\s*\(\s*시행일\s*\)(.*?)(?=\n\s*제\s*2\s*조|\z)", 1))
+    bare = x.normalize_text(F.regexp_extract("text", r"[^\n]*?(?:부터|날)\s*시행한다[^\n]*", 0))
+    phrase = F.coalesce(F.nullif(article, F.lit("")), F.nullif(bare, F.lit("")))
+    return body.select("doc_id", F.when(F.length(phrase) > PHRASE_CHARS, F.concat(F.substring(phrase, 1, PHRASE_CHARS - 1), F.lit("…"))).otherwise(phrase).alias("phrase"))
+
+
+# ---------------------------------------------------------------- feeds, lists
 
 
 def rss_date(raw: Column) -> Column:
     """RFC 822 dates as UTC timestamps, null where unreadable; the weekday says nothing and is not read."""
     bare = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace(bare, r"\s+(GMT|UT|UTC)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z")))
+    zoned = F.regexp_replace(bare, r"\s+(GMT|UT|UTC|Z)$", " +0000")
+    return F.coalesce(*(F.try_to_timestamp(zoned, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")))
 
 
-def rss_items(payloads: DataFrame) -> DataFrame:
-    items = payloads.select("doc_id", F.posexplode(F.expr("xpath(xml, '//item/title/text()')")).alias("item", "title"), F.expr("xpath(xml, '//item/pubDate/text()')").alias("dates"))
-    return items.select("doc_id", F.col("item").cast("long").alias("item"), "title", F.date_format(rss_date(F.get("dates", F.col("item"))), "yyyy-MM-dd HH:mm:ss").alias("published"))
+# Fixed value: the fields of an item that make its record.
+RSS_FIELDS = ("title", "link", "guid", "category", "pubDate")
+
+
+def rss_items(elements: DataFrame) -> DataFrame:
+    """doc_id, item (from 0), title, link, guid, category, pubDate, published: each item's own fields."""
+    items = elements.where("tag = 'item'").select("doc_id", F.col("place").alias("parent"))
+    values = elements.where(F.col("tag").isin(*RSS_FIELDS)).select("doc_id", "parent", "tag", x.normalize_text(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    by = values.groupBy("doc_id", "parent").agg(*(F.max(F.when(F.col("tag") == f, F.col("text"))).alias(f) for f in RSS_FIELDS))
+    joined = items.join(by, ["doc_id", "parent"], "left")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("parent")) - 1
+    return joined.select("doc_id", rank.cast("long").alias("item"), *RSS_FIELDS, rss_date(F.col("pubDate")).alias("published"))
+
+
+def latest_item(items: DataFrame) -> DataFrame:
+    return items.groupBy("doc_id").agg(F.count("*").alias("items"), F.max("published").alias("published"))
 
 
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.rows, self.row, self.cell, self.heads = [], None, None, False
+        self.head: list[str] = []
+        self.rows: list[list[tuple[str, str]]] = []
+        self.row: list[str] = []
+        self.cell: list[str] | None = None
+        self.is_head = False
 
     def handle_starttag(self, tag, attrs):
         if tag == "tr":
-            self.row, self.heads = [], False
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell, self.heads = "", self.heads or tag == "th"
+            self.row = []
+        elif tag in ("td", "th"):
+            self.cell, self.is_head = [], tag == "th"
 
     def handle_data(self, data):
         if self.cell is not None:
-            self.cell += data
+            self.cell.append(data)
 
     def handle_endtag(self, tag):
         if tag in ("td", "th") and self.cell is not None:
-            self.row.append(" ".join(self.cell.split()))
+            self.row.append(" ".join(" ".join(self.cell).split()))
             self.cell = None
-        elif tag == "tr" and self.row:
-            self.rows.append((self.heads, self.row))
-            self.row = None
+        elif tag == "tr":
+            if self.is_head and not self.head:
+                self.head = self.row
+            elif self.row:
+                names = self.head or [f"col{k}" for k in range(len(self.row))]
+                self.rows.append(list(dict(zip(names, self.row)).items()))
+            self.row, self.is_head = [], False
 
 
 def html_rows(pages: DataFrame) -> DataFrame:
-    """doc_id, row, cells: rows of a page's tables; the first row of header cells names the columns, else ``colN``."""
+    """doc_id, row, cells: rows of a page's tables; the first row of header cells names the columns, else ``colN`` from 0.
+
+    Cells beyond the header are left out, as in a record whose fields are named.
+    """
 
-    def read(html):
-        reader, head, out = _Tables(), [], []
+    def read(html: str | None) -> Iterator[tuple]:
+        reader = _Tables()
         reader.feed(html or "")
-        for heads, row in reader.rows:
-            if heads:
-                head = head or row
-            else:
-                out.append((len(out), [{"key": head[k] if k < len(head) else f"col{k + 1}", "value": v} for k, v in enumerate(row)]))
-        return out
+        reader.close()
+        for k, row in enumerate(reader.rows):
+            yield k, [{"key": name, "value": value} for name, value in row]
 
     return _rows(pages, "doc_id long, row int, cells array<struct<key:string,value:string>>", read, "html").withColumn("cells", F.map_from_entries("cells"))
 
 
+def listing_record(pages: DataFrame) -> DataFrame:
+    """doc_id, rows, content_hash of listing pages: all rows in canonical form, which view counts do not change."""
+    rows = html_rows(pages).select("doc_id", "row", x.canonical_record(F.col("cells")).alias("record"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("row", "record")))["record"], "\n\n"), 256).alias("content_hash"))
+
+
 # Labels of the columns of recognition lists, and words of a status in the order they are tried.
-LABELS = {"number": ("표준번호", "standard", "standard number", "번호"), "edition": ("판", "edition", "version", "발행연도")}
+LABELS = {
+    "number": ("표준번호", "standard", "standard number", "번호"), "edition": ("판", "edition", "version", "발행연도"),
+    "issuing_body": ("제정기관", "issuing body", "organization", "기관"), "recognition_number": ("인정번호", "recognition number", "recognition no", "고시번호"),
+    "title": ("표준명", "title", "명칭"), "effective_date": ("인정일", "효력발생일", "effective date", "date of entry"),
+    "withdrawal_date": ("철회일", "withdrawal date", "date of withdrawal"), "official_url": ("링크", "url", "link"),
+}
 STATUS_WORDS = (("인정", "recognized"), ("recognized", "recognized"), ("harmonised", "harmonized"), ("harmonized", "harmonized"), ("철회", "withdrawn"), ("withdrawn", "withdrawn"), ("대체", "superseded"), ("superseded", "superseded"))
 
 
 def recognitions(rows: DataFrame) -> DataFrame:
-    """number, edition, status of list rows; a row that names no standard is none."""
-    folded = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(F.lower(F.trim(e["key"])), e["value"])))
-    named = lambda field: F.coalesce(*(F.nullif(F.trim(F.try_element_at(folded, F.lit(label))), F.lit("")) for label in LABELS[field]))
+    """The named fields and the status of list rows (doc_id, cells); a row that names no standard is none."""
+    folded = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(F.lower(x.normalize_text(e["key"])), e["value"])))
+    named = lambda field: F.coalesce(*(F.nullif(x.normalize_text(F.try_element_at(folded, F.lit(label))), F.lit("")) for label in LABELS[field]))
     blob = F.lower(F.array_join(F.map_values("cells"), " "))
     status = None
     for word, value in STATUS_WORDS:
         status = F.when(blob.contains(word), value) if status is None else status.when(blob.contains(word), value)
-    return rows.select("doc_id", named("number").alias("number"), named("edition").alias("edition"), status.otherwise(STANDARD_STATUSES[-1]).alias("status")).where("number IS NOT NULL")
+    return rows.select("doc_id", *(named(f).alias(f) for f in LABELS), status.otherwise(STANDARD_STATUSES[-1]).alias("status")).where("number IS NOT NULL")
+
+
+# What the authority says behind HTTP 200 when a request failed.
+ERROR_MARKERS = ("사용자 정보 검증에 실패", "IP주소 및 도메인주소를 등록", "미신청된")
+
+
+def error_body(body: Column) -> Column:
+    return F.greatest(*(body.contains(m).cast("int") for m in ERROR_MARKERS)) > 0
