@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.constants import BACKOFF_BASE, BACKOFF_CAP, BULK_CLAUSES, DELIVERY_ATTEMPTS, NON_SUBSTANTIVE_KINDS, SEVERITIES, TIMEZONES
@@ -73,3 +73,102 @@ def latency(alerts: DataFrame, by: list[str], target_hours: int) -> DataFrame:
 def local_time(ts: Column, authority: Column) -> Column:
     zones = F.create_map(*(x for k, v in TIMEZONES.items() for x in (F.lit(k), F.lit(v))))
     return F.from_utc_timestamp(ts, F.coalesce(zones[authority], F.lit("UTC")))
+
+
+# ---------------------------------------------------------------- events and impact
+
+
+def amendments(versions: DataFrame, documents: DataFrame) -> DataFrame:
+    """version_id, doc_id, title, doc_type of amended versions."""
+    return versions.join(documents, "doc_id").select("version_id", "doc_id", "title", "doc_type")
+
+
+def version_events(events: DataFrame) -> DataFrame:
+    """Events with the path they are read at, ordered by cell and path."""
+    return events.withColumn("path", F.coalesce("new_path", "old_path")).orderBy("cell_id", "path")
+
+
+def locked_impact(events: DataFrame, citations: DataFrame, irs: DataFrame) -> DataFrame:
+    """cell_id, doc_id, irs: obligations ever locked (their status may be stale by now) whose citation an event touches, each counted once."""
+    touched = events.where("change_kind <> 'added'").select("cell_id", "doc_id", F.col("old_path").alias("path")).distinct()
+    return touched.join(citations, ["doc_id", "path"]).join(irs.where("locked_at IS NOT NULL").select("ir_id"), "ir_id", "left_semi").groupBy("cell_id", "doc_id").agg(F.countDistinct("ir_id").alias("irs"))
+
+
+def suppression(events: DataFrame) -> DataFrame:
+    """cell_id, doc_id, kept, suppressed, silent (nothing but renumbering and moves happened)."""
+    moved = F.col("change_kind").isin(*NON_SUBSTANTIVE_KINDS)
+    return events.groupBy("cell_id", "doc_id").agg(F.count_if(~moved).alias("kept"), F.count_if(moved).alias("suppressed")).withColumn("silent", F.col("kept") == 0)
+
+
+# ---------------------------------------------------------------- alerts on record
+
+
+def upserted(alerts: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Alerts after a run: one for each (tenant, cell_id, version_id), tenants compared null-safely; owner and delivery stay with what is on record, severity and counts are the new ones."""
+    key = ("tenant", "cell_id", "version_id")
+    on = None
+    for k in key:
+        same = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        on = same if on is None else on & same
+    both = alerts.withColumn("__old", F.lit(True)).alias("a").join(fresh.withColumn("__new", F.lit(True)).alias("b"), on, "full_outer")
+    old = F.col("a.__old").isNotNull()
+    pick = lambda c: F.when(old, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    return both.select(*(pick(k) for k in key), F.when(F.col("b.__new"), F.col("b.severity")).otherwise(F.col("a.severity")).alias("severity"), F.col("a.owner").alias("owner"), F.coalesce("a.delivery", F.lit("pending")).alias("delivery"))
+
+
+def assigned(alerts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alerts with their new owners, audit rows): the last request of an alert counts, and a change names the owner before."""
+    w = Window.partitionBy("alert_id").orderBy(F.desc("at"))
+    last = requests.withColumn("__k", F.row_number().over(w)).where("__k = 1").select("alert_id", F.col("owner").alias("__owner"), "at")
+    both = alerts.join(last, "alert_id", "left")
+    now = F.coalesce("__owner", "owner")
+    audit = both.where(F.col("__owner").isNotNull() & ~F.col("__owner").eqNullSafe(F.col("owner"))).select("alert_id", F.col("owner").alias("previous"), F.col("__owner").alias("owner"), "at")
+    return both.withColumn("owner", now).drop("__owner", "at"), audit
+
+
+def alert_page(alerts: DataFrame, attempts: DataFrame, severities: tuple[str, ...], page: int, size: int) -> DataFrame:
+    """A page of alerts (alert_id, severity, detected_at) of these severities, newest first, with the number of their deliveries."""
+    chosen = alerts.where(F.col("severity").isin(*severities)).orderBy(F.desc("detected_at"), "alert_id").offset((page - 1) * size).limit(size)
+    return chosen.join(attempts.groupBy("alert_id").agg(F.count("*").alias("deliveries")), "alert_id", "left").fillna(0, ["deliveries"])
+
+
+# Fixed value: channels that reach beyond the application.
+REMOTE = ("webhook", "email")
+
+
+def subscription_errors(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions with error: a remote channel needs a destination, an unknown channel is none."""
+    known = F.col("channel").isin("in_app", *REMOTE)
+    bare = F.trim(F.coalesce("destination", F.lit(""))) == ""
+    return subscriptions.withColumn("error", F.when(~known, "unknown_channel").when(F.col("channel").isin(*REMOTE) & bare, "no_destination"))
+
+
+def subscription_upsert(subscriptions: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Subscriptions by (tenant, cell_id, channel), tenants null-safely: incoming sound rows replace, others leave what is there."""
+    sound = subscription_errors(incoming).where("error IS NULL").drop("error")
+    on = F.col("a.tenant").eqNullSafe(F.col("b.tenant")) & (F.col("a.cell_id") == F.col("b.cell_id")) & (F.col("a.channel") == F.col("b.channel"))
+    kept = subscriptions.alias("a").join(sound.alias("b"), on, "left_anti")
+    return kept.unionByName(sound.select(*subscriptions.columns))
+
+
+def briefing(alerts: DataFrame, subscriptions: DataFrame, tenant: int | None, now: Column, hours: int) -> DataFrame:
+    """Alerts of a tenant's enabled cells in the last ``hours``, both ends included, the gravest first, then the newest."""
+    cells = subscriptions.where(F.col("enabled") & F.col("tenant").eqNullSafe(F.lit(tenant))).select("cell_id").distinct()
+    rows = alerts.where(F.col("detected_at").between(now - hours * 3600, now)).join(cells, "cell_id", "left_semi")
+    return rows.withColumn("rank", severity_rank(F.col("severity"))).orderBy(F.desc("rank"), F.desc("detected_at"), "alert_id").drop("rank")
+
+
+def briefing_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(F.col("owner").isNull()).alias("unassigned"))
+
+
+def detection_coverage(events: DataFrame, alerted: DataFrame) -> DataFrame:
+    """cell_id, emitted, alerted, coverage: distinct events (event_id) that some alert names, by all that were emitted; null where none was."""
+    seen = alerted.select("event_id").distinct().withColumn("__seen", F.lit(True))
+    by = events.select("cell_id", "event_id").distinct().join(seen, "event_id", "left").groupBy("cell_id").agg(F.count("*").alias("emitted"), F.count("__seen").alias("alerted"))
+    return by.withColumn("coverage", F.round(F.try_divide("alerted", "emitted"), 4))
+
+
+def watch_start(observations: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell_id, since: when anything of the cell was first fetched."""
+    return observations.join(cells, "doc_id").groupBy("cell_id").agg(F.min("fetched_at").alias("since"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.constants import CREDENTIAL_PARAMS, CREDENTIAL_PLACEHOLDER, MODALS, PERMISSIVE, TAXONOMY, VOLATILE_FIELDS
@@ -245,6 +245,19 @@ def is_filing(text: Column, kind: Column) -> Column:
     return (kind == "prose") & text.contains(ENUMERATES) & text.rlike(DOCUMENTS) & text.rlike(FILES) & ~text.rlike(NO_LIST) & ~text.rlike(EXEMPTS)
 
 
+def filing_items(clauses: DataFrame) -> DataFrame:
+    """version_id, path, items, sub_items: the children of each clause (ordinal, parent_ordinal) in order, and the paths of theirs."""
+    child = clauses.select("version_id", F.col("parent_ordinal").alias("ordinal"), F.struct("ordinal", "path").alias("child"), F.col("ordinal").alias("__own"))
+    grand = clauses.select("version_id", F.col("parent_ordinal").alias("__own"), F.struct("ordinal", "path").alias("grand"))
+    by = child.join(grand, ["version_id", "__own"], "left").groupBy("version_id", "ordinal").agg(F.sort_array(F.collect_set("child"))["path"].alias("items"), F.sort_array(F.collect_set("grand"))["path"].alias("sub_items"))
+    return clauses.select("version_id", "ordinal", "path").join(by, ["version_id", "ordinal"])
+
+
+def item_flags(text: Column, children: Column) -> Column:
+    """Struct (conditional, delegates, has_sub_items) of an item."""
+    return F.struct(text.rlike(CONDITIONAL).alias("conditional"), text.rlike(ITEM_DELEGATES).alias("delegates"), ((F.size(children) > 0) | text.contains(SUB_ITEMS)).alias("has_sub_items"))
+
+
 def form_reference(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(text, FORM, 0), r"\s+", " "), F.lit(""))
 
@@ -261,6 +274,7 @@ def caveats(text: Column, items: Column) -> Column:
 
 
 def folded(title: Column) -> Column:
+    """Lower case without blanks and middle dots; give it ``functions.nfc`` of a title where its form may vary."""
     return F.translate(F.lower(title), " ·ㆍ\t", "")
 
 

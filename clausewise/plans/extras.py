@@ -24,23 +24,4 @@ QUERIES = {
         lambda t: archive.archived(_payloads(t), _payloads(t).where("page_id % 3 = 0").select(F.sha2(F.col("body").cast("binary"), 256).alias("object_key"))).select("object_key"),
         "SELECT DISTINCT sha256(html) AS object_key FROM pages WHERE page_id % 5 <> 0 AND sha256(html) NOT IN (SELECT sha256(CASE WHEN page_id % 5 = 0 THEN html || '?key=abc' ELSE html END) FROM pages WHERE page_id % 3 = 0)"),
     "S19_paged_index": (_paged, "SELECT CAST(i + 1 AS INTEGER) AS page, true AS truncated, 100 AS n FROM range(20) AS r(i)"),
-    "P26_quarantine": (
-        lambda t: t.versions().join(t.clauses().groupBy("version_id").agg(F.count("*").alias("n")), "version_id", "left").select("version_id", F.when(F.coalesce("n", F.lit(0)) < 3, "quarantined").otherwise("kept").alias("fate")),
-        sql("SELECT version_id, CASE WHEN coalesce(n, 0) < 3 THEN 'quarantined' ELSE 'kept' END AS fate FROM versions LEFT JOIN (SELECT version_id, count(*) AS n FROM clauses GROUP BY 1) USING (version_id)")),
-    "X14_rederivation": (
-        lambda t: _irs(t).where("status = 'locked'").join(_diffs(t).where("change_kind <> 'added'").select("doc_id", F.col("old_path").alias("path"), "new_path"), ["doc_id", "path"])
-        .select("doc_id", "ir_id", F.when(F.col("new_path").isNull(), "unresolved").otherwise("successor").alias("link")).groupBy("doc_id", "link").agg(F.count("*").alias("n")),
-        sql("SELECT irs.doc_id, CASE WHEN new_path IS NULL THEN 'unresolved' ELSE 'successor' END AS link, count(*) AS n FROM irs JOIN diffs d ON d.doc_id = irs.doc_id AND d.old_path = irs.path WHERE status = 'locked' AND change_kind <> 'added' GROUP BY 1, 2", _with_diffs(_IRS))),
-    "X18_prompt_assembly": (
-        lambda t: t.legal_lines().select("doc_id", "ordinal", F.sha2(F.format_string("Clause %s\nModals: %s\n%s", F.col("ordinal").cast("string"), F.array_join(x.found_modals(F.col("line")), ", "), F.col("line")), 256).alias("digest")),
-        sql("SELECT doc_id, ordinal, sha256('Clause ' || ordinal || chr(10) || 'Modals: ' || CASE WHEN ordinal % 12 = 2 THEN '하여야 한다' ELSE '' END || chr(10) || line) AS digest FROM legal")),
-    "E32_newest_runs": (
-        lambda t: t.raw("events").where("event_type <> 'error'").groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list("event_id"), False), 1, 2).alias("r")).where("size(r) = 2").select("user_id", F.col("r")[0].alias("newest"), F.col("r")[1].alias("before")),
-        "SELECT user_id, l[1] AS newest, l[2] AS before FROM (SELECT user_id, list(event_id ORDER BY event_id DESC) AS l FROM events WHERE event_type <> 'error' GROUP BY 1) WHERE len(l) >= 2"),
-    "A1_canonical_entry": (
-        lambda t: t.raw("events").select("event_id", F.sha2(F.to_json(F.struct(F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("actor_id"), F.col("event_id").cast("string").alias("entity_id"))), 256).alias("entry_hash")),
-        """SELECT event_id, sha256('{"action":"' || event_type || '","actor_id":"' || user_id || '","entity_id":"' || event_id || '"}') AS entry_hash FROM events"""),
-    "B9_raw_artifacts": (
-        lambda t: t.raw("pages").select("page_id", F.length(F.col("html").cast("binary")).cast("long").alias("raw_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("object_key")),
-        "SELECT page_id, octet_length(encode(html)) AS raw_bytes, sha256(html) AS object_key FROM pages"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clausewise.adapt import sql
 from clausewise.operators import diff
 from clausewise.operators import monitoring as m
+from clausewise.plans.answers import _IRS, _ir_citations, _irs
 from clausewise.plans.diffs import DIFF_CTES
 
 _ALERTS = DIFF_CTES + """, events AS (SELECT * FROM diffs JOIN doc_cells USING (doc_id)),
@@ -49,19 +50,49 @@ def _states(t):
     return m.delivery_state(t.raw("lineitem").select(F.col("l_orderkey").alias("alert_id"), (F.col("l_suppkey") % 4).alias("subscription_id"), F.col("l_linenumber").alias("attempt"), F.when(F.col("l_returnflag") == "A", "sent").otherwise("failed").alias("status")))
 
 
+def _recorded(t):
+    """Order volume as alerts on record and of a run: some are only old, some only new; owners and deliveries are the old ones'."""
+    rows = _alerts(t).select("tenant", "cell_id", F.col("alert_id").alias("version_id"), "severity")
+    old = rows.where("version_id % 3 < 2").withColumn("severity", F.lit("low")).withColumn("owner", F.when(F.col("version_id") % 2 == 0, "kim")).withColumn("delivery", F.lit("sent"))
+    return old, rows.where("version_id % 3 > 0")
+
+
+def _noted(t):
+    """Alerts with owners and times of detection."""
+    k = F.col("alert_id")
+    return _alerts(t).select("alert_id", "cell_id", "tenant", "severity", (F.col("published") + k % 7 * 3600).alias("detected_at"), F.when(k % 2 == 0, "kim").alias("owner"))
+
+
+def _numbered(t):
+    """Events with a number of their own."""
+    return _events(t).withColumn("event_id", F.concat_ws("|", "cell_id", "doc_id", "old_path", "new_path"))
+
+
 def _timed(t):
     return _alerts(t).select("cell_id", (F.col("published") + F.col("alert_id") % 50 * 3600).alias("alerted_at"), F.when(F.col("alert_id") % 5 > 0, F.col("published")).alias("published_at"))
 
 
+def _requests(t):
+    """Two requests for each third alert; the later one counts."""
+    k = F.col("alert_id")
+    rows = _alerts(t).where("alert_id % 3 = 0")
+    return rows.select("alert_id", F.lit("choi").alias("owner"), F.lit(1).alias("at")).unionByName(rows.select("alert_id", F.when(k % 4 == 0, "park").otherwise("lee").alias("owner"), F.lit(2).alias("at")))
+
+
+def _channels(t):
+    k = F.col("subscription_id")
+    return _subs(t).select("subscription_id", "tenant", "cell_id", "floor", F.element_at(F.array(*map(F.lit, ("in_app", "webhook", "email", "fax"))), (k % 4 + 1).cast("int")).alias("channel"), F.when((k % 8 == 1) | (k % 4 == 2), "https://hook").when(k % 8 == 5, " ").alias("destination"))
+
+
 QUERIES = {
-    "M1_amendment_lookup": (lambda t: t.versions().join(t.documents(), "doc_id").select("version_id", "title", "doc_type"), sql("SELECT version_id, title, doc_type FROM versions JOIN docs USING (doc_id)")),
-    "M2_version_events": (lambda t: _events(t).select("doc_id", "cell_id", F.coalesce("new_path", "old_path").alias("path"), "change_kind"), sql("SELECT doc_id, cell_id, coalesce(new_path, old_path) AS path, change_kind FROM events", _ALERTS)),
+    "M1_amendment_lookup": (lambda t: m.amendments(t.versions(), t.documents()).select("version_id", "title", "doc_type"), sql("SELECT version_id, title, doc_type FROM versions JOIN docs USING (doc_id)")),
+    "M2_version_events": (lambda t: m.version_events(_events(t)).select("doc_id", "cell_id", "path", "change_kind"), sql("SELECT doc_id, cell_id, coalesce(new_path, old_path) AS path, change_kind FROM events", _ALERTS)),
     "M3_locked_impact": (
-        lambda t: _events(t).where("doc_id % 10 = 1 AND change_kind <> 'added'").groupBy("cell_id").agg(F.countDistinct(F.concat_ws("/", "doc_id", "old_path")).alias("irs")),
-        sql("SELECT cell_id, count(DISTINCT doc_id || '/' || old_path) AS irs FROM events WHERE doc_id % 10 = 1 AND change_kind <> 'added' GROUP BY 1", _ALERTS)),
+        lambda t: m.locked_impact(_events(t), _ir_citations(t), _irs(t)),
+        sql("SELECT e.cell_id, e.doc_id, count(DISTINCT i.ir_id) AS irs FROM (SELECT DISTINCT cell_id, doc_id, old_path FROM events WHERE change_kind <> 'added') e JOIN ir_cites c ON c.doc_id = e.doc_id AND c.path = e.old_path JOIN irs i ON i.ir_id = c.ir_id WHERE i.ordinal % 3 = 0 GROUP BY 1, 2", f"{_ALERTS}, {_IRS}")),
     "M4_substantive_events": (
-        lambda t: _events(t).groupBy("doc_id", "cell_id").agg(F.count_if(F.col("change_kind").isin("renumbered", "moved")).alias("suppressed"), F.count_if(~F.col("change_kind").isin("renumbered", "moved")).alias("kept")),
-        sql("SELECT doc_id, cell_id, count(*) FILTER (WHERE change_kind IN ('renumbered', 'moved')) AS suppressed, count(*) FILTER (WHERE change_kind NOT IN ('renumbered', 'moved')) AS kept FROM events GROUP BY 1, 2", _ALERTS)),
+        lambda t: m.suppression(_events(t)),
+        sql("SELECT doc_id, cell_id, count(*) FILTER (WHERE change_kind IN ('renumbered', 'moved')) AS suppressed, count(*) FILTER (WHERE change_kind NOT IN ('renumbered', 'moved')) AS kept, count(*) FILTER (WHERE change_kind NOT IN ('renumbered', 'moved')) = 0 AS silent FROM events GROUP BY 1, 2", _ALERTS)),
     "M5_tenant_fan_out": (
         lambda t: m.fanned_to_tenants(_alerts(t).select("alert_id", "cell_id"), _subs(t)).groupBy("alert_id").agg(F.count("*").alias("tenants")),
         f"WITH {_ORDERS} SELECT alert_id, count(*) AS tenants FROM al JOIN (SELECT DISTINCT cell_id, tenant FROM subs WHERE enabled) USING (cell_id) GROUP BY 1"),
@@ -69,8 +100,8 @@ QUERIES = {
         lambda t: m.composed(_events(t)).select("cell_id", "doc_id", "clause_count", "removed", "modified", "added", F.array_join("paths", ",").alias("paths")),
         sql("SELECT cell_id, doc_id, clause_count, removed, modified, added, array_to_string(paths, ',') AS paths FROM alerts", _ALERTS)),
     "M7_alert_upsert": (
-        lambda t: graded(t).select("cell_id", "doc_id", "severity").join(graded(t).where("doc_id % 2 = 0").select("cell_id", "doc_id", F.lit("kim").alias("owner")), ["cell_id", "doc_id"], "full_outer").select("cell_id", "doc_id", "severity", "owner"),
-        sql("SELECT cell_id, doc_id, severity, CASE WHEN doc_id % 2 = 0 THEN 'kim' END AS owner FROM graded", _ALERTS)),
+        lambda t: m.upserted(*_recorded(t)),
+        f"WITH {_ORDERS} SELECT tenant, cell_id, alert_id AS version_id, CASE WHEN alert_id % 3 > 0 THEN severity ELSE 'low' END AS severity, CASE WHEN alert_id % 3 < 2 AND alert_id % 2 = 0 THEN 'kim' END AS owner, CASE WHEN alert_id % 3 < 2 THEN 'sent' ELSE 'pending' END AS delivery FROM al"),
     "M8_graded_alerts": (lambda t: graded(t).select("cell_id", "doc_id", "clause_count", "severity", "basis"), sql("SELECT cell_id, doc_id, clause_count, severity, basis FROM graded", _ALERTS)),
     "M9_summaries": (
         lambda t: graded(t).select("cell_id", "doc_id", m.summary(F.lit("t"), F.create_map(F.lit("added"), F.col("added"), F.lit("modified"), F.col("modified"), F.lit("removed"), F.col("removed")), F.col("paths")).alias("summary")),
@@ -85,26 +116,35 @@ QUERIES = {
         lambda t: m.alert_status(_alerts(t), _states(t)),
         f"WITH {_ORDERS} SELECT al.alert_id, CASE WHEN retry THEN 'pending' WHEN sent OR retry IS NULL THEN 'delivered' ELSE 'failed' END AS status FROM al LEFT JOIN (SELECT alert_id, bool_or(state = 'retry') AS retry, bool_or(state = 'done') AS sent FROM states GROUP BY 1) s USING (alert_id)"),
     "M15_briefing": (
-        lambda t: _alerts(t).where("cell_id IN (1, 2, 3) AND published BETWEEN 830000000 AND 862400000").withColumn("r", m.severity_rank(F.col("severity"))).orderBy(F.desc("r"), F.desc("published"), "alert_id").select("alert_id", "severity"),
-        f"WITH {_ORDERS} SELECT alert_id, severity FROM al WHERE cell_id IN (1, 2, 3) AND published BETWEEN 830000000 AND 862400000"),
+        lambda t: m.briefing(_noted(t), _subs(t), 1, F.lit(886000000), 24 * 30).select("alert_id", "severity", "owner"),
+        f"WITH {_ORDERS} SELECT alert_id, severity, CASE WHEN alert_id % 2 = 0 THEN 'kim' END AS owner FROM al WHERE published + alert_id % 7 * 3600 BETWEEN 886000000 - 720 * 3600 AND 886000000 AND cell_id IN (SELECT cell_id FROM subs WHERE enabled AND tenant = 1)"),
+    "M15_briefing_counts": (
+        lambda t: m.briefing_counts(m.briefing(_noted(t), _subs(t), None, F.lit(886000000), 24 * 30)),
+        f"WITH {_ORDERS} SELECT severity, count(*) AS n, count(*) FILTER (WHERE alert_id % 2 = 1) AS unassigned FROM al WHERE published + alert_id % 7 * 3600 BETWEEN 886000000 - 720 * 3600 AND 886000000 AND cell_id IN (SELECT cell_id FROM subs WHERE enabled AND tenant IS NULL) GROUP BY 1"),
     "M16_local_time": (
-        lambda t: _alerts(t).select("alert_id", F.date_format(m.local_time(F.timestamp_seconds("published"), F.lit("mfds")), "yyyy-MM-dd HH:mm:ss").alias("local")),
-        f"WITH {_ORDERS} SELECT alert_id, strftime(to_timestamp(published) AT TIME ZONE 'UTC' + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM al"),
+        lambda t: _alerts(t).select("alert_id", F.date_format(m.local_time(F.timestamp_seconds("published"), F.element_at(F.array(*map(F.lit, ("mfds", "fda", "eu", "nmpa", "other"))), (F.col("alert_id") % 5 + 1).cast("int"))), "yyyy-MM-dd HH:mm:ss").alias("local")),
+        f"WITH {_ORDERS} SELECT alert_id, strftime(timezone(['Asia/Seoul', 'America/New_York', 'Europe/Brussels', 'Asia/Shanghai', 'UTC'][alert_id % 5 + 1], to_timestamp(published)), '%Y-%m-%d %H:%M:%S') AS local FROM al"),
     "M17_detection_coverage": (
-        lambda t: _events(t).withColumn("substantive", ~F.col("change_kind").isin("renumbered", "moved")).groupBy("cell_id").agg(F.count("*").alias("emitted"), F.count_if("substantive").alias("alerted"), F.round(F.count_if("substantive") / F.nullif(F.count("*"), F.lit(0)), 4).alias("coverage")),
+        lambda t: m.detection_coverage(_numbered(t), diff.substantive(_numbered(t))),
         sql("SELECT cell_id, count(*) AS emitted, count(*) FILTER (WHERE change_kind NOT IN ('renumbered','moved')) AS alerted, round(count(*) FILTER (WHERE change_kind NOT IN ('renumbered','moved')) / count(*), 4) AS coverage FROM events GROUP BY 1", _ALERTS)),
     "M18_latency": (
         lambda t: m.latency(_timed(t), ["cell_id"], 24),
         f"WITH {_ORDERS} SELECT cell_id, count(*) FILTER (WHERE alert_id % 5 > 0) AS measured, count(*) FILTER (WHERE alert_id % 5 = 0) AS unmeasurable, CAST(max(CASE WHEN alert_id % 5 > 0 THEN alert_id % 50 END) AS DOUBLE) AS worst_hours, count(*) FILTER (WHERE alert_id % 5 > 0 AND alert_id % 50 <= 24) AS within_target FROM al GROUP BY 1"),
     "M19_watch_start": (
-        lambda t: t.versions().join(t.document_cells(), "doc_id").groupBy("cell_id").agg(F.min("retrieved_at").alias("since")), sql("SELECT cell_id, min(retrieved_at) AS since FROM versions JOIN doc_cells USING (doc_id) GROUP BY 1")),
+        lambda t: m.watch_start(t.versions().select("doc_id", F.col("retrieved_at").alias("fetched_at")), t.document_cells()), sql("SELECT cell_id, min(retrieved_at) AS since FROM versions JOIN doc_cells USING (doc_id) GROUP BY 1")),
     "M20_alert_page": (
-        lambda t: _alerts(t).where("severity = 'high'").orderBy(F.desc("published"), "alert_id").offset(20).limit(20).select("alert_id").join(_states(t).groupBy("alert_id").agg(F.count("*").alias("deliveries")), "alert_id", "left").fillna(0),
-        f"WITH {_ORDERS} SELECT alert_id, coalesce(deliveries, 0) AS deliveries FROM (SELECT alert_id FROM al WHERE severity = 'high' ORDER BY published DESC, alert_id LIMIT 20 OFFSET 20) LEFT JOIN (SELECT alert_id, count(*) AS deliveries FROM states GROUP BY 1) USING (alert_id)"),
+        lambda t: m.alert_page(_noted(t), _states(t), ("high", "medium"), 2, 20).select("alert_id", "deliveries"),
+        f"WITH {_ORDERS} SELECT alert_id, coalesce(deliveries, 0) AS deliveries FROM (SELECT alert_id FROM al WHERE severity <> 'low' ORDER BY published + alert_id % 7 * 3600 DESC, alert_id LIMIT 20 OFFSET 20) LEFT JOIN (SELECT alert_id, count(*) AS deliveries FROM states GROUP BY 1) USING (alert_id)"),
     "M21_owner_assignment": (
-        lambda t: _alerts(t).select("alert_id", F.when(F.col("alert_id") % 2 == 0, "kim").alias("previous"), F.when(F.col("alert_id") % 3 == 0, "lee").when(F.col("alert_id") % 2 == 0, "kim").alias("owner")).where("owner IS DISTINCT FROM previous"),
-        f"WITH {_ORDERS} SELECT alert_id, CASE WHEN alert_id % 2 = 0 THEN 'kim' END AS previous, 'lee' AS owner FROM al WHERE alert_id % 3 = 0"),
+        lambda t: m.assigned(_noted(t), _requests(t))[1],
+        f"WITH {_ORDERS} SELECT alert_id, CASE WHEN alert_id % 2 = 0 THEN 'kim' END AS previous, CASE WHEN alert_id % 4 = 0 THEN 'park' ELSE 'lee' END AS owner, 2 AS at FROM al WHERE alert_id % 3 = 0"),
+    "M21_owners": (
+        lambda t: m.assigned(_noted(t), _requests(t))[0].select("alert_id", "owner"),
+        f"WITH {_ORDERS} SELECT alert_id, CASE WHEN alert_id % 3 = 0 THEN CASE WHEN alert_id % 4 = 0 THEN 'park' ELSE 'lee' END WHEN alert_id % 2 = 0 THEN 'kim' END AS owner FROM al"),
     "M22_subscription_checks": (
-        lambda t: _subs(t).select("subscription_id", F.when(F.col("subscription_id") % 2 == 0, "webhook").otherwise("in_app").alias("channel"), F.when(F.col("subscription_id") % 4 == 0, "https://hook").alias("destination")).where("channel = 'in_app' OR destination IS NOT NULL").select("subscription_id"),
-        f"WITH {_ORDERS} SELECT subscription_id FROM subs WHERE subscription_id % 2 = 1 OR subscription_id % 4 = 0"),
+        lambda t: m.subscription_errors(_channels(t)).select("subscription_id", "error"),
+        f"WITH {_ORDERS} SELECT subscription_id, CASE subscription_id % 4 WHEN 3 THEN 'unknown_channel' WHEN 1 THEN CASE WHEN subscription_id % 8 = 1 THEN NULL ELSE 'no_destination' END END AS error FROM subs"),
+    "M22_subscription_upsert": (
+        lambda t: m.subscription_upsert(_channels(t).where("subscription_id % 3 > 0").withColumn("floor", F.lit("old")), _channels(t).where("subscription_id % 3 < 2")).groupBy("channel", "floor").agg(F.count("*").alias("n")),
+        f"WITH {_ORDERS}, ch AS (SELECT *, ['in_app', 'webhook', 'email', 'fax'][subscription_id % 4 + 1] AS channel, subscription_id % 4 IN (0, 2) OR subscription_id % 8 = 1 AS sound FROM subs), fresh AS (SELECT * FROM ch WHERE subscription_id % 3 < 2 AND sound) SELECT channel, floor, count(*) AS n FROM (SELECT channel, 'old' AS floor FROM ch WHERE subscription_id % 3 > 0 AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.tenant IS NOT DISTINCT FROM ch.tenant AND f.cell_id = ch.cell_id AND f.channel = ch.channel) UNION ALL SELECT channel, floor FROM fresh) GROUP BY 1, 2"),
 }

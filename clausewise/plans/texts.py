@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausewise.adapt import sql
 from clausewise.constants import DISCOVERY_EXCLUSIONS, DISCOVERY_KEYWORDS, STANDARD_STATUSES
 from clausewise.functions import nfc
+from clausewise.operators import ingest
 from clausewise.operators import texts as x
 
 _STYLE = """CASE WHEN regexp_matches(s, '^제\\d+(편|장|절|관)') THEN 'chapter' WHEN regexp_matches(s, '^제\\d+조') THEN 'article'
@@ -16,11 +17,17 @@ _STYLE = """CASE WHEN regexp_matches(s, '^제\\d+(편|장|절|관)') THEN 'chapt
   WHEN regexp_matches(s, '^[가나다라마바사아자차카타파하]\\.\\s*\\S') THEN 'hangul_dot' WHEN regexp_matches(s, '^[가나다라마바사아자차카타파하]\\)\\s*\\S') THEN 'hangul_paren'
   WHEN regexp_matches(s, '^[-–—·ㆍ*○●□■]\\s+\\S') THEN 'bullet' END"""
 MARKED = f"marked AS (SELECT *, {_STYLE} AS style FROM (SELECT *, trim(line) AS s FROM legal))"
-_TRIAGE = """CASE WHEN length(trim(line)) < 10 THEN 'empty' WHEN regexp_matches(line, '^제\\d+조\\(정의\\)') THEN 'definition'
+TRIAGE = """CASE WHEN length(trim(line)) < 10 THEN 'empty' WHEN regexp_matches(line, '^제\\d+조\\(정의\\)') THEN 'definition'
   WHEN regexp_matches(line, '하여야\\s*(한다|하며|하고|하는|할|함)') THEN NULL WHEN regexp_matches(line, '총리령(으)?로\\s*정(한다|하는)') THEN 'delegation'
   WHEN regexp_matches(line, '수\\s*있다') THEN 'permissive' ELSE 'no_obligation' END"""
 
 
+# Phrases of the front matter of a standard.
+BODY_TEXT_MARKERS = (
+    "all rights reserved. unless otherwise specified", "no part of this publication may be reproduced", "iso copyright office", "iec central office", "permission can be requested from either iso",
+)
+
+
 def _decomposed(column):
     """The text with an accent put behind each e, as decomposed input has it."""
     return F.replace(column, F.lit("e"), F.lit("e\u0301"))
@@ -100,18 +107,18 @@ QUERIES = {
         lambda t: t.raw("part").select("p_partkey", x.normalized_label(F.concat(F.lit("원 료  명 "), F.col("p_brand"), F.lit("  x"))).alias("label")),
         "SELECT p_partkey, '원료명 ' || p_brand || ' x' AS label FROM part"),
     "P22_clause_date": (
-        lambda t: t.clauses().join(t.versions(), ["version_id", "doc_id", "v"]).select("version_id", "path", F.expr("nullif(CASE WHEN ordinal % 2 = 0 THEN effective_date ELSE date_add(effective_date, 30) END, effective_date)").cast("string").alias("clause_date")),
+        lambda t: ingest.own_dates(t.clauses().join(t.versions().select("version_id", F.col("effective_date").alias("d")), "version_id").withColumn("effective_date", F.when(F.col("ordinal") % 2 == 0, F.col("d")).otherwise(F.date_add("d", 30))), t.versions())
+        .select("version_id", "path", F.col("effective_date").cast("string").alias("clause_date")),
         sql("SELECT version_id, path, CAST(CASE WHEN ordinal % 2 = 1 THEN effective_date + 30 END AS VARCHAR) AS clause_date FROM clauses JOIN versions USING (version_id, doc_id, v)")),
     "P23_path_and_level": (
         lambda t: t.clauses().select("version_id", "path", F.size(F.split("path", "/")).cast("long").alias("level"), F.element_at(F.split("path", "/"), -1).alias("tail")),
         sql("SELECT version_id, path, len(string_split(path, '/')) AS level, string_split(path, '/')[-1] AS tail FROM clauses")),
     "P24_parents": (
-        lambda t: t.clauses().where("v = 1").select("version_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("parent")).where("parent <> ''")
-        .join(t.clauses().where("v = 1").select("version_id", F.col("path").alias("parent"), F.col("ordinal").alias("parent_ordinal")), ["version_id", "parent"]).select("version_id", "path", "parent_ordinal"),
-        sql("SELECT c.version_id, c.path, p.ordinal AS parent_ordinal FROM clauses c JOIN clauses p ON p.version_id = c.version_id AND p.path = string_split(c.path, '/')[1] WHERE c.v = 1 AND contains(c.path, '/')")),
+        lambda t: ingest.with_parents(t.clauses()).select("version_id", "path", "clause_id", "parent_id"),
+        sql("SELECT c.version_id, c.path, c.version_id || ':' || c.ordinal AS clause_id, p.version_id || ':' || p.ordinal AS parent_id FROM clauses c LEFT JOIN clauses p ON p.version_id = c.version_id AND contains(c.path, '/') AND p.path = string_split(c.path, '/')[1]")),
     "X1_triage": (
         lambda t: t.legal_lines().select("doc_id", "ordinal", x.triage(F.lit("prose"), F.array(F.lit("제1조")), F.lit(None).cast("string"), F.col("line")).alias("t")).select("doc_id", "ordinal", "t.kind", "t.reason"),
-        sql(f"SELECT doc_id, ordinal, CASE WHEN reason IS NULL THEN 'obligation_bearing' ELSE 'excluded' END AS kind, reason FROM (SELECT *, {_TRIAGE} AS reason FROM legal)")),
+        sql(f"SELECT doc_id, ordinal, CASE WHEN reason IS NULL THEN 'obligation_bearing' ELSE 'excluded' END AS kind, reason FROM (SELECT *, {TRIAGE} AS reason FROM legal)")),
     "X2_modals": (
         lambda t: t.legal_lines().select("doc_id", "ordinal", F.array_join(x.found_modals(F.concat("line", F.when(F.col("ordinal") % 3 == 0, " 금지된다").otherwise(""))), ",").alias("modals")),
         sql("SELECT doc_id, ordinal, concat_ws(',', CASE WHEN ordinal % 12 = 2 THEN '하여야 한다' END, CASE WHEN ordinal % 3 = 0 THEN '금지한다' END) AS modals FROM legal")),
@@ -124,24 +131,13 @@ QUERIES = {
     "X5_canonical_codes": (
         lambda t: t.raw("events").select("event_id", x.canonical_taxonomy(F.when(F.col("event_type") == "click", " Design-Control").otherwise("Risk Mgmt"), "samd").alias("code"), x.canonical_modal(F.when(F.col("event_type") == "view", "하여야 하며").otherwise(F.col("event_type"))).alias("modal")),
         "SELECT event_id, CASE WHEN event_type = 'click' THEN 'design_control' END AS code, CASE WHEN event_type = 'view' THEN '하여야 한다' END AS modal FROM events"),
-    "X8_classification_ledger": (
-        lambda t: t.legal_lines().select("doc_id", "ordinal", x.triage(F.lit("prose"), F.array(F.lit("x")), F.lit(None).cast("string"), F.col("line")).alias("t"))
-        .select("doc_id", "ordinal", F.when(F.col("ordinal") % 9 == 0, "definition").otherwise(F.col("t.reason")).alias("reason"), (F.col("ordinal") % 9 == 0).alias("by_person")).groupBy("doc_id", "reason", "by_person").agg(F.count("*").alias("n")),
-        sql(f"SELECT doc_id, reason, by_person, count(*) AS n FROM (SELECT doc_id, CASE WHEN ordinal % 9 = 0 THEN 'definition' ELSE {_TRIAGE} END AS reason, ordinal % 9 = 0 AS by_person FROM legal) GROUP BY ALL")),
-    "X9_claiming_domains": (
-        lambda t: t.document_cells().select("doc_id", F.split("cell_id", "-")[1].alias("domain")).distinct(),
-        sql("SELECT DISTINCT doc_id, string_split(cell_id, '-')[2] AS domain FROM doc_cells")),
-    "X15_extraction_coverage": (
-        lambda t: t.legal_lines().join(t.documents().select("doc_id", "domain"), "doc_id").select("domain", x.triage(F.lit("prose"), F.array(F.lit("x")), F.lit(None).cast("string"), F.col("line"))["reason"].alias("reason"))
-        .groupBy("domain").agg(F.count("*").alias("classified"), F.count_if(F.col("reason").isNull()).alias("bearing"), F.count_if(F.col("reason") == "delegation").alias("delegation"), F.count_if(F.col("reason") == "permissive").alias("permissive")),
-        sql(f"SELECT domain, count(*) AS classified, count(*) FILTER (WHERE reason IS NULL) AS bearing, count(*) FILTER (WHERE reason = 'delegation') AS delegation, count(*) FILTER (WHERE reason = 'permissive') AS permissive FROM (SELECT domain, {_TRIAGE} AS reason FROM legal JOIN docs USING (doc_id)) GROUP BY 1")),
     "U1_filing_clauses": (lambda t: _filing(t)[0].select("doc_id", F.col("root").cast("long").alias("root")), sql("SELECT doc_id, root FROM fheads", _FILING)),
     "U2_filing_items": (
-        lambda t: _filing(t)[0].select("doc_id", "root").join(_filing(t)[1], ["doc_id", "root"]).groupBy("doc_id", "root").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("ordinal", "text")))["text"], "\n"), 256).alias("digest")).withColumn("root", F.col("root").cast("long")),
-        sql("SELECT doc_id, root, count(*) AS n_items, sha256(string_agg(i.text, chr(10) ORDER BY ordinal)) AS digest FROM fheads h JOIN fitems i USING (doc_id, root) GROUP BY 1, 2", _FILING)),
+        lambda t: x.filing_items(t.tree().where("kind = 'prose'")).select("version_id", "path", F.array_join("items", ",").alias("items"), F.array_join("sub_items", ",").alias("sub_items")),
+        sql("SELECT q.version_id, q.path, string_agg(c.path, ',' ORDER BY c.ordinal) AS items, coalesce((SELECT string_agg(g.path, ',' ORDER BY g.ordinal) FROM tree g JOIN tree c2 ON c2.doc_id = g.doc_id AND c2.ordinal = g.parent_ordinal WHERE g.doc_id = q.doc_id AND c2.parent_ordinal = q.ordinal AND g.kind = 'prose' AND c2.kind = 'prose'), '') AS sub_items FROM tree q JOIN tree c ON c.doc_id = q.doc_id AND c.parent_ordinal = q.ordinal WHERE q.kind = 'prose' AND c.kind = 'prose' GROUP BY q.version_id, q.doc_id, q.ordinal, q.path")),
     "U3_item_flags": (
-        lambda t: _filing(t)[1].select("doc_id", "ordinal", F.col("text").rlike(x.CONDITIONAL).alias("conditional"), F.col("text").rlike(x.ITEM_DELEGATES).alias("delegates"), F.col("text").contains(x.SUB_ITEMS).alias("has_sub_items")),
-        sql("SELECT doc_id, ordinal, ordinal % 7 = 0 AS conditional, false AS delegates, ordinal % 7 <> 0 AND ordinal % 11 = 0 AS has_sub_items FROM fitems", _FILING)),
+        lambda t: _filing(t)[1].withColumn("text", F.concat("text", F.when(F.col("ordinal") % 5 == 2, " 총리령으로 정하는 서류").otherwise(""))).select("doc_id", "ordinal", x.item_flags(F.col("text"), F.when(F.col("ordinal") % 13 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))).alias("f")).select("doc_id", "ordinal", "f.*"),
+        sql("SELECT doc_id, ordinal, ordinal % 7 = 0 AS conditional, ordinal % 5 = 2 AS delegates, ordinal % 13 = 0 OR ordinal % 7 <> 0 AND ordinal % 11 = 0 AS has_sub_items FROM fitems", _FILING)),
     "U6_caveats": (
         _caveats,
         sql("""SELECT doc_id, root, caveats, caveats = '' AS definitive FROM (SELECT h.doc_id, h.root, concat_ws(',', CASE WHEN coalesce(bool_or(i.ordinal % 7 = 0), false) THEN 'conditional_items' END,
@@ -157,6 +153,6 @@ QUERIES = {
         .select("doc_id", F.array_join(x.keyword_cells(F.col("n"), DISCOVERY_KEYWORDS, DISCOVERY_EXCLUSIONS), ",").alias("cells"), x.first_exclusion(F.col("n"), DISCOVERY_EXCLUSIONS).alias("exclusion")),
         sql("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'mfds_cosmetic' WHEN 1 THEN 'mfds_samd,mfds_cosmetic' ELSE '' END AS cells, CASE WHEN doc_id % 3 = 2 THEN '체외진단' END AS exclusion FROM docs")),
     "H8_text_scan": (
-        lambda t: t.raw("documents").where(F.lower("text").contains("licensed under") | F.lower("text").contains("all rights reserved")).select("doc_id"),
-        "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under') OR contains(lower(text), 'all rights reserved')"),
+        lambda t: ingest.marker_phrases(t.raw("documents").withColumn("text", F.concat("text", F.when(F.col("doc_id") % 7 == 0, " No part of this publication may be Reproduced").when(F.col("doc_id") % 7 == 1, " IEC Central Office, ISO Copyright Office").otherwise(""))), BODY_TEXT_MARKERS),
+        "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'no part of this publication may be reproduced' ELSE 'iso copyright office' END AS phrase FROM documents WHERE doc_id % 7 < 2"),
 }
