@@ -93,25 +93,34 @@ def paths_page(clauses: DataFrame, size: int) -> DataFrame:
     return clauses.withColumn("page", F.floor((F.row_number().over(w) - 1) / size) + 1)
 
 
-def audit_chain(entries: DataFrame, genesis: str) -> DataFrame:
-    """Entry hashes of a log: each entry's canonical form with its predecessor's hash (a fold within each chain).
+CHAIN_BLOCK = 1000
+
+
+def canonical_entry(action: Column, actor: Column, entity_type: Column, entity_id: Column, at: Column, payload: Column) -> Column:
+    """An audit entry as compact JSON with sorted keys and its time in UTC; payloads are maps, whose keys are sorted too."""
+    utc = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = F.map_from_entries(F.array_sort(F.map_entries(payload)))
+    return F.to_json(F.struct(action.alias("action"), actor.alias("actor_id"), utc.alias("at"), entity_id.alias("entity_id"), entity_type.alias("entity_type"), body.alias("payload")), {"ignoreNullFields": "false"})
 
-    A hash needs the one before it, so a chain is inherently sequential; chains are independent of each other.
-    """
-    import hashlib
 
-    import pandas as pd
+def entry_hash(body: Column, previous: Column) -> Column:
+    return F.sha2(F.concat(body, previous), 256)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        before, prev, own = genesis, [], []
-        for body in rows["body"]:
-            prev.append(before)
-            before = hashlib.sha256((body + before).encode()).hexdigest()
-            own.append(before)
-        return rows.assign(prev_hash=prev, entry_hash=own)[["chain", "seq", "body", "prev_hash", "entry_hash"]]
 
-    return entries.groupBy("chain").applyInPandas(fold, "chain long, seq long, body string, prev_hash string, entry_hash string")
+def audit_chain(entries: DataFrame, genesis: str) -> DataFrame:
+    """Entry hashes of a log (chain, seq, body): each entry's canonical form with its predecessor's hash.
+
+    A hash needs the one before it, so a chain is a fold over its sorted entries, chains are independent of each other, and
+    the fold carries digests of bodies, not bodies, from one entry to the next.
+    """
+    log = F.sort_array(F.collect_list(F.struct("seq", F.struct("body").alias("e")))).alias("log")
+    # blocks of hashes, each led by the last one before it, so appending copies a block and not the chain
+    block = lambda acc, at: F.aggregate(F.slice("log", at, CHAIN_BLOCK), F.array(F.element_at(F.element_at(acc, -1), -1)), lambda done, e: F.concat(done, F.array(entry_hash(e["e"]["body"], F.element_at(done, -1)))))
+    blocks = F.aggregate(F.sequence(F.lit(1), F.size("log"), F.lit(CHAIN_BLOCK)), F.array(F.array(F.lit(genesis), F.lit(genesis))), lambda acc, at: F.concat(acc, F.array(block(acc, at))))
+    folded = F.flatten(F.transform(blocks, lambda b: F.slice(b, 2, F.size(b))))
+    chains = entries.groupBy("chain").agg(log).withColumn("hashes", folded)
+    each = chains.select("chain", "hashes", F.posexplode("log").alias("k", "entry"))
+    return each.select("chain", "entry.seq", F.col("entry.e.body").alias("body"), F.get("hashes", F.col("k")).alias("prev_hash"), F.get("hashes", F.col("k") + 1).alias("entry_hash"))
 
 
 def verify_chain(entries: DataFrame, genesis: str) -> DataFrame:

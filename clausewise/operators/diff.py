@@ -1,9 +1,9 @@
 """Clause diffs between a document's successive versions, and what follows from them.
 
 The stages consume: equal paths first, then the authority's own renumbering, then equal content, then greedy
-fuzzy pairs; only what none of them took is removed or added.  All stages but the fuzzy one are equi-joins and
-anti-joins on (document, key), so partitioning by document serves every one of them; the fuzzy stage is grouped by
-document and kind and sees the leftovers only.
+fuzzy pairs; only what none of them took is removed or added.  All stages but the fuzzy one are windows inside a
+document, so one exchange by document serves every one of them; the fuzzy stage is grouped by document and kind, sees
+the leftovers only and returns whatever becomes of them.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ def previous_version(versions: DataFrame) -> DataFrame:
     return versions.where("parsed").withColumn("previous_id", F.lag("version_id").over(w))
 
 
+def comparable_versions(versions: DataFrame) -> DataFrame:
+    """Versions that have one to be compared with; a baseline has none and gives no diffs."""
+    return previous_version(versions).where("previous_id IS NOT NULL")
+
+
 def successor_version(versions: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("retrieved_at", "version_id")
     return versions.where("parsed").withColumn("successor_id", F.lead("version_id").over(w))
@@ -47,7 +52,8 @@ def _partnered(rows: DataFrame, key: str, basis: str, first_only: bool = False)
     open_ = F.col("basis").isNull() & F.col(key).isNotNull()
     rows = rows.withColumn("open", open_).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", key, "open", "v").orderBy("ordinal", "path")))
     pair = Window.partitionBy("doc_id", key, "open", "k")
-    paired = F.col("open") & (F.size(F.collect_set("v").over(pair)) == 2)
+    whole = pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paired = F.col("open") & (F.min("v").over(whole) < F.max("v").over(whole))
     if first_only:
         paired &= F.col("k") == 1
     found = rows.withColumn("paired", paired).withColumn("one", F.lag(F.struct("path", "ordinal", "content_hash", "bare_hash")).over(pair.orderBy("v")))
@@ -60,7 +66,7 @@ def paired_rows(clauses: DataFrame) -> DataFrame:
     """Clauses of documents with both versions, each with the stage that took it and, on the new side, its partner."""
     bare = F.trim(F.regexp_replace("text", r"^\s*제\d+조(?:의\d+)?\s*", ""))
     rows = clauses.select(
-        "doc_id", "v", "path", "ordinal", "kind", "content_hash", F.xxhash64(bare).alias("bare_hash"), F.coalesce(F.when(F.col("v") == 1, F.col("moved_to_ref")), F.when(F.col("v") == 2, F.col("source_ref"))).alias("ref"),
+        "doc_id", "v", "path", "ordinal", "kind", "content_hash", F.substring("text", 1, SIMILARITY_PREFIX).alias("head"), F.xxhash64(bare).alias("bare_hash"), F.coalesce(F.when(F.col("v") == 1, F.col("moved_to_ref")), F.when(F.col("v") == 2, F.col("source_ref"))).alias("ref"),
         F.lit(None).cast("string").alias("basis"), F.lit(None).cast("struct<path:string,ordinal:int,content_hash:string,bare_hash:long>").alias("partner"))
     rows = rows.repartition("doc_id").withColumn("newest", F.max("v").over(Window.partitionBy("doc_id"))).where("newest = 2").drop("newest")
     return _partnered(_partnered(_partnered(rows, "path", "path"), "ref", "authority", first_only=True), "content_hash", "content_hash")
@@ -79,32 +85,24 @@ def exact_diffs(paired: DataFrame) -> DataFrame:
         F.when(F.col("basis") == "content_hash", 1.0).alias("similarity"), F.col("basis").alias("match_basis"), F.lit(False).alias("needs_review"))
 
 
-def one_sided(rest: DataFrame) -> DataFrame:
-    """What no stage took: removed on the old side, added on the new one."""
-    old = F.col("v") == 1
-    return rest.select(
-        "doc_id", F.when(old, F.col("path")).alias("old_path"), F.when(~old, F.col("path")).alias("new_path"), F.when(old, F.col("ordinal")).alias("old_ordinal"), F.when(~old, F.col("ordinal")).alias("new_ordinal"),
-        F.when(old, "removed").otherwise("added").alias("change_kind"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("match_basis"), F.lit(False).alias("needs_review"))
-
-
-def fuzzy_renumbered(rest: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Greedy pairs in reading order by matching-block ratio, clauses of one kind only, at least the renumber ratio."""
-    both = Window.partitionBy("doc_id", "kind")
-    wanted = rest.withColumn("sides", F.size(F.collect_set("v").over(both))).where("sides = 2").select("doc_id", "v", "path", "ordinal", "kind")
-    texts = clauses.select("doc_id", "v", "path", F.substring("text", 1, SIMILARITY_PREFIX).alias("text"))
-    left = wanted.join(texts, ["doc_id", "v", "path"])
+def leftover_diffs(rest: DataFrame) -> DataFrame:
+    """What no exact stage took: greedy pairs in reading order by matching-block ratio, clauses of one kind only, at least
+    the renumber ratio; then what is left, removed on the old side and added on the new one."""
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ordinal", "path"])
-        sides = {v: list(part.itertuples()) for v, part in rows.groupby("v")}
-        free, out = list(sides.get(2, [])), []
-        for o in sides.get(1, []):
+        old, free = (list(rows[rows["v"] == v].itertuples()) for v in (1, 2))
+        out = []
+        for o in old:
             best, score = None, RENUMBER_RATIO
             match = difflib.SequenceMatcher(None, autojunk=False)
-            match.set_seq2(o.text)
+            match.set_seq2(o.head)
             for n in free:
-                match.set_seq1(n.text)
-                if match.real_quick_ratio() < score or match.quick_ratio() < score:
+                # no more characters can match than the shorter text has: a bound that costs nothing
+                if 2 * min(len(o.head), len(n.head)) < score * (len(o.head) + len(n.head)):
+                    continue
+                match.set_seq1(n.head)
+                if match.quick_ratio() < score:
                     continue
                 r = match.ratio()
                 if r > score or (best is None and r >= score):
@@ -112,21 +110,18 @@ def fuzzy_renumbered(rest: DataFrame, clauses: DataFrame) -> DataFrame:
             if best is not None:
                 free.remove(best)
                 out.append((o.doc_id, o.path, best.path, o.ordinal, best.ordinal, "renumbered", score, "similarity", score < RENUMBER_CONFIDENT_RATIO))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in DIFF.split(", ")])
+            else:
+                out.append((o.doc_id, o.path, None, o.ordinal, None, "removed", None, None, False))
+        out += [(n.doc_id, None, n.path, None, n.ordinal, "added", None, None, False) for n in free]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DIFF.split(", ")]).astype({"old_ordinal": "Int32", "new_ordinal": "Int32"})
 
-    return left.groupBy("doc_id", "kind").applyInPandas(pair, DIFF)
+    return rest.select("doc_id", "kind", "v", "path", "ordinal", F.coalesce("head", F.lit("")).alias("head")).groupBy("doc_id", "kind").applyInPandas(pair, DIFF)
 
 
-def build_diffs(clauses: DataFrame, fuzzy: bool = True) -> DataFrame:
+def build_diffs(clauses: DataFrame) -> DataFrame:
     """All diffs of all documents that have a previous version (a first version is a baseline and gives none)."""
     paired = paired_rows(clauses)
-    rest = paired.where("basis IS NULL")
-    exact = exact_diffs(paired)
-    if not fuzzy:
-        return exact.unionByName(one_sided(rest))
-    close = fuzzy_renumbered(rest, clauses)
-    taken = close.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("v"), F.col("old_path").alias("path")), F.struct(F.lit(2).alias("v"), F.col("new_path").alias("path")))).alias("t")).select("doc_id", "t.v", "t.path")
-    return exact.unionByName(close).unionByName(one_sided(rest.join(taken, ["doc_id", "v", "path"], "left_anti")))
+    return exact_diffs(paired).unionByName(leftover_diffs(paired.where("basis IS NULL")))
 
 
 def fan_out(diffs: DataFrame, cells: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.constants import ROLES
-from clausewise.operators.texts import folded
+from clausewise.operators.texts import first_exclusion, folded, keyword_cells
 
 
 def guarded(sources: DataFrame) -> DataFrame:
@@ -140,15 +140,22 @@ def unmatched(index: DataFrame, known: DataFrame) -> DataFrame:
     return index.withColumn("__folded", folded(F.col("title"))).join(seen, "__folded", "left_anti").drop("__folded")
 
 
-BUCKETS = ("excluded", "covered", "candidate", "out_of_scope")
+# Words of a wider net, for titles that the cells' keywords cannot see.
+NEAR_MISS_TERMS = ("색소", "타르", "원료", "의약외품", "위해평가", "인체적용제품", "안전성 정보", "표시·광고", "표시광고")
 
 
-def bucketed(index: DataFrame, known: DataFrame, cells: Column, exclusion: Column) -> DataFrame:
-    """Index rows with bucket: an exclusion term settles it, then a known title, then a cell that claims it; the rest is out of scope."""
+def bucketed(index: DataFrame, known: DataFrame, keywords: dict[str, tuple[str, ...]], exclusions: tuple[str, ...]) -> DataFrame:
+    """Index rows with bucket and matched: excluded (in scope but for a term), covered by a known title, candidate, or near miss; others are left out.
+
+    A title counts as ruled out only if it would have been in scope without the exclusion.
+    """
     seen = known.select(folded(F.col("title")).alias("__folded")).distinct().withColumn("__known", F.lit(True))
     rows = index.withColumn("__folded", folded(F.col("title"))).join(seen, "__folded", "left")
-    bucket = F.when(exclusion.isNotNull(), BUCKETS[0]).when(F.col("__known"), BUCKETS[1]).when(F.size(cells) > 0, BUCKETS[2]).otherwise(BUCKETS[3])
-    return rows.withColumn("bucket", bucket).drop("__folded", "__known")
+    named, out = F.size(keyword_cells(F.col("title"), keywords, ())) > 0, first_exclusion(F.col("title"), exclusions)
+    near = F.coalesce(*(F.when(F.contains("title", F.lit(w)), F.lit(w)) for w in NEAR_MISS_TERMS))
+    bucket = F.when(out.isNotNull() & named, "excluded").when(out.isNull() & named, F.when(F.col("__known"), "covered").otherwise("candidate")).when(near.isNotNull(), "near_miss")
+    return rows.withColumn("bucket", bucket).where("bucket IS NOT NULL").withColumn(
+        "matched", F.when(F.col("bucket") == "excluded", out).when(F.col("bucket") == "near_miss", near).otherwise("")).drop("__folded", "__known")
 
 
 def marker_phrases(documents: DataFrame, phrases: tuple[str, ...]) -> DataFrame:

@@ -286,4 +286,4 @@ def keyword_cells(title: Column, keywords: dict[str, tuple[str, ...]], exclusion
 
 
 def first_exclusion(title: Column, exclusions: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.when(F.contains(folded(title), F.lit(w)), F.lit(w)) for w in exclusions))
+    return F.coalesce(*(F.when(F.contains(folded(title), F.lit(w)), F.lit(w)) for w in exclusions), F.lit(None).cast("string"))

@@ -109,7 +109,7 @@ def _proposals(t):
 def _diffs(t):
     from clausewise.operators import diff
 
-    return diff.build_diffs(t.clauses(), fuzzy=False)
+    return diff.build_diffs(t.clauses())
 
 
 def _with_diffs(more: str) -> str:

@@ -23,7 +23,7 @@ states AS (SELECT alert_id, subscription_id, n, CASE WHEN sent THEN 'done' WHEN
 
 
 def _events(t):
-    return diff.fan_out(diff.build_diffs(t.clauses(), fuzzy=False), t.document_cells())
+    return diff.fan_out(diff.build_diffs(t.clauses()), t.document_cells())
 
 
 def graded(t):

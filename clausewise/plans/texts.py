@@ -146,8 +146,8 @@ QUERIES = {
         lambda t: _filing(t)[1].select("doc_id", "ordinal", x.form_reference(F.col("text")).alias("form")),
         sql("SELECT doc_id, ordinal, CASE WHEN ordinal % 7 <> 0 AND ordinal % 11 = 0 THEN '별지 제 3 호서식' END AS form FROM fitems", _FILING)),
     "H4_folded_titles": (
-        lambda t: t.documents().select("doc_id", x.folded(F.concat("title", F.lit(" ·화장품"))).alias("folded")),
-        sql("SELECT doc_id, replace(lower(title), ' ', '') || '화장품' AS folded FROM docs")),
+        lambda t: t.documents().select("doc_id", x.folded(nfc(F.concat("title", F.lit(" ·화장품 cafe\u0301")))).alias("folded")),
+        sql("SELECT doc_id, replace(lower(title), ' ', '') || '화장품café' AS folded FROM docs")),
     "H5_keyword_cells": (
         lambda t: t.documents().withColumn("n", F.concat("title", F.when(F.col("doc_id") % 3 == 0, " 화장품 고시").when(F.col("doc_id") % 3 == 1, " 인체 적용제품").otherwise(" 체외진단 의료기기")))
         .select("doc_id", F.array_join(x.keyword_cells(F.col("n"), DISCOVERY_KEYWORDS, DISCOVERY_EXCLUSIONS), ",").alias("cells"), x.first_exclusion(F.col("n"), DISCOVERY_EXCLUSIONS).alias("exclusion")),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausewise.operators import answers, catalog, diff, evaluation, monitoring, search, texts
-from clausewise.sources import outline
+from clausewise.functions import text as phrases
 
 CLAUSE = "doc_id long, v int, path string, ordinal int, text string, source_ref string, moved_to_ref string"
 
@@ -81,8 +81,9 @@ def test_alert_without_deliveries_is_delivered(spark):
 
 
 def test_exact_row_outranks_and_prefix_does_not(spark):
-    arms = spark.createDataFrame([(1, "vector", 7, 0, 1.0), (1, "rows", 8, 0, 1.0), (1, "rows", 9, 1, 0.6)], "query_id long, arm string, key long, rank int, score double")
-    assert [r.key for r in search.fuse(arms).orderBy("rank").collect()] == [8, 9, 7]
+    rows = [(1, "vector", 7, "p", 0, 1.0), (1, "rows", 8, "p", 0, 1.0), (1, "rows", 9, "p", 1, 0.6)]
+    arms = spark.createDataFrame(rows, "query_id long, arm string, version_id long, path string, rank int, score double")
+    assert [r.version_id for r in search.fuse(arms).orderBy("rank").collect()] == [8, 9, 7]
 
 
 def test_fabricated_citation_rejects_the_answer(spark):
@@ -97,13 +98,13 @@ def test_retention_needs_every_week(spark):
     assert {r.user_id for r in evaluation.retained(df, 4).where("retained").collect()} == {1}
 
 
-def test_outline_ladders():
-    text = "제1장 총칙\n제1조(목적) 목적이다\n1. 하나\n가. 둘\n제2절 잇기\n- 점\n- 점"
-    assert ["/".join(c["segments"]) for c in outline.outline(text, "legal")] == ["제1장", "제1장/제1조", "제1장/제1조/제1호", "제1장/제1조/제1호/가목", "제1장/제2절", "제1장/제2절/-1", "제1장/제2절/-2"]
-    dotted = ["/".join(c["segments"]) for c in outline.outline("4.1 가\n4.1.1 나\n4.2 다", "discovered")]
-    assert dotted == ["4.1", "4.1/4.1.1", "4.2"]
+def test_recipient_walk():
+    assert phrases.recipient_of("자료를 첨부하여 식품의약품안전처장 또는 기술문서심사기관의 장에게 제출하여야 한다") == "식품의약품안전처장 또는 기술문서심사기관의 장"
+    assert phrases.recipient_of("없다") is None
+    assert phrases.recipient_of("자료를 첨부하여 기관은에게 제출") is None
 
 
-def test_recipient_walk():
-    assert outline.recipient_of("자료를 첨부하여 식품의약품안전처장 또는 기술문서심사기관의 장에게 제출하여야 한다") == "식품의약품안전처장 또는 기술문서심사기관의 장"
-    assert outline.recipient_of("없다") is None
+def test_condition_is_a_sentence():
+    assert phrases.condition_of("1. 서류. 다만, 없는 경우 제외한다. 끝.") == "다만, 없는 경우 제외한다."
+    assert phrases.condition_of("1. 없는 경우") is None
+    assert phrases.condition_of("1. 서류") is None
