@@ -82,5 +82,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: op6: tokens, placeholders and the one exact and four general templates of each line, as strings.
+_LINES = """
+WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+read AS (SELECT doc_id, k, regexp_extract_all(line, '[\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}]|[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}]+') AS read FROM lines),
+marked AS (SELECT doc_id, k, read, len(read) AS n, list_transform(read, lambda x: CASE WHEN regexp_matches(x, '\\p{Nd}') THEN '<*>' ELSE x END) AS tokens, list_transform(read, lambda x: CASE WHEN NOT regexp_matches(x, '\\p{Nd}') AND regexp_matches(x, '\\p{L}') THEN 1 ELSE 0 END) AS literal FROM read WHERE len(read) > 0),
+chosen AS (SELECT doc_id, k, n, literal, CASE WHEN list_sum(literal) < least(2, n) THEN read ELSE tokens END AS t FROM marked),
+cut AS (SELECT *, list_transform(range(5), lambda q: 2 + (n - 2) * q // 4) AS c FROM chosen),
+keys AS (SELECT doc_id, k, n < 6 AS short, 'whole ' || array_to_string(t, ' ') AS key FROM cut
+  UNION ALL SELECT doc_id, k, false, q || ' ' || n || ' ' || array_to_string(t[:c[q]], ' ') || ' <*> | ' || array_to_string(t[c[q + 1] + 1:], ' ') FROM cut, (VALUES (1), (2), (3), (4)) AS v(q) WHERE n >= 12 AND list_sum(literal) - coalesce(list_sum(literal[c[q] + 1:c[q + 1]]), 0) >= 2),
+recurring AS (SELECT short, key, min(doc_id) AS first FROM keys GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= CASE WHEN short THEN 3 ELSE 2 END),
+gone AS (SELECT doc_id, count(DISTINCT k) AS n FROM keys JOIN recurring USING (short, key) WHERE doc_id > first GROUP BY 1)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n_lines, coalesce(n, 0) AS n_dropped FROM documents d LEFT JOIN gone USING (doc_id)"""
+
+#: op7: all pairs that share a shingle, and what is reachable over links.
+_NEAR = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS to FROM sets UNION SELECT r.doc_id, e.b FROM reach r JOIN pairs e ON e.a = r.to)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.to) AS component_id, s.doc_id = min(r.to) AS kept FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": _LINES, "op7_minhash_near_dup": _NEAR}
