@@ -40,15 +40,15 @@ from clausewise.llm.shingles import mix, shingle_sets
 
 REGISTERS = 256
 ROWS, BANDS = 6, 42
-CODES = 128
+CODES = 256
 SMALL = 16
 CHUNK = 1024
 #: Rows of keys or blocks in a task, on average.
 PART_ROWS = 20_000
 #: An estimate may be this many standard deviations low; small sets fill fewer buckets and deviate more.
 DEVIATIONS = 5.5
-#: Independent codes per shingle of a small set: half of its values lie in the CODES registers, and borrowed codes count some of them often.
-FILLED = 0.25
+#: Independent codes per shingle of a small set, since borrowed codes count some of them often: half as many as shingles.
+FILLED = 0.5
 #: Ids sent to every executor at most; beyond it the join shuffles.
 BROADCAST_IDS = 250_000
 _BLOCK = 1 << 20
@@ -81,7 +81,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def codes(registers: np.ndarray) -> np.ndarray:
-    """One byte for each of the first CODES registers."""
+    """One byte for each register."""
     return (mix(registers[:, :CODES].astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
 
 
