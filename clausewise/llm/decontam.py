@@ -67,22 +67,32 @@ def fillers(marks: Column) -> Column:
     return F.regexp_replace(merged, rf"({SLOT}\p{{N}}[^ ]* )(?=(?i:{'|'.join(UNITS)})(?![^ ]))", f"$1{UNIT}")
 
 
-def template(filled: Column) -> Column:
-    """``fillers`` with placeholders: as many tokens as before, since each replacement stays inside its word."""
-    names = F.regexp_replace(filled, rf"{SLOT}\p{{Lu}}[^ ]*", "<p>")
-    return F.lower(F.regexp_replace(F.regexp_replace(names, f"{SLOT}[^ ]*", "<n>"), f"{UNIT}[^ ]*", "<u>"))
+def token(word: Column) -> Column:
+    """A word of ``fillers`` as it stands in a template: a placeholder, or the word in lower case."""
+    slot = F.when(word.rlike(rf"^{SLOT}\p{{Lu}}"), "<p>").otherwise("<n>")
+    return F.when(F.startswith(word, F.lit(SLOT)), slot).when(F.startswith(word, F.lit(UNIT)), "<u>").otherwise(F.lower(word))
 
 
-def _windows(tokens: Column, width: int, n: Column) -> Column:
-    """Hashes of the windows of ``width`` tokens at the places 1 to n (shorter ones at the end match nothing)."""
-    return F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.slice(tokens, k, width)))
+def _windows(hashes: Column, width: int, n: Column) -> Column:
+    """Hashes of the windows of ``width`` token hashes at the places 1 to n (shorter ones at the end match nothing)."""
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.slice(hashes, k, width)))
 
 
-def _tokens(rows: DataFrame, key: str) -> DataFrame:
-    """key, filled (marked words), tokens (its template, split at the same blanks), plain (lower-case words)."""
+def _marked_rows(rows: DataFrame, key: str) -> DataFrame:
+    """key, filled (marked words), low (the same words in lower case, without marks)."""
     marks = rows.select(F.col(key).cast("long").alias(key), marked(words(F.col("text"))).alias("marks"))
-    filled = marks.select(key, fillers(F.col("marks")).alias("filled"), F.split(F.lower(F.replace("marks", F.lit(SLOT), F.lit(""))), " ").alias("plain"))
-    return filled.select(key, "filled", F.split(template(F.col("filled")), " ").alias("tokens"), "plain")
+    return marks.select(key, fillers(F.col("marks")).alias("filled"), F.lower(F.replace("marks", F.lit(SLOT), F.lit(""))).alias("low"))
+
+
+def _tokens(rows: DataFrame, key: str) -> DataFrame:
+    """key, filled, tokens (of its template), plain (lower-case words)."""
+    return _marked_rows(rows, key).select(key, "filled", F.transform(F.split("filled", " "), token).alias("tokens"), F.split("low", " ").alias("plain"))
+
+
+def _token_hashes(rows: DataFrame, key: str) -> DataFrame:
+    """key, filled, tokens and plain as hashes: each token is hashed once, not once for each window it lies in."""
+    return _marked_rows(rows, key).select(
+        key, "filled", F.transform(F.split("filled", " "), lambda w: F.xxhash64(token(w))).alias("tokens"), F.transform(F.split("low", " "), lambda w: F.xxhash64(w)).alias("plain"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
@@ -95,7 +105,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int
     is_slot = lambda x: x.isin("<n>", "<u>", "<p>")
     kept = part.where(F.col("is_plain") | (F.size(F.filter("t", lambda x: ~is_slot(x))) >= F.least(F.lit(literals), F.col("width"))))
     out = kept.select(
-        F.xxhash64("t").alias("hash"), (F.col("width") * 2 + F.col("is_plain").cast("int")).alias("code"), "item_id", "item_at", "is_plain", "width",
+        F.xxhash64(F.transform("t", lambda w: F.xxhash64(w))).alias("hash"), (F.col("width") * 2 + F.col("is_plain").cast("int")).alias("code"), "item_id", "item_at", "is_plain", "width",
         F.zip_with("t", "r", lambda t, r: F.when(is_slot(t), r)).alias("fill")).dropDuplicates(["item_id", "item_at", "hash", "is_plain"])
     totals = out.groupBy("item_id", "is_plain").agg(F.countDistinct("item_at").alias("total"))
     return out.join(totals, ["item_id", "is_plain"])
@@ -108,7 +118,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     counts = {r["code"]: (r["n"], r["size"]) for r in known.groupBy("code").agg(F.count("*").alias("n"), F.sum(F.lit(64) + 16 * F.size("fill") + F.length(F.array_join("fill", ""))).alias("size")).collect()}
     codes = sorted(counts)
     small = sum(n for n, _ in counts.values()) <= BROADCAST_WINDOWS and sum(size for _, size in counts.values()) <= BROADCAST_BYTES
-    t = _tokens(docs, "doc_id").withColumn("n", F.size("plain"))
+    t = _token_hashes(docs, "doc_id").withColumn("n", F.size("plain"))
     hashes = F.concat(*(_windows(F.col("plain" if c % 2 else "tokens"), c // 2, F.col("n")) for c in codes)) if codes else F.array().cast("array<bigint>")
     place = [(F.col("place") % F.col("n")).alias("at"), F.element_at(F.array(*map(F.lit, codes or [0])), (F.col("place") / F.col("n")).cast("int") + 1).alias("code")]
     if small:

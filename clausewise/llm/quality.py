@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
         .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (held != 0))
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
     )
-    # as many of each class as half the sample holds; three times that, since some texts are missing or too long
+    # as many of each class as half the sample holds; texts that are missing or too long leave the sample smaller
     half = known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs // 2).unionByName(
         known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs - max_train_docs // 2))
     sample = (
