@@ -29,8 +29,8 @@ _LEVEL = """CASE style WHEN 'chapter' THEN 10 + list_position(['편', '장', '
   WHEN 'digit_dot' THEN 41 WHEN 'dotted' THEN 41 + len(regexp_replace(regexp_extract(s, '^(\\d+(\\.\\d+)+)', 1), '[^.]', '', 'g')) WHEN 'hangul_dot' THEN 60 WHEN 'digit_paren' THEN 70 WHEN 'hangul_paren' THEN 80 WHEN 'bullet' THEN 90 END"""
 _OUTLINE = f"""{MARKED}, styled AS (SELECT doc_id, ordinal, style, {_LEVEL} AS level, {_SEGMENT} AS segment FROM marked WHERE style IS NOT NULL),
 nest AS ({nested_sql('styled', outline.LEVELS)}),
-tree AS (SELECT doc_id, ordinal, style, array_to_string(above, '/') AS parent, len(above) + 1 AS level, CASE WHEN style = 'bullet' THEN '-' || row_number() OVER (PARTITION BY doc_id, array_to_string(above, '/') ORDER BY ordinal) ELSE segment END AS segment FROM nest),
-paths AS (SELECT doc_id, ordinal, style, level, CASE WHEN parent = '' THEN segment ELSE parent || '/' || segment END AS path FROM tree)"""
+branches AS (SELECT doc_id, ordinal, style, array_to_string(above, '/') AS parent, len(above) + 1 AS level, CASE WHEN style = 'bullet' THEN '-' || row_number() OVER (PARTITION BY doc_id, array_to_string(above, '/') ORDER BY ordinal) ELSE segment END AS segment FROM nest),
+paths AS (SELECT doc_id, ordinal, style, level, CASE WHEN parent = '' THEN segment ELSE parent || '/' || segment END AS path FROM branches)"""
 
 
 def _legal(t):
