@@ -82,12 +82,12 @@ HOT_ROWS = 2_000
 HOT_SHARE = 1e-4
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, counted: DataFrame | None = None, size: str | None = None) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, counted: DataFrame | None = None, size: str | None = None, total: int | None = None) -> DataFrame:
     """``rows`` joined to ``facts`` (narrow rows, one for each key), inner or left, with hot keys of ``rows`` dealt out.
 
     The facts of hot keys, whose number is bounded by ``HOT_SHARE``, go to every executor, so the rows of such a key
     stay where they are; the others meet theirs in a shuffle.  A key's rows are its ``size`` in the written table
-    ``facts``, or else counted in the written table ``counted`` (``rows`` itself if none is named).
+    ``facts``, or else counted in the written table ``counted`` (``rows`` itself if none is named), which has ``total`` rows.
     """
     if size:
         total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
@@ -95,7 +95,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner",
         facts = facts.drop(size)
     else:
         counted = rows if counted is None else counted
-        total = counted.count()
+        total = counted.count() if total is None else total
         sizes = counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__rows"))
     hot = [r[0] for r in sizes.where(F.col("__rows") > max(hot_rows, total * HOT_SHARE)).select(key).collect()] if total > hot_rows else []
     if not hot:

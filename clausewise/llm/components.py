@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     plain = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = materialize(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     steps: list[DataFrame] = []
-    while not now.isEmpty():
+    while total := now.count():
         k = len(steps)
         if k >= MAX_ROUNDS:
             raise RuntimeError("components did not settle")
@@ -48,8 +48,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             both.groupBy("a").agg(F.min(_renamed(F.col("b"), k)).alias("low"))
             .select(F.col("a").alias("node"), F.least(_renamed(F.col("a"), k), "low").alias("into")), "cc-step")
         steps.append(best)
-        one = join_facts(now, best.select(F.col("node").alias("a"), F.col("into").alias("x")), "a", hot_rows=HOT_EDGES)
-        two = join_facts(one, best.select(F.col("node").alias("b"), F.col("into").alias("y")), "b", hot_rows=HOT_EDGES, counted=now)
+        one = join_facts(now, best.select(F.col("node").alias("a"), F.col("into").alias("x")), "a", hot_rows=HOT_EDGES, total=total)
+        two = join_facts(one, best.select(F.col("node").alias("b"), F.col("into").alias("y")), "b", hot_rows=HOT_EDGES, counted=now, total=total)
         now = materialize(
             two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
     if not steps:
