@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausewise.llm import chat, decontam, lines, lm, media, neardup, packing, quality, secrets, urls
+from clausewise.llm import ann, chat, decontam, lines, lm, media, neardup, negatives, packing, quality, secrets, spelling, urls
 from clausewise.llm.common import documents, table
 
 
@@ -67,6 +68,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.parse_rules(URL_RULES))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted), "vec_id % 100 = 0")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -79,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_url_filter": op10_url_filter,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
@@ -106,5 +123,16 @@ reach AS (SELECT doc_id, doc_id AS to FROM sets UNION SELECT r.doc_id, e.b FROM
 SELECT s.doc_id, len(s.s) AS n_shingles, min(r.to) AS component_id, s.doc_id = min(r.to) AS kept FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s"""
 
 
+#: op11: every anchor's scores with all rows, ranked.
+_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": _LINES, "op7_minhash_near_dup": _NEAR}
+    return {"op6_line_dedup": _LINES, "op7_minhash_near_dup": _NEAR, "op11_hard_negatives": _NEGATIVES}

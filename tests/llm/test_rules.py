@@ -26,7 +26,8 @@ FOLDER = Path("/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     got = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in got.description]
     df = queries.queries()[name](spark, str(FOLDER))
