@@ -39,15 +39,18 @@ class Tables:
         return self.raw("documents").select("doc_id", "lang", F.explode(domains).alias("domain")).select("doc_id", F.concat_ws("-", "lang", "domain").alias("cell_id"))
 
     def versions(self) -> DataFrame:
-        """version_id, doc_id, v, effective_date, retrieved_at, published_at (epoch seconds), parsed."""
-        v = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-        each = self.raw("documents").select("doc_id", F.explode(v).alias("v"))
-        retrieved = F.lit(1_704_067_200) + F.col("doc_id") % 500 * 3600 + F.col("v") * 30 * 86_400
+        """version_id, doc_id, v, language, effective_date, retrieved_at, published_at (epoch seconds), parsed.
+
+        A third of the documents each have one, two and three versions; some middle ones were never parsed, and some third ones are translations.
+        """
+        k, v = F.col("doc_id"), F.col("v")
+        each = self.raw("documents").select("doc_id", F.explode(F.sequence(F.lit(1), (k % 3 + 1).cast("int"))).alias("v"))
+        retrieved = F.lit(1_704_067_200) + k % 500 * 3600 + v * 30 * 86_400
         return each.select(
-            (F.col("doc_id") * 10 + F.col("v")).alias("version_id"), "doc_id", "v",
-            F.when(F.col("doc_id") % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("doc_id") * 37 + F.col("v") * 200) % 900).cast("int"))).alias("effective_date"),
-            retrieved.alias("retrieved_at"), F.when(F.col("doc_id") % 5 != 0, retrieved - F.col("doc_id") % 72 * 3600).alias("published_at"),
-            (F.col("doc_id") % 13 != 0).alias("parsed"))
+            (k * 10 + v).alias("version_id"), "doc_id", "v", F.when((k % 15 == 8) & (v == 3), "translation").otherwise("original").alias("language"),
+            F.when(k % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), ((k * 37 + v * 200) % 900).cast("int"))).alias("effective_date"),
+            retrieved.alias("retrieved_at"), F.when(k % 5 != 0, retrieved - k % 72 * 3600).alias("published_at"),
+            ((k % 13 != 0) & ~((k % 7 == 2) & (v == 2))).alias("parsed"))
 
     def line_arrays(self) -> DataFrame:
         """doc_id, l: the non-blank trimmed lines of each document."""
@@ -58,26 +61,31 @@ class Tables:
         return self.line_arrays().select("doc_id", F.posexplode("l").alias("ordinal", "text"))
 
     def clauses(self) -> DataFrame:
-        """Both versions' clauses: doc_id, v, version_id, ordinal, path, kind, heading, text, content_hash, source_ref, moved_to_ref."""
-        o = F.col("ordinal")
+        """All versions' clauses: doc_id, v, version_id, ordinal, path, kind, heading, text, content_hash, source_ref, moved_to_ref.
+
+        Each version drops, amends, renumbers (with the authority's marks) and moves some clauses of the one before and adds one; some second
+        versions are empty, and some third ones keep a third.
+        """
+        o, k, none = F.col("ordinal"), F.col("doc_id"), F.lit(None).cast("string")
+        even = lambda letter: F.when(o % 2 == 0, F.concat(F.lit(letter), o.cast("string")))
         root = F.concat(F.lit("A"), (F.floor(o / 5) + 1).cast("string"))
         path = F.when(o % 5 == 0, root).otherwise(F.concat(root, F.lit("/I"), (o % 5).cast("string")))
         one = self.lines().withColumn("path", path)
         renumbered, fuzzy, amended = o % 13 == 7, o % 29 == 4, o % 11 == 3
-        mark = F.when(o % 2 == 0, F.concat(F.lit("M"), o.cast("string")))
-        first = one.select("doc_id", F.lit(1).alias("v"), "ordinal", "path", "text", F.lit(None).cast("string").alias("source_ref"),
-                           F.when((o % 17 != 5) & renumbered, mark).alias("moved_to_ref"))
-        second = one.where((o % 17 != 5) & (F.col("doc_id") % 3 != 0)).select(
-            "doc_id", F.lit(2).alias("v"), "ordinal",
-            F.when(renumbered, F.concat("path", F.lit("R"))).when(fuzzy, F.concat("path", F.lit("F"))).otherwise(F.col("path")).alias("path"),
+        again, moved, revised = o % 23 == 9, o % 31 == 8, o % 10 == 1
+        first = one.select("doc_id", F.lit(1).alias("v"), "ordinal", "path", "text", none.alias("source_ref"), F.when((o % 17 != 5) & renumbered, even("M")).alias("moved_to_ref"))
+        added = lambda v, n, at, word: self.raw("documents").where(f"doc_id % 3 >= {v - 1}").select(
+            "doc_id", F.lit(v).alias("v"), F.lit(n).alias("ordinal"), F.lit(at).alias("path"), F.concat(F.lit(f"{word} "), k.cast("string")).alias("text"), none.alias("source_ref"), none.alias("moved_to_ref"))
+        second = one.where((o % 17 != 5) & (k % 3 > 0)).select(
+            "doc_id", F.lit(2).alias("v"), "ordinal", F.when(renumbered, F.concat("path", F.lit("R"))).when(fuzzy, F.concat("path", F.lit("F"))).otherwise(F.col("path")).alias("path"),
             F.when(~renumbered & (fuzzy | amended), F.concat("text", F.lit(" AMENDED"))).otherwise(F.col("text")).alias("text"),
-            F.when(renumbered, mark).alias("source_ref"), F.lit(None).cast("string").alias("moved_to_ref"))
-        new = self.raw("documents").where("doc_id % 3 <> 0").select(
-            "doc_id", F.lit(2).alias("v"), F.lit(100_000).alias("ordinal"), F.lit("A0/NEW").alias("path"),
-            F.concat(F.lit("Inserted "), F.col("doc_id").cast("string")).alias("text"), F.lit(None).cast("string").alias("source_ref"), F.lit(None).cast("string").alias("moved_to_ref"))
-        every = first.unionByName(second).unionByName(new)
+            F.when(renumbered, even("M")).alias("source_ref"), F.when((k % 3 == 2) & again, even("N")).alias("moved_to_ref")).unionByName(added(2, 100_000, "A0/NEW", "Inserted"))
+        third = second.where((k % 3 == 2) & (o % 19 != 6) & ((k % 17 != 2) | (o % 3 == 0))).select(
+            "doc_id", F.lit(3).alias("v"), "ordinal", F.when(again, F.concat("path", F.lit("Q"))).when(moved, F.concat("path", F.lit("G"))).otherwise(F.col("path")).alias("path"),
+            F.when(~again & (moved | revised), F.concat("text", F.lit(" REVISED"))).otherwise(F.col("text")).alias("text"), F.when(again, even("N")).alias("source_ref"), none.alias("moved_to_ref"))
+        every = first.unionByName(second.where("doc_id % 20 <> 1")).unionByName(third).unionByName(added(3, 100_001, "A0/NEXT", "Appended"))
         return every.select(
-            "doc_id", "v", (F.col("doc_id") * 10 + F.col("v")).alias("version_id"), "ordinal", "path",
+            "doc_id", "v", (k * 10 + F.col("v")).alias("version_id"), "ordinal", "path",
             F.when(F.col("path").contains("/"), "item").otherwise("article").alias("kind"),
             F.when(~F.col("path").contains("/"), F.substring("text", 1, 40)).alias("heading"), "text",
             F.sha2("text", 256).alias("content_hash"), "source_ref", "moved_to_ref")
@@ -127,21 +135,27 @@ docs AS (SELECT doc_id, lang || ' ' || source || ' ' || doc_id AS title,
   lang AS authority, CASE WHEN doc_id % 2 = 0 THEN 'cosmetic' ELSE 'samd' END AS domain FROM documents),
 doc_cells AS (SELECT doc_id, authority || '-' || domain AS cell_id FROM docs
   UNION ALL SELECT doc_id, authority || '-' || CASE WHEN domain = 'samd' THEN 'cosmetic' ELSE 'samd' END FROM docs WHERE doc_id % 7 = 0),
-versions AS (SELECT doc_id * 10 + v AS version_id, doc_id, v,
+versions AS (SELECT doc_id * 10 + v AS version_id, doc_id, v, CASE WHEN doc_id % 15 = 8 AND v = 3 THEN 'translation' ELSE 'original' END AS language,
   CASE WHEN doc_id % 11 <> 0 THEN DATE '2024-01-01' + CAST((doc_id * 37 + v * 200) % 900 AS INTEGER) END AS effective_date,
   1704067200 + doc_id % 500 * 3600 + v * 30 * 86400 AS retrieved_at,
-  CASE WHEN doc_id % 5 <> 0 THEN 1704067200 + doc_id % 500 * 3600 + v * 30 * 86400 - doc_id % 72 * 3600 END AS published_at, doc_id % 13 <> 0 AS parsed
-  FROM documents, (VALUES (1), (2)) AS t(v) WHERE v = 1 OR doc_id % 3 <> 0),
+  CASE WHEN doc_id % 5 <> 0 THEN 1704067200 + doc_id % 500 * 3600 + v * 30 * 86400 - doc_id % 72 * 3600 END AS published_at, doc_id % 13 <> 0 AND NOT (doc_id % 7 = 2 AND v = 2) AS parsed
+  FROM documents, (VALUES (1), (2), (3)) AS t(v) WHERE v <= doc_id % 3 + 1),
 line_lists AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS ordinal FROM line_lists),
 one AS (SELECT *, 'A' || (ordinal // 5 + 1) || CASE WHEN ordinal % 5 = 0 THEN '' ELSE '/I' || (ordinal % 5) END AS path,
   CASE WHEN ordinal % 2 = 0 THEN 'M' || ordinal END AS mark FROM lines),
+second AS (
+  SELECT doc_id, ordinal, path || CASE WHEN ordinal % 13 = 7 THEN 'R' WHEN ordinal % 29 = 4 THEN 'F' ELSE '' END AS path,
+    CASE WHEN ordinal % 13 <> 7 AND (ordinal % 29 = 4 OR ordinal % 11 = 3) THEN text || ' AMENDED' ELSE text END AS text,
+    CASE WHEN ordinal % 13 = 7 THEN mark END AS source_ref, CASE WHEN doc_id % 3 = 2 AND ordinal % 23 = 9 AND ordinal % 2 = 0 THEN 'N' || ordinal END AS moved_to_ref FROM one WHERE ordinal % 17 <> 5 AND doc_id % 3 > 0
+  UNION ALL SELECT doc_id, 100000, 'A0/NEW', 'Inserted ' || doc_id, NULL, NULL FROM documents WHERE doc_id % 3 > 0),
 bare AS (
   SELECT doc_id, 1 AS v, ordinal, path, text, NULL AS source_ref, CASE WHEN ordinal % 17 <> 5 AND ordinal % 13 = 7 THEN mark END AS moved_to_ref FROM one
-  UNION ALL SELECT doc_id, 2, ordinal, path || CASE WHEN ordinal % 13 = 7 THEN 'R' WHEN ordinal % 29 = 4 THEN 'F' ELSE '' END,
-    CASE WHEN ordinal % 13 <> 7 AND (ordinal % 29 = 4 OR ordinal % 11 = 3) THEN text || ' AMENDED' ELSE text END,
-    CASE WHEN ordinal % 13 = 7 THEN mark END, NULL FROM one WHERE ordinal % 17 <> 5 AND doc_id % 3 <> 0
-  UNION ALL SELECT doc_id, 2, 100000, 'A0/NEW', 'Inserted ' || doc_id, NULL, NULL FROM documents WHERE doc_id % 3 <> 0),
+  UNION ALL SELECT doc_id, 2, ordinal, path, text, source_ref, moved_to_ref FROM second WHERE doc_id % 20 <> 1
+  UNION ALL SELECT doc_id, 3, ordinal, path || CASE WHEN ordinal % 23 = 9 THEN 'Q' WHEN ordinal % 31 = 8 THEN 'G' ELSE '' END,
+    CASE WHEN ordinal % 23 <> 9 AND (ordinal % 31 = 8 OR ordinal % 10 = 1) THEN text || ' REVISED' ELSE text END,
+    CASE WHEN ordinal % 23 = 9 AND ordinal % 2 = 0 THEN 'N' || ordinal END, NULL FROM second WHERE doc_id % 3 = 2 AND ordinal % 19 <> 6 AND (doc_id % 17 <> 2 OR ordinal % 3 = 0)
+  UNION ALL SELECT doc_id, 3, 100001, 'A0/NEXT', 'Appended ' || doc_id, NULL, NULL FROM documents WHERE doc_id % 3 = 2),
 clauses AS (SELECT doc_id, v, doc_id * 10 + v AS version_id, ordinal, path, CASE WHEN contains(path, '/') THEN 'item' ELSE 'article' END AS kind,
   CASE WHEN NOT contains(path, '/') THEN substr(text, 1, 40) END AS heading, text, sha256(text) AS content_hash, source_ref, moved_to_ref FROM bare),
 tree AS (SELECT doc_id, doc_id * 10 + 1 AS version_id, ordinal, CASE ordinal % 12 WHEN 0 THEN ch WHEN 1 THEN ar WHEN 2 THEN ar || '/제1항' WHEN 3 THEN ar || '/제1항/제1호' WHEN 4 THEN ar || '/제2항' WHEN 5 THEN ch || '/제' || ordinal || '조의2' WHEN 6 THEN '별표' || c || '/표1' WHEN 7 THEN '별표' || c || '/표1/행1'

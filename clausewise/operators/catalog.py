@@ -82,9 +82,13 @@ def fetch_outcome(tier: Column, status: Column, created: Column) -> Column:
 
 
 def one_open_alert(alerts: DataFrame) -> DataFrame:
-    """The first open alert of each (source, signal, expected), refreshed by the latest."""
-    w = Window.partitionBy("source_id", "signal", "expected").orderBy("raised_at", "alert_id")
-    return alerts.where("resolved_at IS NULL").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    """The first open alert of each (source, signal, expected): its number and time stay, what was seen (``actual``) and
+    ``refreshed_at`` are those of the newest.  An aggregate, so a source that fails for ever is combined before it is shuffled."""
+    order = F.struct("raised_at", "alert_id")
+    kept = [c for c in alerts.columns if c not in ("source_id", "signal", "expected", "actual")]
+    return alerts.where("resolved_at IS NULL").groupBy("source_id", "signal", "expected").agg(
+        F.min_by(F.struct(*kept), order).alias("first"), F.max_by(F.struct("actual", F.col("raised_at").alias("refreshed_at")), order).alias("newest")).select(
+        "source_id", "signal", "expected", "first.*", "newest.*")
 
 
 def paths_page(clauses: DataFrame, size: int) -> DataFrame:

@@ -81,11 +81,14 @@ def own_dates(clauses: DataFrame, versions: DataFrame) -> DataFrame:
     return clauses.join(dates, "version_id").withColumn("effective_date", F.expr("nullif(effective_date, __version)")).drop("__version")
 
 
-def quarantined(versions: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(versions that stay, alerts): a version with a signal of drift is taken out with its clauses, and an alert says why."""
-    kept = versions.join(signals.select("version_id"), "version_id", "left_anti")
+def quarantined(versions: DataFrame, clauses: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(versions that stay, their clauses, alerts): a version with a signal of drift goes with its clauses, and an alert says why.
+
+    What stays is citable: it has clauses, and what is read later diffs against it.
+    """
+    out = signals.select("version_id").distinct()
     alerts = versions.join(signals, "version_id").select("version_id", "doc_id", "signal", F.lit("high").alias("severity"))
-    return kept, alerts
+    return versions.join(out, "version_id", "left_anti"), clauses.join(out, "version_id", "left_anti"), alerts
 
 
 def still_valid(diffs: DataFrame, reparsed: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from clausewise.constants import BACKOFF_BASE, BACKOFF_CAP, BULK_CLAUSES, DELIVE
 
 
 def composed(events: DataFrame) -> DataFrame:
-    """One alert per (cell, document): counts by kind, first detection, clause paths; suppressed cells give none."""
+    """One alert per amendment (to_version) and cell: counts by kind, clause paths; suppressed cells give none."""
     kept = events.where(~F.col("change_kind").isin(*NON_SUBSTANTIVE_KINDS))
-    return kept.groupBy("cell_id", "doc_id").agg(
+    return kept.groupBy("cell_id", "doc_id", "to_version").agg(
         F.count("*").alias("clause_count"), F.count_if(F.col("change_kind") == "removed").alias("removed"), F.count_if(F.col("change_kind") == "modified").alias("modified"),
         F.count_if(F.col("change_kind") == "added").alias("added"), F.sort_array(F.collect_list(F.coalesce("new_path", "old_path"))).alias("paths"))
 
@@ -89,15 +89,15 @@ def version_events(events: DataFrame) -> DataFrame:
 
 
 def locked_impact(events: DataFrame, citations: DataFrame, irs: DataFrame) -> DataFrame:
-    """cell_id, doc_id, irs: obligations ever locked (their status may be stale by now) whose citation an event touches, each counted once."""
-    touched = events.where("change_kind <> 'added'").select("cell_id", "doc_id", F.col("old_path").alias("path")).distinct()
-    return touched.join(citations, ["doc_id", "path"]).join(irs.where("locked_at IS NOT NULL").select("ir_id"), "ir_id", "left_semi").groupBy("cell_id", "doc_id").agg(F.countDistinct("ir_id").alias("irs"))
+    """cell_id, to_version, irs: obligations ever locked (their status may be stale by now) whose citation an event touches, each counted once."""
+    touched = events.where("change_kind <> 'added'").select("cell_id", "to_version", F.col("from_version").alias("version_id"), F.col("old_path").alias("path")).distinct()
+    return touched.join(citations, ["version_id", "path"]).join(irs.where("locked_at IS NOT NULL").select("ir_id"), "ir_id", "left_semi").groupBy("cell_id", "to_version").agg(F.countDistinct("ir_id").alias("irs"))
 
 
 def suppression(events: DataFrame) -> DataFrame:
-    """cell_id, doc_id, kept, suppressed, silent (nothing but renumbering and moves happened)."""
+    """cell_id, to_version, kept, suppressed, silent (nothing but renumbering and moves happened)."""
     moved = F.col("change_kind").isin(*NON_SUBSTANTIVE_KINDS)
-    return events.groupBy("cell_id", "doc_id").agg(F.count_if(~moved).alias("kept"), F.count_if(moved).alias("suppressed")).withColumn("silent", F.col("kept") == 0)
+    return events.groupBy("cell_id", "to_version").agg(F.count_if(~moved).alias("kept"), F.count_if(moved).alias("suppressed")).withColumn("silent", F.col("kept") == 0)
 
 
 # ---------------------------------------------------------------- alerts on record

@@ -1,7 +1,7 @@
 """Obligations and their life: drafted from cited proposals, locked, made stale by amendments, re-derived and succeeded.
 
 Obligations are rows (ir_id, doc_id, version_id, status, run_id, created_at, locked_at, supersedes); citations are rows
-(ir_id, doc_id, path).
+(ir_id, doc_id, version_id, path), pinned to the version that they were read in.
 """
 
 from __future__ import annotations
@@ -34,31 +34,31 @@ def without_previous_drafts(irs: DataFrame, run_id: int) -> DataFrame:
 
 
 def touching(diffs: DataFrame) -> DataFrame:
-    """doc_id, path (of the previous version), new_path, change_kind of all diffs but additions."""
-    return diffs.where("change_kind <> 'added'").select("doc_id", F.col("old_path").alias("path"), "new_path", "change_kind")
+    """version_id, path (of the previous version), to_version, new_path, change_kind of all diffs but additions."""
+    return diffs.where("change_kind <> 'added'").select(F.col("from_version").alias("version_id"), F.col("old_path").alias("path"), "to_version", "new_path", "change_kind")
 
 
 def marked_stale(irs: DataFrame, citations: DataFrame, diffs: DataFrame) -> DataFrame:
     """Drafts and locked obligations one of whose citations a diff touches are stale; superseded ones are evidence and stay."""
-    hit = citations.join(touching(diffs).select("doc_id", "path").distinct(), ["doc_id", "path"], "left_semi").select("ir_id").distinct().withColumn("__hit", F.lit(True))
+    hit = citations.join(touching(diffs).select("version_id", "path").distinct(), ["version_id", "path"], "left_semi").select("ir_id").distinct().withColumn("__hit", F.lit(True))
     return irs.join(hit, "ir_id", "left").withColumn("status", F.when(F.col("__hit") & F.col("status").isin("draft", "locked"), "stale").otherwise(F.col("status"))).drop("__hit")
 
 
 def stale_targets(irs: DataFrame, citations: DataFrame, diffs: DataFrame) -> DataFrame:
-    """ir_id, doc_id, path, new_path, change_kind: one diff for each stale obligation, in the order in which they were written.
+    """ir_id, doc_id, version_id, path, to_version, new_path, change_kind: one diff for each stale obligation, in the order in which they were written.
 
     The first by path is enough, since re-extraction reads the whole new clause.
     """
-    hits = irs.where("status = 'stale'").select("ir_id", "doc_id", "created_at").join(citations, ["ir_id", "doc_id"]).join(touching(diffs), ["doc_id", "path"])
+    hits = irs.where("status = 'stale'").select("ir_id", "doc_id", "created_at").join(citations, ["ir_id", "doc_id"]).join(touching(diffs), ["version_id", "path"])
     w = Window.partitionBy("ir_id").orderBy("path", "new_path")
-    return hits.withColumn("__k", F.row_number().over(w)).where("__k = 1").select("ir_id", "created_at", "doc_id", "path", "new_path", "change_kind").orderBy("created_at", "ir_id")
+    return hits.withColumn("__k", F.row_number().over(w)).where("__k = 1").select("ir_id", "created_at", "doc_id", "version_id", "path", "to_version", "new_path", "change_kind").orderBy("created_at", "ir_id")
 
 
 def followed(targets: DataFrame, clauses: DataFrame) -> DataFrame:
     """Targets with now_path, where the amended clause stands: the diff's new side, else the same path if the new version has it; null if removed."""
-    known = clauses.select("doc_id", F.col("path").alias("__now")).distinct().withColumn("__held", F.lit(True))
+    known = clauses.select(F.col("version_id").alias("to_version"), F.col("path").alias("__now")).distinct().withColumn("__held", F.lit(True))
     wanted = targets.withColumn("__now", F.when(F.col("change_kind") != "removed", F.coalesce("new_path", "path")))
-    return wanted.join(known, ["doc_id", "__now"], "left").withColumn("now_path", F.when(F.col("__held"), F.col("__now"))).drop("__now", "__held")
+    return wanted.join(known, ["to_version", "__now"], "left").withColumn("now_path", F.when(F.col("__held"), F.col("__now"))).drop("__now", "__held")
 
 
 def rederived(targets: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -66,8 +66,8 @@ def rederived(targets: DataFrame, proposals: DataFrame) -> DataFrame:
 
     A target without a clause, or whose clause states nothing any more, is unresolved and stays work for a person.
     """
-    cited = proposals.select("doc_id", "proposal_id", F.explode("paths").alias("now_path"))
-    joined = targets.join(cited, ["doc_id", "now_path"], "left").groupBy("ir_id").agg(F.countDistinct("proposal_id").alias("successors"), F.sort_array(F.collect_set("proposal_id")).alias("by"))
+    cited = proposals.select(F.col("version_id").alias("to_version"), "proposal_id", F.explode("paths").alias("now_path"))
+    joined = targets.join(cited, ["to_version", "now_path"], "left").groupBy("ir_id").agg(F.countDistinct("proposal_id").alias("successors"), F.sort_array(F.collect_set("proposal_id")).alias("by"))
     return joined.withColumn("link", F.when(F.col("successors") > 0, "successor").otherwise("unresolved"))
 
 

@@ -78,16 +78,15 @@ def _irs(t):
 def _ir_citations(t):
     """Each obligation but every seventh cites its own clause, and every fourth the first article too."""
     rows = _irs(t).where("ordinal % 14 <> 0")
-    first = rows.where("ordinal % 4 = 0").select("ir_id", "doc_id", F.lit("A1").alias("path"))
-    return rows.select("ir_id", "doc_id", "path").unionByName(first).distinct()
+    first = rows.where("ordinal % 4 = 0").select("ir_id", "doc_id", "version_id", F.lit("A1").alias("path"))
+    return rows.select("ir_id", "doc_id", "version_id", "path").unionByName(first).distinct()
 
 
 _IRS = """irs AS (SELECT doc_id || ':' || ordinal AS ir_id, doc_id, version_id, path, ordinal, CASE WHEN ordinal % 3 = 0 THEN 'locked' WHEN ordinal % 5 = 0 THEN 'superseded' ELSE 'draft' END AS status, doc_id % 2 + (ordinal % 4) // 2 AS run_id, doc_id * 1000 - ordinal AS created_at FROM clauses WHERE v = 1 AND ordinal % 2 = 0),
-ir_cites AS (SELECT DISTINCT ir_id, doc_id, unnest(CASE WHEN ordinal % 4 = 0 THEN [path, 'A1'] ELSE [path] END) AS path FROM irs WHERE ordinal % 14 <> 0)"""
-_STALE = """touched AS (SELECT doc_id, old_path AS path, new_path, change_kind FROM diffs WHERE change_kind <> 'added'),
-stale AS (SELECT irs.*, CASE WHEN status IN ('draft', 'locked') AND ir_id IN (SELECT ir_id FROM ir_cites JOIN touched USING (doc_id, path)) THEN 'stale' ELSE status END AS now FROM irs),
-targets AS (SELECT * FROM (SELECT ir_id, doc_id, path, new_path, change_kind, row_number() OVER (PARTITION BY ir_id ORDER BY path, new_path) AS k FROM stale JOIN ir_cites c USING (ir_id, doc_id) JOIN touched t USING (doc_id) WHERE now = 'stale' AND c.path = t.path) WHERE k = 1)"""
-_STALE = _STALE.replace("SELECT ir_id, doc_id, path, new_path, change_kind, row_number() OVER (PARTITION BY ir_id ORDER BY path, new_path)", "SELECT ir_id, doc_id, t.path AS path, new_path, change_kind, row_number() OVER (PARTITION BY ir_id ORDER BY t.path, new_path)")
+ir_cites AS (SELECT DISTINCT ir_id, doc_id, version_id, unnest(CASE WHEN ordinal % 4 = 0 THEN [path, 'A1'] ELSE [path] END) AS path FROM irs WHERE ordinal % 14 <> 0)"""
+_STALE = """touched AS (SELECT from_version AS version_id, to_version, old_path AS path, new_path, change_kind FROM diffs WHERE change_kind <> 'added'),
+stale AS (SELECT irs.*, CASE WHEN status IN ('draft', 'locked') AND ir_id IN (SELECT ir_id FROM ir_cites JOIN touched USING (version_id, path)) THEN 'stale' ELSE status END AS now FROM irs),
+targets AS (SELECT * FROM (SELECT ir_id, s.doc_id, to_version, t.path AS path, new_path, change_kind, row_number() OVER (PARTITION BY ir_id ORDER BY t.path, new_path) AS k FROM stale s JOIN ir_cites c USING (ir_id) JOIN touched t ON c.version_id = t.version_id AND c.path = t.path WHERE now = 'stale') WHERE k = 1)"""
 
 
 def _stale(t):
@@ -95,7 +94,7 @@ def _stale(t):
 
 
 def _targets(t):
-    return o.followed(o.stale_targets(_stale(t), _ir_citations(t), _diffs(t)), t.clauses().where("v = 2"))
+    return o.followed(o.stale_targets(_stale(t), _ir_citations(t), _diffs(t)), t.clauses())
 
 
 def _proposals(t):
@@ -109,7 +108,7 @@ def _proposals(t):
 def _diffs(t):
     from clausewise.operators import diff
 
-    return diff.build_diffs(t.clauses())
+    return diff.build_diffs(t.clauses(), t.versions())
 
 
 def _with_diffs(more: str) -> str:
@@ -139,10 +138,6 @@ def _cited(t):
     return _claims(t).select((F.col("conv_id") * 10 + 1).alias("version_id"), "answer_id", "claim_index", F.explode("cites").alias("path"))
 
 
-def _version_diffs(t):
-    return _diffs(t).withColumn("from_version", F.col("doc_id") * 10 + 1)
-
-
 def _parsed_completions(t):
     """Completions of many shapes: a list in prose, a list, one object, an object around a list, broken text, too many."""
     k = F.col("conv_id") % 6
@@ -171,10 +166,10 @@ QUERIES = {
     "X12_stale_targets": (lambda t: _targets(t).select("ir_id", "path", "change_kind"), sql("SELECT ir_id, path, change_kind FROM targets", _with_diffs(f"{_IRS}, {_STALE}"))),
     "X13_followed_clauses": (
         lambda t: _targets(t).select("ir_id", "now_path"),
-        sql("SELECT ir_id, CASE WHEN change_kind <> 'removed' AND (doc_id, coalesce(new_path, path)) IN (SELECT (doc_id, path) FROM news) THEN coalesce(new_path, path) END AS now_path FROM targets", _with_diffs(f"{_IRS}, {_STALE}"))),
+        sql("SELECT ir_id, CASE WHEN change_kind <> 'removed' AND (to_version, coalesce(new_path, path)) IN (SELECT (to_version, path) FROM news) THEN coalesce(new_path, path) END AS now_path FROM targets", _with_diffs(f"{_IRS}, {_STALE}"))),
     "X14_rederivation": (
-        lambda t: o.rederived(_targets(t), t.clauses().where("v = 2 AND ordinal % 3 <> 1").select("doc_id", F.concat_ws(":", "doc_id", "path").alias("proposal_id"), F.array("path").alias("paths"))).select("ir_id", "link", "successors"),
-        sql("SELECT ir_id, CASE WHEN count(n.path) > 0 THEN 'successor' ELSE 'unresolved' END AS link, count(DISTINCT n.path) AS successors FROM targets t LEFT JOIN (SELECT * FROM news WHERE ordinal % 3 <> 1) n ON n.doc_id = t.doc_id AND n.path = CASE WHEN t.change_kind <> 'removed' THEN coalesce(t.new_path, t.path) END GROUP BY 1", _with_diffs(f"{_IRS}, {_STALE}"))),
+        lambda t: o.rederived(_targets(t), t.clauses().where("v > 1 AND ordinal % 3 <> 1").select("version_id", F.concat_ws(":", "version_id", "path").alias("proposal_id"), F.array("path").alias("paths"))).select("ir_id", "link", "successors"),
+        sql("SELECT ir_id, CASE WHEN count(n.path) > 0 THEN 'successor' ELSE 'unresolved' END AS link, count(DISTINCT n.path) AS successors FROM targets t LEFT JOIN (SELECT * FROM news WHERE ordinal % 3 <> 1) n ON n.to_version = t.to_version AND n.path = CASE WHEN t.change_kind <> 'removed' THEN coalesce(t.new_path, t.path) END GROUP BY 1", _with_diffs(f"{_IRS}, {_STALE}"))),
     "X15_extraction_coverage": (
         lambda t: o.coverage(_triaged(t), o.ledger(_triaged(t), _overrides(t), _triaged(t)).where("CAST(path AS INT) % 25 <> 0"), t.documents().select("doc_id", "domain")),
         sql(f"SELECT domain, count(*) AS clauses, count(*) FILTER (WHERE ordinal % 25 <> 0) AS classified, count(*) FILTER (WHERE ordinal % 25 = 0) AS unclassified, count(*) FILTER (WHERE ordinal % 25 <> 0 AND ordinal % 9 <> 0 AND reason IS NULL) AS bearing, count(*) FILTER (WHERE ordinal % 25 = 0) = 0 AS complete FROM (SELECT *, {TRIAGE} AS reason FROM legal) JOIN docs USING (doc_id) GROUP BY 1")),
@@ -215,8 +210,8 @@ QUERIES = {
         lambda t: a.answer_citations(_cited(t), t.versions(), t.clauses().withColumn("effective_date", F.when(F.col("ordinal") == 5, F.lit("2025-06-01").cast("date")))).select("answer_id", "path", "doc_id", F.col("effective_date").cast("string").alias("day")),
         sql("SELECT c.answer_id, path, v.doc_id, CAST(CASE WHEN path = 'A2' AND (v.doc_id, 5) IN (SELECT (doc_id, ordinal) FROM lines) THEN DATE '2025-06-01' ELSE effective_date END AS VARCHAR) AS day FROM cites c JOIN turns USING (answer_id) JOIN versions v ON v.version_id = conv_id * 10 + 1", _CLAIMS)),
     "Q13_superseded_answers": (
-        lambda t: a.superseded_answers(_cited(t), _version_diffs(t))[1],
-        sql("SELECT DISTINCT answer_id FROM cites JOIN turns USING (answer_id) WHERE (conv_id, path) IN (SELECT (doc_id, old_path) FROM diffs WHERE change_kind <> 'added')", _with_diffs(_CLAIMS))),
+        lambda t: a.superseded_answers(_cited(t), _diffs(t))[1],
+        sql("SELECT DISTINCT answer_id FROM cites JOIN turns USING (answer_id) WHERE (conv_id * 10 + 1, path) IN (SELECT (from_version, old_path) FROM diffs WHERE change_kind <> 'added')", _with_diffs(_CLAIMS))),
     "Q14_answer_metrics": (
         lambda t: a.status_metrics(_routed(t).withColumn("domain", F.when(F.col("answer_id") % 2 == 0, "samd").otherwise("cosmetic")), ["domain"]),
         sql("SELECT CASE WHEN answer_id % 2 = 0 THEN 'samd' ELSE 'cosmetic' END AS domain, count(*) AS n, round(count(*) FILTER (WHERE status = 'answered') / count(*), 4) AS answered_rate, round(count(*) FILTER (WHERE status = 'needs_review') / count(*), 4) AS needs_review_rate, round(count(*) FILTER (WHERE status = 'needs_verification') / count(*), 4) AS needs_verification_rate FROM routed GROUP BY 1", _CLAIMS)),

@@ -9,6 +9,7 @@ from clausewise.constants import AUDIT_GENESIS, DISCOVERY_EXCLUSIONS, DISCOVERY_
 from clausewise.operators import catalog as c
 from clausewise.operators import ingest as g
 from clausewise.operators import diff
+from clausewise.plans.diffs import DRIFT_CTES
 from clausewise.sources import archive
 
 _T = f"DATE '{TODAY}'"
@@ -85,11 +86,11 @@ def _known_titles(t):
     return _titles(t).where("doc_id % 3 = 0").select(F.upper(F.replace("title", F.lit(" "), F.lit(" · "))).alias("title")).union(_sources(t).select("s_name"))
 
 
-_SIGNALS = "signals AS (SELECT version_id, CASE WHEN n = 0 THEN 'zero_clauses' ELSE 'clause_count_delta' END AS signal FROM (SELECT version_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY retrieved_at, version_id) AS before FROM (SELECT v.*, coalesce(c.n, 0) AS n FROM versions v LEFT JOIN (SELECT version_id, count(*) AS n FROM clauses GROUP BY 1) c USING (version_id))) WHERE n = 0 OR abs(n - before) / before > 0.1)"
+_SIGNALS = f"{DRIFT_CTES}, signals AS (SELECT version_id, signal FROM drift WHERE signal IS NOT NULL)"
 
 
 def _quarantine(t):
-    return g.quarantined(t.versions(), diff.count_drift(t.clauses(), t.versions(), 0.1).select("version_id", "signal"))
+    return g.quarantined(t.versions(), t.clauses(), diff.count_drift(t.clauses(), t.versions()).select("version_id", "signal"))
 
 
 def _entries(t):
@@ -124,8 +125,8 @@ QUERIES = {
             t.raw("part").where("p_partkey % 3 = 0").select("p_name", F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")).alias("edition"), F.col("p_partkey").alias("num"), F.lit(2).alias("seen")), ["num", "edition"], ["seen"]).select("num", "edition", "seen"),
         "SELECT p_partkey AS num, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS edition, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS seen FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0"),
     "C12_one_open_alert": (
-        lambda t: c.one_open_alert(_observations(t).where("outcome = 'error'").select("source_id", F.lit("zero_records").alias("signal"), (F.col("observation_id") % 2).alias("expected"), F.col("fetched_at").alias("raised_at"), F.col("observation_id").alias("alert_id"), F.when(F.col("observation_id") % 5 == 0, 1).alias("resolved_at"))).select("source_id", "expected", "alert_id"),
-        f"WITH {_OBS} SELECT source_id, expected, alert_id FROM (SELECT source_id, observation_id % 2 AS expected, observation_id AS alert_id, row_number() OVER (PARTITION BY source_id, observation_id % 2 ORDER BY fetched_at, observation_id) AS k FROM obs WHERE outcome = 'error' AND observation_id % 5 <> 0) WHERE k = 1"),
+        lambda t: c.one_open_alert(_observations(t).where("outcome = 'error'").select("source_id", F.lit("zero_records").alias("signal"), (F.col("observation_id") % 2).alias("expected"), F.col("fetched_at").alias("raised_at"), F.col("observation_id").alias("alert_id"), F.concat(F.lit("seen "), F.col("observation_id").cast("string")).alias("actual"), F.when(F.col("observation_id") % 5 == 0, 1).alias("resolved_at"))).select("source_id", "expected", "alert_id", "actual", "refreshed_at"),
+        f"WITH {_OBS} SELECT source_id, expected, alert_id, actual, refreshed_at FROM (SELECT source_id, observation_id % 2 AS expected, observation_id AS alert_id, 'seen ' || last_value(observation_id) OVER w AS actual, last_value(fetched_at) OVER w AS refreshed_at, row_number() OVER w AS k FROM obs WHERE outcome = 'error' AND observation_id % 5 <> 0 WINDOW w AS (PARTITION BY source_id, observation_id % 2 ORDER BY fetched_at, observation_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE k = 1"),
     "S3_ingestible_guard": (
         lambda t: g.guarded(_catalogue(t)).select("source_id", "action", "reason"),
         f"WITH {_SRC} SELECT source_id, CASE WHEN tier = 'd' OR source_id % 6 = 1 THEN 'skip' ELSE 'fetch' END AS action, CASE WHEN tier = 'd' THEN 'metadata_only' WHEN source_id % 6 = 1 THEN 'not_ingestible' END AS reason FROM src"),
@@ -164,8 +165,10 @@ QUERIES = {
         "SELECT page_id AS version_id, sha256(html) AS object_key, octet_length(encode(html)) AS raw_bytes FROM pages WHERE page_id % 4 <> 0 AND NOT regexp_matches(html, '[?&](OC|oc|key|apikey|api_key)=[^&\\s{]')"),
     "P26_quarantine": (
         lambda t: _quarantine(t)[0].select("version_id"), sql("SELECT version_id FROM versions WHERE version_id NOT IN (SELECT version_id FROM signals)", _SIGNALS)),
+    "P26_quarantined_clauses": (
+        lambda t: _quarantine(t)[1].select("version_id", "path"), sql("SELECT version_id, path FROM clauses WHERE version_id NOT IN (SELECT version_id FROM signals)", _SIGNALS)),
     "P26_quarantine_alerts": (
-        lambda t: _quarantine(t)[1].select("version_id", "signal", "severity"), sql("SELECT version_id, signal, 'high' AS severity FROM signals", _SIGNALS)),
+        lambda t: _quarantine(t)[2].select("version_id", "signal", "severity"), sql("SELECT version_id, signal, 'high' AS severity FROM signals", _SIGNALS)),
     "A1_canonical_entry": (
         lambda t: _entries(t).select("event_id", c.entry_hash(c.canonical_entry(F.col("action"), F.col("actor_id"), F.col("entity_type"), F.col("entity_id"), F.col("at"), F.col("payload")), F.lit(AUDIT_GENESIS)).alias("entry_hash")),
         f"""SELECT event_id, sha256('{{"action":"' || event_type || '","actor_id":"' || user_id || '","at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","entity_id":"' || event_id || '","entity_type":"event","payload":{{"k":"' || event_type || '","v":"가"}}}}' || '{AUDIT_GENESIS}') AS entry_hash FROM events"""),

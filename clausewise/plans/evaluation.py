@@ -155,7 +155,7 @@ QUERIES = {
         "SELECT s_suppkey, greatest(least(30, s_suppkey % 40), 0) AS expected FROM supplier"),
     "E10_ledger_coverage": (
         lambda t: e.ledger_coverage(e.amendment_labels(t.versions(), t.documents()).unionByName(t.documents().where("doc_id % 9 = 0").select(F.concat("title", F.lit(" @ never")).alias("label"))), e.amendment_labels(t.versions().where("doc_id % 4 > 0"), t.documents())),
-        sql("SELECT DISTINCT title || ' @ ' || CAST(effective_date AS VARCHAR) AS label, doc_id % 4 > 0 AS found FROM versions JOIN docs USING (doc_id) WHERE v = 2 AND effective_date IS NOT NULL UNION ALL SELECT title || ' @ never', false FROM docs WHERE doc_id % 9 = 0")),
+        sql("SELECT DISTINCT title || ' @ ' || CAST(effective_date AS VARCHAR) AS label, doc_id % 4 > 0 AS found FROM versions JOIN docs USING (doc_id) WHERE v > 1 AND effective_date IS NOT NULL UNION ALL SELECT title || ' @ never', false FROM docs WHERE doc_id % 9 = 0")),
     "E11_detection_scores": (
         lambda t: e.binary_scores(_marks(t).select("doc_id", (F.col("quality") == 0).alias("marked")), t.raw("documents").select("doc_id", F.col("text").contains("!!").alias("detected"))),
         "SELECT count(*) FILTER (WHERE quality = 0 AND d) AS tp, count(*) FILTER (WHERE quality = 1 AND d) AS fp, count(*) FILTER (WHERE quality = 0 AND NOT d) AS fn FROM labels JOIN (SELECT doc_id, contains(text, '!!') AS d FROM documents) USING (doc_id)"),
@@ -180,7 +180,7 @@ QUERIES = {
         sql("SELECT version_id, path, count(DISTINCT ir) AS irs, count(*) AS citations, count(*) FILTER (WHERE path <> 'Z') AS resolving FROM (SELECT version_id, path, ordinal % 6 AS ir FROM clauses WHERE v = 1 AND ordinal % 2 = 0 UNION ALL SELECT version_id, 'Z', ordinal FROM clauses WHERE v = 1 AND ordinal % 5 = 0) GROUP BY 1, 2")),
     "E19_amendment_labels": (
         lambda t: e.amendment_labels(t.versions(), t.documents()),
-        sql("SELECT DISTINCT title || ' @ ' || CAST(effective_date AS VARCHAR) AS label FROM versions JOIN docs USING (doc_id) WHERE v = 2 AND effective_date IS NOT NULL")),
+        sql("SELECT DISTINCT title || ' @ ' || CAST(effective_date AS VARCHAR) AS label FROM versions JOIN docs USING (doc_id) WHERE v > 1 AND effective_date IS NOT NULL")),
     "E20_schedule_counts": (
         lambda t: e.polls_in_window(t.raw("customer").select(F.col("c_custkey").alias("source_id")), t.raw("orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("fetched_at")), F.lit("1997-01-01").cast("timestamp_ntz")),
         "SELECT c_custkey AS source_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1997-01-01') AS polls FROM customer"),

@@ -11,8 +11,8 @@ from clausewise.plans.answers import _IRS, _ir_citations, _irs
 from clausewise.plans.diffs import DIFF_CTES
 
 _ALERTS = DIFF_CTES + """, events AS (SELECT * FROM diffs JOIN doc_cells USING (doc_id)),
-alerts AS (SELECT cell_id, doc_id, count(*) AS clause_count, count(*) FILTER (WHERE change_kind = 'removed') AS removed, count(*) FILTER (WHERE change_kind = 'modified') AS modified,
-  count(*) FILTER (WHERE change_kind = 'added') AS added, list(coalesce(new_path, old_path) ORDER BY coalesce(new_path, old_path)) AS paths FROM events WHERE change_kind NOT IN ('renumbered', 'moved') GROUP BY 1, 2),
+alerts AS (SELECT cell_id, doc_id, to_version, count(*) AS clause_count, count(*) FILTER (WHERE change_kind = 'removed') AS removed, count(*) FILTER (WHERE change_kind = 'modified') AS modified,
+  count(*) FILTER (WHERE change_kind = 'added') AS added, list(coalesce(new_path, old_path) ORDER BY coalesce(new_path, old_path)) AS paths FROM events WHERE change_kind NOT IN ('renumbered', 'moved') GROUP BY 1, 2, 3),
 graded AS (SELECT *, CASE WHEN doc_id % 10 = 1 THEN 'high' WHEN removed > 0 THEN 'medium' WHEN clause_count >= 20 THEN 'medium' ELSE 'low' END AS severity,
   CASE WHEN doc_id % 10 = 1 THEN 'locked_ir' WHEN removed > 0 THEN 'clause_removed' WHEN clause_count >= 20 THEN 'bulk_change' ELSE 'routine' END AS basis, doc_id % 10 = 1 AS locked FROM alerts)"""
 _ORDERS = """al AS (SELECT o_orderkey AS alert_id, o_custkey % 50 AS cell_id, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 3 END AS tenant, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity,
@@ -23,7 +23,7 @@ states AS (SELECT alert_id, subscription_id, n, CASE WHEN sent THEN 'done' WHEN
 
 
 def _events(t):
-    return diff.fan_out(diff.build_diffs(t.clauses()), t.document_cells())
+    return diff.fan_out(diff.build_diffs(t.clauses(), t.versions()), t.document_cells())
 
 
 def graded(t):
@@ -65,7 +65,7 @@ def _noted(t):
 
 def _numbered(t):
     """Events with a number of their own."""
-    return _events(t).withColumn("event_id", F.concat_ws("|", "cell_id", "doc_id", "old_path", "new_path"))
+    return _events(t).withColumn("event_id", F.concat_ws("|", "cell_id", "to_version", "old_path", "new_path"))
 
 
 def _timed(t):
@@ -86,26 +86,26 @@ def _channels(t):
 
 QUERIES = {
     "M1_amendment_lookup": (lambda t: m.amendments(t.versions(), t.documents()).select("version_id", "title", "doc_type"), sql("SELECT version_id, title, doc_type FROM versions JOIN docs USING (doc_id)")),
-    "M2_version_events": (lambda t: m.version_events(_events(t)).select("doc_id", "cell_id", "path", "change_kind"), sql("SELECT doc_id, cell_id, coalesce(new_path, old_path) AS path, change_kind FROM events", _ALERTS)),
+    "M2_version_events": (lambda t: m.version_events(_events(t)).select("to_version", "cell_id", "path", "change_kind"), sql("SELECT to_version, cell_id, coalesce(new_path, old_path) AS path, change_kind FROM events", _ALERTS)),
     "M3_locked_impact": (
         lambda t: m.locked_impact(_events(t), _ir_citations(t), _irs(t)),
-        sql("SELECT e.cell_id, e.doc_id, count(DISTINCT i.ir_id) AS irs FROM (SELECT DISTINCT cell_id, doc_id, old_path FROM events WHERE change_kind <> 'added') e JOIN ir_cites c ON c.doc_id = e.doc_id AND c.path = e.old_path JOIN irs i ON i.ir_id = c.ir_id WHERE i.ordinal % 3 = 0 GROUP BY 1, 2", f"{_ALERTS}, {_IRS}")),
+        sql("SELECT e.cell_id, e.to_version, count(DISTINCT i.ir_id) AS irs FROM (SELECT DISTINCT cell_id, from_version, to_version, old_path FROM events WHERE change_kind <> 'added') e JOIN ir_cites c ON c.version_id = e.from_version AND c.path = e.old_path JOIN irs i ON i.ir_id = c.ir_id WHERE i.ordinal % 3 = 0 GROUP BY 1, 2", f"{_ALERTS}, {_IRS}")),
     "M4_substantive_events": (
         lambda t: m.suppression(_events(t)),
-        sql("SELECT doc_id, cell_id, count(*) FILTER (WHERE change_kind IN ('renumbered', 'moved')) AS suppressed, count(*) FILTER (WHERE change_kind NOT IN ('renumbered', 'moved')) AS kept, count(*) FILTER (WHERE change_kind NOT IN ('renumbered', 'moved')) = 0 AS silent FROM events GROUP BY 1, 2", _ALERTS)),
+        sql("SELECT to_version, cell_id, count(*) FILTER (WHERE change_kind IN ('renumbered', 'moved')) AS suppressed, count(*) FILTER (WHERE change_kind NOT IN ('renumbered', 'moved')) AS kept, count(*) FILTER (WHERE change_kind NOT IN ('renumbered', 'moved')) = 0 AS silent FROM events GROUP BY 1, 2", _ALERTS)),
     "M5_tenant_fan_out": (
         lambda t: m.fanned_to_tenants(_alerts(t).select("alert_id", "cell_id"), _subs(t)).groupBy("alert_id").agg(F.count("*").alias("tenants")),
         f"WITH {_ORDERS} SELECT alert_id, count(*) AS tenants FROM al JOIN (SELECT DISTINCT cell_id, tenant FROM subs WHERE enabled) USING (cell_id) GROUP BY 1"),
     "M6_alert_composition": (
-        lambda t: m.composed(_events(t)).select("cell_id", "doc_id", "clause_count", "removed", "modified", "added", F.array_join("paths", ",").alias("paths")),
-        sql("SELECT cell_id, doc_id, clause_count, removed, modified, added, array_to_string(paths, ',') AS paths FROM alerts", _ALERTS)),
+        lambda t: m.composed(_events(t)).select("cell_id", "to_version", "clause_count", "removed", "modified", "added", F.array_join("paths", ",").alias("paths")),
+        sql("SELECT cell_id, to_version, clause_count, removed, modified, added, array_to_string(paths, ',') AS paths FROM alerts", _ALERTS)),
     "M7_alert_upsert": (
         lambda t: m.upserted(*_recorded(t)),
         f"WITH {_ORDERS} SELECT tenant, cell_id, alert_id AS version_id, CASE WHEN alert_id % 3 > 0 THEN severity ELSE 'low' END AS severity, CASE WHEN alert_id % 3 < 2 AND alert_id % 2 = 0 THEN 'kim' END AS owner, CASE WHEN alert_id % 3 < 2 THEN 'sent' ELSE 'pending' END AS delivery FROM al"),
-    "M8_graded_alerts": (lambda t: graded(t).select("cell_id", "doc_id", "clause_count", "severity", "basis"), sql("SELECT cell_id, doc_id, clause_count, severity, basis FROM graded", _ALERTS)),
+    "M8_graded_alerts": (lambda t: graded(t).select("cell_id", "to_version", "clause_count", "severity", "basis"), sql("SELECT cell_id, to_version, clause_count, severity, basis FROM graded", _ALERTS)),
     "M9_summaries": (
-        lambda t: graded(t).select("cell_id", "doc_id", m.summary(F.lit("t"), F.create_map(F.lit("added"), F.col("added"), F.lit("modified"), F.col("modified"), F.lit("removed"), F.col("removed")), F.col("paths")).alias("summary")),
-        sql("""SELECT cell_id, doc_id, 't' || chr(10) || (SELECT string_agg(k || ' ' || n, ', ' ORDER BY n DESC, k) FROM (SELECT 'added' AS k, added AS n UNION ALL SELECT 'modified', modified UNION ALL SELECT 'removed', removed) WHERE n > 0)
+        lambda t: graded(t).select("cell_id", "to_version", m.summary(F.lit("t"), F.create_map(F.lit("added"), F.col("added"), F.lit("modified"), F.col("modified"), F.lit("removed"), F.col("removed")), F.col("paths")).alias("summary")),
+        sql("""SELECT cell_id, to_version, 't' || chr(10) || (SELECT string_agg(k || ' ' || n, ', ' ORDER BY n DESC, k) FROM (SELECT 'added' AS k, added AS n UNION ALL SELECT 'modified', modified UNION ALL SELECT 'removed', removed) WHERE n > 0)
           || chr(10) || array_to_string(paths[1:5], ', ') || CASE WHEN len(paths) > 5 THEN ' +' || (len(paths) - 5) ELSE '' END AS summary FROM graded""", _ALERTS)),
     "M10_eligible_subscriptions": (
         lambda t: m.eligible(_alerts(t), _subs(t)).groupBy("subscription_id").agg(F.count("*").alias("n")),
