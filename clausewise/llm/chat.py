@@ -3,7 +3,10 @@
 A message's lines carry a quote level (the number of leading ``>`` marks, blanks between them allowed).  Runs of
 lines of one level are passages, and so are the paragraphs and the lines of a run; each is normalised (lower case,
 single blanks) and hashed.  Quoted passages join the unquoted passages of other messages by hash, inside their
-conversation first and anywhere else otherwise; the earliest message with the passage is its origin.  Unquoted passages
+conversation first and anywhere else otherwise; the earliest message with the passage is its origin.  Across conversations
+a quote must be recognised as a whole: the passages that one message holds (the run, or its paragraphs, or its lines, taken
+together) cover half the quoted characters at least, and only those count that tell messages apart (``TELLING`` characters, or two
+words of ``SHORTEST`` characters that a single conversation holds), so greetings and signatures link nothing.  Unquoted passages
 are reduced to one row per hash and conversation, and to one per hash, before they meet any quote, and a passage
 that a third of all messages hold or quote is dealt out, so no task gathers it.
 
@@ -36,6 +39,10 @@ from pyspark.sql import functions as F
 from clausewise.llm.common import join_facts, materialize
 
 MAX_DOUBLINGS = 40
+#: Characters of a passage that count for a link across conversations: anywhere, and where one conversation alone holds it.
+TELLING, SHORTEST = 40, 8
+#: The share of a quote's characters that its origin in another conversation must hold.
+COVERED = 0.5
 _MARKS = re.compile(r"[ \t]*(?:>[ \t]?)+")
 _BLANK_LINE = re.compile(r"\n\s*\n")
 
@@ -52,10 +59,17 @@ def runs(text: str) -> list[tuple[int, str]]:
     return [(depth, "\n".join(lines)) for depth, lines in out]
 
 
-def pieces(run: str) -> set[str]:
-    """The normalised run, its paragraphs and its lines, without blank ones."""
-    every = [run, *_BLANK_LINE.split(run), *run.split("\n")]
-    return {p for p in (" ".join(x.lower().split()) for x in every) if p}
+WHOLE, PARAGRAPH, LINE = 1, 2, 4
+
+
+def pieces(run: str) -> dict[str, int]:
+    """The normalised run, its paragraphs and its lines, without blank ones, and as which of these each stands (bits)."""
+    out: dict[str, int] = {}
+    for kind, texts in ((WHOLE, [run]), (PARAGRAPH, _BLANK_LINE.split(run)), (LINE, run.split("\n"))):
+        for p in (" ".join(x.lower().split()) for x in texts):
+            if p:
+                out[p] = out.get(p, 0) | kind
+    return out
 
 
 def without_quotes(text: str) -> str:
@@ -66,19 +80,22 @@ def without_quotes(text: str) -> str:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, place (of the run), hash, size: the non-blank passages of every message, in one narrow pass."""
+    """conv_id, turn, level, place (of the run), whole (its size), hash, size, words (two or more), kinds: the non-blank passages of every message, in one narrow pass."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int32())
+        names = ["conv_id", "turn", "level", "place", "whole", "hash", "size", "words", "kinds"]
         for batch in batches:
             rows: list[tuple] = []
             for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for place, (depth, run) in enumerate(runs(text or "")):
-                    rows += [(conv, turn, depth, place, xxhash.xxh3_64_intdigest(p) - (1 << 63), len(p)) for p in pieces(run)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["conv_id", "turn", "level", "place", "hash", "size"])
+                    found = pieces(run)
+                    whole = max(map(len, found), default=0)
+                    rows += [(conv, turn, depth, place, whole, xxhash.xxh3_64_intdigest(p) - (1 << 63), len(p), " " in p, kinds) for p, kinds in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, types)], names=names)
 
     return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text").where(
-        "conv_id IS NOT NULL AND turn IS NOT NULL").mapInArrow(read, "conv_id long, turn long, level int, place int, hash long, size int")
+        "conv_id IS NOT NULL AND turn IS NOT NULL").mapInArrow(read, "conv_id long, turn long, level int, place int, whole int, hash long, size int, words boolean, kinds int")
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -88,15 +105,23 @@ def reply_links(messages: DataFrame) -> DataFrame:
     # aggregate first: one row for each passage and conversation, whoever holds or quotes it
     inside = found.groupBy("hash", "conv_id").agg(F.min(F.when(F.col("level") == 0, F.col("turn"))).alias("in_turn"), F.max("level").alias("deepest"))
     by_conv = materialize(inside, "chat-origins")
-    first = by_conv.groupBy("hash").agg(F.min(F.when(F.col("in_turn").isNotNull(), F.struct("conv_id", F.col("in_turn").alias("turn")))).alias("first"), F.max("deepest").alias("deepest"))
-    anywhere = materialize(first.where("deepest > 0 AND first IS NOT NULL").select("hash", "first"), "chat-first")
+    first = by_conv.groupBy("hash").agg(
+        F.min(F.when(F.col("in_turn").isNotNull(), F.struct("conv_id", F.col("in_turn").alias("turn")))).alias("first"), F.count("in_turn").alias("holders"), F.max("deepest").alias("deepest"))
+    anywhere = materialize(first.where("deepest > 0 AND first IS NOT NULL").select("hash", "first", "holders"), "chat-first")
     local = by_conv.where("deepest > 0 AND in_turn IS NOT NULL").select(F.struct("hash", "conv_id").alias("spot"), "in_turn")
-    asked = materialize(join_facts(quotes, local, "spot", "left").select("conv_id", "turn", "level", "place", "size", "hash", "in_turn"), "chat-asked")
+    names = ["conv_id", "turn", "level", "place", "whole", "size", "words", "kinds"]
+    asked = materialize(join_facts(quotes, local, "spot", "left").select(*names, "hash", "in_turn"), "chat-asked")
+    inside_ = F.col("in_turn") < F.col("turn")
     joined = join_facts(asked, anywhere, "hash", "left").select(
-        "conv_id", "turn", "level", "place", "size",
-        F.when(F.col("in_turn") < F.col("turn"), F.struct("conv_id", F.col("in_turn").alias("turn"))).when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).alias("to"))
-    rank = [(F.col("to.conv_id") == F.col("conv_id")).alias("same"), F.col("to.turn").alias("turn"), F.col("to.conv_id").alias("conv_id")]
-    longest = joined.where("to IS NOT NULL").groupBy("conv_id", "turn", "level", "place").agg(F.max(F.struct("size", F.struct(*rank).alias("to"))).alias("longest"))
+        *names, "holders", F.when(inside_, F.struct("conv_id", F.col("in_turn").alias("turn"))).when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).alias("to"))
+    telling = (F.col("size") >= TELLING) | ((F.col("holders") == 1) & F.col("words") & (F.col("size") >= SHORTEST))
+    held = lambda kind: F.coalesce(F.sum(F.when(telling & (F.col("kinds").bitwiseAND(kind) > 0), F.col("size"))), F.lit(0))
+    origins = joined.where("to IS NOT NULL").groupBy("conv_id", "turn", "level", "place", "to").agg(
+        F.max("size").alias("size"), F.max("whole").alias("whole"), F.greatest(*map(held, (WHOLE, PARAGRAPH, LINE))).alias("held"))
+    same = F.col("to.conv_id") == F.col("conv_id")
+    rank = [same.alias("same"), F.col("to.turn").alias("turn"), F.col("to.conv_id").alias("conv_id")]
+    longest = origins.where(same | ((F.col("held") > 0) & (F.col("held") >= COVERED * F.col("whole")))).groupBy("conv_id", "turn", "level", "place").agg(
+        F.max(F.struct("size", F.struct(*rank).alias("to"))).alias("longest"))
     best = longest.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "longest.to.same", "longest.to.turn", "longest.to.conv_id")).alias("m"))
     return best.select("conv_id", "turn", F.col("m.conv_id").alias("to_conv"), F.col("m.turn").alias("to_turn"))
 
@@ -166,7 +191,9 @@ def threads(links: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, reply_conv, reply_turn, thread_conv, thread_turn, depth, position for every message, in reply order."""
     links = materialize(reply_links(messages), "chat-links")
-    facts = materialize(links.join(threads(links), ["conv_id", "turn"], "left").withColumn("at", _name("conv_id", "turn")).drop("conv_id", "turn"), "chat-facts")
+    # without any link every message is a thread of its own
+    placed = links.withColumns({c: F.lit(None).cast("long") for c in ("root_conv", "root_turn", "depth", "position")}) if links.isEmpty() else links.join(threads(links), ["conv_id", "turn"], "left")
+    facts = materialize(placed.withColumn("at", _name("conv_id", "turn")).drop("conv_id", "turn"), "chat-facts")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

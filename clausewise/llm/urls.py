@@ -5,11 +5,12 @@ fitting rule (host and path characters) decides, allow before block among equals
 caller's hands; they become one literal map, so judging a page is a projection without join or shuffle.
 
 Equivalence.  Addresses that stand for each other share a component: edges lead from a page's url to the targets of
-its canonical link and its refresh redirect, from both ends of given redirect records, and from a url to its plain
-form (no fragment, no tracking parameters, no closing slash), so spellings of one address meet.  Every address of the
-graph is judged by the rules, whether it was crawled or only named by a link.  Distributed connected components
-carry decisions to pages without a rule of their own: an explicit allow anywhere in the component precedes, then a
-block, else the default (allow).
+its canonical link and its refresh redirect, and between the ends of given redirect records, and from nowhere else.  Two urls are
+one address if they differ in a fragment, in the case of scheme or host, or in an empty path against ``/``; what else
+spells alike (tracking parameters, http and https, a closing slash) may name different pages and is merged only on demand
+(``spellings``).  Every address of the graph is judged by the rules, whether it was crawled or only named by a link.  Distributed
+connected components carry decisions to pages without a rule of their own: an explicit allow anywhere in the component precedes,
+then a block, else the default (allow).  Links inside comments and scripts are text and name nothing.
 
 Links are read as browsers do: character references are decoded, ``//host/`` takes the page's scheme, ``/path`` its
 host, ``?query`` its path, and others its folder, with ``.`` and ``..`` resolved.  A link of another scheme without
@@ -79,11 +80,17 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.when(best.isNotNull() & (host != ""), F.struct(F.concat(best["host"], best["path"]).alias("rule"), best["verdict"].alias("verdict")))
 
 
-def plain_form(url: Column) -> Column:
-    """The url without scheme, fragment, tracking parameters and closing slash; host in lower case."""
+def address(url: Column, spellings: bool = False) -> Column:
+    """What a url names: without fragment, scheme and host in lower case, an empty path as ``/``.
+
+    With ``spellings`` scheme, tracking parameters and closing slashes do not count either.
+    """
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    tidy = F.regexp_replace(rest, rf"(?<=[?&])(?:{TRACKING})=[^&]*&?", "")
-    return F.concat(host_of(url), F.regexp_replace(F.regexp_replace(tidy, r"[?&]+$", ""), r"/+$", ""))
+    if spellings:
+        tidy = F.regexp_replace(rest, rf"(?<=[?&])(?:{TRACKING})=[^&]*&?", "")
+        return F.concat(host_of(url), F.regexp_replace(F.regexp_replace(tidy, r"[?&]+$", ""), r"/+$", ""))
+    rooted = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.concat(lower_ascii(F.regexp_extract(url, r"(?s)^(.*?://)", 1)), host_of(url), rooted)
 
 
 # Character references in attribute values.
@@ -98,6 +105,8 @@ def _decoded(value: Column) -> Column:
 
 def _links(html: Column) -> Column:
     """Targets of canonical links and of refresh redirects."""
+    # an open comment or script reaches to the end of the page
+    html = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)", " ")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*>|<meta\b[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*>)"), F.lit(1))
     value = r"(?is)\b{}\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\"'\s<>]+))"
     found = lambda t, name: F.concat(*(F.regexp_extract(t, value.format(name), k) for k in (1, 2, 3)))
@@ -128,35 +137,25 @@ def resolved(base: Column, link: Column) -> Column:
         .otherwise(F.concat(origin, _without_dots(F.concat(folder, link_path)), rest)))
 
 
-def _node(address: Column) -> Column:
-    return F.xxhash64(address)
-
-
-def _plain_node(url: Column) -> Column:
-    return F.xxhash64(F.concat(F.lit("plain "), plain_form(url)))
-
-
-def named_links(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+def named_links(pages: DataFrame, redirects: DataFrame | None = None, spellings: bool = False) -> DataFrame:
     """a, b (nodes), source, target: what each page's links and each redirect record (source, target) name."""
-    linked = pages.select("url", F.explode(_links(F.col("html"))).alias("link")).where(F.col("url").contains("://")).select(
-        _node(F.col("url")).alias("a"), F.col("url").alias("source"), resolved(F.col("url"), F.col("link")).alias("target")).where("target IS NOT NULL")
-    out = linked.select("a", _plain_node(F.col("target")).alias("b"), "source", "target")
+    out = pages.select("url", F.explode(_links(F.col("html"))).alias("link")).where(F.col("url").contains("://")).select(
+        F.col("url").alias("source"), resolved(F.col("url"), F.col("link")).alias("target")).where("target IS NOT NULL")
     if redirects is not None:
-        both = redirects.where(F.col("source").contains("://") & F.col("target").contains("://"))
-        out = out.unionByName(both.select(_plain_node(F.col("source")).alias("a"), _plain_node(F.col("target")).alias("b"), "source", "target"))
-    return out
+        out = out.unionByName(redirects.where(F.col("source").contains("://") & F.col("target").contains("://")).select("source", "target"))
+    node = lambda c: F.xxhash64(address(F.col(c), spellings))
+    return out.select(node("source").alias("a"), node("target").alias("b"), "source", "target")
 
 
-def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, default: str = ALLOW) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, default: str = ALLOW, spellings: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages``."""
     url = F.col("url")
     own = materialize(pages.select(
         F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
-        F.when(url.contains("://"), _node(url)).alias("node"), F.when(url.contains("://"), _plain_node(url)).alias("plain")).withColumn("hit", matched(F.col("host"), F.col("path"), rules)), "urls-own")
+        F.when(url.contains("://"), F.xxhash64(address(url, spellings))).alias("node")).withColumn("hit", matched(F.col("host"), F.col("path"), rules)), "urls-own")
     verdict = lambda c: matched(host_of(F.col(c)), path_of(F.col(c)), rules)["verdict"]
-    links = materialize(named_links(pages, redirects).select("a", "b", verdict("source").alias("va"), verdict("target").alias("vb")), "urls-links")
-    edges = own.where("node IS NOT NULL").select(F.col("node").alias("a"), F.col("plain").alias("b")).unionByName(links.select("a", "b")).distinct()
-    parts = materialize(connected_components(edges), "urls-parts")
+    links = materialize(named_links(pages, redirects, spellings).select("a", "b", verdict("source").alias("va"), verdict("target").alias("vb")), "urls-links")
+    parts = materialize(connected_components(links.select("a", "b")), "urls-parts")
     # every address that a rule decides, crawled or named; 'allow' sorts before 'block'
     known = own.select("node", F.col("hit.verdict").alias("verdict")).unionByName(links.select(F.col("a").alias("node"), F.col("va").alias("verdict"))).unionByName(
         links.select(F.col("b").alias("node"), F.col("vb").alias("verdict"))).where("node IS NOT NULL AND verdict IS NOT NULL").groupBy("node").agg(F.min("verdict").alias("verdict"))

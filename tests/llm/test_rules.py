@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import struct
 import time
 from collections import defaultdict
 from pathlib import Path
@@ -89,6 +90,34 @@ def test_stored_payloads_use_the_format():
     # a repeat is a reference, a run of few values is packed
     assert len(stored[3]) < len(stored[2]) + 60 and len(stored[4]) < len(whole[4]) // 10
     assert webp.encode_bytes(whole[2:3]) == stored[2:3]
+    # one image for a text, of any reader's reading: without the index of parts the stream is read in one go
+    for data, p in zip(stored, whole, strict=True):
+        (image,) = webp.decode(data)
+        assert struct.unpack_from("<I", data, 4)[0] + 8 == len(data) and image.size >= len(p)
+        assert (webp.decode_all([data])[0][0] == image).all()
+        plain = data.replace(webp.INDEX, b"XXXX")
+        assert (webp.decode_all([plain])[0][0] == image).all() and (webp.INDEX in data) == (data[12:16] == b"VP8X") == (len(p) > webp.PART and len(set(p)) > webp.FEW)
+
+
+def test_long_payloads_are_one_image():
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, (1 << 20) + 64 * 777, dtype=np.uint8).tobytes()
+    same = b"a" * (1 << 18)
+    stored = webp.encode_bytes([long, same])
+    assert webp.decode_bytes(stored, [len(long), len(same)]) == [long, same]
+    for data in stored:
+        first, _, after, _ = webp._body(data, 0)
+        shape = int.from_bytes(data[first + 1 : first + 5], "little")
+        assert after == len(data) and (shape & 0x3FFF) < webp.MAX_SIDE and (shape >> 14 & 0x3FFF) < webp.MAX_SIDE
+    broken = stored[1].replace(webp.INDEX + struct.pack("<I", 4 + 8 * 64), webp.INDEX + struct.pack("<I", 4 + 8 * 63))
+    with pytest.raises(ValueError):
+        webp.decode_bytes([broken], [len(same)])
+
+
+def test_payload_samples_in_reading_order():
+    rng = random.Random(6)
+    whole = [media.payload(rng.randbytes(5000)), media.payload(b"the same words again and again " * 400)]
+    stored = webp.encode_bytes(whole)
     for data, p in zip(stored, whole):
         samples = b"".join((i.reshape(-1) >> np.uint32(8)).astype(np.uint8).tobytes() for i in webp.decode(data))
         assert samples[: len(p)] == p
@@ -257,6 +286,21 @@ def test_reply_order_matches_a_walk(spark):
     assert [(r.thread_conv, r.thread_turn, r.position) for r in out] == sorted((r.thread_conv, r.thread_turn, r.position) for r in out)
 
 
+def test_common_phrases_link_no_conversations(spark):
+    signature = "Best regards, Ana Lima, Pump Works Ltd., 12 River Street"
+    long = "The valve on the second pump leaks when the pressure rises above four bar."
+    rows = [
+        (1, 0, f"Hello,\n{long}\n\nyes\n\nThank you all\n\n{signature}"), (2, 0, f"Hello,\n\nThank you all\n\nWe ship on Monday mornings.\n\n{signature}"),
+        (3, 0, "> Hello,\n> some line that nobody wrote\n\nwhat?"), (3, 1, "> yes\nno"), (3, 2, "> Thank you all\nwelcome"),
+        (4, 0, f"> A long paragraph of another mail that is not in this corpus at all, line one.\n>\n> {signature}\n\nnoted"),
+        (5, 0, f"> Hello,\n> {long}\n\nfixed"), (5, 1, "> We ship on Monday mornings.\ngood"), (5, 2, "> good\nbetter")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumns({c: F.lit(1) for c in ("role", "spot", "at", "whole", "kinds", "words", "hash")})
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in chat.conversations(df).collect() if r.reply_conv is not None}
+    # inside a conversation any quote of an earlier message counts
+    assert got == {(5, 0): (1, 0), (5, 1): (2, 0), (5, 2): (5, 1)}
+    assert chat.conversations(df.where("text NOT LIKE '>%'")).where("reply_conv IS NOT NULL OR position <> 0").count() == 0
+
+
 # ---------------------------------------------------------------- 10
 
 RULES = "allow com/\nblock example.com/en/\nallow www.example.com/en/\nblock net/es/\nblock net/fr/"
@@ -310,6 +354,20 @@ def test_every_address_of_a_component_is_judged(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     redirects = spark.createDataFrame([("http://w.org/8", "http://x.net/es/1"), ("http://w.org/7", None)], "source string, target string")
-    got = {r.page_id: r.verdict for r in urls.judge(pages, urls.parse_rules(RULES), redirects).collect()}
+    got = {r.page_id: r.verdict for r in urls.judge(pages, urls.parse_rules(RULES), redirects, spellings=True).collect()}
     # 6 ties 1 to an address that a rule allows, and an explicit allow precedes
     assert got == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "block"}
+
+
+def test_only_redirects_and_canonical_links_join_addresses(spark):
+    tag = '<link rel="canonical" href="http://w.net/es/1">'
+    rows = [
+        (1, "http://h.org/repo?ref=v2", tag), (2, "http://h.org/repo?ref=v1", None), (3, "http://h.org/repo?ref=v2#part", None), (4, "HTTP://H.org/repo?ref=v2", None),
+        (5, "https://h.org/repo?ref=v2", None), (6, "http://h.org/a", tag), (7, "http://h.org/a/", None), (8, "http://g.org", tag), (9, "http://g.org/", None), (10, "http://g.org/?utm_source=x", None),
+        (11, "http://k.org/1", f"<!-- {tag} -->"), (12, "http://k.org/2", f"<script>let x = '{tag}'</script>"), (13, "http://k.org/3", f"<!-- open {tag}"), (14, "http://k.org/4", f"<!-- x --><script></script>{tag}"),
+        (15, "http://k.org/5", "<!--" * 30_000 + "<script>" * 30_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("spot", F.lit(1)).withColumn("plain", F.lit(1)).withColumn("node", F.lit(1))
+    blocked = {r.page_id for r in urls.judge(pages, urls.parse_rules(RULES)).where("verdict = 'block'").collect()}
+    assert blocked == {1, 3, 4, 6, 8, 9, 14}
+    merged = {r.page_id for r in urls.judge(pages, urls.parse_rules(RULES), spellings=True).where("verdict = 'block'").collect()}
+    assert merged == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 14}
