@@ -44,6 +44,8 @@ CHUNK_ROWS, CHUNK_QUERIES = 4_096, 1_024
 VISIT_COST = 100
 #: Cells of a function: projections of directions are standard normal, so those beyond five deviations are one cell.
 REACH = 5.0
+#: Candidates that a task holds to combine them.
+HELD_ROWS = 500_000
 _SLICE = 128
 _cdf = np.vectorize(lambda x: 0.5 * (1 + erf(x / 2**0.5)), otypes=[float])
 
@@ -257,8 +259,7 @@ def search(df: DataFrame, query: str, k: int = 20) -> DataFrame:
     asked = queries.select("vec", F.col("h1").alias("q1"), F.col("h2").alias("q2")).mapInArrow(probing, "key long, tab int, vec binary, q1 long, q2 long").withColumn(
         "band", F.explode(F.array(*map(F.lit, sorted(bands or [0]))).cast("array<int>"))).select(bucket, "vec", "q1", "q2")
     asked = materialize(asked, "ann-probes")
-    near = _met(there, asked, k, width)
-    each = near.select("q1", "q2", F.explode(F.arrays_zip("h1", "h2", "ids", "score")).alias("x")).select("q1", "q2", "x.*")
+    each = _combined(_met(there, asked, k, width), k)
     # a candidate found in several tables has one score and takes one place
     place = F.dense_rank().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0], "h1", "h2"))
     top = each.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("q1", "q2", "h1", "h2").agg(F.max("score").alias("score"), F.max("ids").alias("ids"))
@@ -298,3 +299,37 @@ def _met(there: DataFrame, asked: DataFrame, k: int, width: int) -> DataFrame:
         return pa.table([own["q1"], own["q2"], *lists, pa.ListArray.from_arrays(ends, pa.array(np.concatenate([s for _, _, s in found])))], names=names)
 
     return left.groupBy("bucket", "r", "c").cogroup(right.groupBy("bucket", "r", "c")).applyInArrow(scored, "q1 long, q2 long, h1 array<long>, h2 array<long>, ids array<array<long>>, score array<double>")
+
+
+def _combined(near: DataFrame, k: int) -> DataFrame:
+    """q1, q2, h1, h2, ids, score: of what a task found for a query in all its buckets the k + 1 best, before anything is shuffled."""
+    names = ["q1", "q2", "h1", "h2", "ids", "score"]
+
+    def best(table: pa.Table) -> pa.Table:
+        q1, q2, h1, h2, score = (table[c].to_numpy() for c in ("q1", "q2", "h1", "h2", "score"))
+        reps = pc.list_element(table["ids"].combine_chunks(), 0).to_numpy()
+        order = np.lexsort((h2, h1, reps, -score, q2, q1))
+        new = lambda *columns: np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)]
+        order = order[new(q1, q2, h1, h2)]  # a candidate of several tables stands in a row
+        starts = np.flatnonzero(new(q1, q2))
+        place = np.arange(order.size) - np.repeat(starts, np.diff(np.r_[starts, order.size]))
+        return table.take(pa.array(order[place <= k]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            of = pc.list_parent_indices(t["score"].combine_chunks())
+            flat = {c: t[c].combine_chunks().flatten() for c in ("h1", "h2", "ids", "score")}
+            held.append(pa.table({"q1": t["q1"].combine_chunks().take(of), "q2": t["q2"].combine_chunks().take(of), **flat}).select(names))
+            n += held[-1].num_rows
+            if n > HELD_ROWS:
+                held = [best(pa.concat_tables(held))]
+                n = held[0].num_rows
+                if n > HELD_ROWS // 2:
+                    yield from held.pop().to_batches(max_chunksize=10_000)
+                    n = 0
+        if n:
+            yield from best(pa.concat_tables(held)).to_batches(max_chunksize=10_000)
+
+    return near.mapInArrow(run, "q1 long, q2 long, h1 long, h2 long, ids array<long>, score double")
