@@ -82,42 +82,44 @@ def word_counts(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int =
 
 
 def masks(word: Column) -> Column:
-    """Three bands of the letters' parities, as an array of longs."""
+    """The letters' parities as one long: three bands of 21 bits."""
     # a letter's band and bit follow from its code point, so that neighbours in the alphabet lie in different bands
     bit = lambda c: (F.ascii(c) % BANDS) * BAND_BITS + (F.ascii(c) / BANDS).cast("int") % BAND_BITS
-    mask = F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))))
-    return F.array(*(F.shiftrightunsigned(mask, b * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for b in range(BANDS)))
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))))
+
+
+def band(mask: Column, b: int) -> Column:
+    return F.shiftrightunsigned(mask, b * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, na, b, nb: both directions of all pairs of ``words`` (word, n; each word once) that are one edit apart."""
-    held = materialize(words.select("word", "n", F.length("word").alias("size"), masks(F.col("word")).alias("bands")), "sp-words")
-
-    def keyed(shorter: Column, how: str) -> DataFrame:
-        """A row for each band and half: ``shorter`` is the length whose halves count."""
-        half = (shorter / 2).cast("int")
-        ends = F.array(F.xxhash64(F.expr("substring(word, 1, half)")), F.xxhash64(F.expr("right(word, shorter - half)")))
-        spots = F.explode(F.expr("flatten(transform(sequence(0, 2), b -> transform(sequence(0, 1), h -> struct(b AS band, h AS side, bands[b] AS bits, ends[h] AS half))))"))
-        return held.withColumn("shorter", shorter).withColumn("half", half).withColumn("ends", ends).select(
-            *(F.col(c).alias(f"{c}_{how}") for c in ("word", "n", "size", "bands", "ends")), "shorter", spots.alias("spot")).select(
-            "*", F.xxhash64("shorter", "spot").alias("key"), F.col("spot.band").alias("band"), F.col("spot.side").alias("side")).drop("spot", "shorter")
-
-    def first(b: Column, s: Column) -> Column:
-        """No earlier band is equal, nor the first half where the second was the key."""
-        equal = [F.col("bands_l")[i] == F.col("bands_r")[i] for i in range(BANDS)]
-        earlier = reduce(lambda x, y: x | y, [(b > i) & e for i, e in enumerate(equal)])
-        return ~earlier & ~((s == 1) & (F.col("ends_l")[0] == F.col("ends_r")[0]))
-
-    same, shorter = keyed(F.col("size"), "l"), keyed(F.col("size") - 1, "r")
-    pick = lambda rows, how: rows.select("key", "band", "side", *(c for c in rows.columns if c.endswith(f"_{how}")))
-    renamed = pick(same, "l").select("key", *(F.col(f"{c}_l").alias(f"{c}_r") for c in ("word", "n", "size", "bands", "ends")))
-    verified = F.levenshtein("word_l", "word_r", 1) == 1
-    replaced = same.join(renamed, "key").where((F.col("word_l") < F.col("word_r")) & first(F.col("band"), F.col("side")) & verified)
-    longer = pick(shorter, "r").drop("band", "side")
-    inserted = same.join(longer, "key").where((F.col("size_l") + 1 == F.col("size_r")) & first(F.col("band"), F.col("side")) & verified)
-    one = materialize(replaced.select("word_l", "n_l", "word_r", "n_r").unionByName(inserted.select("word_l", "n_l", "word_r", "n_r")), "sp-pairs")
+    held = materialize(words.select("word", "n", masks(F.col("word")).alias("mask")), "sp-words")
+
+    def keyed(shorter: Column) -> DataFrame:
+        """A row for each band and half (``spot``), by the length ``shorter`` whose halves count; no more columns than the join needs."""
+        ends = held.withColumn("shorter", shorter).withColumn("half", (F.col("shorter") / 2).cast("int")).select(
+            "*", F.xxhash64(F.expr("substring(word, 1, half)")).alias("start"), F.xxhash64(F.expr("right(word, shorter - half)")).alias("end"))
+        spots = F.array(*(
+            F.struct(F.lit(2 * b + h).cast("tinyint").alias("spot"), F.xxhash64("shorter", F.lit(b), band(F.col("mask"), b), end).alias("key"))
+            for b in range(BANDS) for h, end in enumerate(("start", "end"))))
+        return ends.select("word", "n", "mask", "start", F.explode(spots).alias("x")).select("x.key", "x.spot", "word", "n", "mask", "start")
+
+    def joined(left: DataFrame, right: DataFrame, flips: int) -> DataFrame:
+        """Pairs of equal keys that differ in so many bits at most, by the first key they share (no earlier band, no first half), verified."""
+        right = right.select("key", "spot", *(F.col(c).alias(f"{c}_r") for c in ("word", "n", "mask", "start")))
+        flipped = F.col("mask").bitwiseXOR(F.col("mask_r"))
+        earlier = reduce(lambda x, y: x | y, [(F.col("spot") >= 2 * b + 2) & (band(flipped, b) == 0) for b in range(BANDS - 1)])
+        twice = earlier | ((F.col("spot") % 2 == 1) & (F.col("start") == F.col("start_r")))
+        # both sides read all columns, so equal exchanges are written once
+        return left.join(right, ["key", "spot"]).where((F.bit_count(flipped) <= flips) & ~twice & (F.levenshtein("word", "word_r", 1) == 1))
+
+    same, longer = keyed(F.length("word")), keyed(F.length("word") - 1)
+    replaced = joined(same, same, 2).where(F.col("word") < F.col("word_r"))
+    names = ["word", "n", "word_r", "n_r"]
+    one = materialize(replaced.select(*names).unionByName(joined(same, longer, 1).select(*names)), "sp-pairs")
     there = one.toDF("a", "na", "b", "nb")
-    return there.unionByName(one.select(F.col("word_r").alias("a"), F.col("n_r").alias("na"), F.col("word_l").alias("b"), F.col("n_l").alias("nb")))
+    return there.unionByName(one.select(F.col("word_r").alias("a"), F.col("n_r").alias("na"), F.col("word").alias("b"), F.col("n").alias("nb")))
 
 
 def variants(words: DataFrame, factor: int = FORM_FACTOR) -> DataFrame:

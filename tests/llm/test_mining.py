@@ -142,7 +142,7 @@ def test_one_edit_flips_two_bits_at_most(spark):
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñÀÿ") for _ in range(rng.randrange(7, 14))) for _ in range(200)]
     pairs = [(w, edited(w, rng)) for w in words]
     for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", spelling.masks(F.col("a")).alias("x"), spelling.masks(F.col("b")).alias("y")).collect():
-        flipped = [bin(x ^ y).count("1") for x, y in zip(r.x, r.y, strict=True)]
+        flipped = [((r.x ^ r.y) >> 21 * b & 0x1FFFFF).bit_count() for b in range(3)]
         assert sum(flipped) <= (1 if len(r.a) != len(r.b) else 2) and 0 in flipped
 
 
