@@ -111,6 +111,12 @@ class Tables:
             F.when(kind == "table", F.array(F.lit("연번"), F.lit("원료명"))).alias("labels"), F.when(kind == "table_row", F.create_map(F.lit("연번"), n, F.lit("원료명"), first)).alias("columns"),
             F.when(o % 24 == 1, F.lit("2025-06-01").cast("date")).alias("effective_date"))
 
+    def trees(self) -> DataFrame:
+        """The clause trees of all versions: later ones say their number behind each text."""
+        k, v = F.col("doc_id"), F.col("v")
+        each = self.tree().drop("version_id").withColumn("v", F.explode(F.sequence(F.lit(1), (k % 3 + 1).cast("int"))))
+        return each.withColumn("version_id", k * 10 + v).withColumn("text", F.when(v > 1, F.concat("text", F.lit(" v"), v.cast("string"))).otherwise(F.col("text"))).drop("v")
+
     def legal_lines(self) -> DataFrame:
         """doc_id, ordinal, line: the lines dressed with statute markers and duties, by ordinal modulo 12."""
         n, t = (F.col("ordinal") + 1).cast("string"), F.col("text")
@@ -163,6 +169,7 @@ tree AS (SELECT doc_id, doc_id * 10 + 1 AS version_id, ordinal, CASE ordinal % 1
   ordinal - [NULL, 1, 1, 1, 3, 5, NULL, 1, 2, NULL, NULL, 1][ordinal % 12 + 1] AS parent_ordinal, ['heading', 'prose', 'prose', 'prose', 'prose', 'prose', 'table', 'table_row', 'table_row', 'form', 'prose', 'prose'][ordinal % 12 + 1] AS kind,
   CASE WHEN ordinal % 12 IN (0, 1, 6, 9) THEN substr(text, 1, 40) END AS heading, text, string_split(text, ' ')[1] AS first, CASE WHEN ordinal % 24 = 1 THEN DATE '2025-06-01' END AS effective_date
   FROM (SELECT *, ordinal // 12 + 1 AS c, '제' || (ordinal // 12 + 1) || '장' AS ch, '제' || (ordinal // 12 + 1) || '장/제' || (ordinal // 12 * 12 + 1) || '조' AS ar FROM lines)),
+trees AS (SELECT doc_id, doc_id * 10 + v AS version_id, ordinal, path, parent_ordinal, kind, heading, CASE WHEN v > 1 THEN text || ' v' || v ELSE text END AS text, first, effective_date FROM tree, (VALUES (1), (2), (3)) AS n(v) WHERE v <= doc_id % 3 + 1),
 legal AS (SELECT doc_id, ordinal, CASE ordinal % 12 WHEN 0 THEN '제' || (ordinal + 1) || '장 ' || text WHEN 1 THEN '제' || (ordinal + 1) || '조(정의) ' || text
   WHEN 2 THEN '① ' || text || ' 하여야 한다' WHEN 3 THEN '1. ' || text WHEN 4 THEN '가. ' || text || ' 할 수 있다' WHEN 5 THEN '4.1.' || (ordinal + 1) || ' ' || text
   WHEN 6 THEN '2의3) ' || text WHEN 7 THEN 'IV. ' || text WHEN 8 THEN '- ' || text WHEN 9 THEN '제3조의2 ' || text || ' 총리령으로 정한다'

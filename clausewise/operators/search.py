@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.constants import CANDIDATES, EXACT_WEIGHT, IDENTIFIER_BOOST, LEXICAL_WEIGHT, ROW_WEIGHT, RRF_K, TOP_K, VECTOR_WEIGHT
+from clausewise.operators import postings
+from clausewise.work import written
 
 # How queries name clauses and annex rows, and lengths that keep words apart from endings.
 IDENTIFIER = r"제\s*(\d+)\s*(조|항|호|목|장|절|편|관)\s*(의\s*\d+)?"
@@ -46,24 +48,16 @@ def query_prefixes(query: Column) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(F.transform(tokens, lambda t: F.array(t, F.when(t.rlike("[가-힣]$") & (F.length(t) > MIN_STEM), F.substring(t, F.lit(1), F.length(t) - 1)))))))
 
 
-PREFIX_KEY = 3
-#: Weight of a position in cover density; a query of alternatives is covered by each single match.
-POSITION_WEIGHT = 0.1
-
-
 def lexical_arm(clauses: DataFrame, queries: DataFrame, limit: int = CANDIDATES, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, version_id, path, score, rank: cover density of clauses (heading and text, rows of tables apart) for any prefix of a query.
 
-    Since one match covers a query of alternatives, the density is a tenth for each position that a prefix starts.  Tokens
-    meet prefixes by equality of their first one, two or three letters, the rest of longer prefixes is compared then.
+    Since one match covers a query of alternatives, the density is a tenth for each position that a prefix starts.  Texts are read once: a clause
+    becomes its distinct tokens with their counts, and queries meet those (``postings.Index`` keeps them between runs).
     """
-    text = F.lower(F.concat_ws(" ", "heading", "text"))
-    tokens = clauses.where("kind <> 'table_row'").select("version_id", "path", "ordinal", *by, F.posexplode(F.filter(F.split(text, r"[^\p{L}\p{N}_.\-/§]+"), lambda t: t != "")).alias("pos", "token"))
-    keyed = tokens.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(PREFIX_KEY))))).withColumn("key", F.expr("substring(token, 1, size)"))
-    wanted = queries.select("query_id", *by, F.explode(query_prefixes(F.col("query"))).alias("prefix")).withColumn("size", F.least(F.length("prefix"), F.lit(PREFIX_KEY))).withColumn("key", F.substring("prefix", 1, PREFIX_KEY))
-    hits = keyed.join(wanted, ["size", "key", *by]).where(F.startswith("token", "prefix"))
-    scored = hits.groupBy("query_id", "version_id", "path", "ordinal").agg(F.round(F.countDistinct("pos") * POSITION_WEIGHT, 6).alias("score"))
-    return top(scored, [F.col("score").desc(), F.col("ordinal"), F.col("version_id"), F.col("path")], limit)
+    wanted = queries.select("query_id", *by, F.explode(query_prefixes(F.col("query"))).alias("prefix"))
+    each = written(postings.postings(clauses, by), "postings")
+    asked = postings.asked_tokens(each.groupBy("token").agg(F.count("*").alias("df")), wanted).join(wanted.select("query_id", *by).distinct(), "query_id")
+    return postings.density(each, asked, None, limit, by)
 
 
 def top(scored: DataFrame, order: list[Column], limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausewise.adapt import sql
-from clausewise.functions import condition, display_width, recipient
+from clausewise.functions import condition, display_width, recipient, wide_class
 from clausewise.operators import annex, outline
 from clausewise.operators import texts as x
 from clausewise.plans.texts import MARKED
@@ -151,6 +151,24 @@ def _pending(t):
     return t.raw("orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("x")).select("doc_id", F.concat(F.lit("<LawSearch>"), "x", F.lit("</LawSearch>")).alias("xml"))
 
 
+def _item(text):
+    """Lines as items of a list, by ordinal modulo 6: a condition of its own, first, last, as all there is, none, and in front of another."""
+    o, p = F.col("ordinal") % 6, lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return F.when(o == 0, p("1. 서류. ", F.trim(text), " 경우. 끝")).when(o == 1, p("다만 ", F.trim(text), ". 서류")).when(o == 2, p("2의3. 서류. 제1호에도 불구하고 ", F.trim(text))).when(
+        o == 3, p(" 3. ", F.trim(text), " 제외한 것 ")).when(o == 4, p("4. ", F.trim(text), ". 끝")).otherwise(p("앞. 만 해당 ", F.trim(text), ". 경우. 뒤"))
+
+
+_CONDITION = """CASE ordinal % 6 WHEN 0 THEN b || ' 경우.' WHEN 1 THEN '다만 ' || b || '.' WHEN 2 THEN '제1호에도 불구하고 ' || b WHEN 5 THEN '만 해당 ' || b || '.' END"""
+
+
+def _filed(name):
+    """Sentences that file with ``name``, by ordinal modulo 7: with an alternative, alone, as a closed phrase, far back, first of two, not at all, and in a longer title behind a connector."""
+    o, p = F.col("ordinal") % 7, lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    head = F.lit("자료를 첨부하여 ")
+    return F.when(o == 0, p(head, name, " 또는 기관의 장에게 제출하여야 한다")).when(o == 1, p(head, name, "에게 신청한다")).when(o == 2, p(head, name, " 장은에게 제출")).when(o == 3, p(head, name, " a b c d e에게  보고")).when(
+        o == 4, p(head, name, "에게 통보하고 처장에게 제출")).when(o == 5, p(head, name, "에게 알린다")).otherwise(p(head, "및 기관의 ", name, "에게제출"))
+
+
 QUERIES = {
     "P2_disambiguated_paths": (
         lambda t: outline.disambiguated(_legal(t)).select("doc_id", "ordinal", "path"),
@@ -179,8 +197,8 @@ QUERIES = {
         lambda t: t.raw("part").select("p_partkey", F.array_join(annex.split_cells(F.concat(F.lit("│ "), F.col("p_brand"), F.lit(" │"), F.when(F.col("p_partkey") % 2 == 0, "사용금지 ├────┼──┤").otherwise(" │b  │  │"))), "/", "rule").alias("cells")),
         "SELECT p_partkey, ' ' || p_brand || ' /' || CASE WHEN p_partkey % 2 = 0 THEN '사용금지 /rule/rule' ELSE ' /b  /  ' END AS cells FROM part"),
     "P18_display_width": (
-        lambda t: t.legal_lines().select("doc_id", "ordinal", display_width(F.regexp_replace("line", r"[^\x20-\x7e가-힣]", "")).alias("width")),
-        sql("SELECT doc_id, ordinal, len(s) + len(regexp_replace(s, '[^가-힣]', '', 'g')) AS width FROM (SELECT doc_id, ordinal, regexp_replace(line, '[^\\x20-\\x7e가-힣]', '', 'g') AS s FROM legal)")),
+        lambda t: t.legal_lines().select("doc_id", "ordinal", display_width("line").alias("width")),
+        sql(f"SELECT doc_id, ordinal, CAST(length(line) + length(regexp_replace(line, '{wide_class().replace('[', '[^', 1)}', '', 'g')) AS INTEGER) AS width FROM legal")),
     "P19_envelope_date": (
         lambda t: markup.envelope_date(_elements(t)).select("doc_id", F.col("day").cast("string").alias("day")), sql("SELECT doc_id, '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-05' AS day FROM xdocs WHERE doc_id % 17 <> 3", _DOCS)),
     "P20_annex_dates": (
@@ -230,11 +248,11 @@ QUERIES = {
             F.when(F.col("o_orderkey") % 4 == 0, "Mon, ").otherwise(""), F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss"), F.when(F.col("o_orderkey") % 4 == 1, " +0900").otherwise(" GMT")))), "yyyy-MM-dd HH:mm").alias("day")),
         "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate - CASE WHEN o_orderkey % 4 = 1 THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M') END AS day FROM orders"),
     "U4_conditions": (
-        lambda t: t.lines().select("doc_id", "ordinal", condition(F.concat(F.lit("1. 서류. "), F.translate("text", ".", " "), F.when(F.col("ordinal") % 3 == 0, " 경우").otherwise(""), F.lit(". 끝"))).alias("condition")),
-        sql("SELECT doc_id, ordinal, CASE WHEN ordinal % 3 = 0 THEN trim(translate(text, '.', ' ') || ' 경우.') END AS condition FROM lines")),
+        lambda t: t.lines().select("doc_id", "ordinal", condition(_item(F.translate("text", ".", " "))).alias("condition")),
+        sql(f"SELECT doc_id, ordinal, {_CONDITION} AS condition FROM (SELECT doc_id, ordinal, trim(translate(text, '.', ' ')) AS b FROM lines)")),
     "U5_recipients": (
-        lambda t: t.lines().select("doc_id", "ordinal", recipient(F.concat(F.lit("자료를 첨부하여 "), F.concat(F.lit("R"), F.col("ordinal").cast("string")), F.when(F.col("ordinal") % 3 == 0, " 또는 기관의 장").when(F.col("ordinal") % 3 == 1, "").otherwise(" 장은"), F.lit("에게 제출하여야 한다"))).alias("recipient")),
-        sql("SELECT doc_id, ordinal, CASE ordinal % 3 WHEN 0 THEN 'R' || ordinal || ' 또는 기관의 장' WHEN 1 THEN 'R' || ordinal END AS recipient FROM lines")),
+        lambda t: t.lines().select("doc_id", "ordinal", recipient(_filed(F.concat(F.lit("R"), F.col("ordinal").cast("string")))).alias("recipient")),
+        sql("SELECT doc_id, ordinal, CASE ordinal % 7 WHEN 0 THEN r || ' 또는 기관의 장' WHEN 1 THEN r WHEN 3 THEN r || ' a b c d e' WHEN 4 THEN r WHEN 6 THEN '기관의 ' || r END AS recipient FROM (SELECT *, 'R' || ordinal AS r FROM lines)")),
 }
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clausewise.adapt import ref_date, sql
 from clausewise.operators import catalog as c
 from clausewise.operators import passages as p
+from clausewise.operators import postings
 from clausewise.operators import search as s
 from clausewise.plans.catalog import SCOPE
+from clausewise.work import shared_dir
 
 MODEL, RULES = "m2", 3
 
@@ -51,23 +55,26 @@ held AS (SELECT version_id, root, CASE WHEN contains(root, '제1장') THEN 'old'
 
 
 def _queries(t):
-    """The stated query set: user turns of every hundredth conversation, which name an article, an annex row and a cell; their vectors are those of their conversations' numbers."""
+    """The stated query set: user turns of every hundredth conversation, which name articles, an annex row, a cell and the words of a row; their vectors are those of their conversations' numbers."""
     k = F.col("conv_id") % 40
     cell = F.when(k % 2 == 0, "en-samd").otherwise("en-cosmetic")
+    named = t.tree().where("ordinal = 7").select(F.col("doc_id").alias("n"), F.element_at("columns", "원료명").alias("named"))
     turns = t.raw("conversations").where("conv_id % 100 = 0 AND role = 'user'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat("text", F.lit(" 제 1 조 "), (F.col("turn") + 1000).cast("string"), F.lit("x 50-00-0 갈라민트리에는")).alias("query"), cell.alias("cell_id"), F.col("conv_id").alias("n"))
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat("text", F.lit(" 제 "), (F.col("turn") % 3 * 12 + 1).cast("string"), F.lit(" 조 "), (F.col("turn") + 1000).cast("string"), F.lit("x 50-00-0 갈라민트리에는 ")).alias("query"), cell.alias("cell_id"), F.col("conv_id").alias("n"))
     vectors = t.raw("embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("q"))
-    return turns.join(vectors, "n").drop("n")
+    return turns.join(vectors, "n").join(named, "n", "left").withColumn("query", F.concat("query", F.coalesce("named", F.lit("")))).drop("n", "named")
 
 
-_QUERIES = """qs AS (SELECT conv_id * 1000 + turn AS query_id, text || ' 제 1 조 ' || (turn + 1000) || 'x 50-00-0 갈라민트리에는' AS query, CASE WHEN conv_id % 2 = 0 THEN 'en-samd' ELSE 'en-cosmetic' END AS cell_id, embedding AS q FROM conversations JOIN embeddings ON vec_id = conv_id WHERE conv_id % 100 = 0 AND role = 'user'),
-prefixes AS (SELECT DISTINCT query_id, cell_id, p FROM (SELECT query_id, cell_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_.\\-/§]+')) AS p FROM qs UNION ALL SELECT query_id, cell_id, '갈라민트리에' FROM qs) WHERE p <> '')"""
+_QUERIES = """qs AS (SELECT conv_id * 1000 + turn AS query_id, text || ' 제 ' || (turn % 3 * 12 + 1) || ' 조 ' || (turn + 1000) || 'x 50-00-0 갈라민트리에는 ' || coalesce(named, '') AS query, CASE WHEN conv_id % 2 = 0 THEN 'en-samd' ELSE 'en-cosmetic' END AS cell_id, '제' || (turn % 3 * 12 + 1) || '조' AS article, embedding AS q FROM conversations JOIN embeddings ON vec_id = conv_id
+  LEFT JOIN (SELECT doc_id, first AS named FROM tree WHERE ordinal = 7) m ON m.doc_id = conv_id WHERE conv_id % 100 = 0 AND role = 'user'),
+prefixes AS (SELECT DISTINCT query_id, cell_id, p FROM (SELECT query_id, cell_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_.\\-/§]+')) AS p FROM qs UNION ALL SELECT query_id, cell_id, '갈라민트리에' FROM qs) WHERE p <> ''),
+terms AS (SELECT DISTINCT query_id, cell_id, term FROM (SELECT query_id, cell_id, unnest(regexp_split_to_array(query, '[^\\p{L}\\p{N}_.\\-]+')) AS term FROM qs UNION ALL SELECT query_id, cell_id, unnest(['갈라민트리에', '갈라민트리']) FROM qs) WHERE length(term) >= 5 AND NOT regexp_matches(term, '^\\d+$'))"""
 
 
 def _scoped(t):
     """Clauses of the versions in scope, once for each cell that claims their document."""
     scope = c.version_scope(t.versions(), ref_date()).select("doc_id", "version_id")
-    return _clauses(t).join(scope.where("version_id % 10 = 1"), ["doc_id", "version_id"], "left_semi").join(t.document_cells(), "doc_id")
+    return t.trees().join(scope, ["doc_id", "version_id"], "left_semi").join(t.document_cells(), "doc_id")
 
 
 def _vector_index(t):
@@ -78,15 +85,18 @@ def _vector_index(t):
 
 _COSINE = "round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])) / sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_inner_product(CAST(q.q AS DOUBLE[]), CAST(q.q AS DOUBLE[]))), 9)"
 _RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, version_id, path) - 1 AS rank"
-_ARMS = f"""{SCOPE}, {_QUERIES}, scoped AS (SELECT t.*, dc.cell_id FROM tree t JOIN scope s ON s.doc_id = t.doc_id AND s.version_id = t.version_id JOIN doc_cells dc ON dc.doc_id = t.doc_id),
+_ARMS = f"""{SCOPE}, {_QUERIES}, scoped AS (SELECT t.*, dc.cell_id FROM trees t JOIN scope s ON s.doc_id = t.doc_id AND s.version_id = t.version_id JOIN doc_cells dc ON dc.doc_id = t.doc_id),
 lex AS (SELECT *, {_RANKED} FROM (SELECT query_id, version_id, path, ordinal, round(count(DISTINCT pos) * 0.1, 6) AS score FROM (SELECT version_id, path, ordinal, cell_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
   SELECT version_id, path, ordinal, cell_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', heading, text)), '[^\\p{{L}}\\p{{N}}_.\\-/§]+'), lambda x: x <> '') AS w FROM scoped WHERE kind <> 'table_row')) k JOIN prefixes x ON x.cell_id = k.cell_id AND starts_with(k.token, x.p) GROUP BY ALL)),
-ids AS (SELECT *, {_RANKED} FROM (SELECT DISTINCT query_id, version_id, path, ordinal, 1.0 AS score FROM scoped JOIN qs USING (cell_id) WHERE list_contains(string_split(path, '/'), '제1조'))),
+ids AS (SELECT *, {_RANKED} FROM (SELECT DISTINCT query_id, version_id, path, ordinal, 1.0 AS score FROM scoped JOIN qs USING (cell_id) WHERE list_contains(string_split(path, '/'), article))),
+cells AS (SELECT version_id, path, ordinal, cell_id, unnest([CAST(ordinal AS VARCHAR), first]) AS value FROM scoped WHERE kind = 'table_row'),
+named AS (SELECT *, {_RANKED} FROM (SELECT query_id, version_id, path, ordinal, max(CASE WHEN value = term THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) AS score FROM cells JOIN terms USING (cell_id) WHERE value <> '' AND left(lower(value), 4) = left(lower(term), 4) AND (starts_with(lower(value), lower(term)) OR (length(value) >= 4 AND starts_with(lower(term), lower(value)))) GROUP BY 1, 2, 3, 4)),
 vectors AS (SELECT vec_id, embedding, version_id, path, cell_id FROM embeddings JOIN (SELECT * FROM scoped WHERE ordinal = 1) f ON f.doc_id = vec_id),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT q.query_id, e.vec_id, e.version_id, e.path, {_COSINE} AS score FROM vectors e JOIN qs q USING (cell_id) WHERE e.vec_id <> q.query_id)),
-arms AS (SELECT query_id, version_id, path, rank, 1.2 AS w, 0.0 AS boost FROM lex WHERE rank < 40 UNION ALL SELECT query_id, version_id, path, rank, 1.2, 100.0 FROM ids WHERE rank < 40 UNION ALL SELECT query_id, version_id, path, rank, 1.0, 0.0 FROM near WHERE rank < 40),
+arms AS (SELECT query_id, version_id, path, rank, 1.2 AS w, 0.0 AS boost FROM lex WHERE rank < 40 UNION ALL SELECT query_id, version_id, path, rank, 1.2, 100.0 FROM ids WHERE rank < 40 UNION ALL SELECT query_id, version_id, path, rank, 1.0, 0.0 FROM near WHERE rank < 40
+  UNION ALL SELECT query_id, version_id, path, rank, 1.2, CASE WHEN score >= 1 THEN 100.0 ELSE 0.0 END FROM named WHERE rank < 40),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, version_id) - 1 AS rank FROM (SELECT query_id, version_id, path, round(sum(w / (60 + rank + 1)) + sum(boost), 9) AS score FROM arms GROUP BY 1, 2, 3)),
-hits AS (SELECT f.*, t.kind, t.effective_date FROM fused f JOIN tree t ON t.version_id = f.version_id AND t.path = f.path WHERE f.rank < 8)"""
+hits AS (SELECT f.*, t.kind, t.effective_date FROM fused f JOIN trees t ON t.version_id = f.version_id AND t.path = f.path WHERE f.rank < 8)"""
 
 
 def _retrieved(t):
@@ -113,6 +123,24 @@ def _asked(t):
     return t.lines().select("doc_id", "ordinal", F.concat(F.lit("제 "), k.cast("string"), F.lit(" 조"), F.when(k % 3 == 0, "의 2").otherwise(""), F.lit(" 및 별표 "), (k % 7).cast("string"), F.when(k % 2 == 0, " § 892.2050").otherwise(""), F.lit(" 제"), k.cast("string"), F.lit("조")).alias("query"))
 
 
+def _refreshed(t):
+    """An index of an older state of the corpus (some documents unknown, some with other texts), brought to the present one (some gone)."""
+    now, k = t.trees(), F.col("doc_id")
+    index = postings.Index(t.spark, f"{shared_dir(t.spark)}/postings-{uuid.uuid4().hex}")
+    index.refresh(now.where(k % 5 != 2).withColumn("text", F.when(k % 9 == 1, "an older text").otherwise(F.col("text"))))
+    return index, index.refresh(now.where(k % 7 != 3))
+
+
+def _searched(t):
+    """The lexical arm from written postings, kept up over two states: the second has all documents again."""
+    index, _ = _refreshed(t)
+    index.refresh(t.trees())
+    index.compacted()
+    wanted = _queries(t).select("query_id", "cell_id", F.explode(s.query_prefixes(F.col("query"))).alias("prefix"))
+    scope = c.version_scope(t.versions(), ref_date()).select("doc_id", "version_id").join(t.document_cells(), "doc_id")
+    return index.search(wanted, s.CANDIDATES, scope, ("cell_id",))
+
+
 QUERIES = {
     "R3_identifiers": (
         lambda t: _asked(t).select("doc_id", "ordinal", F.array_join(s.identifiers(F.col("query")), ",").alias("names")),
@@ -127,6 +155,12 @@ QUERIES = {
     "R6_lexical_arm": (
         lambda t: s.lexical_arm(_scoped(t), _queries(t).select("query_id", "query", "cell_id"), by=("cell_id",)).select("query_id", "version_id", "path", "score", "rank"),
         sql("SELECT query_id, version_id, path, score, rank FROM lex WHERE rank < 40", _ARMS)),
+    "R6_written_postings": (
+        lambda t: _searched(t).select("query_id", "version_id", "path", "score", "rank"),
+        sql("SELECT query_id, version_id, path, score, rank FROM lex WHERE rank < 40", _ARMS)),
+    "G8_postings_refresh": (
+        lambda t: _refreshed(t)[1],
+        sql("SELECT version_id, CASE WHEN NOT a THEN 'pruned' WHEN NOT b THEN 'indexed' WHEN doc_id % 9 = 1 THEN 'indexed' ELSE 'kept' END AS action FROM (SELECT DISTINCT doc_id, version_id, doc_id % 7 <> 3 AS a, doc_id % 5 <> 2 AS b FROM trees) WHERE a OR b")),
     "R7_vector_arm": (
         lambda t: _vectors(t).select("query_id", "vec_id", F.round("score", 6).alias("score")),
         f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.replace('q.q', 'q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.replace('q.q', 'q.embedding')} DESC, e.vec_id) - 1 AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE rank < 40"),
@@ -142,12 +176,12 @@ QUERIES = {
         lambda t: s.fuse(s.arms_of(_queries(t), _scoped(t), _vector_index(t))).select("query_id", "version_id", "path", "rank", F.round("score", 6).alias("score")),
         sql("SELECT query_id, version_id, path, rank, round(score, 6) AS score FROM fused WHERE rank < 8", _ARMS)),
     "R11_date_scope": (
-        lambda t: s.date_scope(s.resolved_clauses(_retrieved(t), _clauses(t), t.versions()).join(_retrieved(t).select("query_id", "version_id", "path"), ["version_id", "path"]), ref_date()).select("query_id", F.col("scope").cast("string").alias("scope"), "straddles"),
+        lambda t: s.date_scope(s.resolved_clauses(_retrieved(t), t.trees(), t.versions()).join(_retrieved(t).select("query_id", "version_id", "path"), ["version_id", "path"]), ref_date()).select("query_id", F.col("scope").cast("string").alias("scope"), "straddles"),
         sql("""SELECT query_id, CAST(coalesce(max(d) FILTER (WHERE d <= DATE '2024-12-01'), min(d) FILTER (WHERE d > DATE '2024-12-01')) AS VARCHAR) AS scope, coalesce(bool_or(d <= DATE '2024-12-01'), false) AND coalesce(bool_or(d > DATE '2024-12-01'), false) AS straddles
           FROM (SELECT query_id, coalesce(h.effective_date, v.effective_date) AS d FROM hits h JOIN versions v USING (version_id)) GROUP BY 1""", _ARMS)),
     "R12_citable_paths": (
-        lambda t: s.citable(_retrieved(t), p.rooted(_clauses(t))),
-        sql("SELECT query_id, version_id, path FROM hits UNION SELECT query_id, h.version_id, r.path FROM hits h JOIN heads USING (version_id) JOIN rooted r ON r.version_id = h.version_id AND r.root_ordinal = heads.ordinal WHERE heads.root = h.path", f"{_ROOTED}, {_ARMS}")),
+        lambda t: s.citable(_retrieved(t), p.rooted(t.trees())),
+        sql("SELECT query_id, version_id, path FROM hits UNION SELECT query_id, h.version_id, r.path FROM hits h JOIN heads ON heads.doc_id = h.version_id // 10 JOIN rooted r ON r.doc_id = heads.doc_id AND r.root_ordinal = heads.ordinal WHERE heads.root = h.path", f"{_ROOTED}, {_ARMS}")),
     "R13_clause_resolution": (
         lambda t: s.resolved_clauses(t.versions().where("v = 1").select("version_id", F.explode(F.array(F.lit("제1장"), F.lit("별표1/표1/행2"), F.lit("제9장"))).alias("path")), _clauses(t), t.versions()).select("version_id", "path", F.sha2("text", 256).alias("digest")),
         sql("SELECT version_id, path, sha256(text) AS digest FROM tree WHERE path IN ('제1장', '별표1/표1/행2', '제9장')")),

@@ -1,62 +1,15 @@
-"""Content-addressed archive, connector lookup, and a paged index as a Python data source."""
+"""Which payloads an archive would take; ``payloads`` writes and reads it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from clausewise.constants import CREDENTIAL_PARAMS
 
-CONNECTORS = {"law": "statute XML", "admrul": "rule XML", "rss": "feed", "listing": "HTML table", "recognition_list": "HTML table of standards"}
-
-
-def connector(key: str) -> str:
-    if key not in CONNECTORS:
-        raise KeyError(f"no connector {key!r}; known: {sorted(CONNECTORS)}")
-    return CONNECTORS[key]
-
 
 def archived(payloads: DataFrame, known: DataFrame) -> DataFrame:
     """New payloads by the hash of their bytes; one that carries a credential is refused, one on record is never written again."""
     secret = rf"[?&](?:{'|'.join(CREDENTIAL_PARAMS)})=[^&\s{{]"
     keyed = payloads.where(~F.col("body").rlike(secret)).withColumn("object_key", F.sha2(F.col("body").cast("binary"), 256))
     return keyed.dropDuplicates(["object_key"]).join(known.select("object_key"), "object_key", "left_anti")
-
-
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
-
-
-class PagedIndex(DataSource):
-    """Pages of a numbered index, one partition each; ``truncated`` says that the cap, not the end, stopped the walk.
-
-    Options: total, page_size (100) and max_pages (20).  Reading a page over the network is the caller's business;
-    rows here are the numbers a page holds.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_index"
-
-    def schema(self) -> str:
-        return "page int, number long, truncated boolean"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(int(self.options["total"]), int(self.options.get("page_size", 100)), int(self.options.get("max_pages", 20)))
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, total: int, size: int, cap: int):
-        self.total, self.size, self.cap = total, size, cap
-
-    def partitions(self) -> list[_Page]:
-        return [_Page(k) for k in range(min(self.cap, max(1, -(-self.total // self.size))))]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        cut = self.total > self.size * self.cap
-        for n in range(partition.number * self.size, min(self.total, (partition.number + 1) * self.size)):
-            yield partition.number + 1, n, cut

@@ -98,13 +98,25 @@ def test_retention_needs_every_week(spark):
     assert {r.user_id for r in evaluation.retained(df, 4).where("retained").collect()} == {1}
 
 
-def test_recipient_walk():
-    assert phrases.recipient_of("자료를 첨부하여 식품의약품안전처장 또는 기술문서심사기관의 장에게 제출하여야 한다") == "식품의약품안전처장 또는 기술문서심사기관의 장"
-    assert phrases.recipient_of("없다") is None
-    assert phrases.recipient_of("자료를 첨부하여 기관은에게 제출") is None
+def column(spark, rule, texts):
+    return [r.x for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", rule("text").alias("x")).orderBy("k").collect()]
 
 
-def test_condition_is_a_sentence():
-    assert phrases.condition_of("1. 서류. 다만, 없는 경우 제외한다. 끝.") == "다만, 없는 경우 제외한다."
-    assert phrases.condition_of("1. 없는 경우") is None
-    assert phrases.condition_of("1. 서류") is None
+def test_recipient_of_a_filing(spark):
+    cases = {
+        "자료를 첨부하여 식품의약품안전처장 또는 기술문서심사기관의 장에게 제출하여야 한다": "식품의약품안전처장 또는 기술문서심사기관의 장", "없다": None, "자료를 첨부하여 기관은에게 제출": None, None: None, "": None,
+        "하나 둘 셋 넷 다섯 여섯 일곱에게  신청한다": "둘 셋 넷 다섯 여섯 일곱", "다음을 또는 심사기관의 장에게 통보": "심사기관의 장", "또는에게 보고": None, "장에게 알린다": None,
+        "청장에게 보고하고 처장에게 제출": "청장", "서류를\n 지방청의\t장에게제출": "지방청의 장", "에게 제출": None}
+    assert column(spark, phrases.recipient, cases) == list(cases.values())
+
+
+def test_condition_is_a_sentence(spark):
+    cases = {
+        "1. 서류. 다만, 없는 경우 제외한다. 끝.": "다만, 없는 경우 제외한다.", "1. 없는 경우": None, "1. 서류": None, None: None, "": None, "앞. 제2호에도 불구하고 낸다": "제2호에도 불구하고 낸다",
+        "2의3. 한정한 것. 나머지": "한정한 것.", "다만 하나. 다만 둘.": "다만 하나.", "서류.다만 붙임": None, " 3. 경우 ": None}
+    assert column(spark, phrases.condition, cases) == list(cases.values())
+
+
+def test_width_counts_wide_characters_twice(spark):
+    texts = ["abc", "가나다", "ａ１", "日本語 text", "ｱｲｳ", "①·–", "한\u0301", "", "😀x", "\u3000"]
+    assert column(spark, phrases.display_width, texts) == [phrases.width_of(t) for t in texts]
