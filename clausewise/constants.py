@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-AUTHORITIES = ("mfds", "fda", "eu", "nmpa")
-DOMAINS = ("samd", "cosmetic")
 ROLES = ("viewer", "analyst", "approver", "admin")
 
-DOC_TYPES = ("law", "decree", "enforcement_rule", "notice", "annex", "guidance", "feed")
 STATUTE_TYPES = ("law", "decree", "enforcement_rule")
 DOC_CATEGORIES = ("statute", "admin_rule", "statute_annex", "admin_rule_annex", "feed", "other")
 
-FETCH_OUTCOMES = ("changed", "unchanged", "not_modified", "skipped", "error")
 STANDARD_STATUSES = ("recognized", "harmonized", "withdrawn", "superseded", "unknown")
-CHANGE_KINDS = ("added", "removed", "modified", "renumbered", "moved")
 NON_SUBSTANTIVE_KINDS = ("renumbered", "moved")
 
 DAY = 86_400
@@ -53,9 +48,6 @@ MODALS = {
 }
 PERMISSIVE = {"ko": r"할\s*수\s*있다|수\s*있다", "en": r"\bmay\b(?!\s+not)|\bcan\b|\bis\s+permitted\s+to\b"}
 TAXONOMY = {"samd": ("design_control", "risk", "vnv", "postmarket"), "cosmetic": ("ingredient", "labelling", "claims", "gmp", "notification")}
-EXCLUSION_REASONS = (
-    "definition", "scope", "heading", "permissive", "procedural", "delegation", "table_container", "form", "empty", "no_obligation", "unparseable",
-)
 
 MAX_PASSAGE_CHARS = 1200
 CANDIDATES = 40
@@ -73,16 +65,13 @@ MAX_CITABLE = 24
 SEVERITIES = ("low", "medium", "high")
 BULK_CLAUSES = 20
 DELIVERY_ATTEMPTS, BACKOFF_BASE, BACKOFF_CAP = 5, 60, 21_600
-LATENCY_TARGET_HOURS = BRIEFING_HOURS = 24
 TIMEZONES = {"mfds": "Asia/Seoul", "fda": "America/New_York", "eu": "Europe/Brussels", "nmpa": "Asia/Shanghai"}
 AUDIT_GENESIS = "0" * 64
 
 AXES = ("identifier", "conceptual", "effective_date", "mis_citation", "cross_domain", "unanswerable")
-AXIS_FLOOR = 15
 GATES = {
     "detection_coverage": ("min", 0.95), "detection_latency_hours": ("max", 24.0), "citation_accuracy": ("min", 0.90),
     "hallucination_rate": ("max", 0.02), "time_saving": ("min", 0.30), "pilot_retention": ("min", 0.60),
 }
 NO_GO_FAILURES = 4
-RETENTION_WEEKS = 4
 AGREEMENT_FLOOR = 0.80

@@ -68,6 +68,38 @@ def binary_scores(marked: DataFrame, detected: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.expr("marked AND detected")).alias("tp"), F.count_if(F.expr("NOT marked AND detected")).alias("fp"), F.count_if(F.expr("marked AND NOT detected")).alias("fn"))
 
 
+def detection_by_version(marked: DataFrame, detected: DataFrame, examples: int = 5) -> DataFrame:
+    """version_id, tp, fp, fn, precision, recall, missed, extra: clauses (version_id, path) marked by a person against those detected.
+
+    Never pooled over versions; only versions that someone marked are scored, and a rate without a denominator is null.
+    """
+    one, two = (rows.select("version_id", "path").distinct().withColumn(name, F.lit(True)) for rows, name in ((marked, "m"), (detected, "d")))
+    both = one.join(two.join(one.select("version_id").distinct(), "version_id", "left_semi"), ["version_id", "path"], "full_outer")
+    hit, extra, missed = F.expr("m AND d"), F.expr("m IS NULL"), F.expr("d IS NULL")
+    first = lambda c: F.slice(F.array_sort(F.collect_list(F.when(c, F.col("path")))), 1, examples)
+    by = both.groupBy("version_id").agg(F.count_if(hit).alias("tp"), F.count_if(extra).alias("fp"), F.count_if(missed).alias("fn"), first(missed).alias("missed"), first(extra).alias("extra"))
+    rate = lambda other: F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col(other)), 6)
+    return by.withColumn("precision", rate("fp")).withColumn("recall", rate("fn"))
+
+
+def extraction_against_markup(sample: DataFrame, marked: DataFrame, extracted: DataFrame, citations: DataFrame, runs: DataFrame) -> DataFrame:
+    """version_id, marked, extracted, shared, precision, recall, missed, invented, resolving, regime of each version with a sample.
+
+    ``sample`` (version_id, path) is what was marked blindly; counts (version_id, path, n) outside it say nothing, and a sampled clause
+    without a count has none.  Citations (version_id, path, resolves) are all of the version's, and the regime is that of its newest run
+    (version_id, run_id, regime), since a markup is blind to one extractor only.
+    """
+    n = lambda rows, name: rows.groupBy("version_id", "path").agg(F.sum("n").alias(name))
+    both = sample.select("version_id", "path").distinct().join(n(marked, "a"), ["version_id", "path"], "left").join(n(extracted, "b"), ["version_id", "path"], "left").fillna(0, ["a", "b"])
+    shared = F.sum(F.least("a", "b"))
+    by = both.groupBy("version_id").agg(
+        F.sum("a").alias("marked"), F.sum("b").alias("extracted"), shared.alias("shared"), F.round(F.try_divide(shared, F.sum("b")), 6).alias("precision"), F.round(F.try_divide(shared, F.sum("a")), 6).alias("recall"),
+        F.count_if(F.col("b") < F.col("a")).alias("missed"), F.count_if(F.col("b") > F.col("a")).alias("invented"))
+    cited = citations.groupBy("version_id").agg(F.round(F.try_divide(F.count_if("resolves"), F.count("*")), 6).alias("resolving"))
+    newest = runs.groupBy("version_id").agg(F.max_by("regime", "run_id").alias("regime"))
+    return by.join(cited, "version_id", "left").join(newest, "version_id", "left")
+
+
 def retained(activity: DataFrame, weeks: int) -> DataFrame:
     """Active in every one of the last ``weeks`` weeks that anyone was active in."""
     active = activity.select("user_id", F.date_trunc("week", "day").alias("week")).distinct()

@@ -64,10 +64,23 @@ def alert_status(alerts: DataFrame, states: DataFrame) -> DataFrame:
     return alerts.join(by, "alert_id", "left").select("alert_id", F.when(F.col("retry"), "pending").when(F.col("sent") | F.col("retry").isNull(), "delivered").otherwise("failed").alias("status"))
 
 
-def latency(alerts: DataFrame, by: list[str], target_hours: int) -> DataFrame:
-    """Hours from publication to alert, three places; alerts without a publication time are unmeasurable, not zero."""
-    hours = F.round((F.col("alerted_at") - F.col("published_at")) / 3600, 3)
-    return alerts.groupBy(*by).agg(F.count("published_at").alias("measured"), F.count_if(F.col("published_at").isNull()).alias("unmeasurable"), F.max(hours).alias("worst_hours"), F.count_if(hours <= target_hours).alias("within_target"))
+def latency(alerts: DataFrame, by: list[str], target_hours: int, watching: DataFrame | None = None) -> DataFrame:
+    """Hours from publication to alert, three places; alerts without a publication time are unmeasurable, not zero.
+
+    With ``watching`` (by, since) what was published before its cell came under watch is backfill: it is counted apart and measures nothing of
+    the authority's clock.  Where alerts say when their text was read (retrieved_at), the hours from then are told too, backfill included.
+    """
+    if watching is not None:
+        alerts = alerts.join(watching, by, "left")
+        early = F.coalesce(F.col("published_at") < F.col("since"), F.lit(False))
+    else:
+        early = F.lit(False)
+    since = lambda c: F.round((F.col("alerted_at") - F.col(c)) / 3600, 3)
+    hours = F.when(~early, since("published_at"))
+    own = [F.count("retrieved_at").alias("retrieved"), F.max(since("retrieved_at")).alias("worst_retrieved")] if "retrieved_at" in alerts.columns else []
+    return alerts.groupBy(*by).agg(
+        F.count(hours).alias("measured"), F.count_if(F.col("published_at").isNull()).alias("unmeasurable"), F.max(hours).alias("worst_hours"), F.count_if(hours <= target_hours).alias("within_target"),
+        *([F.count_if(early).alias("backfill")] if watching is not None else []), *own)
 
 
 def local_time(ts: Column, authority: Column) -> Column:
@@ -158,6 +171,21 @@ def briefing(alerts: DataFrame, subscriptions: DataFrame, tenant: int | None, no
     return rows.withColumn("rank", severity_rank(F.col("severity"))).orderBy(F.desc("rank"), F.desc("detected_at"), "alert_id").drop("rank")
 
 
+def briefings(alerts: DataFrame, subscriptions: DataFrame, hours: int) -> DataFrame:
+    """subscription_id, alert_id, place: for each enabled subscription (cell_id, tenant, at) the alerts of its cell and tenant in its own last
+    ``hours``, both ends included, the gravest first, then the newest.
+
+    Times fall into buckets as long as the window, so a window meets two of them, and alerts meet subscriptions by equality.
+    """
+    span = hours * 3600
+    slot = lambda c: F.floor(F.col(c) / span)
+    asked = subscriptions.where("enabled").select("subscription_id", "cell_id", F.col("tenant").alias("own"), "at", F.explode(F.array(slot("at") - 1, slot("at"))).alias("slot"))
+    near = alerts.select("alert_id", "cell_id", "tenant", "severity", "detected_at", slot("detected_at").alias("slot")).join(asked, ["cell_id", "slot"])
+    hit = near.where(F.col("tenant").eqNullSafe(F.col("own")) & F.col("detected_at").between(F.col("at") - span, F.col("at")))
+    w = Window.partitionBy("subscription_id").orderBy(severity_rank(F.col("severity")).desc(), F.desc("detected_at"), "alert_id")
+    return hit.select("subscription_id", "alert_id", "severity", F.row_number().over(w).alias("place"))
+
+
 def briefing_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(F.col("owner").isNull()).alias("unassigned"))
 

@@ -89,12 +89,13 @@ stale AS (SELECT irs.*, CASE WHEN status IN ('draft', 'locked') AND ir_id IN (SE
 targets AS (SELECT * FROM (SELECT ir_id, s.doc_id, to_version, t.path AS path, new_path, change_kind, row_number() OVER (PARTITION BY ir_id ORDER BY t.path, new_path) AS k FROM stale s JOIN ir_cites c USING (ir_id) JOIN touched t ON c.version_id = t.version_id AND c.path = t.path WHERE now = 'stale') WHERE k = 1)"""
 
 
-def _stale(t):
-    return o.marked_stale(_irs(t), _ir_citations(t), _diffs(t))
+def _stale(t, diffs=None):
+    return o.marked_stale(_irs(t), _ir_citations(t), _diffs(t) if diffs is None else diffs)
 
 
 def _targets(t):
-    return o.followed(o.stale_targets(_stale(t), _ir_citations(t), _diffs(t)), t.clauses())
+    diffs = _diffs(t)
+    return o.followed(o.stale_targets(_stale(t, diffs), _ir_citations(t), diffs), t.clauses())
 
 
 def _proposals(t):
@@ -139,9 +140,9 @@ def _cited(t):
 
 
 def _parsed_completions(t):
-    """Completions of many shapes: a list in prose, a list, one object, an object around a list, broken text, too many."""
+    """Completions about their turns' texts, in many shapes: a list in prose, a list that is too long, one object, nothing, a list, broken text."""
     k = F.col("conv_id") % 6
-    item = lambda n: F.concat(F.lit('{"statement":"s'), n.cast("string"), F.lit('","modal":"shall","cites":["A1"]}'))
+    item = lambda n: F.to_json(F.struct(F.concat(n.cast("string"), F.lit(" "), "text").alias("statement"), F.lit("shall").alias("modal"), F.array(F.lit("A1")).alias("cites")))
     many = lambda n: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), n), item), ","), F.lit("]"))
     turn = F.col("turn").cast("int") + 1
     return t.raw("conversations").select("conv_id", "turn", F.when(k == 0, F.concat(F.lit("Here: "), many(turn))).when(k == 1, many(F.lit(25))).when(k == 2, item(turn)).when(k == 3, "[]").when(k == 4, many(turn)).otherwise("none").alias("completion"))
@@ -150,7 +151,7 @@ def _parsed_completions(t):
 QUERIES = {
     "X6_completion_parsing": (
         lambda t: _parsed_completions(t).select("conv_id", "turn", a.proposals(F.col("completion")).alias("p")).select("conv_id", "turn", F.size("p").cast("long").alias("n"), F.get("p", F.lit(0))["statement"].alias("first")),
-        "SELECT conv_id, turn, CAST(CASE conv_id % 6 WHEN 0 THEN turn + 1 WHEN 1 THEN 20 WHEN 2 THEN 1 WHEN 4 THEN turn + 1 ELSE 0 END AS BIGINT) AS n, CASE conv_id % 6 WHEN 0 THEN 's1' WHEN 1 THEN 's1' WHEN 2 THEN 's' || (turn + 1) WHEN 4 THEN 's1' END AS first FROM conversations"),
+        "SELECT conv_id, turn, CAST(CASE conv_id % 6 WHEN 0 THEN turn + 1 WHEN 1 THEN 20 WHEN 2 THEN 1 WHEN 4 THEN turn + 1 ELSE 0 END AS BIGINT) AS n, CASE conv_id % 6 WHEN 0 THEN '1 ' || text WHEN 1 THEN '1 ' || text WHEN 2 THEN (turn + 1) || ' ' || text WHEN 4 THEN '1 ' || text END AS first FROM conversations"),
     "X7_cited_obligations": (
         lambda t: o.accepted(_proposals(t), t.clauses()).select("proposal_id", "verdict", F.array_join("paths", ",").alias("paths")),
         sql("SELECT doc_id || ':' || ordinal AS proposal_id, CASE ordinal % 7 WHEN 1 THEN 'no_statement' WHEN 2 THEN 'no_modal' WHEN 3 THEN 'uncited' WHEN 4 THEN 'unresolved' ELSE 'accepted' END AS verdict, CASE WHEN ordinal % 7 IN (3, 4) THEN '' ELSE path END AS paths FROM clauses WHERE v = 1 AND ordinal % 3 = 0")),

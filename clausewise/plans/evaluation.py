@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clausewise.adapt import ref_date, sql
 from clausewise.constants import AXES, GATES
 from clausewise.operators import evaluation as e
+from clausewise.plans.texts import _FILING, _filing
 
 #: Golden items: documents by axis; observed answers by place.
 _GOLD = f"gold AS (SELECT doc_id AS item_id, {list(AXES)}[doc_id % 6 + 1] AS axis, doc_id % 6 <> 5 AS should_answer, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'needs_review' WHEN 2 THEN 'needs_verification' ELSE 'answered' END AS status, doc_id % 3 AS n_cites, doc_id % 3 - CASE WHEN doc_id % 9 = 2 THEN 1 ELSE 0 END AS n_resolving FROM docs)"
@@ -123,6 +124,22 @@ def _grounded(t):
         k.alias("item_id"), F.lit("en-samd").alias("cell_id"), F.when(k % 8 > 0, k).alias("doc_id"), F.when(k % 3 == 0, F.array(F.lit("제9999조"))).otherwise(F.array(F.lit("제1조"))).alias("expected"), F.array(F.lit("제5조의2"), F.lit("제8888조")).alias("forbidden"), F.when(k % 2 == 1, "seen").alias("notes"))
 
 
+def _marked_filings(t):
+    """Filing clauses as a person marked them in every second document: some found, some not, some that are none."""
+    heads = _filing(t)[0].where("root % 3 <> 1").select("doc_id", "root")
+    more = t.lines().where("ordinal % 29 = 5").select("doc_id", F.col("ordinal").cast("long").alias("root"))
+    return heads.unionByName(more).where("doc_id % 2 = 0").select(F.col("doc_id").alias("version_id"), F.col("root").cast("string").alias("path"))
+
+
+def _markup(t):
+    """First versions, two thirds of whose clauses were marked: counts of a person, and those of the obligations on record."""
+    first = t.clauses().where("v = 1").select("version_id", "path", "ordinal", "doc_id")
+    own = _irs_of(t)
+    ours = own.where("path <> 'Z'").groupBy("version_id", "path").agg(F.count("*").alias("n"))
+    runs = first.select("version_id", "doc_id").distinct().where("doc_id % 3 <> 1").withColumn("run_id", F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select("version_id", "run_id", F.when(F.col("run_id") == 2, "new").otherwise("old").alias("regime"))
+    return e.extraction_against_markup(first.where("ordinal % 3 <> 2"), first.where("ordinal % 4 = 0").select("version_id", "path", (F.col("ordinal") % 3).cast("long").alias("n")), ours, own.withColumn("resolves", F.col("path") != "Z"), runs)
+
+
 QUERIES = {
     "E1_article_reduction": (
         lambda t: t.clauses().select("version_id", "path", e.article_of(F.concat(F.lit("부칙/"), F.when(F.col("ordinal") % 2 == 0, "제3조의2/").otherwise(""), F.col("path"))).alias("article")),
@@ -217,6 +234,17 @@ QUERIES = {
     "E28_latency_gate": (
         lambda t: e.verdicts(e.latency_gate(_latencies(t))).select("cell_id", "value", "verdict"),
         """SELECT cell_id, value, CASE WHEN value IS NULL THEN 'unmeasured' WHEN value <= 24 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT CAST(o_custkey % 50 AS VARCHAR) AS cell_id, CAST(max(CASE WHEN o_custkey % 50 % 9 > 0 AND o_orderkey % 5 > 0 THEN o_orderkey % 29 END) AS DOUBLE) AS value FROM orders GROUP BY 1)"""),
+    "E28_submission_detection": (
+        lambda t: e.detection_by_version(_marked_filings(t), _filing(t)[0].select(F.col("doc_id").alias("version_id"), F.col("root").cast("string").alias("path"))).withColumns({c: F.array_join(c, ",") for c in ("missed", "extra")}),
+        sql("""SELECT version_id, tp, fp, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall, array_to_string(missed[1:5], ',') AS missed, array_to_string(extra[1:5], ',') AS extra
+          FROM (SELECT version_id, count(*) FILTER (WHERE m AND d) AS tp, count(*) FILTER (WHERE NOT m) AS fp, count(*) FILTER (WHERE NOT d) AS fn, coalesce(list(path ORDER BY path) FILTER (WHERE NOT d), []) AS missed, coalesce(list(path ORDER BY path) FILTER (WHERE NOT m), []) AS extra
+          FROM (SELECT doc_id AS version_id, CAST(root AS VARCHAR) AS path, bool_or(d) AS d, bool_or(m) AS m FROM (SELECT doc_id, root, true AS d, false AS m FROM fheads UNION ALL SELECT doc_id, root, false, true FROM fmarked) WHERE doc_id IN (SELECT doc_id FROM fmarked) GROUP BY 1, 2) GROUP BY 1)""",
+          f"{_FILING}, fmarked AS (SELECT doc_id, root FROM fheads WHERE root % 3 <> 1 AND doc_id % 2 = 0 UNION SELECT doc_id, ordinal FROM lines WHERE ordinal % 29 = 5 AND doc_id % 2 = 0)")),
+    "E28_extraction_markup": (
+        lambda t: _markup(t),
+        sql("""SELECT version_id, CAST(sum(a) AS BIGINT) AS marked, CAST(sum(b) AS BIGINT) AS extracted, CAST(sum(least(a, b)) AS BIGINT) AS shared, CASE WHEN sum(b) > 0 THEN round(sum(least(a, b)) / sum(b), 6) END AS precision, CASE WHEN sum(a) > 0 THEN round(sum(least(a, b)) / sum(a), 6) END AS recall,
+          count(*) FILTER (WHERE b < a) AS missed, count(*) FILTER (WHERE b > a) AS invented, any_value(r) AS resolving, CASE WHEN version_id // 10 % 3 = 1 THEN NULL WHEN version_id // 10 % 3 = 0 THEN 'new' ELSE 'old' END AS regime
+          FROM (SELECT version_id, CASE WHEN ordinal % 4 = 0 THEN ordinal % 3 ELSE 0 END AS a, CASE WHEN ordinal % 2 = 0 THEN 1 ELSE 0 END AS b FROM clauses WHERE v = 1 AND ordinal % 3 <> 2) LEFT JOIN (SELECT version_id, round(count(*) FILTER (WHERE ordinal % 2 = 0) / (count(*) FILTER (WHERE ordinal % 2 = 0) + count(*) FILTER (WHERE ordinal % 5 = 0)), 6) AS r FROM clauses WHERE v = 1 GROUP BY 1) USING (version_id) GROUP BY version_id""")),
     "E29_golden_grounding": (
         lambda t: e.grounding_errors(_grounded(t), t.document_cells(), _articles(t)).groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_set("error")), ",").alias("errors")),
         sql("""SELECT item_id, string_agg(DISTINCT error, ',' ORDER BY error) AS errors FROM (SELECT doc_id AS item_id, 'document_outside_cell' AS error FROM docs WHERE doc_id % 8 > 0 AND (doc_id, 'en-samd') NOT IN (SELECT (doc_id, cell_id) FROM doc_cells)

@@ -121,15 +121,26 @@ QUERIES = {
     "M15_briefing_counts": (
         lambda t: m.briefing_counts(m.briefing(_noted(t), _subs(t), None, F.lit(886000000), 24 * 30)),
         f"WITH {_ORDERS} SELECT severity, count(*) AS n, count(*) FILTER (WHERE alert_id % 2 = 1) AS unassigned FROM al WHERE published + alert_id % 7 * 3600 BETWEEN 886000000 - 720 * 3600 AND 886000000 AND cell_id IN (SELECT cell_id FROM subs WHERE enabled AND tenant IS NULL) GROUP BY 1"),
+    "M15_all_briefings": (
+        lambda t: m.briefings(_noted(t), _subs(t).withColumn("at", 886_000_000 + F.col("subscription_id") % 9 * 1_000_003), 24 * 30),
+        f"""WITH {_ORDERS}, s AS (SELECT *, 886000000 + subscription_id % 9 * 1000003 AS moment FROM subs WHERE enabled), n AS (SELECT *, published + alert_id % 7 * 3600 AS detected_at, list_position(['low', 'medium', 'high'], severity) AS rank FROM al)
+        SELECT subscription_id, alert_id, severity, CAST(row_number() OVER (PARTITION BY subscription_id ORDER BY rank DESC, detected_at DESC, alert_id) AS INTEGER) AS place
+        FROM s JOIN n ON s.cell_id = n.cell_id AND s.tenant IS NOT DISTINCT FROM n.tenant AND detected_at BETWEEN moment - 720 * 3600 AND moment"""),
     "M16_local_time": (
         lambda t: _alerts(t).select("alert_id", F.date_format(m.local_time(F.timestamp_seconds("published"), F.element_at(F.array(*map(F.lit, ("mfds", "fda", "eu", "nmpa", "other"))), (F.col("alert_id") % 5 + 1).cast("int"))), "yyyy-MM-dd HH:mm:ss").alias("local")),
         f"WITH {_ORDERS} SELECT alert_id, strftime(timezone(['Asia/Seoul', 'America/New_York', 'Europe/Brussels', 'Asia/Shanghai', 'UTC'][alert_id % 5 + 1], to_timestamp(published)), '%Y-%m-%d %H:%M:%S') AS local FROM al"),
     "M17_detection_coverage": (
-        lambda t: m.detection_coverage(_numbered(t), diff.substantive(_numbered(t))),
+        lambda t: (lambda events: m.detection_coverage(events, diff.substantive(events)))(_numbered(t)),
         sql("SELECT cell_id, count(*) AS emitted, count(*) FILTER (WHERE change_kind NOT IN ('renumbered','moved')) AS alerted, round(count(*) FILTER (WHERE change_kind NOT IN ('renumbered','moved')) / count(*), 4) AS coverage FROM events GROUP BY 1", _ALERTS)),
     "M18_latency": (
         lambda t: m.latency(_timed(t), ["cell_id"], 24),
         f"WITH {_ORDERS} SELECT cell_id, count(*) FILTER (WHERE alert_id % 5 > 0) AS measured, count(*) FILTER (WHERE alert_id % 5 = 0) AS unmeasurable, CAST(max(CASE WHEN alert_id % 5 > 0 THEN alert_id % 50 END) AS DOUBLE) AS worst_hours, count(*) FILTER (WHERE alert_id % 5 > 0 AND alert_id % 50 <= 24) AS within_target FROM al GROUP BY 1"),
+    "M18_backfill": (
+        lambda t: m.latency(_timed(t).withColumn("retrieved_at", F.col("alerted_at") - 7200), ["cell_id"], 24, _timed(t).groupBy("cell_id").agg((F.min("published_at") + F.col("cell_id") % 5 * 86_400 * 400).alias("since"))),
+        f"""WITH {_ORDERS}, timed AS (SELECT cell_id, published + alert_id % 50 * 3600 AS alerted_at, CASE WHEN alert_id % 5 > 0 THEN published END AS published_at FROM al), w AS (SELECT cell_id, min(published_at) + cell_id % 5 * 86400 * 400 AS since FROM timed GROUP BY 1),
+        e AS (SELECT *, coalesce(published_at < since, false) AS early, round((alerted_at - published_at) / 3600, 3) AS h FROM timed JOIN w USING (cell_id))
+        SELECT cell_id, count(h) FILTER (WHERE NOT early) AS measured, count(*) FILTER (WHERE published_at IS NULL) AS unmeasurable, CAST(max(h) FILTER (WHERE NOT early) AS DOUBLE) AS worst_hours, count(*) FILTER (WHERE NOT early AND h <= 24) AS within_target,
+        count(*) FILTER (WHERE early) AS backfill, count(*) AS retrieved, CAST(2 AS DOUBLE) AS worst_retrieved FROM e GROUP BY 1"""),
     "M19_watch_start": (
         lambda t: m.watch_start(t.versions().select("doc_id", F.col("retrieved_at").alias("fetched_at")), t.document_cells()), sql("SELECT cell_id, min(retrieved_at) AS since FROM versions JOIN doc_cells USING (doc_id) GROUP BY 1")),
     "M20_alert_page": (

@@ -11,8 +11,9 @@ from clausewise.operators import catalog as c
 from clausewise.operators import passages as p
 from clausewise.operators import postings
 from clausewise.operators import search as s
+from clausewise.operators import vectors
 from clausewise.plans.catalog import SCOPE
-from clausewise.work import shared_dir
+from clausewise.work import shared_dir, written
 
 MODEL, RULES = "m2", 3
 
@@ -108,6 +109,15 @@ def _vectors(t):
     return s.vector_arm(e.select("vec_id", "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
+def _near(t, recall):
+    """The vector arm from a written index, with as many lists as reach ``recall``, or with all."""
+    e = t.raw("embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    index = vectors.VectorIndex(t.spark, f"{shared_dir(t.spark)}/vectors-{uuid.uuid4().hex}")
+    index.build(e)
+    return index.search(queries, index.fitted(queries, recall) if recall else None)
+
+
 def _rows(t):
     return t.raw("part").select(F.col("p_partkey").alias("version_id"), F.lit("row").alias("path"), F.lit(0).alias("ordinal"), F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")).alias("columns"))
 
@@ -141,6 +151,12 @@ def _searched(t):
     return index.search(wanted, s.CANDIDATES, scope, ("cell_id",))
 
 
+def _dated(t):
+    """The date scope of what was retrieved."""
+    hits = written(_retrieved(t), "hits")
+    return s.date_scope(s.resolved_clauses(hits, t.trees(), t.versions()).join(hits.select("query_id", "version_id", "path"), ["version_id", "path"]), ref_date())
+
+
 QUERIES = {
     "R3_identifiers": (
         lambda t: _asked(t).select("doc_id", "ordinal", F.array_join(s.identifiers(F.col("query")), ",").alias("names")),
@@ -164,9 +180,13 @@ QUERIES = {
     "R7_vector_arm": (
         lambda t: _vectors(t).select("query_id", "vec_id", F.round("score", 6).alias("score")),
         f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.replace('q.q', 'q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.replace('q.q', 'q.embedding')} DESC, e.vec_id) - 1 AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE rank < 40"),
+    "R7_index_exact": (
+        lambda t: _near(t, None).select("query_id", "vec_id", F.round("score", 6).alias("score")),
+        f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.replace('q.q', 'q.embedding')} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.replace('q.q', 'q.embedding')} DESC, e.vec_id) - 1 AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE rank < 40"),
+    "R7_index_fitted": (lambda t: _near(t, 0.95).select("query_id", "vec_id", F.round("score", 6).alias("score")), None),
     "R8_identifier_arm": (
-        lambda t: s.identifier_arm(t.clauses(), t.documents().where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array(F.lit("A2"), F.lit("A3/I1")).alias("names"))).select("query_id", "version_id", "path"),
-        sql("SELECT query_id, version_id, path FROM (SELECT d.doc_id AS query_id, c.*, row_number() OVER (PARTITION BY d.doc_id ORDER BY ordinal, version_id, path) AS rn FROM docs d, clauses c WHERE d.doc_id % 100 = 0 AND (c.path IN ('A2', 'A3/I1') OR string_split(c.path, '/')[1] = 'A2')) WHERE rn <= 40")),
+        lambda t: s.identifier_arm(t.clauses(), t.documents().where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array(F.concat(F.lit("A"), (F.col("doc_id") / 100 % 7 + 2).cast("int").cast("string")), F.concat(F.lit("A3/I"), (F.col("doc_id") / 100 % 4 + 1).cast("int").cast("string"))).alias("names"))).select("query_id", "version_id", "path"),
+        sql("SELECT query_id, version_id, path FROM (SELECT query_id, c.*, row_number() OVER (PARTITION BY query_id ORDER BY ordinal, version_id, path) AS rn FROM (SELECT doc_id AS query_id, 'A' || (doc_id // 100 % 7 + 2) AS article, 'A3/I' || (doc_id // 100 % 4 + 1) AS item FROM docs WHERE doc_id % 100 = 0) d JOIN clauses c ON string_split(c.path, '/')[1] = article OR c.path = item) WHERE rn <= 40")),
     "R9_row_arm": (
         lambda t: s.row_arm(_rows(t), _terms(t)).select("query_id", F.col("version_id").alias("row_id"), "score"),
         """WITH cells AS (SELECT p_partkey AS row_id, unnest([p_name, p_brand, p_type]) AS cell FROM part), terms AS (SELECT p_partkey AS query_id, unnest([p_name, upper(substr(p_type, 1, 6))]) AS term FROM part WHERE p_partkey % 100 = 0)
@@ -176,7 +196,7 @@ QUERIES = {
         lambda t: s.fuse(s.arms_of(_queries(t), _scoped(t), _vector_index(t))).select("query_id", "version_id", "path", "rank", F.round("score", 6).alias("score")),
         sql("SELECT query_id, version_id, path, rank, round(score, 6) AS score FROM fused WHERE rank < 8", _ARMS)),
     "R11_date_scope": (
-        lambda t: s.date_scope(s.resolved_clauses(_retrieved(t), t.trees(), t.versions()).join(_retrieved(t).select("query_id", "version_id", "path"), ["version_id", "path"]), ref_date()).select("query_id", F.col("scope").cast("string").alias("scope"), "straddles"),
+        lambda t: _dated(t).select("query_id", F.col("scope").cast("string").alias("scope"), "straddles"),
         sql("""SELECT query_id, CAST(coalesce(max(d) FILTER (WHERE d <= DATE '2024-12-01'), min(d) FILTER (WHERE d > DATE '2024-12-01')) AS VARCHAR) AS scope, coalesce(bool_or(d <= DATE '2024-12-01'), false) AND coalesce(bool_or(d > DATE '2024-12-01'), false) AS straddles
           FROM (SELECT query_id, coalesce(h.effective_date, v.effective_date) AS d FROM hits h JOIN versions v USING (version_id)) GROUP BY 1""", _ARMS)),
     "R12_citable_paths": (

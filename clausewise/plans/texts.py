@@ -62,6 +62,14 @@ def _caveats(t):
     return joined.select("doc_id", F.col("root").cast("long").alias("root"), F.array_join(found, ",").alias("caveats"), (F.size(found) == 0).alias("definitive"))
 
 
+def _dressed(t):
+    """Lines as clauses of all kinds: their place in a tree, statute markers and duties, headings of some, and transitional parts in every tenth document."""
+    o, k = F.col("ordinal"), F.col("doc_id")
+    place = t.tree().select("doc_id", "ordinal", "kind", F.concat(F.when(k % 10 == 3, "부칙/").otherwise(""), "path").alias("path"))
+    heading = F.when(o % 24 == 1, F.when(k % 4 == 0, " Definitions of terms ").when(k % 4 == 1, "적용 범위").otherwise("Duties")).when(o % 36 == 2, "Purpose").when(o % 12 == 3, "")
+    return t.legal_lines().join(place, ["doc_id", "ordinal"]).withColumn("heading", heading)
+
+
 QUERIES = {
     "C1_normalize_text": (
         lambda t: t.raw("documents").select("doc_id", x.normalize_text(nfc(_decomposed("text"))).alias("text")).select("doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("digest")),
@@ -91,8 +99,8 @@ QUERIES = {
         sql("""SELECT doc_id, ordinal, CASE ordinal % 12 WHEN 0 THEN '제' || (ordinal + 1) || '장' WHEN 1 THEN '제' || (ordinal + 1) || '조' WHEN 2 THEN '제1항' WHEN 3 THEN '제1호' WHEN 4 THEN '가목'
           WHEN 5 THEN '4.1.' || (ordinal + 1) WHEN 6 THEN '2의3)' WHEN 7 THEN 'IV' WHEN 8 THEN '' WHEN 9 THEN '제3조의2' WHEN 10 THEN '가)' END AS segment FROM legal""")),
     "P5_logical_lines": (
-        lambda t: t.legal_lines().select("doc_id", F.explode(x.logical_lines(F.concat("line", F.lit(" ② 둘째 항 ③ 셋째 항")))).alias("l")).groupBy("doc_id").agg(F.count("*").alias("n")),
-        sql("SELECT doc_id, 3 * count(*) AS n FROM legal GROUP BY 1")),
+        lambda t: t.legal_lines().select("doc_id", "ordinal", F.posexplode(x.logical_lines(F.concat("line", F.when(F.col("ordinal") % 3 > 0, F.concat(F.lit("  ② 둘째 항 "), "ordinal")).otherwise("둘②째"), F.when(F.col("ordinal") % 3 == 1, "\n\n ③ 셋째 항").otherwise("")))).alias("k", "piece")),
+        sql("""SELECT doc_id, ordinal, CAST(k - 1 AS INTEGER) AS k, pieces[k] AS piece FROM (SELECT doc_id, ordinal, CASE ordinal % 3 WHEN 0 THEN [line || '둘②째'] WHEN 1 THEN [line, '② 둘째 항 ' || ordinal, '③ 셋째 항'] ELSE [line, '② 둘째 항 ' || ordinal] END AS pieces FROM legal), range(1, 4) AS r(k) WHERE k <= len(pieces)""")),
     "P10_filler_and_flags": (
         lambda t: t.lines().select("doc_id", "ordinal", x.filler_to_null(F.format_string("%06d", (F.col("ordinal") % 3).cast("int"))).alias("ref"), x.yes_no(F.when(F.col("ordinal") % 4 == 0, "Y").when(F.col("ordinal") % 4 == 1, "n").otherwise("?")).alias("flag")),
         sql("SELECT doc_id, ordinal, CASE WHEN ordinal % 3 > 0 THEN printf('%06d', ordinal % 3) END AS ref, CASE ordinal % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM lines")),
@@ -117,8 +125,9 @@ QUERIES = {
         lambda t: ingest.with_parents(t.clauses()).select("version_id", "path", "clause_id", "parent_id"),
         sql("SELECT c.version_id, c.path, c.version_id || ':' || c.ordinal AS clause_id, p.version_id || ':' || p.ordinal AS parent_id FROM clauses c LEFT JOIN clauses p ON p.version_id = c.version_id AND contains(c.path, '/') AND p.path = string_split(c.path, '/')[1]")),
     "X1_triage": (
-        lambda t: t.legal_lines().select("doc_id", "ordinal", x.triage(F.lit("prose"), F.array(F.lit("제1조")), F.lit(None).cast("string"), F.col("line")).alias("t")).select("doc_id", "ordinal", "t.kind", "t.reason"),
-        sql(f"SELECT doc_id, ordinal, CASE WHEN reason IS NULL THEN 'obligation_bearing' ELSE 'excluded' END AS kind, reason FROM (SELECT *, {TRIAGE} AS reason FROM legal)")),
+        lambda t: _dressed(t).select("doc_id", "ordinal", x.triage(F.col("kind"), F.split("path", "/"), F.col("heading"), F.col("line")).alias("t")).select("doc_id", "ordinal", "t.kind", "t.reason"),
+        sql(f"""SELECT doc_id, ordinal, CASE WHEN reason IS NULL THEN 'obligation_bearing' ELSE 'excluded' END AS kind, reason FROM (SELECT doc_id, ordinal, CASE WHEN kind IN ('heading', 'form') THEN kind WHEN kind = 'table' THEN 'table_container' WHEN length(trim(line)) < 10 THEN 'empty' WHEN doc_id % 10 = 3 THEN 'procedural'
+          WHEN ordinal % 24 = 1 THEN CASE WHEN doc_id % 4 = 0 THEN 'definition' WHEN doc_id % 4 = 1 THEN 'scope' ELSE 'no_obligation' END WHEN ordinal % 36 = 2 THEN 'scope' ELSE {TRIAGE} END AS reason FROM legal JOIN tree USING (doc_id, ordinal))""")),
     "X2_modals": (
         lambda t: t.legal_lines().select("doc_id", "ordinal", F.array_join(x.found_modals(F.concat("line", F.when(F.col("ordinal") % 3 == 0, " 금지된다").otherwise(""))), ",").alias("modals")),
         sql("SELECT doc_id, ordinal, concat_ws(',', CASE WHEN ordinal % 12 = 2 THEN '하여야 한다' END, CASE WHEN ordinal % 3 = 0 THEN '금지한다' END) AS modals FROM legal")),
@@ -126,8 +135,8 @@ QUERIES = {
         lambda t: t.raw("conversations").select("conv_id", "turn", x.has_permissive(F.concat("text", F.when(F.col("turn") % 3 == 0, " may not").when(F.col("turn") % 3 == 1, " may do").otherwise("")), "en").alias("permissive")),
         "SELECT conv_id, turn, regexp_matches(replace(s, ' may not', ''), '\\bmay\\b|\\bcan\\b|\\bis\\s+permitted\\s+to\\b') AS permissive FROM (SELECT *, text || CASE turn % 3 WHEN 0 THEN ' may not' WHEN 1 THEN ' may do' ELSE '' END AS s FROM conversations)"),
     "X4_title": (
-        lambda t: t.legal_lines().select("doc_id", "ordinal", x.title_of(F.lit(None).cast("string"), F.col("line")).alias("title")),
-        sql("SELECT doc_id, ordinal, CASE WHEN ordinal % 12 = 1 THEN '정의' ELSE '' END AS title FROM legal")),
+        lambda t: _dressed(t).select("doc_id", "ordinal", x.title_of(F.col("heading"), F.col("line")).alias("title")),
+        sql("SELECT doc_id, ordinal, CASE WHEN ordinal % 24 = 1 THEN CASE doc_id % 4 WHEN 0 THEN 'Definitions of terms' WHEN 1 THEN '적용 범위' ELSE 'Duties' END WHEN ordinal % 36 = 2 THEN 'Purpose' WHEN ordinal % 12 = 1 THEN '정의' ELSE '' END AS title FROM legal")),
     "X5_canonical_codes": (
         lambda t: t.raw("events").select("event_id", x.canonical_taxonomy(F.when(F.col("event_type") == "click", " Design-Control").otherwise("Risk Mgmt"), "samd").alias("code"), x.canonical_modal(F.when(F.col("event_type") == "view", "하여야 하며").otherwise(F.col("event_type"))).alias("modal")),
         "SELECT event_id, CASE WHEN event_type = 'click' THEN 'design_control' END AS code, CASE WHEN event_type = 'view' THEN '하여야 한다' END AS modal FROM events"),

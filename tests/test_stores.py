@@ -2,10 +2,11 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewise.operators import catalog, postings, search, stored
+from clausewise.operators import catalog, postings, search, stored, vectors
 from clausewise.sources import payloads
 
 
@@ -180,3 +181,33 @@ def test_a_long_chain_is_a_stream(spark, tmp_path):
     log = stored.Chains(spark, str(tmp_path / "log"), "g")
     log.append("all", spark.range(1_000_000).select(F.lit(1).cast("long").alias("chain"), F.col("id").alias("place"), F.col("id").cast("string").alias("body")))
     assert catalog.verify_chain(log.entries(), "g").first() == (1, 1_000_000, None)
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def test_lists_reach_the_recall_that_was_fitted(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16))
+    x = centres[rng.integers(0, 12, 1500)] + 0.4 * rng.standard_normal((1500, 16))
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(9000, [0.0] * 16), (9001, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = df.where("vec_id % 50 = 0 AND vec_id < 1500").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    index = vectors.VectorIndex(spark, str(tmp_path / "index"))
+    index.build(df)
+    as_rows = lambda got: sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got.collect())
+    exact = as_rows(index.search(queries, None, 10))
+    assert exact == as_rows(search.vector_arm(df.where("vec_id < 1500"), queries, 10))
+    probes = index.fitted(queries, 0.95, 10)
+    near = {(q, v) for q, _, v, _ in as_rows(index.search(queries, probes, 10))}
+    assert probes < len(index.centroids()) / 2 and len(near & {(q, v) for q, _, v, _ in exact}) >= 0.9 * len(exact)
+    # one vector of all in a list of its own is found all the same
+    held = spark.read.parquet(str(tmp_path / "index/lists"))
+    assert held.count() == 1500 and held.select("vec_id").distinct().count() == 1500
+
+
+def test_an_index_of_nothing_answers_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    index = vectors.VectorIndex(spark, str(tmp_path / "index"))
+    index.build(none)
+    assert index.search(spark.createDataFrame([(1, [1.0])], "query_id long, q array<float>"), None).count() == 0
