@@ -73,9 +73,14 @@ def token(word: Column) -> Column:
     return F.when(F.startswith(word, F.lit(SLOT)), slot).when(F.startswith(word, F.lit(UNIT)), "<u>").otherwise(F.lower(word))
 
 
-def _windows(hashes: Column, width: int, n: Column) -> Column:
-    """Hashes of the windows of ``width`` token hashes at the places 1 to n (shorter ones at the end match nothing)."""
-    return F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64(F.slice(hashes, k, width)))
+def _windows(t: DataFrame, codes: list[int]) -> DataFrame:
+    """Rows of ``t`` (doc_id, filled, tokens, plain, n) with at, code and hash: its windows of the codes' widths, at places 0 to n - 1 (shorter
+    ones at the end match nothing).  Places are exploded, not hashes, so that windows are hashed in generated code."""
+    each = t.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n") * len(codes) - 1))) if codes else t.where("false").withColumn("place", F.lit(0))
+    at, nth = F.col("place") % F.col("n"), (F.col("place") / F.col("n")).cast("int")
+    hashes = [F.xxhash64(F.slice("plain" if c % 2 else "tokens", at + 1, c // 2)) for c in codes] or [F.lit(0).cast("long")]
+    picked = lambda values: F.coalesce(*(F.when(nth == k, v) for k, v in enumerate(values)))
+    return each.select("doc_id", "filled", at.alias("at"), picked([F.lit(c) for c in codes or [0]]).alias("code"), picked(hashes).alias("hash"))
 
 
 def _marked_rows(rows: DataFrame, key: str) -> DataFrame:
@@ -119,13 +124,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     codes = sorted(counts)
     small = sum(n for n, _ in counts.values()) <= BROADCAST_WINDOWS and sum(size for _, size in counts.values()) <= BROADCAST_BYTES
     t = _token_hashes(docs, "doc_id").withColumn("n", F.size("plain"))
-    hashes = F.concat(*(_windows(F.col("plain" if c % 2 else "tokens"), c // 2, F.col("n")) for c in codes)) if codes else F.array().cast("array<bigint>")
-    place = [(F.col("place") % F.col("n")).alias("at"), F.element_at(F.array(*map(F.lit, codes or [0])), (F.col("place") / F.col("n")).cast("int") + 1).alias("code")]
+    each = _windows(t, codes)
     if small:
-        at = t.select("doc_id", "filled", "n", F.posexplode(hashes).alias("place", "hash")).select("doc_id", "filled", "hash", *place)
-        hits = at.join(F.broadcast(known), ["hash", "code"])
+        hits = each.join(F.broadcast(known), ["hash", "code"])
     else:
-        at = materialize(t.select("doc_id", F.xxhash64("filled").alias("row"), "n", F.posexplode(hashes).alias("place", "hash")).select("doc_id", "row", "hash", *place), "decontam-hashes")
+        at = materialize(each.select("doc_id", F.xxhash64("filled").alias("row"), "at", "code", "hash"), "decontam-hashes")
         wanted = materialize(known.select("hash", "code").distinct().groupBy("hash").agg(F.collect_set("code").alias("codes")), "decontam-wanted")
         met = materialize(join_facts(at, wanted, "hash").where(F.array_contains("codes", F.col("code"))).drop("codes"), "decontam-met")
         texts = t.select("doc_id", "filled", F.xxhash64("filled").alias("row")).dropDuplicates(["doc_id", "row"])
