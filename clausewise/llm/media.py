@@ -2,7 +2,7 @@
 
 ``encode`` adds the stored form of a text to its rows, ``decode`` reads stored images of any kind into
 pixel arrays, and ``read_back`` restores payloads from the stored bytes and describes them.  All three
-are passes over Arrow batches without a shuffle; a batch is cut into blocks of about four MB, whose streams are read in step.
+are passes over Arrow batches without a shuffle; a batch is cut into blocks of about eight MB, whose streams are read in step.
 
 Edge cases: a null text is empty; an empty text is 64 zero bytes; a text of any length is one image file (above
 ``webp.LARGEST``, 268 million bytes, the format ends, and several lie end to end), whose index of parts lets a long one be read in step too; a null or broken image has a null in place of its
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from clausewise.llm import webp
 
 UNIT = 64
-_BLOCK = 1 << 22
+_BLOCK = 1 << 23
 
 
 def payload(text: bytes) -> bytes:

@@ -123,6 +123,69 @@ def test_payload_samples_in_reading_order():
         assert samples[: len(p)] == p
 
 
+def stored_steps(payload):
+    """The head of a payload's stored image, which must read back alike in step, one by one, and without the index of its parts."""
+    (data,) = webp.encode_bytes([payload])
+    (image,) = webp.decode(data)
+    assert webp.decode_bytes([data, data.replace(webp.INDEX, b"XXXX")], [len(payload)] * 2) == [payload] * 2
+    # a grey image: three equal channels, opaque
+    assert (image == (image & 255) * 0x010101 + 0xFF000000).all() and (image & 255).astype(np.uint8).tobytes()[: len(payload)] == payload
+    first, last, _, _ = webp._body(data, 0)
+    return len(data), webp._Head(data[first:last])
+
+
+def test_stored_payloads_choose_each_step_by_their_bits():
+    rng = random.Random(7)
+    # prefix codes of the text's own counts: 32 rare letters, five bits each
+    n, head = stored_steps(media.payload(bytes(rng.choice(range(64, 96)) for _ in range(4000))))
+    assert n < 4000 * 5 // 8 + 150 and [t[0] for t in head.todo] == [webp.GREEN] and not head.cache_bits and head.groups_of is None
+    # samples that grow along and down the rows are foretold by their neighbours
+    slope = bytes((x + 2 * y) % 100 + 20 + rng.randrange(4) for y in range(96) for x in range(64))
+    n, head = stored_steps(slope)
+    assert [t[0] for t in head.todo] == [webp.GREEN, webp.PREDICTOR] and n < len(slope) // 2
+    # samples that soon come again are hits of a small colour cache
+    n, head = stored_steps(media.payload(b"".join(bytes(rng.choices(range(33, 97), k=2)) * 3 for _ in range(600))))
+    assert head.cache_bits and [t[0] for t in head.todo] == [webp.GREEN] and n < 600 * 6 * 6 // 8
+    # a text of two kinds has two entropy groups, one for each kind of tile
+    kinds = [bytes(rng.choice(a) for _ in range(4096)) for a in (range(48, 68), range(90, 110)) * 2]
+    n, head = stored_steps(b"".join(kinds))
+    assert head.groups_of.tolist() == [[0], [1], [0], [1]] and len(head.codes) == 2 and n < 4 * 4096 * 4.5 / 8 + 300
+
+
+def test_stored_copies_use_the_plane_map():
+    rng = random.Random(8)
+    line = rng.randbytes(64)
+    # three rows and two places back
+    (data,) = webp.encode_bytes([rng.randbytes(640) + line + rng.randbytes(130) + line + rng.randbytes(638)])
+    first, last, _, _ = webp._body(data, 0)
+    code = webp._near(64)[194]
+    assert webp.PLANE[code - 1] == (2, 3) and webp._Head(data[first:last]).codes[0][4].tolist() == [webp._prefix(int(code))[0] << 4]
+    assert all(webp.PLANE.index((x, y)) + 1 >= webp._near(w)[max(1, x + y * w)] > 0 for w in (64, 128) for x, y in webp.PLANE)
+
+
+def test_wide_images_and_neighbours_in_a_call():
+    rng = np.random.default_rng(9)
+    wide = np.concatenate([rng.integers(a, a + 20, 1 << 19, dtype=np.uint8) for a in (40, 90, 40)]).tobytes()
+    others = [media.payload(rng.integers(97, 123, n, dtype=np.uint8).tobytes()) for n in (1, 63, 64, 4096, 4097, 9000)]
+    stored = webp.encode_bytes([others[0], wide, *others])
+    assert stored == [webp.encode_bytes([p])[0] for p in (others[0], wide, *others)]
+    assert webp.decode_bytes(stored, [len(others[0]), len(wide), *map(len, others)]) == [others[0], wide, *others]
+    _, head = stored[1], webp._Head(stored[1][slice(*webp._body(stored[1], 0)[:2])])
+    assert head.width == 128 and len(head.codes) == 2
+
+
+@pytest.mark.parametrize("lengths", [[0] * 40 + [1], [1, 1], [3] * 8, [0] * 150 + [2, 2, 2, 2] + [0] * 100, [15, 15, *range(14, 0, -1)], [0] * 256 + [1] + [0] * 12 + [1], [4] * 15 + [0] * 9 + [5, 5]])
+def test_code_lengths_round_trip(lengths):
+    out = webp.Writer()
+    webp._put_lengths(out, lengths)
+    data = out.bytes() + b"\0\0"
+    bits = webp.Bits(data)
+    assert webp.read_lengths(bits, 280) == lengths + [0] * (280 - len(lengths)) and bits.at == out.size
+    flat = webp._flat_code(webp.Bits(data), 280)
+    width, look = webp.table_of(lengths)
+    assert [(int(e) >> 4, int(e) & 15) for e in flat] == [look[k] for k in range(1 << width)]
+
+
 # ---------------------------------------------------------------- 6
 
 
