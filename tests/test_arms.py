@@ -52,3 +52,9 @@ def test_terms_that_many_queries_share_are_found_once(spark, clauses):
     terms = spark.range(QUERIES).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("steel 1"), F.lit("STEE"))).alias("term"))
     df = search.row_arm(clauses, terms, LIMIT)
     assert ranked(df.collect()) == wanted(clauses, lambda r: 1.0 if r.columns["a"] == "steel 1" else 0.6) and most_rows(df) < 50_000
+
+
+def test_words_that_many_queries_share_give_no_row_for_a_pair(spark, clauses):
+    queries = spark.range(QUERIES).select(F.col("id").alias("query_id"), F.lit("sam the 5").alias("query"))
+    df = search.lexical_arm(clauses, queries, LIMIT)
+    assert ranked(df.collect()) == wanted(clauses, lambda r: sum(t.startswith(("sam", "the", "5")) for t in r.text.split())) and most_rows(df) < 50_000
